@@ -79,4 +79,26 @@ select opp_id, stage, array_to_string(f, ',') as risk_flags, len(f) as severity
     case when n.cause = 'no-next-step' then 'no-next-step' end, case when n.cause = 'next-step-passed' then 'next-step-passed' end, case when m.opp_id is not null then 'amount-moved' end], lambda x: x is not null) as f
   from opportunities o left join o_pushes p on o.opp_id = p.opp_id left join o_stalled s on o.opp_id = s.opp_id left join o_threading t on o.opp_id = t.opp_id
   left join o_ghosts g on o.opp_id = g.opp_id left join o_step n on o.opp_id = n.opp_id left join (select distinct opp_id from o_moved) m on o.opp_id = m.opp_id where o.is_open)""",
+    "o_eligible": """
+select * from leads where not (direct_opt_out or bounced or left_company)
+  and not (coalesce(in_sequence and sequence_next > date '2001-08-02', false) and not replied_to_sequence)""",
+    "o_linked": """
+select r.*, d.opp_id as renewal_opp_id, d.stage as renewal_opp_stage, d.created as renewal_opp_created, d.is_open as renewal_opp_open from renewals r left join (
+  select renewal_id, o.opp_id, o.stage, o.created, o.is_open, row_number() over (partition by renewal_id order by o.created, o.opp_id) as rn
+  from renewals c join opps_tracked o on c.account = o.account and o.track = 'renewal' and o.created > c.contract_start) d on r.renewal_id = d.renewal_id and d.rn = 1""",
+    "o_renewal_flags": """
+select *, array_to_string(f, ',') as risk_flags, len(f) as n_flags from (
+  select r.renewal_id, r.account, r.owner, r.current_value, r.expansion_signal,
+    case when first_touch is null and contract_end - lead_days < date '2001-08-02' then (date '2001-08-02' - (contract_end - lead_days))::bigint end as days_overdue,
+    list_filter([case when renewal_opp_id is null then 'no-renewal-opp' end, case when first_touch is null and contract_end - lead_days < date '2001-08-02' then 'conversation-overdue' end,
+      case when first_touch is null and contract_end - lead_days - date '2001-08-02' between 0 and 30 then 'conversation-due-soon' end,
+      case when contract_end - notice_days - date '2001-08-02' between 0 and 30 then 'notice-window-closing' end, case when not champion_still_there then 'champion-left' end,
+      case when last_qbr is null or last_qbr < date '2001-02-02' then 'no-qbr' end, case when date '2001-08-02' - a.last_day >= 60 then 'quiet' end,
+      case when renewal_opp_open and proposed_value < current_value then 'contraction-risk' end], lambda x: x is not null) as f
+  from o_linked r left join (select account, max(day) as last_day from raw_activity group by 1) a on r.account = a.account where status = 'Active')""",
+    "o_valued": """
+select r.*, cast(round(current_value * case when r.currency = 'USD' then cast(1 as decimal(18,8)) else s.rate end, 2) as decimal(18,2)) as cv,
+  cast(round(proposed_value * case when r.currency = 'USD' then cast(1 as decimal(18,8)) else s.rate end, 2) as decimal(18,2)) as pv
+from (select *, case when status <> 'Active' then least(contract_end, date '2001-08-02') else date '2001-08-02' end as rate_day from renewals) r
+left join o_spans s on r.currency = s.currency and r.rate_day >= s.effective_from and (s.until is null or r.rate_day < s.until)""",
 }
