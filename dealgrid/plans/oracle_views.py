@@ -101,4 +101,55 @@ select r.*, cast(round(current_value * case when r.currency = 'USD' then cast(1
   cast(round(proposed_value * case when r.currency = 'USD' then cast(1 as decimal(18,8)) else s.rate end, 2) as decimal(18,2)) as pv
 from (select *, case when status <> 'Active' then least(contract_end, date '2001-08-02') else date '2001-08-02' end as rate_day from renewals) r
 left join o_spans s on r.currency = s.currency and r.rate_day >= s.effective_from and (s.until is null or r.rate_day < s.until)""",
+    "o_regs": """
+select *, approved + protection_days as expires, 'acct' || customer || '.example.com' as customer_key, partner_id || '-' || customer || '-' || role as reg_id from registrations""",
+    "o_live": "select * from o_regs where expires >= date '2001-08-02'",
+    "o_subs": "select *, 'acct' || customer || '.example.com' as customer_key from submissions",
+    "o_findings": """
+select submission_id, 'same tier claimed' as finding, 'BLOCK' as severity, (case when low <> s.partner_id then low else high end)::varchar as detail
+from o_subs s join (select customer_key, role, min(partner_id) as low, max(partner_id) as high from o_live group by 1, 2) h
+  on s.customer_key = h.customer_key and s.role = h.role where low <> s.partner_id or high <> s.partner_id
+union all select submission_id, 'role not permitted', 'BLOCK', role from o_subs s join partners p on s.partner_id = p.partner_id
+  where roles_supported is not null and not list_contains(list_transform(string_split(roles_supported, ';'), lambda x: trim(x)), role)
+union all select submission_id, 'direct opportunity', 'BLOCK', customer_key from o_subs where customer in (select account from opportunities where is_open and partner_id is null)
+union all select submission_id, 'existing customer', 'CHECK', customer_key from o_subs where customer in (select account from opportunities where stage = 'Closed Won')
+union all select * from o_territory
+union all select submission_id, 'teaming', 'note', (case when low <> s.partner_id then low else high end)::varchar
+from o_subs s join (select customer_key, role, min(partner_id) as low, max(partner_id) as high from o_live group by 1, 2) h
+  on s.customer_key = h.customer_key and s.role <> h.role where low <> s.partner_id or high <> s.partner_id
+union all select submission_id, 'already holds this tier', 'note', s.role from o_subs s where exists (
+  select 1 from o_live l where l.customer_key = s.customer_key and l.role = s.role and l.partner_id = s.partner_id)
+union all select submission_id, 'expired claim', 'CHECK', expired::varchar from o_subs s join (
+  select customer_key, min(partner_id) as low, max(partner_id) as high, max(expires) as expired from o_regs where expires < date '2001-08-02' group by 1) h
+  on s.customer_key = h.customer_key where low <> s.partner_id or high <> s.partner_id""",
+    "o_territory": """
+with named as (select partner_id, unnest(string_split(named_accounts, ';')) as acct from partners),
+f as (select s.*, p.partner_id is not null as known, exists (select 1 from named n where n.acct = s.customer::varchar and n.partner_id = s.partner_id) as mine,
+    exists (select 1 from named n where n.acct = s.customer::varchar) as any_named,
+    exists (select 1 from partners x where x.exclusive_territory = s.country and x.partner_id <> s.partner_id) as excl,
+    coalesce(not list_contains(string_split(p.countries, ';'), s.country), false) or coalesce(not list_contains(string_split(p.segments_served, ';'), s.segment), false)
+      or coalesce(list_contains(string_split(p.excluded_accounts, ';'), s.customer::varchar), false) as outside
+  from o_subs s left join partners p on s.partner_id = p.partner_id)
+select submission_id, 'territory mismatch' as finding, 'CHECK' as severity, country || '/' || segment as detail from f where known and not mine and outside
+union all select submission_id, 'exclusive territory', 'CHECK', country || '/' || segment from f where not mine and excl
+union all select submission_id, 'named account of another', 'CHECK', country || '/' || segment from f where any_named and not mine""",
+    "o_lone": """
+select partner_id, min(owner) as owner, count(*) as deals from opportunities where partner_id is not null and owner is not null
+group by 1 having count(distinct owner) = 1 and count(*) > 1""",
+    "o_quote_totals": """
+select quote_id, count(*) as lines, sum(extended)::decimal(18,2) as extended, round(sum((extended * discount)::decimal(18,4)), 2)::decimal(18,2) as discount_total,
+  (sum(extended) - round(sum((extended * discount)::decimal(18,4)), 2))::decimal(18,2) as net,
+  sum((extended * discount)::decimal(18,4))::decimal(20,4)::double / sum(extended)::double as blended_discount from quote_lines group by 1""",
+    "o_groups": """
+with s as (select source_value as sv, count(*) as n, count(detail) as d from campaigns group by 1)
+select source_value, case when n > 1 and d = n then detail end as detail, min(campaign_id) as group_id, count(*) as campaigns, sum(cost)::decimal(18,2) as cost, min(started) as started,
+  max(case when n > 1 and d = n then 'split by detail, approximate' when n > 1 then 'reported together' end) as split_note
+from campaigns join s on source_value = sv group by 1, 2""",
+    "o_funnel": """
+with l as (select group_id, count(*) as leads, count(*) filter (not (direct_opt_out or bounced or left_company)) as leads_contactable, count(*) filter (status <> 'New') as leads_worked
+  from leads join o_groups g on source = source_value and (g.detail is null or g.detail = source_detail) group by 1),
+d as (select group_id, count(*) as opportunities, count(*) filter (is_open) as still_open, count(*) filter (stage = 'Closed Won') as won, coalesce(sum(converted_amount), 0)::decimal(18,2) as pipeline
+  from o_conv join o_groups g on source = source_value and (g.detail is null or g.detail = source_detail) group by 1)
+select g.group_id, campaigns, started, cost, split_note, coalesce(leads, 0) as leads, coalesce(leads_contactable, 0) as leads_contactable, coalesce(leads_worked, 0) as leads_worked,
+  coalesce(opportunities, 0) as opportunities, coalesce(still_open, 0) as still_open, coalesce(won, 0) as won, pipeline from o_groups g left join l using (group_id) left join d using (group_id)""",
 }

@@ -173,9 +173,9 @@ def _(t):
 
 
 @query("won_without_customer", """
-select opp_id, account from opportunities where stage = 'Closed Won' and account not in (select account from accounts where account % 6 <> 0)""")
+select opp_id, account from opportunities where stage = 'Closed Won' and account not in (select account from accounts where segment <> 'BUILDING')""")
 def _(t):
-    return deals.won_without_customer(t.opportunities, t.accounts.filter("account % 6 <> 0"))
+    return deals.won_without_customer(t.opportunities, t.accounts.filter("segment <> 'BUILDING'"))
 
 
 @query("loss_clusters", """

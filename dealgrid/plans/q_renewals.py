@@ -44,12 +44,12 @@ def _(t):
 
 
 @query("link_contracts", """
-with r as (select * from renewals where renewal_id % 3 <> 0),
+with r as (select * from renewals where champion_still_there),
 w as (select opp_id, account, close_date + 365 as contract_end from opportunities where stage = 'Closed Won' and close_date + 365 > date '2001-08-02')
 select w.opp_id, w.account, w.contract_end::varchar as contract_end, case when d.renewal_id is not null then 'deal' when s.m is not null then 'account and end' else 'new' end as basis, coalesce(d.renewal_id, s.m) as renewal_id
 from w left join r d on d.original_opp_id = w.opp_id left join (select account, contract_end, min(renewal_id) as m from r group by 1, 2) s on s.account = w.account and s.contract_end = w.contract_end""")
 def _(t):
-    return renewals.link_contracts(t.opportunities, t.renewals.filter("renewal_id % 3 <> 0"), AS_OF)
+    return renewals.link_contracts(t.opportunities, t.renewals.filter("champion_still_there"), AS_OF)
 
 
 @query("link_renewal_opp", """

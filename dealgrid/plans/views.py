@@ -32,7 +32,7 @@ select o_orderkey as opp_id, o_custkey as account,
   case when o_orderkey % 5 = 0 then null else 'person ' || (o_orderkey % 40) end as champion,
   case when o_orderkey % 4 = 0 then null else 'buyer ' || (o_orderkey % 30) end as economic_buyer,
   case when o_orderkey % 9 = 0 then null else 'known' end as paper_process,
-  case when o_orderkey % 3 = 0 then o_custkey % 110 end as partner_id,
+  case when o_orderkey % 3 = 0 then case when o_custkey % 25 = 3 then 200 + o_custkey % 4 else o_custkey % 110 end end as partner_id,
   case when o_custkey % 12 = 0 then null else o_custkey % 12 end as source,
   o_custkey % 24 as source_detail,
   case when o_orderstatus = 'F' and o_orderkey % 3 = 0 then
@@ -111,7 +111,7 @@ from opportunities where stage = 'Closed Won'""",
     "partners": """
 select s_suppkey as partner_id, s_name as name, case when s_suppkey % 2 = 0 then 'sell-through' else 'sell-with' end as motion,
   case s_suppkey % 3 when 0 then 'Distributor; Reseller' when 1 then 'Reseller' end as roles_supported,
-  cast(10 + s_suppkey % 21 as decimal(18,2)) / 100 as margin_pct,
+  cast(cast(10 + s_suppkey % 21 as decimal(18,2)) / 100 as decimal(5,2)) as margin_pct,
   case when s_suppkey % 7 = 0 then null else cast(s_nationkey as string) || ';' || cast((s_nationkey + 1) % 25 as string) end as countries,
   case when s_suppkey % 5 = 0 then null else 'BUILDING;MACHINERY;FURNITURE' end as segments_served,
   cast(s_suppkey * 3 as string) || ';' || cast(s_suppkey * 5 as string) as excluded_accounts,
