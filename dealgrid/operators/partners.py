@@ -93,11 +93,10 @@ def conflict_territory(submissions: DataFrame, partners: DataFrame) -> DataFrame
         F.col("partner_id").alias("_pid"), split_list(F.col("countries")).alias("_countries"),
         split_list(F.col("segments_served")).alias("_segments"), split_list(F.col("excluded_accounts")).alias("_excluded"),
     )
-    named = (
-        partners.select("partner_id", F.explode(split_list(F.col("named_accounts"))).alias("_named")).distinct()
-        .groupBy("_named").agg(F.min("partner_id").alias("_low"), F.max("partner_id").alias("_high"),
-                               F.collect_set("partner_id").alias("_owners"))
-    )
+    pairs = partners.select(
+        F.col("partner_id").alias("_owner"), F.explode(split_list(F.col("named_accounts"))).alias("_account")
+    ).distinct()
+    named = pairs.select(F.col("_account").alias("_named")).distinct()
     exclusive = (
         partners.filter(F.col("exclusive_territory").isNotNull()).groupBy(F.col("exclusive_territory").alias("_area"))
         .agg(F.min("partner_id").alias("_xlow"), F.max("partner_id").alias("_xhigh"))
@@ -105,9 +104,10 @@ def conflict_territory(submissions: DataFrame, partners: DataFrame) -> DataFrame
     j = (
         submissions.join(own, F.col("partner_id") == F.col("_pid"), "left")
         .join(named, F.col("customer").cast("string") == F.col("_named"), "left")
+        .join(pairs, (F.col("customer").cast("string") == F.col("_account")) & (F.col("partner_id") == F.col("_owner")), "left")
         .join(exclusive, F.col("country") == F.col("_area"), "left")
     )
-    mine = F.coalesce(F.array_contains("_owners", F.col("partner_id")), F.lit(False))
+    mine = F.col("_owner").isNotNull()
     outside = ~list_permits(F.col("_countries"), F.col("country")) | ~list_permits(F.col("_segments"), F.col("segment"))
     excluded = F.coalesce(F.array_contains("_excluded", F.col("customer").cast("string")), F.lit(False))
     in_exclusive = F.col("_area").isNotNull() & ((F.col("_xlow") != F.col("partner_id")) | (F.col("_xhigh") != F.col("partner_id")))

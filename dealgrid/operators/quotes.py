@@ -22,8 +22,9 @@ def tiers_of(price_list: DataFrame, steps: Sequence[tuple[int, int]]) -> DataFra
 
 
 def tier_ladder(tiers: DataFrame) -> DataFrame:
-    """All tiers of a SKU in one sorted array; a price list has a handful of tiers per SKU."""
-    return tiers.groupBy("sku").agg(F.array_sort(F.collect_list(F.struct("min_qty", "price"))).alias("_ladder"))
+    """All tiers of a SKU in one sorted array, one entry per quantity step."""
+    steps = tiers.groupBy("sku", "min_qty").agg(F.max("price").alias("price"))
+    return steps.groupBy("sku").agg(F.array_sort(F.collect_list(F.struct("min_qty", "price"))).alias("_ladder"))
 
 
 def _reached(qty: Column) -> Column:

@@ -32,7 +32,7 @@ select o_orderkey as opp_id, o_custkey as account,
   case when o_orderkey % 5 = 0 then null else 'person ' || (o_orderkey % 40) end as champion,
   case when o_orderkey % 4 = 0 then null else 'buyer ' || (o_orderkey % 30) end as economic_buyer,
   case when o_orderkey % 9 = 0 then null else 'known' end as paper_process,
-  case when o_orderkey % 3 = 0 then case when o_custkey % 25 = 3 then 200 + o_custkey % 4 else o_custkey % 110 end end as partner_id,
+  case when o_orderkey % 4 = 0 then case when o_custkey % 25 = 3 then 200 + o_custkey % 4 else o_custkey % 110 end end as partner_id,
   case when o_custkey % 12 = 0 then null else o_custkey % 12 end as source,
   o_custkey % 24 as source_detail,
   case when o_orderstatus = 'F' and o_orderkey % 3 = 0 then
