@@ -161,7 +161,7 @@ from {lineitem}""",
     "latest_open": """
 select account as open_account, max(opp_id) as open_opp from opportunities where is_open group by account""",
     "raw_activity": """
-select event_id as activity_id, cast(ts as date) - 8217 as day, user_id as account,
+select event_id as activity_id, cast(ts as date) - 8217 as day, cast(ts as timestamp) - interval '8217' day as ts, user_id as account,
   case event_type when 'purchase' then 'meeting' when 'signup' then 'reply' else 'email' end as kind,
   cast(regexp_extract(props, '([0-9]+)', 1) as bigint) as person,
   case when cast(regexp_extract(props, '([0-9]+)', 1) as bigint) % 10 = 0 then null

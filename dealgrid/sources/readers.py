@@ -54,16 +54,23 @@ def _typed(raw: Column, kind: str) -> Column:
     return raw if kind == "string" else raw.try_cast(kind)
 
 
+def _cp1252(c: Column) -> Column:
+    """Text read as ISO-8859-1 with the 27 characters that the Windows code page puts elsewhere."""
+    moved = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+    moved = [(a, b) for a, b in moved if b]
+    return F.translate(c, "".join(a for a, _ in moved), "".join(b for _, b in moved))
+
+
 def read_export(
-    spark: SparkSession, path: str, columns: list[str], field_map: Mapping[str, tuple[str, str]], id_column: str,
-    encoding: str = "windows-1252",
+    spark: SparkSession, path: str, columns: list[str], field_map: Mapping[str, tuple[str, str]], id_column: str
 ) -> tuple[DataFrame, DataFrame]:
     """A report export with header labels; rows without a record id (totals footers) are kept apart.
 
     `columns` is the header in file order; `field_map` gives label -> (local name, kind).
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    raw = spark.read.schema(schema).option("header", True).option("encoding", encoding).csv(path)
+    raw = spark.read.schema(schema).option("header", True).option("encoding", "iso-8859-1").option("enforceSchema", True).csv(path)
+    raw = raw.select(*[_cp1252(F.col(f"`{c}`")).alias(c) for c in columns])
     has_id = F.length(F.trim(F.coalesce(F.col(f"`{id_column}`"), F.lit("")))) >= 15
     mapped = [_typed(F.col(f"`{label}`"), kind).alias(name) for label, (name, kind) in field_map.items()]
     return raw.filter(has_id).select(*mapped), raw.filter(~has_id)
@@ -122,3 +129,56 @@ def split_turns(texts: DataFrame) -> DataFrame:
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     texts = spark.read.text(path, wholetext=True).withColumn("raw_path", F.input_file_name())
     return split_turns(texts)
+
+
+def repair_registry(df: DataFrame, kinds: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:
+    """Undo what spreadsheets do to typed cells; columns the user added pass through.
+
+    Returns the typed registry and one row per column: cells whose text had to change, and cells
+    that could not be read at all.
+    """
+    fixed = {c: _typed(F.col(c), kind) for c, kind in kinds.items()}
+    out = df.select(*[fixed[c].alias(c) if c in fixed else F.col(c) for c in df.columns])
+    counts, cells = [], []
+    for i, (c, value) in enumerate(fixed.items()):
+        filled = F.col(c).isNotNull() & (F.trim(F.col(c)) != "")
+        counts.append(F.count_if(filled & value.isNotNull() & (value.cast("string") != F.col(c))).alias(f"r{i}"))
+        counts.append(F.count_if(filled & value.isNull()).alias(f"u{i}"))
+        cells.append(F.struct(F.lit(c).alias("column"), F.col(f"r{i}").alias("repaired"), F.col(f"u{i}").alias("unreadable")))
+    report = df.agg(*counts).select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    return out, report
+
+
+def _hash_blocks(batches):
+    """sha-256 of each file, read in blocks from the shared file system."""
+    import hashlib
+
+    import pandas as pd
+    from pyarrow import fs
+
+    for pdf in batches:
+        digests = []
+        for path in pdf["path"]:
+            system, inner = fs.FileSystem.from_uri(path)
+            digest = hashlib.sha256()
+            with system.open_input_stream(inner) as stream:
+                while block := stream.read(1 << 20):
+                    digest.update(block)
+            digests.append(digest.hexdigest())
+        yield pd.DataFrame({"path": pdf["path"], "bytes": pdf["length"], "sha256": digests})
+
+
+def content_manifest(spark: SparkSession, path: str, pattern: str = "*", in_memory: int = 64 << 20) -> DataFrame:
+    """Path, size and content hash of every owned file below a folder.
+
+    Small files are hashed from the row that holds them; the content of larger ones never enters a
+    row, they are read in blocks where the task runs.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    small = files.filter(F.col("length") <= in_memory).select(
+        "path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    large = files.filter(F.col("length") > in_memory).select("path", "length")
+    blocks = large.mapInPandas(_hash_blocks, "path string, bytes long, sha256 string")
+    root = path.rstrip("/").split("/")[-1]
+    rel = F.regexp_extract("path", rf"/{root}/(.*)$", 1)
+    return small.unionByName(blocks).select(rel.alias("rel"), "sha256", "bytes")
