@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealgrid.functions.columns import SAMPLE_FLOOR, guarded_rate, sample_note, split_list
-from dealgrid.operators.sequences import month_bucket, ordered_history, top_per_key
+from dealgrid.operators.sequences import ordered_history, top_per_key
 from dealgrid.operators.text_match import near_names, phrase_key, term_hits
 
 
@@ -47,7 +47,7 @@ def competitor_trend(mentions: DataFrame, opps: DataFrame, floor: int = SAMPLE_F
     closed = opps.filter(~F.col("is_open")).select("opp_id", "stage", F.date_trunc("quarter", "close_date").cast("date").alias("quarter"))
     q = mentions.join(closed, "opp_id").groupBy("competitor_id", "quarter").agg(
         F.count_if(F.col("stage") == "Closed Won").alias("won"), F.count(F.lit(1)).alias("decided"))
-    seq = ordered_history(q, ["competitor_id"], ["quarter"], month_bucket("quarter"), prev={"_pw": "won", "_pd": "decided"})
+    seq = ordered_history(q, ["competitor_id"], ["quarter"], F.col("quarter"), prev={"_pw": "won", "_pd": "decided"})
     now, before = guarded_rate(F.col("won"), F.col("decided"), floor), guarded_rate(F.col("_pw"), F.col("_pd"), floor)
     trend = F.when(now.isNull() | before.isNull(), "Too few deals").when(now > before, "Up").when(now < before, "Down").otherwise("Flat")
     return seq.select("competitor_id", "quarter", "won", "decided", trend.alias("trend"))

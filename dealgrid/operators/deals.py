@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealgrid.functions.columns import auto_reply_match, fiscal_quarter, flag_list
-from dealgrid.operators.sequences import month_bucket, ordered_history
+from dealgrid.operators.sequences import ordered_history
 
 # Our defaults.
 STALL_DAYS = 14
@@ -32,7 +32,7 @@ def day_of(as_of: str) -> Column:
 
 def close_date_pushes(history: DataFrame) -> DataFrame:
     """Later moves of the close date per deal, and the date before the last change."""
-    seq = ordered_history(history, ["opp_id"], list(HISTORY_ORDER), month_bucket("day"), prev={"_prev_close": "close_date"})
+    seq = ordered_history(history, ["opp_id"], list(HISTORY_ORDER), F.struct("day", "line"), prev={"_prev_close": "close_date"})
     order = F.struct(*HISTORY_ORDER)
     changed = F.col("close_date") != F.col("_prev_close")
     return seq.groupBy("opp_id").agg(
@@ -49,7 +49,7 @@ def flag_close_date_pushed(pushes: DataFrame) -> DataFrame:
 
 def days_in_stage(history: DataFrame, as_of: str) -> DataFrame:
     """Days since the last change of stage (or since the first record)."""
-    seq = ordered_history(history, ["opp_id"], list(HISTORY_ORDER), month_bucket("day"), prev={"_prev_stage": "stage"})
+    seq = ordered_history(history, ["opp_id"], list(HISTORY_ORDER), F.struct("day", "line"), prev={"_prev_stage": "stage"})
     marks = F.col("_prev_stage").isNull() | (F.col("stage") != F.col("_prev_stage"))
     order = F.struct(*HISTORY_ORDER)
     return seq.groupBy("opp_id").agg(
@@ -66,7 +66,7 @@ def stage_medians(spans: DataFrame) -> DataFrame:
 def stage_spans(history: DataFrame) -> DataFrame:
     """Days each finished stay in a stage took."""
     seq = ordered_history(
-        history, ["opp_id"], list(HISTORY_ORDER), month_bucket("day"), following={"_next_day": "day", "_next_stage": "stage"}
+        history, ["opp_id"], list(HISTORY_ORDER), F.struct("day", "line"), following={"_next_day": "day", "_next_stage": "stage"}
     )
     return seq.filter(F.col("_next_day").isNotNull() & (F.col("stage") != F.col("_next_stage"))).select(
         "opp_id", "stage", F.datediff("_next_day", "day").alias("days_in_stage")
@@ -121,7 +121,7 @@ def flag_next_step(opps: DataFrame, as_of: str, start_month: int = 1) -> DataFra
 def flag_amount_moved(history: DataFrame, share: float = MATERIAL_AMOUNT) -> DataFrame:
     """Changes of the amount beyond a share while the stage stayed."""
     seq = ordered_history(
-        history, ["opp_id"], list(HISTORY_ORDER), month_bucket("day"), prev={"_prev_amount": "amount", "_prev_stage": "stage"}
+        history, ["opp_id"], list(HISTORY_ORDER), F.struct("day", "line"), prev={"_prev_amount": "amount", "_prev_stage": "stage"}
     )
     moved = F.try_divide((F.col("amount") - F.col("_prev_amount")).cast("double"), F.col("_prev_amount").cast("double"))
     return (

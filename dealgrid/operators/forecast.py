@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dealgrid.operators.sequences import month_bucket, ordered_history, top_per_key
+from dealgrid.operators.sequences import ordered_history, top_per_key
 
 MONEY = "decimal(18,2)"
 
@@ -160,7 +160,7 @@ def goal_freshness(goals: DataFrame, as_of: str, months: int = 3) -> DataFrame:
 def goal_history(revisions: DataFrame) -> DataFrame:
     """Every version of a goal with its span; a replaced one is Superseded and keeps its target."""
     seq = ordered_history(
-        revisions, ["owner", "track"], ["period_start", "goal_id"], month_bucket("period_start"),
+        revisions, ["owner", "track"], ["period_start", "goal_id"], F.col("period_start"),
         prev={"original_target": "target"}, following={"valid_to": "period_start"}, number="version",
     )
     return seq.select(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealgrid.functions.columns import flag_list, norm_company
+from dealgrid.operators.sequences import spread_nulls
 
 # What each blocking field closes, and whether it redirects instead.
 CONTACTABILITY = {
@@ -96,11 +97,13 @@ def match_leads(incoming: DataFrame, leads: DataFrame) -> DataFrame:
     person = F.when(F.col("name").isNotNull(), F.concat_ws("|", F.lower("name"), norm_company(F.col("company"))))
     out = incoming.withColumn("_person_key", person).withColumn("_mail_key", F.lower("email"))
     crm, mail, named = folded(F.col("crm_id"), "crm"), folded(F.lower("email"), "mail"), folded(person, "person")
+    for col in ("crm_id", "_mail_key", "_person_key"):
+        out = out.withColumn(f"{col}_spread", spread_nulls(F.col(col), "incoming_id"))
     out = (
-        out.join(crm, F.col("crm_id") == F.col("_crm"), "left").join(mail, F.col("_mail_key") == F.col("_mail"), "left")
-        .join(named, F.col("_person_key") == F.col("_person"), "left")
+        out.join(crm, F.col("crm_id_spread") == F.col("_crm"), "left").join(mail, F.col("_mail_key_spread") == F.col("_mail"), "left")
+        .join(named, F.col("_person_key_spread") == F.col("_person"), "left")
     )
-    tier = F.when(F.col("crm_id").isNotNull() & F.col("_crm").isNotNull(), "id").when(F.col("_mail").isNotNull(), "email").when(
+    tier = F.when(F.col("_crm").isNotNull(), "id").when(F.col("_mail").isNotNull(), "email").when(
         F.col("_person").isNotNull(), "name and company").otherwise("none")
     pick = F.col("match_tier")
     return out.withColumn("match_tier", tier).select(

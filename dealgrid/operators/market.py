@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealgrid.functions.columns import norm_company, norm_domain
-from dealgrid.operators.sequences import month_bucket, ordered_history
+from dealgrid.operators.sequences import ordered_history, spread_nulls
 from dealgrid.operators.text_match import near_names, term_hits
 
 # Order of relevance and confidence.
@@ -72,6 +72,7 @@ def signal_account_link(signals: DataFrame, accounts: DataFrame) -> DataFrame:
     by_domain = acc.filter(F.col("_domain").isNotNull()).groupBy("_domain").agg(F.min("account").alias("_da"))
     by_name = acc.groupBy("_name").agg(F.min("account").alias("_na"))
     s = signals.select("signal_id", norm_domain(F.col("entity_url")).alias("_domain"), norm_company(F.col("entity_name")).alias("_name"))
+    s = s.withColumn("_domain", spread_nulls(F.col("_domain"), "signal_id"))
     j = s.join(by_domain, "_domain", "left").join(by_name, "_name", "left")
     unmatched = j.filter(F.col("_da").isNull() & F.col("_na").isNull()).select(F.col("_name").alias("name"))
     near = near_names(unmatched, by_name.select(F.col("_name").alias("name")), 1)
@@ -91,6 +92,7 @@ def resolve_account(left: DataFrame, right: DataFrame, distance: int = 1) -> Dat
     r = right.select("id", norm_domain(F.col("domain")).alias("_d"), norm_company(F.col("name")).alias("_n"))
     rd = r.filter(F.col("_d").isNotNull()).groupBy("_d").agg(F.min("id").alias("_did"), F.count(F.lit(1)).alias("_dc"))
     rn = r.filter(F.col("_n") != "").groupBy("_n").agg(F.min("id").alias("_nid"), F.count(F.lit(1)).alias("_nc"))
+    l = l.withColumn("_d", spread_nulls(F.col("_d"), "id"))
     j = l.join(rd, "_d", "left").join(rn, "_n", "left")
     sure = j.filter(F.col("_did").isNotNull() | F.col("_nid").isNotNull()).select(
         F.col("id").alias("left_id"), F.coalesce("_did", "_nid").alias("right_id"),
@@ -183,7 +185,7 @@ def recurring_senders(mail: DataFrame, min_issues: int = 5, max_spread: float =
     days = inbound.groupBy("sender", "day").agg(
         F.count(F.lit(1)).alias("_n"), F.count_if("has_unsubscribe").alias("_footers"),
         F.count_if(F.lower("subject").rlike("digest|weekly|daily|newsletter")).alias("_digests"))
-    seq = ordered_history(days, ["sender"], ["day"], month_bucket("day"), prev={"_prev": "day"})
+    seq = ordered_history(days, ["sender"], ["day"], F.col("day"), prev={"_prev": "day"})
     gap = F.datediff("day", "_prev")
     sums = seq.groupBy("sender").agg(
         F.sum("_n").alias("issues"), F.percentile(gap, 0.5).alias("median_gap"), F.count(gap).alias("_k"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dealgrid.functions.columns import norm_domain
-from dealgrid.operators.sequences import asof_by_day, month_bucket, ordered_history, top_per_key
+from dealgrid.operators.sequences import asof_by_day, ordered_history, top_per_key
 
 # Sentiments from best to worst; Unclear says nothing.
 SENTIMENT_RANK = {"Positive": 3, "Neutral": 2, "Mixed": 1, "Negative": 0}
@@ -113,8 +113,8 @@ def sentiment_trajectory(meetings: DataFrame, opps: DataFrame) -> DataFrame:
     rank = F.create_map(*[F.lit(x) for pair in SENTIMENT_RANK.items() for x in pair])
     read = meetings.filter(F.col("sentiment") != "Unclear").withColumn("_rank", F.try_element_at(rank, "sentiment"))
     keys, order = ["account"], ["day", "meeting_id"]
-    one = ordered_history(read, keys, order, month_bucket("day"), prev={"before_1": "sentiment", "_r1": "_rank"})
-    two = ordered_history(one, keys, order, month_bucket("day"), prev={"before_2": "before_1", "_r2": "_r1"})
+    one = ordered_history(read, keys, order, F.col("day"), prev={"before_1": "sentiment", "_r1": "_rank"})
+    two = ordered_history(one, keys, order, F.col("day"), prev={"before_2": "before_1", "_r2": "_r1"})
     stage = opps.select("opp_id", "stage")
     slide = (F.col("_rank") < F.col("_r1")) & (F.col("_r1") < F.col("_r2"))
     return two.join(stage, "opp_id", "left").select(

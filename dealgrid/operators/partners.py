@@ -247,8 +247,11 @@ def partner_roster_ratio(partners: DataFrame, opps: DataFrame, as_of: str) -> Da
 def partner_forecast(opps: DataFrame, partners: DataFrame, factor: float = SELL_THROUGH_FACTOR) -> DataFrame:
     """Open partner deals by motion; sell-through is discounted, sell-with shows its attach rate."""
     motion = partners.select("partner_id", "motion")
-    live = opps.filter("is_open").join(motion, "partner_id", "left").groupBy("motion").agg(
-        F.count(F.lit(1)).alias("deals"), total(F.col("converted_amount")).alias("gross"))
+    # Fold to one row per partner first: most deals have none, and those would meet in one task.
+    per = opps.filter("is_open").groupBy("partner_id").agg(
+        F.count(F.lit(1)).alias("_deals"), total(F.col("converted_amount")).alias("_gross"))
+    live = per.join(motion, "partner_id", "left").groupBy("motion").agg(
+        F.sum("_deals").alias("deals"), total(F.col("_gross")).alias("gross"))
     all_open = opps.filter("is_open").agg(F.count(F.lit(1)).alias("_all"), F.lit(1).alias("_one"))
     weight = F.when(F.col("motion") == "sell-through", factor).otherwise(1.0)
     return live.withColumn("_one", F.lit(1)).join(F.broadcast(all_open), "_one").select(

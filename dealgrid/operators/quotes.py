@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dealgrid.functions.columns import SAMPLE_FLOOR, flag_list, guarded_rate
 from dealgrid.operators.forecast import MONEY
-from dealgrid.operators.sequences import month_bucket, ordered_history
+from dealgrid.operators.sequences import ordered_history
 
 APPROVAL_THRESHOLD = 0.06
 
@@ -97,7 +97,7 @@ def quote_approval(lines: DataFrame, price_list: DataFrame, threshold: float = A
 
 def quote_versions(quotes: DataFrame) -> DataFrame:
     """Versions per account in order of issue; a later one supersedes the one before."""
-    seq = ordered_history(quotes, ["account"], ["issued", "quote_id"], month_bucket("issued"),
+    seq = ordered_history(quotes, ["account"], ["issued", "quote_id"], F.col("issued"),
                           prev={"supersedes": "quote_id"}, following={"_later": "quote_id"}, number="version")
     return seq.select("quote_id", "account", "version", "supersedes", F.when(F.col("_later").isNull(), "live").otherwise("superseded").alias("status"))
 

@@ -1,8 +1,8 @@
 """Ordered histories and as-of joins that stay balanced when one key holds much of the data.
 
-A plain `lag` over a key puts the whole key into one task. Here a key is cut into time buckets: the
-window runs inside (key, bucket), and a second, small window over one summary row per bucket carries
-the last values from one bucket to the next.
+A plain `lag` over a key puts the whole key into one task. Keys with few rows take that plan. A key
+proven to hold very many is cut into buckets along its order: the window runs inside (key, bucket), and
+a second, small window over one summary row per bucket carries the last values across.
 """
 
 from __future__ import annotations
@@ -12,6 +12,19 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dealgrid.session import broadcast_if_small
+
+HOT_ROWS = 1_000_000
+
+
+def spread_nulls(key: Column, *by: str) -> Column:
+    """A join key whose nulls spread over the partitions by other columns instead of meeting in one.
+
+    The stand-ins start with a control character, so they match nothing.
+    """
+    part = F.pmod(F.xxhash64(*by), F.lit(997)).cast("string")
+    return F.coalesce(key.cast("string"), F.concat(F.lit("\u0001"), part))
+
 
 def ordered_history(
     df: DataFrame,
@@ -21,20 +34,39 @@ def ordered_history(
     prev: Mapping[str, str] | None = None,
     following: Mapping[str, str] | None = None,
     number: str | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add values of the row before, of the row after, and the row number within each key.
 
-    `order` must be unique within a key and without nulls; `bucket` must grow with the first
-    column of `order`.
+    `order` must be unique within a key and without nulls, and `bucket` must grow with it (a prefix
+    of the order does). One count per key decides which keys are hot: there can be no more of them
+    than rows divided by `hot_rows`.
     """
     prev, following = dict(prev or {}), dict(following or {})
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+    hot, small = broadcast_if_small(sizes.select(*keys))
+    if small and hot.limit(1).count() == 0:
+        return _plain_history(df, keys, order, prev, following, number)
+    cold = _plain_history(df.join(hot, list(keys), "left_anti"), keys, order, prev, following, number)
+    cut = _cut_history(df.join(hot, list(keys), "left_semi"), keys, order, bucket, prev, following, number)
+    return cold.unionByName(cut)
+
+
+def _plain_history(df, keys, order, prev, following, number) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(*order)
+    cols = {new: F.lag(col).over(w) for new, col in prev.items()}
+    cols |= {new: F.lead(col).over(w) for new, col in following.items()}
+    if number:
+        cols[number] = F.row_number().over(w).cast("long")
+    return df.withColumns(cols)
+
+
+def _cut_history(df, keys, order, bucket, prev, following, number) -> DataFrame:
     cut = df.withColumn("_bucket", bucket)
     inner = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    cut = cut.withColumn("_at", F.row_number().over(inner))
-    for new, col in prev.items():
-        cut = cut.withColumn(new, F.lag(col).over(inner))
-    for new, col in following.items():
-        cut = cut.withColumn(new, F.lead(col).over(inner))
+    near = {"_at": F.row_number().over(inner)}
+    near |= {new: F.lag(col).over(inner) for new, col in prev.items()}
+    near |= {new: F.lead(col).over(inner) for new, col in following.items()}
 
     order_struct = F.struct(*order)
     carried = [F.count(F.lit(1)).alias("_n")]
@@ -42,27 +74,21 @@ def ordered_history(
         carried.append(F.max_by(F.struct(*[F.col(c).alias(n) for n, c in prev.items()]), order_struct).alias("_last"))
     if following:
         carried.append(F.min_by(F.struct(*[F.col(c).alias(n) for n, c in following.items()]), order_struct).alias("_first"))
-    marks = df.withColumn("_bucket", bucket).groupBy(*keys, "_bucket").agg(*carried)
+    marks = cut.groupBy(*keys, "_bucket").agg(*carried)
     outer = Window.partitionBy(*keys).orderBy("_bucket")
-    marks = marks.withColumn("_before", F.sum("_n").over(outer) - F.col("_n"))
-    marks = marks.withColumn("_end", F.col("_n"))
+    ends = {"_before": F.sum("_n").over(outer) - F.col("_n")}
     if prev:
-        marks = marks.withColumn("_carry", F.lag("_last").over(outer)).drop("_last")
+        ends["_carry"] = F.lag("_last").over(outer)
     if following:
-        marks = marks.withColumn("_next", F.lead("_first").over(outer)).drop("_first")
+        ends["_next"] = F.lead("_first").over(outer)
+    marks = marks.withColumns(ends).drop("_last", "_first")
 
-    out = cut.join(marks.drop("_n"), [*keys, "_bucket"], "left")
-    for new in prev:
-        out = out.withColumn(new, F.when(F.col("_at") == 1, F.col(f"_carry.{new}")).otherwise(F.col(new)))
-    for new in following:
-        out = out.withColumn(new, F.when(F.col("_at") == F.col("_end"), F.col(f"_next.{new}")).otherwise(F.col(new)))
+    out = cut.withColumns(near).join(marks, [*keys, "_bucket"])
+    far = {new: F.when(F.col("_at") == 1, F.col(f"_carry.{new}")).otherwise(F.col(new)) for new in prev}
+    far |= {new: F.when(F.col("_at") == F.col("_n"), F.col(f"_next.{new}")).otherwise(F.col(new)) for new in following}
     if number:
-        out = out.withColumn(number, F.col("_before") + F.col("_at"))
-    return out.drop("_bucket", "_at", "_before", "_end", "_carry", "_next")
-
-
-def month_bucket(day: str) -> Column:
-    return F.year(day) * 12 + F.month(day)
+        far[number] = F.col("_before") + F.col("_at")
+    return out.withColumns(far).drop("_bucket", "_at", "_before", "_n", "_carry", "_next")
 
 
 def asof_by_day(

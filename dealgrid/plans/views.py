@@ -56,10 +56,10 @@ select opp_id, account, case when opp_id % 13 = 0 then 3 else owner end as owner
   case when opp_id % 7 = 0 then 'Qualify' else stage end as stage,
   case when opp_id % 8 = 0 then close_date - 30 else close_date end as close_date,
   opp_id % 7 = 0 or is_open as is_open
-from opportunities where opp_id % 10 <> 0""",
+from opportunities where created < date '2001-02-01'""",
     "opp_cur": """
 select opp_id, account, owner, amount, currency, stage, close_date, is_open
-from opportunities where opp_id % 17 <> 0""",
+from opportunities where is_open or close_date >= date '1995-09-01'""",
     "opp_local": """
 select opp_id, account, owner,
   cast(case when opp_id % 11 = 0 then amount + 100 else amount end as decimal(18,2)) as amount, currency,
@@ -265,7 +265,7 @@ from meetings""",
     "commitments": """
 select meeting_id * 100 + turn as commitment_id, meeting_id, account, case when role = 'assistant' then 'ours' else 'theirs' end as direction,
   text as what, day + 7 as due, case when turn % 2 = 0 then 'Open' else 'Done' end as status, account % 25 as owner
-from turns where (meeting_id + turn) % 3 = 0""",
+from turns where role <> 'system'""",
     "tasks": """
 select opp_id as task_id, 'opportunity' as related_type, opp_id as related_id, owner, created as raised, created + 14 as due,
   case opp_id % 5 when 0 then 'Done' when 1 then 'Awaiting Approval' else 'Open' end as status,
@@ -311,21 +311,21 @@ select p_brand as registry, p_partkey as column_no, 'col_' || p_partkey as colum
   case when p_partkey % 3 = 0 then 'a;b;' || p_type end as enum_values,
   case p_partkey % 4 when 0 then 'crm' when 1 then 'local' when 2 then 'derived' end as owner,
   case when p_partkey % 5 = 0 then 'yes' end as verify
-from {part} where p_size % 5 <> 0""",
+from {part} where p_size > 8""",
     "schema_new": """
 select p_brand as registry, p_partkey as column_no, 'col_' || p_partkey as column_name,
   case p_partkey % 6 when 0 then 'enum' when 3 then 'enum' when 1 then 'date' else 'string' end as column_type,
   case when p_partkey % 3 = 0 then 'a;b;c' end as enum_values,
   case when p_partkey % 7 = 0 then null else 'crm' end as owner, 'no' as verify, p_partkey % 10 = 1 as owner_corrected
-from {part} where p_size % 7 <> 0""",
-    "manifest_new": "select doc_id as obj, source as section, sha2(text, 256) as hash from {documents} where doc_id % 13 <> 0",
+from {part} where p_size < 42""",
+    "manifest_new": "select doc_id as obj, source as section, sha2(text, 256) as hash from {documents} where source <> 'src5'",
     "manifest_cur": """
 select doc_id as obj, sha2(case when doc_id % 5 = 0 then text || '!' when doc_id % 7 = 0 then text || '?' else text end, 256) as hash
-from {documents} where doc_id % 11 <> 0""",
+from {documents} where source <> 'src7'""",
     "manifest_base": """
 select doc_id as obj, sha2(case when doc_id % 3 = 0 then text || '!' else text end, 256) as hash
-from {documents} where doc_id % 17 <> 0""",
+from {documents} where source <> 'src11'""",
     "manifest_disk": """
 select doc_id as obj, sha2(case when doc_id % 5 = 0 then text || '!' else text || '?' end, 256) as hash
-from {documents} where doc_id % 2 = 0""",
+from {documents} where lang <> 'en'""",
 }

@@ -59,32 +59,25 @@ def latest_of(parts: DataFrame, key: list[str]) -> DataFrame:
 
 
 def stream_refresh(stream: DataFrame, target: DataFrame, key: str, order: list[str], ownership: Mapping[str, str], work: str) -> DataFrame:
-    """Merge each batch of changed records into the registry, field by field; each batch writes the next version."""
-    spark = target.sparkSession
-    schema = target.schema
-    target.write.mode("overwrite").parquet(f"{work}/version=0")
+    """Land each pull of changed records as a part of a change log and read the registry through it.
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        before = session.read.schema(schema).parquet(f"{work}/version={batch_id}")
-        newest = sync.latest_record(batch, key, order).drop(*[c for c in order if c not in schema.names])
-        sync.refresh_merge(before, newest, key, ownership).write.mode("overwrite").parquet(f"{work}/version={batch_id + 1}")
-
-    query = run_once(stream, work, "append", merge)
-    last = query.lastProgress["batchId"] + 1 if query.lastProgress else 0
-    return newest_version(spark, work, schema, last)
+    A batch costs what it brings and never rewrites the registry. The newest change of each record is
+    merged field by field when the registry is read; `compact_registry` folds the log in.
+    """
+    def land(batch: DataFrame, batch_id: int) -> None:
+        batch_sink(f"{work}/changes")(sync.latest_record(batch, key, order), batch_id)
 
+    run_once(stream, work, "append", land)
+    landed = T.StructType([stream.schema[key], *[f for f in stream.schema.fields if f.name != key]])
+    changes = read_parts(target.sparkSession, f"{work}/changes", landed).drop("part")
+    newest = sync.latest_record(changes, key, [*order, "batch_id"]).drop("batch_id")
+    return sync.refresh_merge(target, newest, key, ownership)
 
-def newest_version(spark: SparkSession, work: str, schema: T.StructType, at_most: int) -> DataFrame:
-    """The newest complete version; a progress record of an empty last batch writes none."""
-    from pyspark.sql.utils import AnalysisException
 
-    for version in range(at_most, -1, -1):
-        try:
-            return spark.read.schema(schema).parquet(f"{work}/version={version}")
-        except AnalysisException:
-            continue
-    raise FileNotFoundError(work)
+def compact_registry(merged: DataFrame, path: str) -> DataFrame:
+    """Write the merged registry as the next base table."""
+    merged.write.parquet(path)
+    return merged.sparkSession.read.schema(merged.schema).parquet(path)
 
 
 def stream_activity_dedup(stream: DataFrame, ts: str, key: list[str], work: str) -> DataFrame:
