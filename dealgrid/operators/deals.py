@@ -30,9 +30,17 @@ def day_of(as_of: str) -> Column:
     return F.lit(as_of).cast("date")
 
 
-def close_date_pushes(history: DataFrame) -> DataFrame:
+def history_steps(history: DataFrame) -> DataFrame:
+    """Each record of a deal next to the one before and the one after it; unused neighbours are pruned."""
+    return ordered_history(
+        history, ["opp_id"], list(HISTORY_ORDER), F.struct("day", "line"),
+        prev={"_prev_close": "close_date", "_prev_stage": "stage", "_prev_amount": "amount"},
+        following={"_next_day": "day", "_next_stage": "stage"},
+    )
+
+
+def close_date_pushes(seq: DataFrame) -> DataFrame:
     """Later moves of the close date per deal, and the date before the last change."""
-    seq = ordered_history(history, ["opp_id"], list(HISTORY_ORDER), F.struct("day", "line"), prev={"_prev_close": "close_date"})
     order = F.struct(*HISTORY_ORDER)
     changed = F.col("close_date") != F.col("_prev_close")
     return seq.groupBy("opp_id").agg(
@@ -47,9 +55,8 @@ def flag_close_date_pushed(pushes: DataFrame) -> DataFrame:
     return pushes.select("opp_id", "close_date_pushes", band.alias("push_band"))
 
 
-def days_in_stage(history: DataFrame, as_of: str) -> DataFrame:
+def days_in_stage(seq: DataFrame, as_of: str) -> DataFrame:
     """Days since the last change of stage (or since the first record)."""
-    seq = ordered_history(history, ["opp_id"], list(HISTORY_ORDER), F.struct("day", "line"), prev={"_prev_stage": "stage"})
     marks = F.col("_prev_stage").isNull() | (F.col("stage") != F.col("_prev_stage"))
     order = F.struct(*HISTORY_ORDER)
     return seq.groupBy("opp_id").agg(
@@ -63,11 +70,8 @@ def stage_medians(spans: DataFrame) -> DataFrame:
     return spans.groupBy("stage").agg(F.percentile("days_in_stage", 0.5).alias("median_days"), F.count(F.lit(1)).alias("deals"))
 
 
-def stage_spans(history: DataFrame) -> DataFrame:
+def stage_spans(seq: DataFrame) -> DataFrame:
     """Days each finished stay in a stage took."""
-    seq = ordered_history(
-        history, ["opp_id"], list(HISTORY_ORDER), F.struct("day", "line"), following={"_next_day": "day", "_next_stage": "stage"}
-    )
     return seq.filter(F.col("_next_day").isNotNull() & (F.col("stage") != F.col("_next_stage"))).select(
         "opp_id", "stage", F.datediff("_next_day", "day").alias("days_in_stage")
     )
@@ -118,11 +122,8 @@ def flag_next_step(opps: DataFrame, as_of: str, start_month: int = 1) -> DataFra
     return opps.select("opp_id", next_step_cause(as_of, start_month).alias("cause")).filter(F.col("cause").isNotNull())
 
 
-def flag_amount_moved(history: DataFrame, share: float = MATERIAL_AMOUNT) -> DataFrame:
+def flag_amount_moved(seq: DataFrame, share: float = MATERIAL_AMOUNT) -> DataFrame:
     """Changes of the amount beyond a share while the stage stayed."""
-    seq = ordered_history(
-        history, ["opp_id"], list(HISTORY_ORDER), F.struct("day", "line"), prev={"_prev_amount": "amount", "_prev_stage": "stage"}
-    )
     moved = F.try_divide((F.col("amount") - F.col("_prev_amount")).cast("double"), F.col("_prev_amount").cast("double"))
     return (
         seq.withColumn("moved_share", moved)

@@ -12,9 +12,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dealgrid.session import broadcast_if_small
+from dealgrid.session import bounded_count
 
 HOT_ROWS = 1_000_000
+MAX_HOT_KEYS = 100_000
 
 
 def spread_nulls(key: Column, *by: str) -> Column:
@@ -44,9 +45,12 @@ def ordered_history(
     """
     prev, following = dict(prev or {}), dict(following or {})
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-    hot, small = broadcast_if_small(sizes.select(*keys))
-    if small and hot.limit(1).count() == 0:
+    hot = sizes.select(*keys)
+    found = bounded_count(hot, MAX_HOT_KEYS)
+    if found == 0:
         return _plain_history(df, keys, order, prev, following, number)
+    if found <= MAX_HOT_KEYS:
+        hot = F.broadcast(hot)
     cold = _plain_history(df.join(hot, list(keys), "left_anti"), keys, order, prev, following, number)
     cut = _cut_history(df.join(hot, list(keys), "left_semi"), keys, order, bucket, prev, following, number)
     return cold.unionByName(cut)

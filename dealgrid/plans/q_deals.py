@@ -9,6 +9,7 @@ from dealgrid.plans.common import STAGES
 from dealgrid.plans.q_forecast import stage_rank_sql
 from dealgrid.plans.registry import Tables, query
 from dealgrid.plans.views import AS_OF
+from dealgrid.session import cut_lineage
 
 EVENT_ORDER = "day, line, part_no, supp_no, close_date, amount"
 
@@ -17,26 +18,30 @@ def meetings_with_deal(t: Tables):
     return t.sql("select m.*, l.open_opp as opp_id from meetings m left join latest_open l on m.account = l.open_account")
 
 
+def steps(t: Tables):
+    return deals.history_steps(t.opp_history)
+
+
 @query("close_date_pushes", "select opp_id, close_date_pushes, previous_close_date::varchar as previous_close_date from o_pushes")
 def _(t):
-    return deals.close_date_pushes(t.opp_history)
+    return deals.close_date_pushes(steps(t))
 
 
 @query("flag_close_date_pushed", """
 select opp_id, close_date_pushes, case when close_date_pushes >= 3 then 're-baseline' when close_date_pushes = 2 then 'pattern' when close_date_pushes = 1 then 'normal' else 'none' end as push_band
 from o_pushes""")
 def _(t):
-    return deals.flag_close_date_pushed(deals.close_date_pushes(t.opp_history))
+    return deals.flag_close_date_pushed(deals.close_date_pushes(steps(t)))
 
 
 @query("days_in_stage", "select opp_id, stage, days_in_stage from o_in_stage")
 def _(t):
-    return deals.days_in_stage(t.opp_history, AS_OF)
+    return deals.days_in_stage(steps(t), AS_OF)
 
 
 @query("stage_medians", "select stage, median_days, deals from o_medians")
 def _(t):
-    return deals.stage_medians(deals.stage_spans(t.opp_history))
+    return deals.stage_medians(deals.stage_spans(steps(t)))
 
 
 @query("flag_stalled", "select opp_id, stage, quiet_days, stalled, late_stage from o_stalled")
@@ -44,10 +49,11 @@ def _(t):
     return stalled(t)
 
 
-def stalled(t: Tables):
+def stalled(t: Tables, seq=None, activity=None):
+    seq = steps(t) if seq is None else seq
     return deals.flag_stalled(
-        t.opportunities, t.activity, deals.days_in_stage(t.opp_history, AS_OF),
-        deals.stage_medians(deals.stage_spans(t.opp_history)), AS_OF,
+        t.opportunities, t.activity if activity is None else activity, deals.days_in_stage(seq, AS_OF),
+        deals.stage_medians(deals.stage_spans(seq)), AS_OF,
     )
 
 
@@ -65,7 +71,7 @@ def _(t):
 @query("flag_amount_moved", """
 select opp_id, day::varchar as day, stage, amount_before::double as amount_before, amount::double as amount, moved_share from o_moved""")
 def _(t):
-    return deals.flag_amount_moved(t.opp_history)
+    return deals.flag_amount_moved(steps(t))
 
 
 @query("hygiene_flags", """
@@ -131,25 +137,28 @@ def _(t):
 
 @query("ghost_roles", "select opp_id from o_ghosts")
 def _(t):
-    return deals.ghost_roles(ghost_input(t), t.activity)
+    return deals.ghost_roles(ghost_input(t.contact_roles), t.activity)
 
 
-def ghost_input(t: Tables):
-    return t.contact_roles.filter(~((F.col("opp_id") % 9 == 0) & ~F.col("email").startswith("ghost")))
+def ghost_input(roles):
+    return roles.filter(~((F.col("opp_id") % 9 == 0) & ~F.col("email").startswith("ghost")))
 
 
 @query("threading_flags", """
 select opp_id, state, flags, people, repliers, outbound, inbound from o_threading""")
 def _(t):
-    return deals.threading_flags(deals.contacts_build(t.contact_roles, t.activity), t.activity, t.opportunities)
+    activity = t.landed("activity")
+    return deals.threading_flags(deals.contacts_build(t.contact_roles, activity), activity, t.opportunities)
 
 
 def risks(t: Tables):
-    contacts = deals.contacts_build(t.contact_roles, t.activity)
+    seq = cut_lineage(steps(t), "deal-steps")
+    activity, roles = t.landed("activity"), t.landed("contact_roles")
+    contacts = deals.contacts_build(roles, activity)
     return deals.risk_flags(
-        t.opportunities, deals.close_date_pushes(t.opp_history), stalled(t),
-        deals.threading_flags(contacts, t.activity, t.opportunities), deals.ghost_roles(ghost_input(t), t.activity),
-        deals.flag_amount_moved(t.opp_history), AS_OF,
+        t.opportunities, deals.close_date_pushes(seq), stalled(t, seq, activity),
+        deals.threading_flags(contacts, activity, t.opportunities), deals.ghost_roles(ghost_input(roles), activity),
+        deals.flag_amount_moved(seq), AS_OF,
     )
 
 

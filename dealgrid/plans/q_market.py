@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dealgrid.operators import deals, market
+from dealgrid.operators import market
 from dealgrid.plans.q_deals import stalled
 from dealgrid.plans.q_scalars import norm_host_sql, norm_name_sql
 from dealgrid.plans.registry import Tables, query

@@ -22,8 +22,8 @@ def submissions(t: Tables):
     return t.submissions.withColumn("customer_key", norm_domain(F.col("domain")))
 
 
-def registrations(t: Tables):
-    regs = by_domain(t.registrations, "customer")
+def registrations(t: Tables, regs=None):
+    regs = by_domain(t.registrations if regs is None else regs, "customer")
     return regs.withColumn("reg_id", F.concat_ws("-", "partner_id", "customer", "role"))
 
 
@@ -36,7 +36,8 @@ def customers(t: Tables):
 
 
 def findings(t: Tables):
-    return pt.conflict_check(submissions(t), registrations(t), t.partners, by_domain(t.opportunities), customers(t), AS_OF)
+    regs = registrations(t, t.landed("registrations"))
+    return pt.conflict_check(submissions(t), regs, t.partners, by_domain(t.opportunities), customers(t), AS_OF)
 
 
 @query("registration_clock", """

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from dealgrid.plans.present import present
 from dealgrid.plans.oracle_views import ORACLE_VIEWS
 from dealgrid.plans.views import BASE_TABLES, VIEWS
+from dealgrid.session import cut_lineage
 
+TEXT_TABLES = {"documents": "doc_id", "conversations": "conv_id"}
 ALL_VIEWS = {**VIEWS, **ORACLE_VIEWS}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,11 +51,21 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            return self._widened(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
         if name in VIEWS:
             return self.sql(f"select * from {name}")
         raise AttributeError(name)
 
+    def _widened(self, df: DataFrame, key: str) -> DataFrame:
+        """Spread a long-text table of fewer splits than cores; a larger one is read as it lies."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+    def landed(self, name: str) -> DataFrame:
+        """A view written to the shared folder, for queries that read it several times."""
+        return cut_lineage(getattr(self, name), name)
+
     def sql(self, text: str) -> DataFrame:
         full = with_views(text)
         used = {t: getattr(self, t) for t in BASE_TABLES if "{" + t + "}" in full}

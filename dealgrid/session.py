@@ -58,11 +58,16 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_count(df: DataFrame, max_rows: int) -> int:
+    """Rows of a frame, counted no further than one past `max_rows`."""
+    return df.select(F.lit(1)).limit(max_rows + 1).count()
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> tuple[DataFrame, bool]:
     """Hint a broadcast only when a bounded count proves that the side fits.
 
     Returns the (possibly hinted) frame and whether it fits, so the caller can take another way
     for a larger side.
     """
-    fits = df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
+    fits = bounded_count(df, max_rows) <= max_rows
     return (F.broadcast(df) if fits else df), fits
