@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,9 @@ SETTINGS = {
 }
 
 
-def local_session(cores: str | int = "*", app: str = "dealgrid", partitions: int = 8) -> SparkSession:
+def local_session(
+    cores: str | int = "*", app: str = "dealgrid", partitions: int = 8, checkpoint_dir: str | None = None
+) -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -28,6 +31,8 @@ def local_session(cores: str | int = "*", app: str = "dealgrid", partitions: int
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -35,6 +40,11 @@ def local_session(cores: str | int = "*", app: str = "dealgrid", partitions: int
     return spark
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="dealgrid-")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for `name` below the shared folder the cluster names.
 
@@ -45,8 +55,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="dealgrid-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_folder()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
