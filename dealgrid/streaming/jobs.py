@@ -17,10 +17,12 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from dealgrid.operators import engagement, sync
+from dealgrid.operators.demand import TTL_DAYS
 from dealgrid.operators.tasks import task_caps
 
 ACTIVITY_DELAY = "2 days"
 SIGNAL_DELAY = "14 days"
+LONGEST_TTL_DAYS = max(TTL_DAYS.values())
 
 
 def file_stream(spark: SparkSession, folder: str, schema: T.StructType, pattern: str, fmt: str = "parquet", files_per_batch: int = 1000) -> DataFrame:
@@ -140,7 +142,7 @@ def stream_unseen(stream: DataFrame, reviewed: DataFrame, key: str, work: str) -
 def stream_inbox(spark: SparkSession, folder: str, work: str) -> DataFrame:
     """Each file dropped into a folder is taken once, whole, with its path; the original stays."""
     schema = T.StructType([T.StructField("value", T.StringType())])
-    files = spark.readStream.schema(schema).option("wholetext", True).text(folder).withColumn("raw_path", F.col("_metadata.file_path"))
+    files = spark.readStream.schema(schema).text(folder, wholetext=True).withColumn("raw_path", F.col("_metadata.file_path"))
     run_once(files, work, "append", batch_sink(f"{work}/out"))
     return read_parts(spark, f"{work}/out", files.schema).drop("batch_id", "part")
 
@@ -187,42 +189,50 @@ def stream_task_caps(stream: DataFrame, caps: Mapping[str, int], work: str) -> D
 EXPIRY_OUT = "item_id long, outcome string"
 
 
+DAY_MS = 86_400_000
+NONE = -1
+
+
 def _expire(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Hold one deadline per item; a use before it ends the wait, the event-time timer ends it otherwise."""
-    item = int(key[0])
+    """Hold deadline and first use of one item until they can be told apart.
+
+    A use in time ends the wait, the event-time timer ends it otherwise. A use that arrives before
+    its item is held for the longest life an item can have.
+    """
+    deadline, used = state.get if state.exists else (NONE, NONE)
     if state.hasTimedOut:
         state.remove()
-        yield pd.DataFrame({"item_id": [item], "outcome": ["Expired"]})
+        if deadline != NONE:
+            yield pd.DataFrame({"item_id": [int(key[0])], "outcome": ["Expired"]})
         return
-    deadline = state.get[0] if state.exists else None
-    used = None
     for pdf in batches:
         for kind, ts, ttl in zip(pdf["kind"], pdf["ts"], pdf["ttl_days"]):
             ms = int(pd.Timestamp(ts).value // 1_000_000)
             if kind == "logged":
-                deadline = ms + int(ttl) * 86_400_000
-            else:
-                used = ms if used is None else min(used, ms)
-    if used is not None and (deadline is None or used <= deadline):
+                deadline = ms + int(ttl) * DAY_MS
+            elif kind == "used":
+                used = ms if used == NONE else min(used, ms)
+    now = state.getCurrentWatermarkMs()
+    outcome = None
+    if deadline != NONE and used != NONE and used <= deadline:
+        outcome = "Used"
+    elif deadline != NONE and deadline <= now:
+        outcome = "Expired"
+    if outcome:
         if state.exists:
             state.remove()
-        yield pd.DataFrame({"item_id": [item], "outcome": ["Used"]})
-    elif deadline is not None:
-        if deadline <= state.getCurrentWatermarkMs():
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame({"item_id": [item], "outcome": ["Expired"]})
-        else:
-            state.update((deadline,))
-            state.setTimeoutTimestamp(deadline)
+        yield pd.DataFrame({"item_id": [int(key[0])], "outcome": [outcome]})
+    elif deadline != NONE or used != NONE:
+        state.update((deadline, used))
+        state.setTimeoutTimestamp(max(deadline if deadline != NONE else used + LONGEST_TTL_DAYS * DAY_MS, now + 1))
 
 
 def stream_expiry(stream: DataFrame, work: str) -> DataFrame:
     """Outcome of perishable items: used in time, or expired once event time passes the deadline.
 
-    The state is one timestamp per item that is still waiting.
+    The state is two timestamps per item that is still waiting.
     """
     out = stream.withWatermark("ts", "1 day").groupBy("item_id").applyInPandasWithState(
-        _expire, EXPIRY_OUT, "deadline long", "append", GroupStateTimeout.EventTimeTimeout)
+        _expire, EXPIRY_OUT, "deadline long, used long", "append", GroupStateTimeout.EventTimeTimeout)
     run_once(out, work, "append", batch_sink(f"{work}/out"))
     return read_parts(stream.sparkSession, f"{work}/out", out.schema).drop("batch_id", "part")
