@@ -118,9 +118,8 @@ def rep_competitor_losses(mentions: DataFrame, opps: DataFrame, floor: int = SAM
     pairs = mentions.join(lost, "opp_id").groupBy("owner", "competitor_id").agg(F.count(F.lit(1)).alias("losses"))
     rep = pairs.groupBy(F.col("owner").alias("_owner")).agg(F.sum("losses").alias("_rep"))
     book = pairs.groupBy(F.col("competitor_id").alias("_cid")).agg(F.sum("losses").alias("_book"))
-    every = pairs.agg(F.sum("losses").alias("_all"), F.lit(1).alias("_one"))
+    every = pairs.agg(F.sum("losses").alias("n")).scalar()
     j = pairs.join(rep, F.col("owner").eqNullSafe(F.col("_owner"))).join(book, F.col("competitor_id") == F.col("_cid"))
-    j = j.withColumn("_one", F.lit(1)).join(F.broadcast(every), "_one")
     return j.select(
         "owner", "competitor_id", "losses", guarded_rate(F.col("losses"), F.col("_rep"), floor).alias("share"),
-        F.try_divide(F.col("_book").cast("double"), F.col("_all").cast("double")).alias("book_share"))
+        F.try_divide(F.col("_book").cast("double"), every.cast("double")).alias("book_share"))

@@ -98,10 +98,8 @@ def track_split(cur: DataFrame, prior: DataFrame) -> DataFrame:
     both = position(cur, "now").join(position(prior, "before"), "track", "full")
     zero = F.lit(0).cast(MONEY)
     moved = both.withColumn("moved", (F.coalesce("now", zero) - F.coalesce("before", zero)).cast(MONEY))
-    # One row per track: this frame has as many rows as there are tracks.
-    signs = moved.agg(F.max("moved").alias("_up"), F.min("moved").alias("_down"))
-    apart = signs.select(((F.col("_up") > 0) & (F.col("_down") < 0)).alias("opposite"), F.lit(1).alias("_one"))
-    return moved.withColumn("_one", F.lit(1)).join(F.broadcast(apart), "_one").select("track", "now", "before", "moved", "opposite")
+    apart = moved.agg(((F.max("moved") > 0) & (F.min("moved") < 0)).alias("opposite"))
+    return moved.select("track", "now", "before", "moved", apart.scalar().alias("opposite"))
 
 
 def owner_breakdown(opps: DataFrame) -> DataFrame:

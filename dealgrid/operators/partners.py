@@ -252,11 +252,11 @@ def partner_forecast(opps: DataFrame, partners: DataFrame, factor: float = SELL_
         F.count(F.lit(1)).alias("_deals"), total(F.col("converted_amount")).alias("_gross"))
     live = per.join(motion, "partner_id", "left").groupBy("motion").agg(
         F.sum("_deals").alias("deals"), total(F.col("_gross")).alias("gross"))
-    all_open = opps.filter("is_open").agg(F.count(F.lit(1)).alias("_all"), F.lit(1).alias("_one"))
+    all_open = per.agg(F.sum("_deals").alias("n")).scalar()
     weight = F.when(F.col("motion") == "sell-through", factor).otherwise(1.0)
-    return live.withColumn("_one", F.lit(1)).join(F.broadcast(all_open), "_one").select(
+    return live.select(
         F.coalesce("motion", F.lit("direct")).alias("motion"), "deals", "gross", (F.col("gross").cast("double") * weight).alias("forecast"),
-        F.when(F.col("motion") == "sell-with", F.try_divide(F.col("deals").cast("double"), F.col("_all").cast("double"))).alias("attach_rate"))
+        F.when(F.col("motion") == "sell-with", F.try_divide(F.col("deals").cast("double"), all_open.cast("double"))).alias("attach_rate"))
 
 
 def single_rep_dependency(opps: DataFrame) -> DataFrame:

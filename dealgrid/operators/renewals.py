@@ -160,17 +160,16 @@ def renewal_coverage(renewals: DataFrame, linked: DataFrame, start: str, end: st
 def renewal_movement(cur: DataFrame, prior: DataFrame, start: str, end: str) -> DataFrame:
     """Contracts newly resolved since the prior look and what each did to the coverage of the period."""
     value = F.col("converted_current_value")
-    due = cur.filter(in_period("contract_end", start, end)).agg(total(value).alias("_due"), F.lit(1).alias("_one"))
+    due = cur.filter(in_period("contract_end", start, end)).agg(total(value).alias("due")).scalar()
     before = prior.select("renewal_id", F.col("status").alias("status_before"))
     settled = (
         cur.filter(in_period("contract_end", start, end) & (F.col("status") != "Active")).join(before, "renewal_id")
-        .filter(F.col("status_before") == "Active").withColumn("_one", F.lit(1))
+        .filter(F.col("status_before") == "Active")
     )
     gain = F.when(F.col("status") == "Churned", F.lit(0).cast(MONEY)).otherwise(value)
-    # `due` is one row by construction.
-    return settled.join(F.broadcast(due), "_one").select(
+    return settled.select(
         "renewal_id", "status", value.alias("value"),
-        F.try_divide(gain.cast("double"), F.col("_due").cast("double")).alias("coverage_change"),
+        F.try_divide(gain.cast("double"), due.cast("double")).alias("coverage_change"),
     )
 
 

@@ -61,11 +61,9 @@ def upsert_by_key(local: DataFrame, incoming: DataFrame, key: str, id_col: str,
         *[F.when(F.col("_key").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in value_cols],
     )
     fresh = incoming.join(local.select(key), key, "left_anti").select(key, *value_cols)
-    top = local.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_top"))
-    fresh = numbered_from(fresh, key, F.floor(F.col(key) / bucket_size), F.lit(0).cast("long"), "_n")
-    fresh = fresh.withColumn("_one", F.lit(1)).join(F.broadcast(top.withColumn("_one", F.lit(1))), "_one")
-    fresh = fresh.withColumn(id_col, F.col("_top") + F.col("_n")).select(id_col, key, *value_cols)
-    return kept.unionByName(fresh)
+    top = local.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("long").alias("top")).scalar()
+    fresh = numbered_from(fresh, key, F.floor(F.col(key) / bucket_size), top, id_col)
+    return kept.unionByName(fresh.select(id_col, key, *value_cols))
 
 
 def verify_sync(local: DataFrame, source: DataFrame, baseline: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
