@@ -92,7 +92,7 @@ def _(t):
 
 
 @query("competitor_first_seen", """
-select opp_id, term_id as competitor_id, min(day)::varchar as first_seen from (
+select opp_id, term_id::bigint as competitor_id, min(day)::varchar as first_seen from (
   select l.open_opp as opp_id, day, ' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' ' as padded from turns t join latest_open l on t.account = l.open_account)
 join (values (1, 'thth'), (2, 'onon'), (3, 'the this')) as s(term_id, phrase) on contains(padded, ' ' || phrase || ' ') group by 1, 2""")
 def _(t):

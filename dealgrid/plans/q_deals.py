@@ -176,7 +176,7 @@ with mv as (select coalesce(p.opp_id, c.opp_id) as opp_id,
 rows_ as (select 1 as section_no, 'moved' as section, opp_id, movement as detail, 0 as severity from mv where movement not in ('unchanged', 'dropped')
   union all select case when risk_flags like 'close-date-fictional%' and risk_flags like '%stalled%' then 3 else 2 end,
     case when risk_flags like 'close-date-fictional%' and risk_flags like '%stalled%' then 'decide' else 'at risk' end, opp_id, risk_flags, severity from o_risks where severity > 0)
-select r.*, o.owner from rows_ r join opportunities o using (opp_id)""")
+select r.* replace (section_no::bigint as section_no, severity::bigint as severity), o.owner from rows_ r join opportunities o using (opp_id)""")
 def _(t):
     return deals.risk_review(risks(t), forecast.pipeline_movement(t.opp_prev, t.opp_cur, STAGES), t.opportunities)
 

@@ -210,7 +210,7 @@ def _(t):
 
 
 @query("deal_ranking", """
-select o.opp_id, account, case trend when 'Heating' then 0 when 'Steady' then 1 when 'Cooling' then 2 else 3 end as trend_rank, trend, score
+select o.opp_id, account, case trend when 'Heating' then 0 when 'Steady' then 1 when 'Cooling' then 2 else 3 end::bigint as trend_rank, trend, score
 from opps_tracked o join o_trend_label t on o.opp_id = t.opp_id where is_open and track = 'new'
 union all select 0, 0, 0, '', 0 where false""")
 def _(t):

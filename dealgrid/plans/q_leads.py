@@ -38,7 +38,7 @@ with r as (select *, case when replied_to_sequence then 1 when source in (1, 2,
     when status = 'Working' and date '2001-08-02' - last_activity between 5 and 21 and not in_sequence then 3
     when status = 'New' and last_activity is null and date '2001-08-02' - created >= 2 then 4 else 5 end as tier,
   date '2001-08-02' - coalesce(last_activity, created) as wait_days from o_eligible)
-select tier, lead_id, reason, leads from (
+select tier::bigint as tier, lead_id, reason, leads::bigint as leads from (
   select tier, lead_id, name || ' - ' || case tier when 1 then 'answered the sequence' when 2 then 'recent inbound' when 3 then 'going cold' else 'never touched' end || ' ' || wait_days || ' days' as reason, 1 as leads
   from r where tier < 5 order by tier, wait_days desc, lead_id limit 10)
 union all select 5, null, 'everything else', count(*) from r where tier = 5""")

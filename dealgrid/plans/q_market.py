@@ -74,7 +74,7 @@ def _(t):
 @query("signal_fit", """
 with p as (select signal_id, o.opp_id, amount, (tag_segment = segment)::int + (tag_size = size_band)::int + (tag_interest = interest)::int as hits
   from signals join opportunities o on true join accounts a on o.account = a.account where is_open)
-select signal_id, hits, count(*) as open_deals, (max(row(amount, opp_id)))[2] as largest_deal from p where hits >= 2 group by 1, 2""")
+select signal_id, hits::bigint as hits, count(*) as open_deals, (max(row(amount, opp_id)))[2] as largest_deal from p where hits >= 2 group by 1, 2""")
 def _(t):
     return market.signal_fit(t.signals, t.opportunities, t.accounts)
 
@@ -100,7 +100,7 @@ def _(t):
 
 
 @query("signals_ranked", """
-select signal_id, related_account is not null as linked, case relevance when 'High' then 1 when 'Medium' then 2 else 3 end as relevance_rank, event_date::varchar as event_date from signals where so_what is not null""")
+select signal_id, related_account is not null as linked, case relevance when 'High' then 1 when 'Medium' then 2 else 3 end::bigint as relevance_rank, event_date::varchar as event_date from signals where so_what is not null""")
 def _(t):
     return market.signals_ranked(t.signals)
 

@@ -55,7 +55,7 @@ def _(t):
 
 @query("open_commitments", """
 select commitment_id, account, direction, due::varchar as due, greatest(date '2001-08-02' - due, 0)::bigint as days_late,
-  case when direction = 'ours' and due < date '2001-08-02' then 1 when due < date '2001-08-02' then 2 when direction = 'ours' then 3 else 4 end as rank from commitments where status = 'Open'""")
+  case when direction = 'ours' and due < date '2001-08-02' then 1 when due < date '2001-08-02' then 2 when direction = 'ours' then 3 else 4 end::bigint as rank from commitments where status = 'Open'""")
 def _(t):
     return mt.open_commitments(t.commitments, AS_OF)
 

@@ -87,7 +87,7 @@ def _(t):
 @query("renewal_ranking", """
 with s as (select renewal_id, case when risk_flags like '%conversation-overdue%' or risk_flags like '%no-renewal-opp%' then 'commitment missed' when risk_flags like '%conversation-due-soon%' then 'due soon'
     when risk_flags <> '' then 'at risk' when expansion_signal is not null then 'expansion' else 'covered' end as section, (current_value * n_flags)::decimal(18,2)::double as exposure from o_renewal_flags)
-select *, case section when 'commitment missed' then 0 when 'due soon' then 1 when 'at risk' then 2 when 'expansion' then 3 else 4 end as section_no from s""")
+select *, case section when 'commitment missed' then 0 when 'due soon' then 1 when 'at risk' then 2 when 'expansion' then 3 else 4 end::bigint as section_no from s""")
 def _(t):
     return renewals.renewal_ranking(renewals.renewal_risk_flags(t.renewals, linked(t), t.raw_activity, AS_OF))
 

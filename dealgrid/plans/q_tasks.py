@@ -98,7 +98,7 @@ with r as (select opp_id as request_id, 'src' || (opp_id % 25) as a, case when o
   from opportunities where is_open and created >= date '2001-01-01'),
 p as (select request_id, asset_id, (a = tag_source)::int + coalesce((b = tag_lang)::int, 0) + (c = tag_audience)::int as overlap from r join content_assets s on (a = tag_source or b = tag_lang or c = tag_audience) where s.status = 'Approved'),
 m as (select request_id, max(overlap) as overlap from p group by 1)
-select r.request_id, min(asset_id) as asset_id, coalesce(max(m.overlap), 0) as overlap from r left join m on r.request_id = m.request_id left join p on p.request_id = r.request_id and p.overlap = m.overlap group by 1""")
+select r.request_id, min(asset_id) as asset_id, coalesce(max(m.overlap), 0)::bigint as overlap from r left join m on r.request_id = m.request_id left join p on p.request_id = r.request_id and p.overlap = m.overlap group by 1""")
 def _(t):
     oid = F.col("opp_id")
     lang = F.when(oid % 5 == 0, "en").when(oid % 5 == 1, "fr").when(oid % 5 == 2, "de").otherwise("pt")
@@ -112,7 +112,7 @@ def _(t):
 with recursive bad as (select signal_id as asset from signals where confidence = 'Rumour' and relevance = 'High' and signal_type = 'merger'),
 links as (select asset_id as child, parent_id as parent from content_assets where parent_id is not null),
 reach as (select asset, 0 as depth from bad union select l.child, r.depth + 1 from links l join reach r on l.parent = r.asset)
-select asset, min(depth) as depth from reach group by 1 having min(depth) > 0""")
+select asset, min(depth)::bigint as depth from reach group by 1 having min(depth) > 0""")
 def _(t):
     bad = t.signals.filter("confidence = 'Rumour' and relevance = 'High' and signal_type = 'merger'").select(F.col("signal_id").alias("id"))
     links = t.content_assets.filter("parent_id is not null").select(F.col("asset_id").alias("child"), F.col("parent_id").alias("parent"))
@@ -122,7 +122,7 @@ def _(t):
 @query("roster_from_hierarchy", """
 with recursive users as (select c_custkey as user_id, case when c_custkey = 0 then null else cast(floor((c_custkey - 1) / 8) as bigint) end as manager, c_acctbal > 0 as active from customer),
 r as (select user_id as rep, manager, active, 1 as level from users where manager = 0 union all select u.user_id, u.manager, u.active, r.level + 1 from users u join r on u.manager = r.rep where r.level < 3)
-select rep, manager, level from r where active""")
+select rep, manager, level::bigint as level from r where active""")
 def _(t):
     users = t.customer.select(
         F.col("c_custkey").alias("user_id"), F.when(F.col("c_custkey") != 0, F.floor((F.col("c_custkey") - 1) / 8)).alias("manager"), (F.col("c_acctbal") > 0).alias("active"))

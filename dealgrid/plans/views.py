@@ -67,7 +67,7 @@ select opp_id, account, owner,
   'note ' || opp_id as notes, 'OPP-' || opp_id as local_id
 from opp_prev""",
     "opp_history": """
-select l_orderkey as opp_id, cast(l_shipdate as date) as day, l_linenumber as line, l_partkey as part_no, l_suppkey as supp_no,
+select l_orderkey as opp_id, cast(l_shipdate as date) as day, cast(l_linenumber as bigint) as line, l_partkey as part_no, l_suppkey as supp_no,
   case l_linenumber when 1 then 'Qualify' when 2 then 'Discovery' when 3 then 'Validate' when 4 then 'Proposal'
     when 5 then 'Negotiate' when 6 then 'Closed Won' else 'Closed Lost' end as stage,
   cast(l_shipdate as date) + cast(l_quantity as int) as close_date,
@@ -154,7 +154,7 @@ select o_orderkey as quote_id, o_orderkey as opp_id, o_custkey as account, cast(
   case when o_orderkey % 6 = 0 then null else cast(o_orderdate as date) + 2 end as sent_date
 from {orders}""",
     "quote_lines": """
-select l_orderkey as quote_id, l_linenumber as line_no, l_partkey as sku, l_suppkey as supp_no, cast(l_quantity as bigint) as qty,
+select l_orderkey as quote_id, cast(l_linenumber as bigint) as line_no, l_partkey as sku, l_suppkey as supp_no, cast(l_quantity as bigint) as qty,
   cast(l_extendedprice as decimal(18,2)) as extended, cast(l_discount as decimal(5,4)) as discount,
   case l_returnflag when 'N' then null when 'A' then 'Volume' else 'Strategic' end as discount_reason
 from {lineitem}""",
@@ -183,7 +183,7 @@ from activity where opp_id is not null and opp_id % 3 = 0 group by opp_id""",
     "leads": """
 select c.c_custkey as lead_id, c.c_name as name, 'Acct ' || (c.c_custkey % 200) || ' Inc.' as company,
   case when c.c_custkey % 9 = 0 then null else 'lead' || (c.c_custkey % 700) || '@acct' || (c.c_custkey % 200) || '.example.com' end as email,
-  c.c_nationkey as owner, case when c.c_custkey % 12 = 0 then null else c.c_custkey % 12 end as source,
+  cast(c.c_nationkey as bigint) as owner, case when c.c_custkey % 12 = 0 then null else c.c_custkey % 12 end as source,
   c.c_custkey % 24 as source_detail,
   case when c.c_acctbal < 0 then 'Disqualified' when c.c_acctbal < 2500 then 'New' when c.c_acctbal < 5000 then 'Working'
     when c.c_acctbal < 7500 then 'Qualified' else 'Nurture' end as status,
@@ -198,14 +198,14 @@ from {customer} c left join (
   select account, max(day) as last_day, max(case when direction = 'inbound' then day end) as last_in
   from raw_activity group by account) e on c.c_custkey = e.account""",
     "campaigns": """
-select campaign_id, cast(source_value as bigint) as source_value, cast(detail as bigint) as detail, cast(cost as decimal(18,2)) as cost,
+select cast(campaign_id as bigint) as campaign_id, cast(source_value as bigint) as source_value, cast(detail as bigint) as detail, cast(cost as decimal(18,2)) as cost,
   cast(started as date) as started from (values
   (1, 1, null, 5000, '2001-01-15'), (2, 2, null, 10000, '2001-02-01'), (3, 3, 3, 15000, '2001-03-01'), (4, 3, 15, 20000, '2001-03-15'),
   (5, 4, null, 25000, '2000-06-01'), (6, 5, null, 30000, '2000-09-01'), (7, 6, null, 35000, '2001-07-01'), (8, 7, null, 40000, '2001-04-01'),
   (9, 8, null, 45000, '1999-05-01'), (10, 9, null, 50000, '2001-05-01'), (11, 10, null, 55000, '2001-06-01'), (12, 10, null, 60000, '2001-06-15'))
   as c(campaign_id, source_value, detail, cost, started)""",
     "competitors": """
-select competitor_id, name, aliases, tier, cast(researched as date) as researched from (values
+select cast(competitor_id as bigint) as competitor_id, name, aliases, tier, cast(researched as date) as researched from (values
   (1, 'Thatin', 'thatin;that in', 'Primary', '2001-07-10'), (2, 'Ononst', 'ononst;onst', 'Primary', '2001-07-20'),
   (3, 'Inoran', 'inoran', 'Secondary', '2001-07-15'), (4, 'Orantion', 'orantion;orantoin', 'Primary', '2001-08-01'),
   (5, 'Hehely', 'hehely', 'Secondary', '2001-07-05'), (6, 'Thtion Ertion', 'thtion;attion', 'Primary', '2001-07-25'),
@@ -231,7 +231,7 @@ select doc_id as signal_id, date '2001-07-03' + cast(doc_id % 30 as int) as even
   'size' || (doc_id % 4) as tag_size, 'interest' || (doc_id % 10) as tag_interest, text
 from {documents}""",
     "watchlist": """
-select watch_id, kind, term, lens, evidence_ref from (values
+select cast(watch_id as bigint) as watch_id, kind, term, lens, evidence_ref from (values
   (1, 'Account', 'thatin', 'deal', null), (2, 'Technology', 'ononst', 'content', 'row 4'), (3, 'Regulation', 'orantion', 'both', 'row 7'),
   (4, 'Technology', 'inoran', null, null), (5, 'Newsletter', 'hehely', 'deal', null), (6, 'Person', 'that in', 'deal', null),
   (7, 'Technology', 'zzzqqq', 'content', null)) as w(watch_id, kind, term, lens, evidence_ref)""",
