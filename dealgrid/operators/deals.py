@@ -39,14 +39,38 @@ def history_steps(history: DataFrame) -> DataFrame:
     )
 
 
+def _pushes() -> list[Column]:
+    changed = F.when(F.col("close_date") != F.col("_prev_close"), F.struct(*HISTORY_ORDER))
+    return [
+        F.count_if(F.col("close_date") > F.col("_prev_close")).alias("close_date_pushes"),
+        F.max_by("_prev_close", changed).alias("previous_close_date"),
+    ]
+
+
+def _stay(as_of: str) -> list[Column]:
+    entered = F.when(F.col("_prev_stage").isNull() | (F.col("stage") != F.col("_prev_stage")), F.col("day"))
+    return [
+        F.max_by("stage", F.struct(*HISTORY_ORDER)).alias("stage"),
+        F.datediff(day_of(as_of), F.max(entered)).alias("days_in_stage"),
+    ]
+
+
+def _moved_share() -> Column:
+    return F.try_divide((F.col("amount") - F.col("_prev_amount")).cast("double"), F.col("_prev_amount").cast("double"))
+
+
+def _moved(share: float) -> Column:
+    return (F.col("stage") == F.col("_prev_stage")) & (F.abs(_moved_share()) >= share)
+
+
 def close_date_pushes(seq: DataFrame) -> DataFrame:
     """Later moves of the close date per deal, and the date before the last change."""
-    order = F.struct(*HISTORY_ORDER)
-    changed = F.col("close_date") != F.col("_prev_close")
-    return seq.groupBy("opp_id").agg(
-        F.count_if(F.col("close_date") > F.col("_prev_close")).alias("close_date_pushes"),
-        F.max_by("_prev_close", F.when(changed, order)).alias("previous_close_date"),
-    )
+    return seq.groupBy("opp_id").agg(*_pushes())
+
+
+def history_facts(seq: DataFrame, as_of: str, share: float = MATERIAL_AMOUNT) -> DataFrame:
+    """Everything a review needs from a deal's history, in one pass."""
+    return seq.groupBy("opp_id").agg(*_pushes(), *_stay(as_of), F.bool_or(_moved(share)).alias("amount_moved"))
 
 
 def flag_close_date_pushed(pushes: DataFrame) -> DataFrame:
@@ -57,12 +81,7 @@ def flag_close_date_pushed(pushes: DataFrame) -> DataFrame:
 
 def days_in_stage(seq: DataFrame, as_of: str) -> DataFrame:
     """Days since the last change of stage (or since the first record)."""
-    marks = F.col("_prev_stage").isNull() | (F.col("stage") != F.col("_prev_stage"))
-    order = F.struct(*HISTORY_ORDER)
-    return seq.groupBy("opp_id").agg(
-        F.max_by("stage", order).alias("stage"),
-        F.datediff(day_of(as_of), F.max(F.when(marks, F.col("day")))).alias("days_in_stage"),
-    )
+    return seq.groupBy("opp_id").agg(*_stay(as_of))
 
 
 def stage_medians(spans: DataFrame) -> DataFrame:
@@ -124,12 +143,8 @@ def flag_next_step(opps: DataFrame, as_of: str, start_month: int = 1) -> DataFra
 
 def flag_amount_moved(seq: DataFrame, share: float = MATERIAL_AMOUNT) -> DataFrame:
     """Changes of the amount beyond a share while the stage stayed."""
-    moved = F.try_divide((F.col("amount") - F.col("_prev_amount")).cast("double"), F.col("_prev_amount").cast("double"))
-    return (
-        seq.withColumn("moved_share", moved)
-        .filter((F.col("stage") == F.col("_prev_stage")) & (F.abs("moved_share") >= share))
-        .select("opp_id", "day", "stage", F.col("_prev_amount").alias("amount_before"), "amount", "moved_share")
-    )
+    return seq.filter(_moved(share)).select(
+        "opp_id", "day", "stage", F.col("_prev_amount").alias("amount_before"), "amount", _moved_share().alias("moved_share"))
 
 
 def hygiene_flags(opps: DataFrame, as_of: str) -> DataFrame:
@@ -260,20 +275,18 @@ def threading_flags(contacts: DataFrame, activity: DataFrame, opps: DataFrame) -
 
 
 def risk_flags(
-    opps: DataFrame, pushes: DataFrame, stalls: DataFrame, threading: DataFrame, ghosts: DataFrame, moved: DataFrame, as_of: str
+    opps: DataFrame, facts: DataFrame, stalls: DataFrame, threading: DataFrame, ghosts: DataFrame, as_of: str
 ) -> DataFrame:
     """The whole ordered flag list of each open deal, worst first, with the number of flags.
 
-    Every input holds one row per deal but `moved`, which is folded here.
+    Every input holds one row per deal, so the joins keep one partitioning.
     """
-    moved_deals = moved.select("opp_id").distinct().withColumn("_moved", F.lit(True))
     j = (
         opps.filter("is_open").withColumn("_step", next_step_cause(as_of)).select("opp_id", "stage", "_step")
-        .join(pushes.select("opp_id", "close_date_pushes"), "opp_id", "left")
+        .join(facts.select("opp_id", "close_date_pushes", "amount_moved"), "opp_id", "left")
         .join(stalls.select("opp_id", "stalled", "late_stage"), "opp_id", "left")
         .join(threading.select("opp_id", "flags"), "opp_id", "left")
         .join(ghosts.withColumn("_ghost", F.lit(True)), "opp_id", "left")
-        .join(moved_deals, "opp_id", "left")
     )
     threads = F.coalesce(F.col("flags"), F.array().cast("array<string>"))
     held = {
@@ -287,7 +300,7 @@ def risk_flags(
         "auto-reply-only": F.array_contains(threads, "auto-reply-only"),
         "no-next-step": F.col("_step") == "no-next-step",
         "next-step-passed": F.col("_step") == "next-step-passed",
-        "amount-moved": F.col("_moved"),
+        "amount-moved": F.col("amount_moved"),
     }
     flags = flag_list(*[(held[name], name) for name in RISK_ORDER])
     return j.select("opp_id", "stage", flags.alias("risk_flags"), F.size(flags).alias("severity"))

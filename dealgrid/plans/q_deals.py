@@ -49,11 +49,11 @@ def _(t):
     return stalled(t)
 
 
-def stalled(t: Tables, seq=None, activity=None):
-    seq = steps(t) if seq is None else seq
+def stalled(t: Tables, facts=None, activity=None):
+    seq = steps(t)
     return deals.flag_stalled(
-        t.opportunities, t.activity if activity is None else activity, deals.days_in_stage(seq, AS_OF),
-        deals.stage_medians(deals.stage_spans(seq)), AS_OF,
+        t.opportunities, t.activity if activity is None else activity,
+        deals.days_in_stage(seq, AS_OF) if facts is None else facts, deals.stage_medians(deals.stage_spans(seq)), AS_OF,
     )
 
 
@@ -152,13 +152,12 @@ def _(t):
 
 
 def risks(t: Tables):
-    seq = cut_lineage(steps(t), "deal-steps")
+    facts = cut_lineage(deals.history_facts(steps(t), AS_OF), "deal-facts")
     activity, roles = t.landed("activity"), t.landed("contact_roles")
     contacts = deals.contacts_build(roles, activity)
     return deals.risk_flags(
-        t.opportunities, deals.close_date_pushes(seq), stalled(t, seq, activity),
-        deals.threading_flags(contacts, activity, t.opportunities), deals.ghost_roles(ghost_input(roles), activity),
-        deals.flag_amount_moved(seq), AS_OF,
+        t.opportunities, facts, stalled(t, facts, activity), deals.threading_flags(contacts, activity, t.opportunities),
+        deals.ghost_roles(ghost_input(roles), activity), AS_OF,
     )
 
 
