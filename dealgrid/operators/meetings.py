@@ -13,24 +13,32 @@ SENTIMENT_RANK = {"Positive": 3, "Neutral": 2, "Mixed": 1, "Negative": 0}
 HEALTHY_STAGES = ("Validate", "Proposal", "Negotiate")
 
 
-def meeting_match(meetings: DataFrame, accounts: DataFrame, opps: DataFrame, renewals: DataFrame) -> DataFrame:
+def meeting_match(meetings: DataFrame, accounts: DataFrame, opps: DataFrame, renewals: DataFrame, leads: DataFrame) -> DataFrame:
     """Link a meeting to the one record it fits; several or none go to review.
 
-    A running contract wins only where the talk was about the contract. Deals and contracts fold to
-    counts per account before the join.
+    A running contract wins only where the talk was about the contract. Without deal or contract a
+    customer fits, or else a single lead of that domain. Every kind folds to counts per account or
+    domain before the join.
     """
     domains = accounts.select(norm_domain(F.col("website")).alias("_d"), "account").groupBy("_d").agg(F.min("account").alias("_acct"))
-    deals = opps.filter("is_open").groupBy(F.col("account").alias("_acct")).agg(F.count(F.lit(1)).alias("open_deals"), F.min("opp_id").alias("_opp"))
+    by_account = opps.groupBy(F.col("account").alias("_acct")).agg(
+        F.count_if("is_open").alias("open_deals"), F.min(F.when(F.col("is_open"), F.col("opp_id"))).alias("_opp"),
+        F.bool_or(F.col("stage") == "Closed Won").alias("_customer"))
     terms = renewals.filter(F.col("status") == "Active").groupBy(F.col("account").alias("_acct")).agg(
         F.count(F.lit(1)).alias("contracts"), F.min("renewal_id").alias("_ren"))
-    j = meetings.select("meeting_id", norm_domain(F.col("attendee")).alias("_d"), "about_contract").join(domains, "_d", "left")
-    j = j.join(deals, "_acct", "left").join(terms, "_acct", "left").na.fill(0, ["open_deals", "contracts"])
+    people = leads.filter(F.col("email").isNotNull()).groupBy(norm_domain(F.col("email")).alias("_d")).agg(
+        F.count(F.lit(1)).alias("leads"), F.min("lead_id").alias("_lead"))
+    j = meetings.select("meeting_id", norm_domain(F.col("attendee")).alias("_d"), "about_contract").join(domains, "_d", "left").join(people, "_d", "left")
+    j = j.join(by_account, "_acct", "left").join(terms, "_acct", "left").na.fill(0, ["open_deals", "contracts", "leads"])
     on_contract = F.col("about_contract") & (F.col("contracts") == 1)
     on_deal = ~on_contract & (F.col("open_deals") == 1)
-    status = F.when(on_contract | on_deal, "linked").when(F.col("open_deals") + F.col("contracts") == 0, "no match").otherwise("review")
-    return j.select(
-        "meeting_id", status.alias("status"), F.when(on_contract, "renewal").when(on_deal, "opportunity").alias("related_type"),
-        F.when(on_contract, F.col("_ren")).when(on_deal, F.col("_opp")).alias("related_id"), "open_deals", "contracts")
+    bare = F.col("open_deals") + F.col("contracts") == 0
+    on_customer = bare & F.coalesce("_customer", F.lit(False))
+    on_lead = bare & ~on_customer & (F.col("leads") == 1)
+    kind = F.when(on_contract, "renewal").when(on_deal, "opportunity").when(on_customer, "customer").when(on_lead, "lead")
+    found = F.when(on_contract, F.col("_ren")).when(on_deal, F.col("_opp")).when(on_customer, F.col("_acct")).when(on_lead, F.col("_lead"))
+    status = F.when(kind.isNotNull(), "linked").when(bare & (F.col("leads") == 0), "no match").otherwise("review")
+    return j.select("meeting_id", status.alias("status"), kind.alias("related_type"), found.alias("related_id"), "open_deals", "contracts", "leads")
 
 
 def meeting_credit(meetings: DataFrame, activity: DataFrame) -> DataFrame:
@@ -86,8 +94,11 @@ def unowned_meetings(calendar: DataFrame, roster: DataFrame, absences: DataFrame
     return j.select("meeting_id", "day", "owner", why.alias("why")).filter(F.col("why").isNotNull())
 
 
-def meeting_prep(calendar: DataFrame, opps: DataFrame, contacts: DataFrame, signals: DataFrame, commitments: DataFrame, as_of: str) -> DataFrame:
-    """Each meeting of the day with deal state, people, newest account signals and open promises.
+def meeting_prep(
+    calendar: DataFrame, opps: DataFrame, contacts: DataFrame, signals: DataFrame, commitments: DataFrame, mentions: DataFrame,
+    cards: DataFrame, as_of: str,
+) -> DataFrame:
+    """Each meeting of the day with deal state, people, newest account signals, open promises and overtaken battlecards.
 
     Every side folds to one row per deal or account before it joins.
     """
@@ -101,10 +112,12 @@ def meeting_prep(calendar: DataFrame, opps: DataFrame, contacts: DataFrame, sign
         F.array_sort(F.collect_list(F.struct("rank", "signal_id", "signal_type"))).alias("_news"))
     owed = commitments.filter((F.col("status") == "Open") & (F.col("due") < day)).groupBy("account").agg(
         F.count_if(F.col("direction") == "ours").alias("we_owe"), F.count_if(F.col("direction") == "theirs").alias("they_owe"))
-    j = today.join(deal, "opp_id", "left").join(people, "opp_id", "left").join(news, "account", "left").join(owed, "account", "left")
+    stale = mentions.join(cards.select("competitor_id", "signals_since"), "competitor_id").groupBy("opp_id").agg(F.sum("signals_since").alias("_changes"))
+    j = today.join(deal, "opp_id", "left").join(stale, "opp_id", "left").join(people, "opp_id", "left").join(news, "account", "left").join(owed, "account", "left")
     return j.select(
         "meeting_id", "account", "opp_id", "stage", "amount", "close_date", F.coalesce("people", F.lit(0)).alias("people"),
         F.coalesce("engaged", F.lit(0)).alias("engaged"), F.coalesce("we_owe", F.lit(0)).alias("we_owe"), F.coalesce("they_owe", F.lit(0)).alias("they_owe"),
+        F.coalesce("_changes", F.lit(0)).alias("card_changes"),
         F.transform(F.coalesce("_news", F.array()), lambda s: F.concat_ws(":", s["signal_id"].cast("string"), s["signal_type"])).alias("news"))
 
 

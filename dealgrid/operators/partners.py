@@ -172,8 +172,8 @@ def conflict_verdict(submissions: DataFrame, findings: DataFrame) -> DataFrame:
     )
 
 
-def partner_deals(opps: DataFrame, regs: DataFrame) -> DataFrame:
-    """Deals that carry a partner, with the registrations neither side links to a deal."""
+def partner_deals(opps: DataFrame, regs: DataFrame, partner: int | None = None) -> DataFrame:
+    """Deals that carry a partner (or one partner), with the registrations neither side links to a deal."""
     linked = opps.filter(F.col("deal_registration_id").isNotNull()).select(F.col("deal_registration_id").alias("reg_id"))
     loose = regs.filter(F.col("opportunity_id").isNull()).join(linked, "reg_id", "left_anti")
     deals = opps.filter(F.col("partner_id").isNotNull()).select(
@@ -181,7 +181,8 @@ def partner_deals(opps: DataFrame, regs: DataFrame) -> DataFrame:
     claims = loose.select(
         F.lit("registration").alias("kind"), "partner_id", F.col("customer").alias("account"), F.col("reg_id").alias("ref"),
         F.lit(None).cast(MONEY).alias("amount"))
-    return deals.unionByName(claims)
+    both = deals.unionByName(claims)
+    return both if partner is None else both.filter(F.col("partner_id") == partner)
 
 
 def tier_attribution(opps: DataFrame, regs: DataFrame) -> DataFrame:
@@ -194,25 +195,38 @@ def tier_attribution(opps: DataFrame, regs: DataFrame) -> DataFrame:
         "opp_id", F.coalesce("role", F.lit("unknown")).alias("tier"), F.coalesce("_holder", "partner_id").alias("credited_partner"))
 
 
-def route_deal(opps: DataFrame, accounts: DataFrame, partners: DataFrame, as_of: str, k: int = 3) -> DataFrame:
-    """The best partners for each open deal without one, by net after margin.
+def route_deal(
+    opps: DataFrame, accounts: DataFrame, partners: DataFrame, regs: DataFrame, as_of: str, role: str = "Reseller", k: int = 3
+) -> DataFrame:
+    """The best partners for each open deal without one: a partner the account already has first, then by net.
 
-    The candidates of a territory are ranked once per country and segment, not once per deal.
+    The candidates of a territory are ranked once per country and segment, and the known partners once
+    per account; a deal then chooses among at most `2 * k`.
     """
-    able = partners.filter(F.col("enabled_until") >= F.lit(as_of).cast("date"))
-    able = able.select(
+    able = partners.filter(
+        (F.col("enabled_until") >= F.lit(as_of).cast("date")) & list_permits(split_list(F.col("roles_supported")), F.lit(role))
+    )
+    area = able.select(
         "partner_id", "margin_pct", F.explode(split_list(F.col("countries"))).alias("country"),
         split_list(F.col("segments_served")).alias("_segments"),
     )
-    able = able.withColumn("segment", F.explode(F.coalesce("_segments", F.array(F.lit("any"))))).drop("_segments")
+    area = area.withColumn("segment", F.explode(F.coalesce("_segments", F.array(F.lit("any"))))).drop("_segments")
     place = accounts.select("account", F.col("country").cast("string").alias("country"), "segment")
     deals = opps.filter(F.col("is_open") & F.col("partner_id").isNull()).select("opp_id", "account", "amount").join(place, "account")
     spots = place.select("country", "segment").distinct()
-    served = spots.join(able.filter(F.col("segment") != "any"), ["country", "segment"]).unionByName(
-        spots.join(able.filter(F.col("segment") == "any").drop("segment"), "country"))
-    best = top_per_key(served.select("country", "segment", "partner_id", "margin_pct"), ["country", "segment"], [F.col("margin_pct"), F.col("partner_id")], k)
+    served = spots.join(area.filter(F.col("segment") != "any"), ["country", "segment"]).unionByName(
+        spots.join(area.filter(F.col("segment") == "any").drop("segment"), "country"))
+    by_net = [F.col("margin_pct"), F.col("partner_id")]
+    local = top_per_key(served.select("country", "segment", "partner_id", "margin_pct"), ["country", "segment"], by_net, k).drop("rank")
+    known = regs.select(F.col("customer").alias("account"), "partner_id").distinct().join(able.select("partner_id", "margin_pct"), "partner_id")
+    known = top_per_key(known, ["account"], by_net, k).drop("rank")
+    offers = deals.join(local, ["country", "segment"]).select("opp_id", "amount", "partner_id", "margin_pct", F.lit(0).alias("known"))
+    offers = offers.unionByName(deals.join(known, "account").select("opp_id", "amount", "partner_id", "margin_pct", F.lit(1).alias("known")))
+    each = offers.groupBy("opp_id", "partner_id").agg(
+        F.max("amount").alias("amount"), F.max("margin_pct").alias("margin_pct"), F.max("known").alias("known"))
+    best = top_per_key(each, ["opp_id"], [F.col("known").desc(), *by_net], k)
     net = (F.col("amount") * (F.lit(1) - F.col("margin_pct"))).cast(MONEY)
-    return deals.join(best, ["country", "segment"]).select("opp_id", "rank", "partner_id", net.alias("net_amount"))
+    return best.select("opp_id", "rank", "partner_id", (F.col("known") == 1).alias("existing_relation"), net.alias("net_amount"))
 
 
 def partner_performance(partners: DataFrame, opps: DataFrame, as_of: str, floor: int = SAMPLE_FLOOR) -> DataFrame:

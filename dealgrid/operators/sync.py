@@ -112,15 +112,17 @@ def push_diff(
 
 
 def approval_triggers(
-    local: DataFrame, source: DataFrame, key: str, stage_order: Sequence[str], max_amount_drop: float = 0.1
+    local: DataFrame, source: DataFrame, key: str, stage_order: Sequence[str], max_amount_drop: float = 0.1,
+    max_discount: float = 0.08,
 ) -> DataFrame:
-    """Pending changes that would start an approval: a large amount drop or a stage moved back."""
+    """Pending changes that would start an approval: a discount over the limit, a large amount drop, a stage moved back."""
     ranks = F.create_map(*[F.lit(x) for i, st in enumerate(stage_order) for x in (st, i)])
-    both = local.select(key, F.col("stage").alias("new_stage"), F.col("amount").alias("new_amount")).join(
+    both = local.select(key, F.col("stage").alias("new_stage"), F.col("amount").alias("new_amount"), "discount").join(
         source.select(key, F.col("stage").alias("old_stage"), F.col("amount").alias("old_amount")), key
     )
     drop = F.try_divide((F.col("old_amount") - F.col("new_amount")).cast("double"), F.col("old_amount").cast("double"))
     hits = F.array_compact(F.array(
+        F.when(F.col("discount") > max_discount, F.lit("discount over limit")),
         F.when(drop > max_amount_drop, F.lit("amount drop")),
         F.when(F.try_element_at(ranks, "new_stage") < F.try_element_at(ranks, "old_stage"), F.lit("stage moved back")),
     ))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dealgrid.operators import deals, meetings as mt
+from dealgrid.operators import competitors as cp, deals, meetings as mt
 from dealgrid.plans.q_deals import meetings_with_deal
+from dealgrid.plans.q_scalars import norm_host_sql
 from dealgrid.plans.registry import Tables, query
 from dealgrid.plans.views import AS_OF
 
@@ -14,14 +15,18 @@ def calendar(t: Tables):
     return t.sql("select c.*, l.open_opp as opp_id from calendar c left join latest_open l on c.account = l.open_account")
 
 
-@query("meeting_match", """
-with d as (select account, count(*) as n, min(opp_id) as opp from opportunities where is_open group by 1), r as (select account, count(*) as n, min(renewal_id) as ren from renewals where status = 'Active' group by 1),
-j as (select m.meeting_id, m.about_contract, coalesce(d.n, 0) as open_deals, coalesce(r.n, 0) as contracts, opp, ren from meetings m left join accounts a on m.account = a.account left join d on a.account = d.account left join r on a.account = r.account)
-select meeting_id, case when (about_contract and contracts = 1) or open_deals = 1 then 'linked' when open_deals + contracts = 0 then 'no match' else 'review' end as status,
-  case when about_contract and contracts = 1 then 'renewal' when open_deals = 1 then 'opportunity' end as related_type,
-  case when about_contract and contracts = 1 then ren when open_deals = 1 then opp end as related_id, open_deals, contracts from j""")
+@query("meeting_match", f"""
+with d as (select account, count(*) filter (is_open) as n, min(opp_id) filter (is_open) as opp, bool_or(stage = 'Closed Won') as customer from opportunities group by 1),
+r as (select account, count(*) as n, min(renewal_id) as ren from renewals where status = 'Active' group by 1),
+p as (select {norm_host_sql('email')} as dom, count(*) as n, min(lead_id) as lead from leads where email is not null group by 1),
+j as (select m.meeting_id, m.about_contract, a.account, coalesce(d.n, 0) as open_deals, coalesce(r.n, 0) as contracts, coalesce(p.n, 0) as leads, opp, ren, lead, coalesce(customer, false) as customer
+  from meetings m left join accounts a on m.account = a.account left join d on a.account = d.account left join r on a.account = r.account left join p on p.dom = {norm_host_sql('m.attendee')}),
+k as (select *, case when about_contract and contracts = 1 then 'renewal' when open_deals = 1 then 'opportunity' when open_deals + contracts = 0 and customer then 'customer'
+  when open_deals + contracts = 0 and leads = 1 then 'lead' end as related_type from j)
+select meeting_id, case when related_type is not null then 'linked' when open_deals + contracts + leads = 0 then 'no match' else 'review' end as status, related_type,
+  case related_type when 'renewal' then ren when 'opportunity' then opp when 'customer' then account when 'lead' then lead end as related_id, open_deals, contracts, leads from k""")
 def _(t):
-    return mt.meeting_match(t.meetings, t.accounts, t.opportunities, t.renewals)
+    return mt.meeting_match(t.meetings, t.accounts, t.opportunities, t.renewals, t.leads)
 
 
 @query("meeting_credit", """
@@ -85,13 +90,16 @@ def _(t):
 with n as (select * from (select related_account as account, signal_id, signal_type, row_number() over (partition by related_account order by event_date desc, signal_id) as rn
   from signals where related_account is not null and event_date between date '2001-07-03' and date '2001-08-02') where rn <= 3)
 select c.meeting_id, c.account, l.open_opp as opp_id, o.stage, o.amount::double as amount, o.close_date::varchar as close_date, coalesce(people, 0) as people, coalesce(engaged, 0) as engaged,
-  coalesce(we_owe, 0) as we_owe, coalesce(they_owe, 0) as they_owe, coalesce(news, '') as news
+  coalesce(we_owe, 0) as we_owe, coalesce(they_owe, 0) as they_owe, coalesce(changes, 0)::bigint as card_changes, coalesce(news, '') as news
 from calendar c left join latest_open l on c.account = l.open_account left join opportunities o on o.opp_id = l.open_opp
 left join (select opp_id, count(*) as people, count(*) filter (replied) as engaged from o_contacts group by 1) p on p.opp_id = l.open_opp
 left join (select account, count(*) filter (direction = 'ours') as we_owe, count(*) filter (direction = 'theirs') as they_owe from commitments where status = 'Open' and due < date '2001-08-02' group by 1) w on w.account = c.account
-left join (select account, string_agg(signal_id || ':' || signal_type, ',' order by rn) as news from n group by 1) s on s.account = c.account where c.day = date '2001-08-02'""")
+left join (select account, string_agg(signal_id || ':' || signal_type, ',' order by rn) as news from n group by 1) s on s.account = c.account
+left join (select opp_id, sum(n) as changes from o_mentions join (select competitor_id, count(*) as n from competitors join signals using (competitor_id) where tier = 'Primary' and event_date > researched group by 1) using (competitor_id) group by 1) b on b.opp_id = l.open_opp
+where c.day = date '2001-08-02'""")
 def _(t):
-    return mt.meeting_prep(calendar(t), t.opportunities, deals.contacts_build(t.contact_roles, t.activity), t.signals, t.commitments, AS_OF)
+    return mt.meeting_prep(calendar(t), t.opportunities, deals.contacts_build(t.contact_roles, t.activity), t.signals, t.commitments,
+                           cp.competitor_mentions(t.deal_notes, t.competitors), cp.stale_battlecards(t.competitors, t.signals), AS_OF)
 
 
 @query("sentiment_trajectory", """

@@ -116,14 +116,21 @@ def _(t):
 
 
 @query("route_deal", """
-with able as (select partner_id, margin_pct, unnest(string_split(countries, ';')) as country, segments_served from partners where enabled_until >= date '2001-08-02'),
+with able as (select * from partners where enabled_until >= date '2001-08-02' and (roles_supported is null or roles_supported like '%Reseller%')),
+area as (select partner_id, margin_pct, unnest(string_split(countries, ';')) as country, segments_served from able),
 spots as (select distinct country::varchar as country, segment from accounts),
-served as (select s.country, s.segment, a.partner_id, a.margin_pct from spots s join able a on s.country = a.country and (a.segments_served is null or list_contains(string_split(a.segments_served, ';'), s.segment))),
-best as (select *, row_number() over (partition by country, segment order by margin_pct, partner_id) as rank from served)
-select o.opp_id, rank, b.partner_id, cast(o.amount * (1 - margin_pct) as decimal(18,2))::double as net_amount
-from opportunities o join accounts a on o.account = a.account join best b on a.country::varchar = b.country and a.segment = b.segment and rank <= 3 where is_open and o.partner_id is null""")
-def _(t):
-    return pt.route_deal(t.opportunities, t.accounts, t.partners, AS_OF)
+served as (select s.country, s.segment, a.partner_id, a.margin_pct from spots s join area a on s.country = a.country and (a.segments_served is null or list_contains(string_split(a.segments_served, ';'), s.segment))),
+local as (select *, row_number() over (partition by country, segment order by margin_pct, partner_id) as rn from served),
+known as (select customer, partner_id, margin_pct, row_number() over (partition by customer order by margin_pct, partner_id) as rn
+  from (select distinct customer, partner_id from registrations) r join able using (partner_id)),
+d as (select o.opp_id, o.account, o.amount, a.country::varchar as country, a.segment from opportunities o join accounts a on o.account = a.account where is_open and o.partner_id is null),
+offers as (select opp_id, amount, partner_id, margin_pct, 0 as k from d join local l on d.country = l.country and d.segment = l.segment and l.rn <= 3
+  union all select opp_id, amount, partner_id, margin_pct, 1 from d join known n on n.customer = d.account and n.rn <= 3),
+e as (select opp_id, partner_id, max(amount) as amount, max(margin_pct) as margin_pct, max(k) as k from offers group by 1, 2),
+r as (select *, row_number() over (partition by opp_id order by k desc, margin_pct, partner_id) as rank from e)
+select opp_id, rank, partner_id, k = 1 as existing_relation, cast(amount * (1 - margin_pct) as decimal(18,2))::double as net_amount from r where rank <= 3""")
+def _(t):
+    return pt.route_deal(t.opportunities, t.accounts, t.partners, t.registrations, AS_OF)
 
 
 @query("partner_performance", f"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dealgrid.operators import sync
+from dealgrid.operators import quotes, sync
 from dealgrid.plans.common import STAGES
 from dealgrid.plans.q_forecast import stage_rank_sql
 from dealgrid.plans.registry import query
@@ -58,11 +58,14 @@ def _(t):
 
 
 @query("approval_triggers", f"""
-with b as (select l.opp_id, l.stage as new_stage, l.amount as new_amount, s.stage as old_stage, s.amount as old_amount from opp_prev l join opportunities s using (opp_id))
-select opp_id, 'amount drop' as trigger, old_stage, new_stage from b where (old_amount - new_amount)::double / old_amount::double > 0.1
+with b as (select l.opp_id, l.stage as new_stage, l.amount as new_amount, s.stage as old_stage, s.amount as old_amount, q.blended_discount as discount
+  from opp_prev l join opportunities s using (opp_id) left join o_quote_totals q on q.quote_id = l.opp_id)
+select opp_id, 'discount over limit' as trigger, old_stage, new_stage from b where discount > 0.08
+union all select opp_id, 'amount drop', old_stage, new_stage from b where (old_amount - new_amount)::double / old_amount::double > 0.1
 union all select opp_id, 'stage moved back', old_stage, new_stage from b where {stage_rank_sql('new_stage')} < {stage_rank_sql('old_stage')}""")
 def _(t):
-    return sync.approval_triggers(t.opp_prev, t.opportunities, "opp_id", STAGES)
+    offered = quotes.quote_totals(t.quote_lines).select(F.col("quote_id").alias("opp_id"), F.col("blended_discount").alias("discount"))
+    return sync.approval_triggers(t.opp_prev.join(offered, "opp_id", "left"), t.opportunities, "opp_id", STAGES)
 
 
 @query("reconcile_three_way", """

@@ -46,7 +46,7 @@ class Tables:
     """The given tables and the registry views over them, as lazy DataFrames."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
+        self.spark, self.sf_dir = spark, str(sf_dir).rstrip("/")
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def __getattr__(self, name: str) -> DataFrame:

@@ -32,9 +32,14 @@ def seed_registry(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def append_forecast_snapshot(position: DataFrame, path: str, cadence: str, taken_at: str) -> None:
-    """One row per track for this date and cadence, kept apart by cadence on disk."""
-    row = position.withColumn("taken_at", F.lit(taken_at).cast("date")).withColumn("cadence", F.lit(cadence))
+def append_forecast_snapshot(
+    position: DataFrame, path: str, cadence: str, taken_at: str, headline: str | None = None, artifact_path: str | None = None
+) -> None:
+    """One row per track for this date and cadence with the headline of the day, kept apart by cadence on disk."""
+    row = position.withColumns({
+        "taken_at": F.lit(taken_at).cast("date"), "cadence": F.lit(cadence), "headline": F.lit(headline).cast("string"),
+        "artifact_path": F.lit(artifact_path).cast("string"),
+    })
     row.write.mode("append").partitionBy("cadence").parquet(path)
 
 
