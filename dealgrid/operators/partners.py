@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +16,9 @@ SEVERITY = {
     "territory mismatch": "CHECK", "exclusive territory": "CHECK", "named account of another": "CHECK",
     "expired claim": "CHECK", "distributor not free": "CHECK",
 }
+# The tiers of a sell-through deal.
+TIERS = ("Distributor", "Reseller")
+
 EXPIRING_DAYS = 14
 SELL_THROUGH_FACTOR = 0.7
 
@@ -84,14 +85,15 @@ def conflict_customer(submissions: DataFrame, customers: DataFrame) -> DataFrame
     )
 
 
-def conflict_territory(submissions: DataFrame, partners: DataFrame) -> DataFrame:
-    """Outside countries or segments, on the excluded list, in another's exclusive area, or another's named account.
+def with_territory(submissions: DataFrame, partners: DataFrame) -> DataFrame:
+    """Submissions with `_territory`, the names of their territory findings, and the partner's `_roles`.
 
     A named account overrides geography in both directions.
     """
     own = partners.select(
-        F.col("partner_id").alias("_pid"), split_list(F.col("countries")).alias("_countries"),
-        split_list(F.col("segments_served")).alias("_segments"), split_list(F.col("excluded_accounts")).alias("_excluded"),
+        F.col("partner_id").alias("_pid"), split_list(F.col("roles_supported")).alias("_roles"),
+        split_list(F.col("countries")).alias("_countries"), split_list(F.col("segments_served")).alias("_segments"),
+        split_list(F.col("excluded_accounts")).alias("_excluded"),
     )
     pairs = partners.select(
         F.col("partner_id").alias("_owner"), F.explode(split_list(F.col("named_accounts"))).alias("_account")
@@ -116,7 +118,12 @@ def conflict_territory(submissions: DataFrame, partners: DataFrame) -> DataFrame
         (~mine & in_exclusive, "exclusive territory"),
         (F.col("_named").isNotNull() & ~mine, "named account of another"),
     )
-    rows = j.withColumn("_finding", F.explode(names))
+    return j.withColumn("_territory", names).select(*submissions.columns, "_pid", "_roles", "_territory")
+
+
+def conflict_territory(submissions: DataFrame, partners: DataFrame) -> DataFrame:
+    """Outside countries or segments, on the excluded list, in another's exclusive area, or another's named account."""
+    rows = with_territory(submissions, partners).withColumn("_finding", F.explode("_territory"))
     return finding(rows, F.col("_finding"), F.concat_ws("/", "country", "segment"))
 
 
@@ -149,17 +156,56 @@ def distributor_consistency(submissions: DataFrame, claims: DataFrame) -> DataFr
     return j.select("submission_id", "distributor", state.alias("distributor_state"), (state != "held by another").alias("consistent"))
 
 
+def customer_facts(regs: DataFrame, opps: DataFrame, customers: DataFrame, as_of: str) -> DataFrame:
+    """One row per customer: holders of each tier, lapsed claims, own open deals, and whether they buy already.
+
+    Claims, deals and customers are stacked and grouped once.
+    """
+    claims = registration_clock(regs, as_of).select(
+        "customer_key", F.col("partner_id").alias("_p"), "role", "expires", (F.col("state") != "lapsed").alias("_live"))
+    direct = opps.filter(F.col("is_open") & F.col("partner_id").isNull()).select("customer_key", F.lit(True).alias("_direct"))
+    buys = customers.select("customer_key", F.lit(True).alias("_buys"))
+    stacked = claims.unionByName(direct, allowMissingColumns=True).unionByName(buys, allowMissingColumns=True)
+    lapsed = ~F.col("_live")
+    aggs = [
+        F.min(F.when(lapsed, F.col("_p"))).alias("_low_lapsed"), F.max(F.when(lapsed, F.col("_p"))).alias("_high_lapsed"),
+        F.max(F.when(lapsed, F.col("expires"))).alias("_expired"), F.bool_or("_direct").alias("_direct"), F.bool_or("_buys").alias("_buys"),
+    ]
+    for tier in TIERS:
+        held = F.when(F.col("_live") & (F.col("role") == tier), F.col("_p"))
+        aggs += [F.min(held).alias(f"_low_{tier}"), F.max(held).alias(f"_high_{tier}")]
+    return stacked.groupBy("customer_key").agg(*aggs)
+
+
 def conflict_check(
     submissions: DataFrame, regs: DataFrame, partners: DataFrame, opps: DataFrame, customers: DataFrame, as_of: str
 ) -> DataFrame:
-    """All findings of a batch of submissions."""
-    claims = live_claims(regs, as_of)
+    """All findings of a batch of submissions, in one pass over the batch."""
+    own = live_claims(regs, as_of).select("customer_key", "role", "partner_id", F.lit(True).alias("_own")).distinct()
+    j = (
+        with_territory(submissions, partners).join(customer_facts(regs, opps, customers, as_of), "customer_key", "left")
+        .join(own, ["customer_key", "role", "partner_id"], "left")
+    )
+
+    def other(kind: str) -> Column:
+        low, high, mine = F.col(f"_low_{kind}"), F.col(f"_high_{kind}"), F.col("partner_id")
+        return F.when(low != mine, low).when(high != mine, high)
+
+    def found(cond: Column, name: str, detail: Column) -> Column:
+        return F.when(cond, F.struct(F.lit(name).alias("finding"), F.lit(SEVERITY[name]).alias("severity"), detail.cast("string").alias("detail")))
+
+    place = F.concat_ws("/", "country", "segment")
     parts = [
-        conflict_same_tier(submissions, claims), conflict_role(submissions, partners), conflict_direct(submissions, opps),
-        conflict_customer(submissions, customers), conflict_territory(submissions, partners),
-        conflict_teaming(submissions, claims), conflict_expired(submissions, regs, as_of),
+        found(~list_permits(F.col("_roles"), F.col("role")) & F.col("_pid").isNotNull(), "role not permitted", F.col("role")),
+        found(F.col("_direct"), "direct opportunity", F.col("customer_key")), found(F.col("_buys"), "existing customer", F.col("customer_key")),
+        found(F.col("_own"), "already holds this tier", F.col("role")), found(other("lapsed").isNotNull(), "expired claim", F.col("_expired")),
     ]
-    return reduce(DataFrame.unionByName, parts)
+    for tier in TIERS:
+        parts.append(found((F.col("role") == tier) & other(tier).isNotNull(), "same tier claimed", other(tier)))
+        parts.append(found((F.col("role") != tier) & other(tier).isNotNull(), "teaming", other(tier)))
+    for name in ("territory mismatch", "exclusive territory", "named account of another"):
+        parts.append(found(F.array_contains("_territory", name), name, place))
+    return j.select("submission_id", F.explode(F.array_compact(F.array(*parts))).alias("f")).select("submission_id", "f.*")
 
 
 def conflict_verdict(submissions: DataFrame, findings: DataFrame) -> DataFrame:

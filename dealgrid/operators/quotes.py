@@ -28,7 +28,7 @@ def tier_ladder(tiers: DataFrame) -> DataFrame:
 
 
 def _reached(qty: Column) -> Column:
-    return F.element_at(F.filter("_ladder", lambda t: t["min_qty"] <= qty), -1)
+    return F.try_element_at(F.filter("_ladder", lambda t: t["min_qty"] <= qty), F.lit(-1))
 
 
 def _next(qty: Column) -> Column:
@@ -38,8 +38,7 @@ def _next(qty: Column) -> Column:
 def resolve_tier_price(lines: DataFrame, tiers: DataFrame) -> DataFrame:
     """Tier and unit price from the quantity: one row per line, no range join."""
     j = lines.join(tier_ladder(tiers), "sku", "left")
-    found = F.when(F.size(F.filter("_ladder", lambda t: t["min_qty"] <= F.col("qty"))) > 0, _reached(F.col("qty")))
-    return j.withColumn("_tier", found).withColumn("tier_qty", F.col("_tier.min_qty")).withColumn("unit_price", F.col("_tier.price")).drop("_tier", "_ladder")
+    return j.withColumn("_tier", _reached(F.col("qty"))).withColumn("tier_qty", F.col("_tier.min_qty")).withColumn("unit_price", F.col("_tier.price")).drop("_tier", "_ladder")
 
 
 def estimate_value(wanted: DataFrame, tiers: DataFrame) -> DataFrame:

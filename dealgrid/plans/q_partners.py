@@ -22,8 +22,8 @@ def submissions(t: Tables):
     return t.submissions.withColumn("customer_key", norm_domain(F.col("domain")))
 
 
-def registrations(t: Tables, regs=None):
-    regs = by_domain(t.registrations if regs is None else regs, "customer")
+def registrations(t: Tables):
+    regs = by_domain(t.registrations, "customer")
     return regs.withColumn("reg_id", F.concat_ws("-", "partner_id", "customer", "role"))
 
 
@@ -36,8 +36,7 @@ def customers(t: Tables):
 
 
 def findings(t: Tables):
-    regs = registrations(t, t.landed("registrations"))
-    return pt.conflict_check(submissions(t), regs, t.partners, by_domain(t.opportunities), customers(t), AS_OF)
+    return pt.conflict_check(submissions(t), registrations(t), t.partners, by_domain(t.opportunities), customers(t), AS_OF)
 
 
 @query("registration_clock", """
@@ -88,6 +87,11 @@ def _(t):
     return pt.conflict_verdict(submissions(t), findings(t))
 
 
+@query("conflict_findings", "select submission_id, finding, severity, detail from o_findings")
+def _(t):
+    return findings(t)
+
+
 @query("distributor_consistency", """
 with h as (select distinct customer_key, partner_id from o_live where role = 'Distributor')
 select submission_id, distributor, case when exists (select 1 from h where h.customer_key = s.customer_key and h.partner_id = s.distributor) then 'holds the tier'
