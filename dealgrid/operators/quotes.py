@@ -130,3 +130,12 @@ def quotes_expiring(quotes: DataFrame, tasks: DataFrame, as_of: str, days: int =
     live = quotes.filter(F.col("outcome").isNull() & left.between(0, days))
     chased = tasks.filter(F.col("status") != "Done").select(F.col("related_id").alias("opp_id"))
     return live.join(chased, "opp_id", "left_anti").select("quote_id", "opp_id", "valid_until", left.alias("days_left"))
+
+
+def quotes_lapsed(quotes: DataFrame, tasks: DataFrame, as_of: str) -> DataFrame:
+    """Undecided quotes past their last day that nobody chased, by whether they were ever sent."""
+    late = F.datediff(F.lit(as_of).cast("date"), F.col("valid_until"))
+    dead = quotes.filter(F.col("outcome").isNull() & (late > 0))
+    chased = tasks.select(F.col("related_id").alias("opp_id"))
+    return dead.join(chased, "opp_id", "left_anti").groupBy(F.col("sent_date").isNotNull().alias("was_sent")).agg(
+        F.count(F.lit(1)).alias("quotes"), F.max(late).alias("longest_days"))

@@ -87,3 +87,10 @@ select quote_id, opp_id, valid_until::varchar as valid_until, (valid_until - dat
 where outcome is null and valid_until - date '2001-08-02' between 0 and 14 and opp_id not in (select related_id from tasks where status <> 'Done')""")
 def _(t):
     return qt.quotes_expiring(t.quotes, t.tasks, AS_OF)
+
+
+@query("quotes_lapsed", """
+select sent_date is not null as was_sent, count(*) as quotes, max(date '2001-08-02' - valid_until)::bigint as longest_days from quotes
+where outcome is null and valid_until < date '2001-08-02' and opp_id not in (select related_id from tasks where status = 'Done') group by 1""")
+def _(t):
+    return qt.quotes_lapsed(t.quotes, t.tasks.filter("status = 'Done'"), AS_OF)

@@ -35,3 +35,10 @@ def test_query(spark, con, name):
         assert not message
     else:
         assert df.count() > 0
+
+
+def test_entry_runs(spark):
+    import __spark_entry__ as entry
+
+    assert entry.entry(spark).count() > 0
+    assert set(entry.oracle_sql()) <= set(entry.queries())
