@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealgrid.llm import exact_dedup, mixing, quality, subword, token_counts, url_filter, warc
+from dealgrid.llm import exact_dedup, fingerprints, lm_scoring, mixing, near_dedup, quality, subword, token_counts, url_filter, warc
 from dealgrid.llm.common import table
 from dealgrid.session import shared_folder
 
@@ -128,6 +128,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+@query("op6_context_mixing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
 EXACT_SQL = r"""
 with d as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents)
 select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = min(doc_id) over w as kept, text_sha256
@@ -140,6 +145,16 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op8_iblt_fingerprints")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_versions(table(spark, sf_dir, "documents"))
+
+
 @query("op9_merge_dropout")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subword.encode(table(spark, sf_dir, "documents"))
+
+
+@query("op10_odd_sketch_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=2, threshold=0.8).drop("text_key")
