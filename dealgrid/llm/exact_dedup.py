@@ -88,7 +88,8 @@ def exact_duplicates(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFra
     identity = reduce(DataFrame.unionByName, done)
     known = land(rows.select("row", "doc_id", "text_sha256").join(identity, "row"), "identities")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("o"), F.col("doc_id").alias("id"), F.col("row").alias("row")))
-    groups = known.groupBy("level", "name").agg(first.alias("f"), F.count("*").alias("group_size"))
+    # Landed, so that both sides of the join are exchanges of its own and a group of very many rows can be split.
+    groups = land(known.groupBy("level", "name").agg(first.alias("f"), F.count("*").alias("group_size")), "groups")
     return known.join(groups, ["level", "name"]).select(
         "doc_id", F.col("f.id").alias("keep_id"), "group_size", (F.col("row") == F.col("f.row")).alias("kept"), "text_sha256"
     )
