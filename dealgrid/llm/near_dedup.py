@@ -208,9 +208,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> D
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The documents, all their columns, with one row of each component: that of the smallest doc_id; blank texts stay all.
+    """The documents, all their columns, with one row of each component: that of the smallest doc_id; blank texts all stay.
 
-    Of repeated rows with that id and different texts of the component, the one with the smallest text hash stays.
+    Of rows with that id and different texts of the component, the one with the smallest text hash stays; rows that agree
+    in id and text count as one.
     """
     found = near_duplicates(docs, size, threshold)
     blank = found.where("n_shingles = 0").select("doc_id", "text_key")
@@ -218,4 +219,4 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8)
     stay = blank.unionByName(first).distinct().select(F.col("doc_id").alias("_keep_id"), F.col("text_key").alias("_keep_key"))
     marked = docs.withColumn("_text_key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     same = F.col("doc_id").eqNullSafe(F.col("_keep_id")) & (F.col("_text_key") == F.col("_keep_key"))
-    return marked.join(stay, same, "left_semi").drop("_text_key")
+    return marked.join(stay, same, "left_semi").dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
