@@ -164,7 +164,7 @@ def count_tokens(docs: DataFrame, model: str | None = None) -> DataFrame:
             sizes = np.fromiter(map(len, words), np.int64, len(words))
             index, row = memo.lookup(list(chain.from_iterable(words))), np.repeat(np.arange(len(words)), sizes)
             tokens = np.bincount(row, memo.tokens[index], len(words)).astype(np.int64)
-            score = np.bincount(row, memo.score[index], len(words))
+            score = np.bincount(row, memo.score[index], len(words)).astype(np.float64)
             if len(memo.at) > MAX_WORDS:
                 memo.clear()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.array(tokens), pa.array(score)], ["doc_id", "n_pretokens", "n_tokens", "score"])
