@@ -24,7 +24,9 @@ SKETCH_BITS = 1024
 WORDS = SKETCH_BITS // 64
 #: Standard deviations of the estimate that a true link may lie below the threshold before its sketch rules it out.
 SIGMAS = 6.0
-#: Members of a bucket that meet at once in one task; larger buckets are cut and each two cuts meet.
+#: Similarity from which a node counts as an acquaintance of the first node of its bucket: their sets' difference is kept.
+ACQUAINTED = 0.35
+#: Members of a group that meet as many others at once in one task; larger groups are cut and each two cuts meet.
 CUT = 256
 BATCH_BYTES = 4 << 20
 
@@ -113,15 +115,19 @@ def _sketched(docs: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(sketch, schema)
 
 
-def _alike(threshold: float, a: str = "", b: str = "_b") -> Column:
+def _differing(a: str = "", b: str = "_b") -> Column:
+    """Bits in which two sketches differ."""
+    return reduce(add, (F.bit_count(F.col(f"s{i}{a}").bitwiseXOR(F.col(f"s{i}{b}"))) for i in range(WORDS)))
+
+
+def _alike(threshold: float) -> Column:
     """Sizes and sketches of two sets allow the similarity."""
-    low, high = F.least(f"n{a}", f"n{b}"), F.greatest(f"n{a}", f"n{b}")
-    differing = reduce(add, (F.bit_count(F.col(f"s{i}{a}").bitwiseXOR(F.col(f"s{i}{b}"))) for i in range(WORDS)))
-    return (100 * low >= round(100 * threshold) * high) & (differing <= max_differing_bits(threshold))
+    low, high = F.least("n", "n_b"), F.greatest("n", "n_b")
+    return (100 * low >= round(100 * threshold) * high) & (_differing() <= max_differing_bits(threshold))
 
 
-def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are as similar as the threshold."""
+def _compared(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Per pair (a, b) of nodes: whether their full shingle sets are as similar as the threshold, and the hashes in only one of them."""
     percent = round(100 * threshold)
     needed = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct().join(nodes.select("nid", "rep_id", "rep_key"), "nid")
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
@@ -130,10 +136,10 @@ def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, t
     both = pairs.join(texts.select(F.col("nid").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(texts.select(F.col("nid").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[bytes, np.ndarray] = {}
         for batch in batches:
-            keep = []
+            linked, apart = [], []
             for left, right in zip(as_bytes(batch.column("text_a")), as_bytes(batch.column("text_b"))):
                 sets = []
                 for text in (left, right):
@@ -142,11 +148,59 @@ def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, t
                             last.clear()
                         last[text] = shingles(text, size)
                     sets.append(last[text])
-                common = len(np.intersect1d(*sets, assume_unique=True))
-                keep.append(100 * common >= percent * (len(sets[0]) + len(sets[1]) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                only = np.setxor1d(*sets, assume_unique=True)
+                linked.append(linked_by(len(sets[0]), len(sets[1]), len(only), percent))
+                apart.append(only.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(apart, pa.binary())], ["a", "b", "linked", "apart"])
+
+    return both.mapInArrow(compared, "a long, b long, linked boolean, apart binary")
+
 
-    return both.mapInArrow(linked, "a long, b long")
+def linked_by(n_a, n_b, apart, percent: int):
+    """Whether sets of these sizes that differ in so many members have a similarity of `percent` percent."""
+    return 100 * (n_a + n_b - apart) >= percent * (n_a + n_b + apart)
+
+
+def _links_in_groups(members: DataFrame, percent: int) -> DataFrame:
+    """Links between members of a group that lie in different components, from their differences to the group's head alone.
+
+    `members` holds head, nid, n, apart and component. The sets of x and y differ in just those hashes in which their differences to the
+    head differ, so this is exact. Members outside the group's main component meet all others, cut by cut; of the links of a member to
+    one component one is returned.
+    """
+    shares = members.groupBy("head", "component").agg(F.count("*").alias("m"))
+    mixed = shares.groupBy("head").agg(F.max(F.struct("m", "component")).alias("main"), F.sum("m").alias("all"), F.count("*").alias("k")).where("k > 1")
+    mixed = mixed.select("head", F.col("main.component").alias("main"), F.ceil((F.col("all") - F.col("main.m")) / CUT).cast("int").alias("cuts_a"), F.ceil(F.col("all") / CUT).cast("int").alias("cuts_b"))
+    own = members.join(mixed, "head")
+    cut = lambda n: F.pmod(F.xxhash64("nid"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["head", "i", "j", "nid", "n", "apart", "component"]
+    a = own.where("component <> main").withColumn("i", cut("cuts_a")).withColumn("j", every("cuts_b")).select(*columns, F.lit(True).alias("outside"))
+    b = own.withColumn("j", cut("cuts_b")).withColumn("i", every("cuts_a")).select(*columns, F.lit(False).alias("outside"))
+
+    def meet(group: pa.Table) -> pa.Table:
+        side = group.column("outside").to_numpy(zero_copy_only=False)
+        nid, n, component = (group.column(c).to_numpy() for c in ("nid", "n", "component"))
+        lists = [np.frombuffer(x, np.uint64) for x in group.column("apart").to_pylist()]
+        rows_a, rows_b = np.flatnonzero(side), np.flatnonzero(~side)
+        found = []
+        if len(rows_a) and len(rows_b):
+            sizes = np.array([len(lists[r]) for r in rows_b])
+            hashes, place = np.concatenate([lists[r] for r in rows_b]), np.repeat(np.arange(len(rows_b)), sizes)
+            order = np.argsort(hashes, kind="stable")
+            hashes, place = hashes[order], place[order]
+            for r in rows_a.tolist():
+                low, high = np.searchsorted(hashes, lists[r], "left"), np.searchsorted(hashes, lists[r], "right")
+                count = high - low
+                at = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+                common = np.bincount(place[at], minlength=len(rows_b))
+                apart = len(lists[r]) + sizes - 2 * common
+                ok = rows_b[linked_by(n[r], n[rows_b], apart, percent) & (component[rows_b] != component[r])]
+                _, first = np.unique(component[ok], return_index=True)
+                found += [(int(nid[r]), int(nid[x])) for x in ok[first]]
+        return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+    return a.unionByName(b).groupBy("head", "i", "j").applyInArrow(meet, "a long, b long")
 
 
 def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -164,9 +218,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> D
     copies are never paired. Null ids take part, but name a component only when it has no other id. Rows with the same id and set share their result;
     text_key is a hash of the text.
 
-    Every node of a bucket is compared with the bucket's first node. After the components of these links, buckets that
-    still hold several components have the rest of their members compared, only across components, cut so that no task holds a
-    whole large bucket. A link of similarity 0.8 shares a bucket but for a chance of (1 - 0.8^5)^40, about 1e-7.
+    Every node of a bucket is compared with the bucket's first node, its head, unless their sketches are far apart. Nodes that know the same
+    head but lie in different components of these links are then compared with each other, exactly, by their differences to the head;
+    nodes that are strangers to the head meet the other members of the bucket whose sketches allow a link. Large groups are cut, so no task
+    holds a whole one, and only links are returned. A link of similarity 0.8 shares a bucket but for a chance of (1 - 0.8^5)^40, about 1e-7.
     """
     words = [f"s{i}" for i in range(WORDS)]
     rows = land(_sketched(docs, size), "sketches")
@@ -181,24 +236,31 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> D
     members = land(places.join(buckets, "key").where("nid <> head").select("key", "nid", "head", "size"), "members")
     facts = nodes.select("nid", "n", *words)
     other = facts.select(F.col("nid").alias("nid_b"), *(F.col(c).alias(f"{c}_b") for c in ("n", *words)))
-    stars = members.select("nid", "head").distinct().join(facts, "nid").join(other, F.col("head") == F.col("nid_b")).where(_alike(threshold))
-    links = land(_confirmed(docs, nodes, land(stars.select(F.col("nid").alias("a"), F.col("head").alias("b")), "stars"), size, threshold), "links")
+    known = members.select("nid", "head").distinct().join(facts, "nid").join(other, F.col("head") == F.col("nid_b"))
+    known = land(known.where(_differing() <= max_differing_bits(ACQUAINTED)).select(F.col("nid").alias("a"), F.col("head").alias("b")), "acquainted")
+    compared = land(_compared(docs, nodes, known, size, threshold), "compared")
+    links = compared.where("linked").select("a", "b")
     label = land(_labelled(nodes, links), "labels")
 
-    # Buckets whose members, besides the first, lie in several components.
-    own = members.where("size > 2").join(label, "nid")
-    mixed = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    own = own.join(mixed, "key").withColumn("cuts", F.ceil(F.col("size") / CUT).cast("int"))
-    own = own.withColumn("cut", F.pmod(F.xxhash64("nid"), F.col("cuts")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    own = own.select("key", F.least("cut", "with").alias("i"), F.greatest("cut", "with").alias("j"), "nid", "component").join(facts, "nid")
-    twin = own.select("key", "i", "j", F.col("nid").alias("nid_b"), F.col("component").alias("component_b"), *(F.col(c).alias(f"{c}_b") for c in ("n", *words)))
-    across = (F.col("nid") < F.col("nid_b")) & (F.col("component") != F.col("component_b")) & _alike(threshold)
-    rest = own.join(twin, ["key", "i", "j"]).where(across).select(F.col("nid").alias("a"), F.col("nid_b").alias("b")).distinct()
-    more = _confirmed(docs, nodes, land(rest, "rest"), size, threshold)
-    label = _labelled(nodes, links.unionByName(more))
+    # Acquaintances of one head, in different components.
+    groups = compared.select(F.col("a").alias("nid"), F.col("b").alias("head"), "apart").join(nodes.select("nid", "n"), "nid").join(label, "nid")
+    near = _links_in_groups(groups, round(100 * threshold))
+
+    # Strangers to the head of their bucket, against all its other members.
+    crowd = members.where("size > 2").withColumn("cuts", F.ceil(F.col("size") / CUT).cast("int")).withColumn("cut", F.pmod(F.xxhash64("nid"), F.col("cuts")).cast("int"))
+    crowd = land(crowd.join(known.select(F.col("a").alias("nid"), F.col("b").alias("head"), F.lit(True).alias("known")), ["nid", "head"], "left"), "crowd")
+    strange = crowd.where("known is null").select("key", "nid", F.col("cut").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("j"))
+    where = strange.select("key").distinct()
+    others = crowd.join(where, "key", "left_semi").select("key", F.col("nid").alias("nid_b"), F.col("cut").alias("j"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("i"))
+    across = (F.col("nid") != F.col("nid_b")) & _alike(threshold)
+    met = strange.join(facts, "nid").join(others.join(other, "nid_b"), ["key", "i", "j"]).where(across)
+    met = land(met.select(F.least("nid", "nid_b").alias("a"), F.greatest("nid", "nid_b").alias("b")).distinct(), "strangers")
+    rest = _compared(docs, nodes, met, size, threshold).where("linked").select("a", "b")
+    label = _labelled(nodes, links.unionByName(near).unionByName(rest))
 
     named = nodes.select("nid", "node", "min_id").join(label, "nid")
-    smallest = named.groupBy("component").agg(F.min("min_id").alias("component_id"))
+    named = land(named, "named")
+    smallest = land(named.groupBy("component").agg(F.min("min_id").alias("component_id")), "smallest")
     named = named.join(smallest, "component").select(F.col("node").alias("_node"), "component_id")
     out = rows.select("doc_id", "text_key", "n", "node").join(named, F.col("node") == F.col("_node"), "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
