@@ -22,12 +22,15 @@ AUTO_REPLY_PATTERNS = ("automatic reply", "out of office", "undeliverable", "del
 
 SAMPLE_FLOOR = 5
 
+# Whatever is no letter, mark or digit of any script parts two words.
+NO_WORD = r"[^\p{L}\p{M}\p{N}]+"
+
 
 def norm_company(name: Column) -> Column:
-    """Lower-case name without punctuation, legal suffixes and noise words."""
-    plain = F.regexp_replace(F.lower(name), r"[^a-z0-9]+", " ")
-    bare = F.regexp_replace(plain, r"\b(" + "|".join(COMPANY_NOISE) + r")\b", " ")
-    return F.trim(F.regexp_replace(bare, r" +", " "))
+    """Lower-case words of any script without punctuation, legal suffixes and noise words; blank becomes null."""
+    words = F.filter(F.split(F.lower(name), NO_WORD), lambda w: (w != "") & ~w.isin(*COMPANY_NOISE))
+    key = F.array_join(words, " ")
+    return F.when(key != "", key)
 
 
 def norm_domain(value: Column) -> Column:
@@ -118,16 +121,16 @@ def auto_reply_match(subject: Column, patterns: Sequence[str] = AUTO_REPLY_PATTE
 
 def word_tokens(text: Column) -> Column:
     """Distinct lower-case words of a text."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda w: w != ""))
+    return F.array_distinct(F.filter(F.split(F.lower(text), NO_WORD), lambda w: w != ""))
 
 
 def alias_match(text: Column, aliases: Column) -> Column:
     """True when any alias occurs in the text as a word sequence, in any case."""
-    padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^a-z0-9]+", " "), F.lit(" "))
+    padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), NO_WORD, " "), F.lit(" "))
     return F.exists(
         aliases,
         lambda a: F.contains(
-            padded, F.concat(F.lit(" "), F.regexp_replace(F.lower(a), r"[^a-z0-9]+", " "), F.lit(" "))
+            padded, F.concat(F.lit(" "), F.regexp_replace(F.lower(a), NO_WORD, " "), F.lit(" "))
         ),
     )
 
@@ -150,7 +153,7 @@ def reason_text(name: Column, cause: str, number: Column, unit: str = "") -> Col
 
 
 def account_slug(day: Column, account: Column) -> Column:
-    slug = F.regexp_replace(F.lower(account), r"[^a-z0-9]+", "-")
+    slug = F.regexp_replace(F.lower(account), NO_WORD, "-")
     return F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("-"), F.regexp_replace(slug, r"^-+|-+$", ""))
 
 

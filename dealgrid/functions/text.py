@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def whole_words(pattern: str) -> str:
     """Pattern that starts and ends at a word edge, whatever letters stand outside ASCII."""
-    return f"(^|[^a-z0-9])({pattern})($|[^a-z0-9])"
+    return r"(^|[^\p{L}\p{M}\p{N}])(" + pattern + r")($|[^\p{L}\p{M}\p{N}])"
 
 
 # Wording that marks a promise and a date said with it.

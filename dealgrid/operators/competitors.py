@@ -18,10 +18,10 @@ def spellings(competitors: DataFrame) -> DataFrame:
     return competitors.select(F.col("competitor_id").alias("term_id"), F.explode(names).alias("phrase"))
 
 
-def competitor_mentions(notes: DataFrame, competitors: DataFrame, exclude: Sequence[str] = (), longest: int = 2) -> DataFrame:
+def competitor_mentions(notes: DataFrame, competitors: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
     """(opp_id, competitor_id) for every competitor a deal's texts name; integration names are left out."""
     terms = spellings(competitors).filter(~phrase_key(F.col("phrase")).isin(*[e.lower() for e in exclude])) if exclude else spellings(competitors)
-    return term_hits(notes, "opp_id", "text", terms, longest).withColumnRenamed("term_id", "competitor_id")
+    return term_hits(notes, "opp_id", "text", terms).withColumnRenamed("term_id", "competitor_id")
 
 
 def unknown_names(named: DataFrame, known: DataFrame) -> DataFrame:
@@ -53,11 +53,11 @@ def competitor_trend(mentions: DataFrame, opps: DataFrame, floor: int = SAMPLE_F
     return seq.select("competitor_id", "quarter", "won", "decided", trend.alias("trend"))
 
 
-def competitor_signals(signals: DataFrame, competitors: DataFrame, longest: int = 2) -> DataFrame:
+def competitor_signals(signals: DataFrame, competitors: DataFrame) -> DataFrame:
     """Signals per competitor: tagged ones, and untagged ones whose text names the competitor."""
     tagged = signals.filter(F.col("competitor_id").isNotNull()).select("signal_id", "competitor_id", F.lit("tagged").alias("basis"))
     bare = signals.filter(F.col("competitor_id").isNull()).select("signal_id", "text")
-    found = term_hits(bare, "signal_id", "text", spellings(competitors), longest).select(
+    found = term_hits(bare, "signal_id", "text", spellings(competitors)).select(
         "signal_id", F.col("term_id").alias("competitor_id"), F.lit("to be tagged").alias("basis"))
     return tagged.join(competitors.select("competitor_id"), "competitor_id", "left_semi").select("signal_id", "competitor_id", "basis").unionByName(found)
 
@@ -103,8 +103,8 @@ def card_changes(signals: DataFrame, competitors: DataFrame, k: int = 5) -> Data
 def alias_candidates(words: DataFrame, competitors: DataFrame, distance: int = 2) -> DataFrame:
     """Words of deal texts near a known spelling, for review."""
     known = spellings(competitors).select(phrase_key(F.col("phrase")).alias("name"))
-    fresh = words.filter(F.length("name") >= 5).join(known, "name", "left_anti")
-    return near_names(fresh, known.filter(F.length("name") >= 5), distance).select(
+    fresh = words.join(known, "name", "left_anti")
+    return near_names(fresh, known, distance).select(
         F.col("left_name").alias("seen"), F.col("right_name").alias("candidate"), "distance")
 
 

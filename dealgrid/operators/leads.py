@@ -84,17 +84,24 @@ def lead_triage(leads: DataFrame, as_of: str, inbound_sources: Sequence[int], k:
     return top.unionByName(rest)
 
 
+def person_key() -> Column:
+    """Name and company as one key; null unless both are given."""
+    name, company = F.lower(F.trim("name")), norm_company(F.col("company"))
+    return F.when((name != "") & company.isNotNull(), F.concat(name, F.lit("|"), company))
+
+
 def match_leads(incoming: DataFrame, leads: DataFrame) -> DataFrame:
-    """Match on source id, else e-mail, else name with company; only the id is certain.
+    """Match on source id, else e-mail, else name with company, both given; only the id is certain.
 
     Candidates fold to one row per key (lowest id and how many share it), so a common key adds no
-    rows. One left join per tier; the first tier that hits decides.
+    rows. One left join per tier; the first tier that hits decides, and `match_key` is the key under which
+    `match_candidates` lists all candidates.
     """
     def folded(key: Column, name: str) -> DataFrame:
         keyed = leads.select(key.alias(f"_{name}"), "lead_id").filter(F.col(f"_{name}").isNotNull())
         return keyed.groupBy(f"_{name}").agg(F.min("lead_id").alias(f"{name}_lead"), F.count(F.lit(1)).alias(f"{name}_n"))
 
-    person = F.when(F.col("name").isNotNull(), F.concat_ws("|", F.lower("name"), norm_company(F.col("company"))))
+    person = person_key()
     out = incoming.withColumn("_person_key", person).withColumn("_mail_key", F.lower("email"))
     crm, mail, named = folded(F.col("crm_id"), "crm"), folded(F.lower("email"), "mail"), folded(person, "person")
     for col in ("crm_id", "_mail_key", "_person_key"):
@@ -112,7 +119,19 @@ def match_leads(incoming: DataFrame, leads: DataFrame) -> DataFrame:
         .when(pick == "name and company", F.col("person_lead")).alias("candidate_id"),
         F.when(pick == "id", F.col("crm_n")).when(pick == "email", F.col("mail_n"))
         .when(pick == "name and company", F.col("person_n")).otherwise(0).alias("candidates"),
+        F.when(pick == "id", F.col("crm_id")).when(pick == "email", F.col("_mail_key")).when(pick == "name and company", F.col("_person_key")).alias("match_key"),
+    )
+
+
+def match_candidates(matches: DataFrame, leads: DataFrame) -> DataFrame:
+    """Every lead behind a match, by tier and key: what to show next to the incoming row before anyone merges."""
+    keys = F.array(
+        F.struct(F.lit("id").alias("match_tier"), F.col("crm_id").alias("match_key")),
+        F.struct(F.lit("email").alias("match_tier"), F.lower("email").alias("match_key")),
+        F.struct(F.lit("name and company").alias("match_tier"), person_key().alias("match_key")),
     )
+    listed = leads.select("lead_id", F.explode(keys).alias("k")).select("k.*", "lead_id").filter(F.col("match_key").isNotNull())
+    return listed.join(matches.filter(F.col("match_key").isNotNull()).select("match_tier", "match_key").distinct(), ["match_tier", "match_key"], "left_semi")
 
 
 def duplicate_leads(leads: DataFrame) -> DataFrame:
@@ -127,8 +146,7 @@ def duplicate_leads(leads: DataFrame) -> DataFrame:
             "first_id", F.col("lead_id").alias("other_id"), F.lit(tier).alias("tier")
         )
 
-    person = F.concat_ws("|", F.lower("name"), norm_company(F.col("company")))
-    return groups(F.lower("email"), "email").unionByName(groups(person, "name and company"))
+    return groups(F.lower("email"), "email").unionByName(groups(person_key(), "name and company"))
 
 
 def convert_leads(leads: DataFrame, first_id: int) -> tuple[DataFrame, DataFrame]:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dealgrid.functions.columns import norm_company, norm_domain
-from dealgrid.operators.sequences import ordered_history, spread_nulls
+from dealgrid.functions.columns import NO_WORD, norm_company, norm_domain
+from dealgrid.operators.sequences import NO_KEY, ordered_history, spread_nulls
 from dealgrid.operators.text_match import near_names, term_hits
 
 # Order of relevance and confidence.
@@ -35,10 +35,10 @@ def lens_filter(watchlist: DataFrame) -> DataFrame:
     return watchlist.withColumn("lens", lens).withColumn("for_content", needs).withColumn("faulty", needs & F.col("evidence_ref").isNull())
 
 
-def watchlist_sweep(items: DataFrame, watchlist: DataFrame, longest: int = 2) -> DataFrame:
+def watchlist_sweep(items: DataFrame, watchlist: DataFrame) -> DataFrame:
     """Items that name a watch term; newsletters and feeds are sources and not terms."""
     terms = watchlist.filter(~F.col("kind").isin("Newsletter", "Feed")).select(F.col("watch_id").alias("term_id"), F.col("term").alias("phrase"))
-    return term_hits(items, "signal_id", "text", terms, longest).withColumnRenamed("term_id", "watch_id")
+    return term_hits(items, "signal_id", "text", terms).withColumnRenamed("term_id", "watch_id")
 
 
 def lens_split(hits: DataFrame, watchlist: DataFrame) -> DataFrame:
@@ -70,14 +70,14 @@ def signal_account_link(signals: DataFrame, accounts: DataFrame) -> DataFrame:
     """
     acc = accounts.select("account", norm_domain(F.col("website")).alias("_domain"), norm_company(F.col("name")).alias("_name"))
     by_domain = acc.filter(F.col("_domain").isNotNull()).groupBy("_domain").agg(F.min("account").alias("_da"))
-    by_name = acc.groupBy("_name").agg(F.min("account").alias("_na"))
+    by_name = acc.filter(F.col("_name").isNotNull()).groupBy("_name").agg(F.min("account").alias("_na"))
     s = signals.select("signal_id", norm_domain(F.col("entity_url")).alias("_domain"), norm_company(F.col("entity_name")).alias("_name"))
-    s = s.withColumn("_domain", spread_nulls(F.col("_domain"), "signal_id"))
+    s = s.withColumns({c: spread_nulls(F.col(c), "signal_id") for c in ("_domain", "_name")})
     j = s.join(by_domain, "_domain", "left").join(by_name, "_name", "left")
-    unmatched = j.filter(F.col("_da").isNull() & F.col("_na").isNull()).select(F.col("_name").alias("name"))
+    unmatched = j.filter(F.col("_da").isNull() & F.col("_na").isNull() & ~F.col("_name").startswith(NO_KEY)).select(F.col("_name").alias("name"))
     near = near_names(unmatched, by_name.select(F.col("_name").alias("name")), 1)
     best = near.groupBy(F.col("left_name").alias("_name")).agg(F.min("right_name").alias("_near"), F.count(F.lit(1)).alias("_n_near"))
-    j = j.join(best, "_name", "left").join(by_name.select(F.col("_name").alias("_near"), F.col("_na").alias("_nearest")), "_near", "left")
+    j = j.join(best, "_name", "left").withColumn("_near", spread_nulls(F.col("_near"), "signal_id")).join(by_name.select(F.col("_name").alias("_near"), F.col("_na").alias("_nearest")), "_near", "left")
     basis = F.when(F.col("_da").isNotNull(), "domain").when(F.col("_na").isNotNull(), "name").when(F.col("_nearest").isNotNull(), "near name, review").otherwise("none")
     return j.select("signal_id", F.coalesce("_da", "_na", "_nearest").alias("account"), basis.alias("basis"))
 
@@ -91,14 +91,14 @@ def resolve_account(left: DataFrame, right: DataFrame, distance: int = 1) -> Dat
     l = left.select("id", norm_domain(F.col("domain")).alias("_d"), norm_company(F.col("name")).alias("_n"))
     r = right.select("id", norm_domain(F.col("domain")).alias("_d"), norm_company(F.col("name")).alias("_n"))
     rd = r.filter(F.col("_d").isNotNull()).groupBy("_d").agg(F.min("id").alias("_did"), F.count(F.lit(1)).alias("_dc"))
-    rn = r.filter(F.col("_n") != "").groupBy("_n").agg(F.min("id").alias("_nid"), F.count(F.lit(1)).alias("_nc"))
-    l = l.withColumn("_d", spread_nulls(F.col("_d"), "id"))
+    rn = r.filter(F.col("_n").isNotNull()).groupBy("_n").agg(F.min("id").alias("_nid"), F.count(F.lit(1)).alias("_nc"))
+    l = l.withColumns({c: spread_nulls(F.col(c), "id") for c in ("_d", "_n")})
     j = l.join(rd, "_d", "left").join(rn, "_n", "left")
     sure = j.filter(F.col("_did").isNotNull() | F.col("_nid").isNotNull()).select(
         F.col("id").alias("left_id"), F.coalesce("_did", "_nid").alias("right_id"),
         F.when(F.col("_did").isNotNull(), "domain").otherwise("name").alias("basis"),
         F.coalesce("_dc", "_nc").alias("sharing"), F.lit(0).alias("distance"))
-    loose = j.filter(F.col("_did").isNull() & F.col("_nid").isNull() & (F.length("_n") >= 5))
+    loose = j.filter(F.col("_did").isNull() & F.col("_nid").isNull() & ~F.col("_n").startswith(NO_KEY))
     near = near_names(loose.select(F.col("_n").alias("name")), rn.select(F.col("_n").alias("name")), distance)
     # One row per pair of names: the lowest left id stands for all left rows of that name.
     ln = loose.groupBy("_n").agg(F.min("id").alias("left_id"), F.count(F.lit(1)).alias("_lc"))
@@ -135,18 +135,31 @@ def signal_fit(signals: DataFrame, opps: DataFrame, accounts: DataFrame) -> Data
 
 
 def fingerprint(text: Column) -> Column:
-    """Hash of the sorted distinct words of a whole text: equal for copies that differ in case, marks or order."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.sha2(F.concat_ws(" ", F.array_sort(F.array_distinct(words))), 256)
+    """Hash of the sorted distinct words of a whole text: equal for copies that differ in case, marks or order; null without words."""
+    words = F.concat_ws(" ", F.array_sort(F.array_distinct(F.filter(F.split(F.lower(text), NO_WORD), lambda w: w != ""))))
+    return F.when(words != "", F.sha2(words, 256))
 
 
 def dedup_signals(signals: DataFrame) -> DataFrame:
-    """One row per event over all sources: earliest event date, best confidence, number of copies."""
+    """One row per event over all sources: earliest event date, best confidence, number of copies.
+
+    Signals with the same words are one event, in whatever order they stand; so are the events of one entity, type and day in other
+    words. A text without words is no copy of another one, and a signal without an entity joins by its words only.
+    """
     rank = F.create_map(*[F.lit(x) for pair in CONFIDENCE.items() for x in pair])
     names = F.create_map(*[F.lit(x) for pair in CONFIDENCE.items() for x in reversed(pair)])
-    keyed = signals.withColumn("_event", fingerprint(F.col("text"))).withColumn("_rank", F.try_element_at(rank, "confidence"))
-    return keyed.groupBy("_event").agg(
-        F.min("event_date").alias("event_date"), F.max("_rank").alias("_best"), F.count(F.lit(1)).alias("copies"),
+    own = F.concat(F.lit("signal "), F.col("signal_id").cast("string"))
+    entity = F.coalesce(norm_domain(F.col("entity_url")), norm_company(F.col("entity_name")))
+    keyed = signals.select(
+        "signal_id", "event_date", F.coalesce(fingerprint(F.col("text")), own).alias("_words"), F.try_element_at(rank, "confidence").alias("_rank"),
+        F.struct(entity.alias("entity"), F.col("signal_type").alias("type")).alias("_about"))
+    best = F.struct(-F.col("_rank"), F.col("event_date"), F.col("signal_id"))
+    said = keyed.groupBy("_words").agg(
+        F.min("event_date").alias("event_date"), F.max("_rank").alias("_rank"), F.count(F.lit(1)).alias("copies"),
+        F.min_by("signal_id", best).alias("signal_id"), F.min_by("_about", best).alias("_about"))
+    about = F.when(F.col("_about.entity").isNotNull() & F.col("_about.type").isNotNull() & F.col("event_date").isNotNull(), F.concat_ws("|", "_about.entity", "_about.type", "event_date"))
+    return said.groupBy(F.coalesce(about, F.concat(F.lit("words "), "_words")).alias("_event")).agg(
+        F.min("event_date").alias("event_date"), F.max("_rank").alias("_best"), F.sum("copies").alias("copies"),
         F.min_by("signal_id", F.struct(-F.col("_rank"), F.col("event_date"), F.col("signal_id"))).alias("signal_id"),
     ).select("signal_id", "event_date", F.try_element_at(names, "_best").alias("confidence"), "copies")
 

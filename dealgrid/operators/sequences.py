@@ -18,13 +18,17 @@ HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 100_000
 
 
+# Begins every stand-in for a null key.
+NO_KEY = "\u0001"
+
+
 def spread_nulls(key: Column, *by: str) -> Column:
     """A join key whose nulls spread over the partitions by other columns instead of meeting in one.
 
     The stand-ins start with a control character, so they match nothing.
     """
     part = F.pmod(F.xxhash64(*by), F.lit(997)).cast("string")
-    return F.coalesce(key.cast("string"), F.concat(F.lit("\u0001"), part))
+    return F.coalesce(key.cast("string"), F.concat(F.lit(NO_KEY), part))
 
 
 def ordered_history(

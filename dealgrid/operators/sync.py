@@ -8,18 +8,24 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dealgrid.operators.sequences import NO_KEY
+from dealgrid.session import cut_lineage
+
 
 def line_up(key: Sequence[str], sides: Mapping[str, DataFrame], cols: Mapping[str, Sequence[str]]) -> DataFrame:
     """One row per key with one struct per side, null where the side lacks the key.
 
-    The sides are stacked and grouped, so any number of sides costs one shuffle; each side must be
-    unique on the key.
+    The sides are stacked and grouped, so any number of sides costs one shuffle. A row without a key is
+    a row of its own; of rows of a side that share a key the largest is taken, and `n_<side>` counts them.
     """
     stacked = None
+    keyless = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in key))
     for name, df in sides.items():
-        part = df.select(*key, F.struct(F.lit(1).alias("_in"), *cols[name]).alias(name))
+        alone = F.when(keyless, F.concat(F.lit(f"{name}:"), F.monotonically_increasing_id().cast("string")))
+        part = df.select(*key, alone.alias("_alone"), F.struct(F.lit(1).alias("_in"), *cols[name]).alias(name))
         stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
-    return stacked.groupBy(*key).agg(*[F.max(name).alias(name) for name in sides])
+    counts = [F.count(name).alias(f"n_{name}") for name in sides]
+    return stacked.groupBy(*key, "_alone").agg(*[F.max(name).alias(name) for name in sides], *counts).drop("_alone")
 
 
 def refresh_merge(local: DataFrame, source: DataFrame, key: str, ownership: Mapping[str, str]) -> DataFrame:
@@ -36,33 +42,40 @@ def refresh_merge(local: DataFrame, source: DataFrame, key: str, ownership: Mapp
     return both.select(*out)
 
 
-def numbered_from(df: DataFrame, order: str, bucket: Column, start: Column, name: str) -> DataFrame:
-    """Dense numbers in `order` without one global sort: rank inside a bucket plus the bucket's offset.
+def numbered_from(df: DataFrame, order: Sequence[str], start: Column, name: str) -> DataFrame:
+    """Dense numbers in `order` of any sortable columns, without one global sort.
 
-    `bucket` must grow with `order`; the only window over everything sees one row per bucket.
+    Rows are cut into ranges, landed so that the cut stays, and numbered inside a range from the range's offset; the only
+    window over everything sees one row per range.
     """
-    cut = df.withColumn("_bucket", bucket)
-    counts = cut.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    offset = F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id())
+    ranges = cut_lineage(ranges, "numbered")
+    counts = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    offset = F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")
     counts = counts.withColumn("_before", offset).drop("_n")
-    ranked = cut.withColumn("_at", F.row_number().over(Window.partitionBy("_bucket").orderBy(order)))
+    ranked = ranges.withColumn("_at", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
     return (
-        ranked.join(counts, "_bucket").withColumn(name, start + F.col("_before") + F.col("_at"))
-        .drop("_bucket", "_at", "_before")
+        ranked.join(counts, "_range").withColumn(name, start + F.col("_before") + F.col("_at"))
+        .drop("_range", "_at", "_before")
     )
 
 
-def upsert_by_key(local: DataFrame, incoming: DataFrame, key: str, id_col: str, bucket_size: int = 65536) -> DataFrame:
-    """Update matches, give new rows the next local ids, never change an id that exists."""
+def upsert_by_key(local: DataFrame, incoming: DataFrame, key: str, id_col: str) -> DataFrame:
+    """Update matches, give new rows the next local ids in key order, never change an id that exists.
+
+    Keys may be of any type. Of incoming rows that share a key the largest counts; an incoming row without a key is new.
+    """
     value_cols = [c for c in local.columns if c not in (key, id_col)]
-    i = incoming.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in value_cols])
+    folded = incoming.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*value_cols)).alias("_v")).select(key, "_v.*")
+    incoming = folded.unionByName(incoming.filter(F.col(key).isNull()).select(key, *value_cols))
+    i = folded.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in value_cols])
     kept = local.join(i, F.col(key) == F.col("_key"), "left").select(
         id_col, key,
         *[F.when(F.col("_key").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in value_cols],
     )
     fresh = incoming.join(local.select(key), key, "left_anti").select(key, *value_cols)
     top = local.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("long").alias("top")).scalar()
-    fresh = numbered_from(fresh, key, F.floor(F.col(key) / bucket_size), top, id_col)
+    fresh = numbered_from(fresh, [key, *value_cols], top, id_col)
     return kept.unionByName(fresh.select(id_col, key, *value_cols))
 
 
@@ -70,7 +83,8 @@ def verify_sync(local: DataFrame, source: DataFrame, baseline: DataFrame, key: s
     """Class of every field of every record against the source and the last synced copy.
 
     Null equals null. IN-SYNC: equal; DRIFT: only the source moved; AHEAD: only we moved;
-    CONFLICT: both moved. A record missing on one side is compared as blank fields.
+    CONFLICT: both moved. A record missing on one side is compared as blank fields. Every row without
+    a key is reported by itself, and a key that a side holds more than once as DUPLICATE, with the numbers of rows.
     """
     lined = line_up([key], {"l": local, "s": source, "b": baseline}, dict.fromkeys(("l", "s", "b"), cols))
     fields = []
@@ -84,7 +98,12 @@ def verify_sync(local: DataFrame, source: DataFrame, baseline: DataFrame, key: s
             F.lit(col).alias("field"), kind.alias("sync_class"),
             mine.cast("string").alias("local_value"), theirs.cast("string").alias("source_value"),
         ))
-    return lined.select(key, F.explode(F.array(*fields)).alias("f")).select(key, "f.*")
+    twice = (F.col("n_l") > 1) | (F.col("n_s") > 1) | (F.col("n_b") > 1)
+    fields.append(F.when(twice, F.struct(
+        F.lit("(record)").alias("field"), F.lit("DUPLICATE").alias("sync_class"),
+        F.col("n_l").cast("string").alias("local_value"), F.col("n_s").cast("string").alias("source_value"),
+    )))
+    return lined.select(key, F.explode(F.array_compact(F.array(*fields))).alias("f")).select(key, "f.*")
 
 
 def push_diff(
@@ -164,9 +183,13 @@ def reconcile_three_way(
 def write_guard(
     before: DataFrame, after: DataFrame, key: str, source_id: str, modified: str, max_lost_share: float = 0.1
 ) -> DataFrame:
-    """Three checks on a write: rows lost, newer rows set back, ids renumbered."""
-    b = before.select(F.col(key).alias("b_id"), F.col(source_id).alias("_sid"), F.col(modified).alias("b_mod"))
-    a = after.select(F.col(key).alias("a_id"), F.col(source_id).alias("_sid"), F.col(modified).alias("a_mod"))
+    """Three checks on a write: rows lost, newer rows set back, ids renumbered.
+
+    Rows are compared by their source id, and by their local id where that is blank.
+    """
+    sid = F.coalesce(F.col(source_id).cast("string"), F.concat(F.lit(NO_KEY), F.col(key).cast("string")))
+    b = before.select(F.col(key).alias("b_id"), sid.alias("_sid"), F.col(modified).alias("b_mod"))
+    a = after.select(F.col(key).alias("a_id"), sid.alias("_sid"), F.col(modified).alias("a_mod"))
     both = b.join(a, "_sid", "full")
     counts = both.agg(
         F.count("b_id").alias("rows"),
@@ -183,10 +206,10 @@ def write_guard(
 
 
 def latest_record(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """Newest version of each record; folds on the map side instead of sorting each key."""
+    """Newest version of each record; folds on the map side instead of sorting each key. Rows without a key all stay."""
     rest = [c for c in df.columns if c != key]
-    newest = df.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r"))
-    return newest.select(key, "_r.*")
+    newest = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r"))
+    return newest.select(key, "_r.*").unionByName(df.filter(F.col(key).isNull()).select(key, *rest))
 
 
 def schema_merge(local: DataFrame, new: DataFrame) -> DataFrame:
@@ -198,7 +221,7 @@ def schema_merge(local: DataFrame, new: DataFrame) -> DataFrame:
     """
     key = ["registry", "column_name"]
     l = local.select(*key, *[F.col(c).alias(f"l_{c}") for c in ("column_no", "column_type", "enum_values", "owner", "verify")])
-    n = new.select(*key, *[F.col(c).alias(f"n_{c}") for c in ("column_no", "column_type", "enum_values", "owner", "verify", "owner_corrected")])
+    n = new.select(*key, *[F.col(c).alias(f"n_{c}") for c in ("column_no", "column_type", "enum_values", "owner", "verify", "owner_corrected", "verify_corrected")])
     both = l.join(n, key, "full")
     in_new, in_local = F.col("n_column_no").isNotNull(), F.col("l_column_no").isNotNull()
     both_enum = (F.col("n_column_type") == "enum") & (F.col("l_column_type") == "enum")
@@ -218,11 +241,11 @@ def schema_merge(local: DataFrame, new: DataFrame) -> DataFrame:
         return F.when(~in_new | keep, ours).otherwise(shipped), keep, fix, lost
 
     owner, owner_kept, owner_fixed, owner_lost = chosen("owner", F.coalesce("n_owner_corrected", F.lit(False)))
-    verify, verify_kept, _, _ = chosen("verify", F.lit(False))
+    verify, verify_kept, verify_fixed, verify_lost = chosen("verify", F.coalesce("n_verify_corrected", F.lit(False)))
     notes = F.array_compact(F.array(
         F.when(F.size(extra) > 0, F.lit("kept extra values")), F.when(owner_kept, F.lit("kept owner")),
         F.when(owner_fixed, F.lit("corrected owner")), F.when(owner_lost, F.lit("owner lost")),
-        F.when(verify_kept, F.lit("kept verify")), F.when(~in_local, F.lit("new column")),
+        F.when(verify_kept, F.lit("kept verify")), F.when(verify_fixed, F.lit("corrected verify")), F.when(verify_lost, F.lit("verify lost")), F.when(~in_local, F.lit("new column")),
         F.when(~in_new, F.lit("kept user column")),
     ))
     return both.select(

@@ -5,40 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dealgrid.functions.columns import NO_WORD
+
 
 def phrase_key(text: Column) -> Column:
-    """Lower-case words of a name, joined by single spaces."""
-    return F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", " "))
+    """Lower-case words of a name, joined by single spaces; null for a name without words."""
+    key = F.trim(F.regexp_replace(F.lower(text), NO_WORD, " "))
+    return F.when(key != "", key)
 
 
 def word_list(text: Column) -> Column:
     """All words of a whole text, lower-case and in order."""
-    return F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), NO_WORD), lambda w: w != "")
 
 
-def ngrams(words: Column, longest: int) -> Column:
-    """Distinct word sequences, from one word up to `longest` words, in one pass per length.
+def ngrams(words: Column, lengths: Column) -> Column:
+    """Distinct sequences of as many words as `lengths`, an array, lists.
 
     `words` must be a plain column: a computed list would be evaluated again at every use.
     """
-    grams, runs = words, words
-    for n in range(2, longest + 1):
-        later = F.slice(words, F.lit(n), F.greatest(F.size(words) - n + 1, F.lit(0)))
-        # Runs past the end pair with null and drop out.
-        runs = F.filter(F.zip_with(runs, later, lambda a, b: F.concat(a, F.lit(" "), b)), lambda g: g.isNotNull())
-        grams = F.concat(grams, runs)
-    return F.array_distinct(grams)
+    none = F.array().cast("array<string>")
+
+    def runs(n: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(words) - n + 1)
+        return F.when(n == 1, words).when(F.size(words) >= n, F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(none)
+
+    return F.array_distinct(F.flatten(F.transform(lengths, runs)))
 
 
-def term_hits(texts: DataFrame, key: str, text: str, terms: DataFrame, longest: int) -> DataFrame:
+def term_hits(texts: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
     """(key, term_id) for every term named in the whole text.
 
-    `terms` holds term_id and phrase. Texts explode to distinct word sequences and meet the terms in
-    an equi join; Spark broadcasts the terms where they are small and shuffles by phrase otherwise.
+    `terms` holds term_id and phrase, of any number of words in any script. Texts explode to the distinct word sequences of the lengths
+    that occur in the terms and meet them in an equi join; Spark broadcasts the terms where they are small and shuffles by phrase otherwise.
     """
-    wanted = terms.select("term_id", phrase_key(F.col("phrase")).alias("_gram")).filter(F.col("_gram") != "").distinct()
-    listed = texts.select(key, word_list(F.col(text)).alias("_words"))
-    grams = listed.select(key, F.explode(ngrams(F.col("_words"), longest)).alias("_gram"))
+    wanted = terms.select("term_id", phrase_key(F.col("phrase")).alias("_gram")).filter(F.col("_gram").isNotNull()).distinct()
+    # One small number for each length that occurs.
+    lengths = wanted.agg(F.collect_set(F.size(F.split("_gram", " "))).alias("n")).scalar()
+    listed = texts.select(key, word_list(F.col(text)).alias("_words"), lengths.alias("_lengths"))
+    grams = listed.select(key, F.explode(ngrams(F.col("_words"), F.col("_lengths"))).alias("_gram"))
     return grams.join(wanted, "_gram").select(key, "term_id").distinct()
 
 

@@ -152,15 +152,15 @@ d as (select group_id, count(*) as opportunities, count(*) filter (is_open) as s
   from o_conv join o_groups g on source = source_value and (g.detail is null or g.detail = source_detail) group by 1)
 select g.group_id, campaigns, started, cost, split_note, coalesce(leads, 0) as leads, coalesce(leads_contactable, 0) as leads_contactable, coalesce(leads_worked, 0) as leads_worked,
   coalesce(opportunities, 0) as opportunities, coalesce(still_open, 0) as still_open, coalesce(won, 0) as won, pipeline from o_groups g left join l using (group_id) left join d using (group_id)""",
-    "o_spellings": """
-select competitor_id as term_id, trim(regexp_replace(lower(p), '[^a-z0-9]+', ' ', 'g')) as phrase from (
-  select competitor_id, name as p from competitors union select competitor_id, trim(unnest(string_split(aliases, ';'))) from competitors)""",
-    "o_notes": """
-select opp_id, ' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' ' as padded from deal_notes""",
+    "o_spellings": r"""
+select * from (select competitor_id as term_id, trim(regexp_replace(lower(p), '[^\p{L}\p{M}\p{N}]+', ' ', 'g')) as phrase from (
+  select competitor_id, name as p from competitors union select competitor_id, trim(unnest(string_split(aliases, ';'))) from competitors)) where phrase <> ''""",
+    "o_notes": r"""
+select opp_id, ' ' || regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}]+', ' ', 'g') || ' ' as padded from deal_notes""",
     "o_mentions": """
 select distinct opp_id, term_id as competitor_id from o_notes join o_spellings on contains(padded, ' ' || phrase || ' ')""",
-    "o_sig_pad": """
-select signal_id, event_date, competitor_id, ' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' ' as padded from signals""",
+    "o_sig_pad": r"""
+select signal_id, event_date, competitor_id, ' ' || regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}]+', ' ', 'g') || ' ' as padded from signals""",
     "o_hits": """
 select distinct signal_id, watch_id from o_sig_pad join watchlist on contains(padded, ' ' || term || ' ') where kind not in ('Newsletter', 'Feed')""",
 }

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from dealgrid.functions.columns import word_tokens
 from dealgrid.operators import competitors as cp
-from dealgrid.plans.q_scalars import words_sql
+from dealgrid.operators.text_match import term_hits
+from dealgrid.plans.q_scalars import distance_sql, words_sql
 from dealgrid.plans.registry import Tables, query
 from dealgrid.plans.views import AS_OF
 
@@ -84,24 +85,21 @@ def _(t):
 
 @query("alias_candidates", f"""
 with w as (select distinct unnest({words_sql('text')}) as seen from deal_notes)
-select seen, phrase as candidate, levenshtein(seen, phrase) as distance from w join (select distinct phrase from o_spellings where length(phrase) >= 5) on levenshtein(seen, phrase) <= 2
-where length(seen) >= 5 and seen not in (select phrase from o_spellings)""")
+select seen, phrase as candidate, {distance_sql('seen', 'phrase')} as distance from w join (select distinct phrase from o_spellings) on {distance_sql('seen', 'phrase')} <= 2
+where seen not in (select phrase from o_spellings)""")
 def _(t):
     words = t.deal_notes.select(F.explode(word_tokens(F.col("text"))).alias("name"))
     return cp.alias_candidates(words, t.competitors)
 
 
-@query("competitor_first_seen", """
-select opp_id, term_id::bigint as competitor_id, min(day)::varchar as first_seen from (
-  select l.open_opp as opp_id, day, ' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' ' as padded from turns t join latest_open l on t.account = l.open_account)
-join (values (1, 'thth'), (2, 'onon'), (3, 'the this')) as s(term_id, phrase) on contains(padded, ' ' || phrase || ' ') group by 1, 2""")
+@query("competitor_first_seen", r"""
+select opp_id, term_id as competitor_id, min(day)::varchar as first_seen from (
+  select l.open_opp as opp_id, day, ' ' || regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}]+', ' ', 'g') || ' ' as padded from turns t join latest_open l on t.account = l.open_account)
+join o_spellings on contains(padded, ' ' || phrase || ' ') group by 1, 2""")
 def _(t):
-    from dealgrid.operators.text_match import term_hits
-
     said = t.turns.join(t.latest_open, F.col("account") == F.col("open_account")).select(
         F.struct(F.col("open_opp").alias("opp_id"), "day").alias("k"), "text")
-    names = t.spark.createDataFrame([(1, "thth"), (2, "onon"), (3, "the this")], "term_id long, phrase string")
-    hits = term_hits(said, "k", "text", names, 2).select("k.opp_id", F.col("term_id").alias("competitor_id"), "k.day")
+    hits = term_hits(said, "k", "text", cp.spellings(t.competitors)).select("k.opp_id", F.col("term_id").alias("competitor_id"), "k.day")
     return cp.competitor_first_seen(hits)
 
 

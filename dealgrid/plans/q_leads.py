@@ -46,16 +46,19 @@ def _(t):
     return leads.lead_triage(t.leads, AS_OF, [1, 2, 3])
 
 
-@query("match_leads", f"""
-with l as (select lead_id, case when lead_id % 4 = 0 then 'L' || lead_id end as crm_id, lower(email) as mail, {PERSON} as person from leads),
+MATCHED = f"""
+l as (select lead_id, case when lead_id % 4 = 0 then 'L' || lead_id end as crm_id, lower(email) as mail, {PERSON} as person from leads),
 i as (select lead_id + 5 as incoming_id, case when lead_id % 8 = 0 then 'L' || lead_id end as crm_id,
   lower(case when lead_id % 3 = 0 then null when lead_id % 7 = 0 then 'new' || email else email end) as mail, {PERSON.replace("(name)", "(case when lead_id % 11 = 0 then null else name end)")} as person from leads),
 a as (select crm_id, min(lead_id) as m, count(*) as n from l where crm_id is not null group by 1),
-b as (select mail, min(lead_id) as m, count(*) as n from l where mail is not null group by 1), c as (select person, min(lead_id) as m, count(*) as n from l group by 1)
-select incoming_id, case when a.m is not null then 'id' when b.m is not null then 'email' when c.m is not null then 'name and company' else 'none' end as match_tier,
-  coalesce(a.m, b.m, c.m) as candidate_id, case when a.m is not null then a.n when b.m is not null then b.n when c.m is not null then c.n else 0 end as candidates
-from i left join a on i.crm_id = a.crm_id left join b on i.mail = b.mail left join c on i.person = c.person""")
-def _(t):
+b as (select mail, min(lead_id) as m, count(*) as n from l where mail is not null group by 1), c as (select person, min(lead_id) as m, count(*) as n from l where person is not null group by 1),
+matched as (select incoming_id, case when a.m is not null then 'id' when b.m is not null then 'email' when c.m is not null then 'name and company' else 'none' end as match_tier,
+  coalesce(a.m, b.m, c.m) as candidate_id, case when a.m is not null then a.n when b.m is not null then b.n when c.m is not null then c.n else 0 end as candidates,
+  case when a.m is not null then i.crm_id when b.m is not null then i.mail when c.m is not null then i.person end as match_key
+from i left join a on i.crm_id = a.crm_id left join b on i.mail = b.mail left join c on i.person = c.person)"""
+
+
+def lead_sides(t):
     lid = F.col("lead_id")
     known = t.leads.select("lead_id", F.when(lid % 4 == 0, F.concat(F.lit("L"), lid)).alias("crm_id"), "email", "name", "company")
     incoming = t.leads.select(
@@ -63,12 +66,25 @@ def _(t):
         F.when(lid % 3 == 0, None).when(lid % 7 == 0, F.concat(F.lit("new"), "email")).otherwise(F.col("email")).alias("email"),
         F.when(lid % 11 == 0, None).otherwise(F.col("name")).alias("name"), "company",
     )
-    return leads.match_leads(incoming, known)
+    return incoming, known
+
+
+@query("match_leads", f"with {MATCHED} select * from matched")
+def _(t):
+    return leads.match_leads(*lead_sides(t))
+
+
+@query("match_candidates", f"""with {MATCHED},
+k as (select 'id' as match_tier, crm_id as match_key, lead_id from l union all select 'email', mail, lead_id from l union all select 'name and company', person, lead_id from l)
+select * from k where match_key is not null and (match_tier, match_key) in (select match_tier, match_key from matched where match_key is not null)""")
+def _(t):
+    incoming, known = lead_sides(t)
+    return leads.match_candidates(leads.match_leads(incoming, known), known)
 
 
 @query("duplicate_leads", f"""
 with k as (select lower(email) as k, lead_id, 'email' as tier from leads where email is not null
-  union all select {PERSON.replace("(name)", "('Person ' || (lead_id % 300))")}, lead_id, 'name and company' from leads)
+  union all select {PERSON.replace("(name)", "('Person ' || (lead_id % 300))")}, lead_id, 'name and company' from leads where {norm_name_sql("company")} is not null)
 select first_id, lead_id as other_id, tier from (select *, min(lead_id) over (partition by tier, k) as first_id from k) where lead_id > first_id""")
 def _(t):
     return leads.duplicate_leads(t.leads.withColumn("name", F.concat(F.lit("Person "), F.col("lead_id") % 300)))

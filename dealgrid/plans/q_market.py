@@ -6,17 +6,16 @@ from pyspark.sql import functions as F
 
 from dealgrid.operators import market
 from dealgrid.plans.q_deals import stalled
-from dealgrid.plans.q_scalars import norm_host_sql, norm_name_sql
+from dealgrid.plans.q_scalars import distance_sql, norm_host_sql, norm_name_sql
 from dealgrid.plans.registry import Tables, query
 from dealgrid.plans.views import AS_OF
 
-ACCT = "'Acct ' || account || case when account % 2 = 0 then ' Group' else ' LLC' end"
+ACCT = "case when account % 17 = 0 then 'Компания ' || (account % 7) when account % 19 = 0 then 'Holdings Inc' else 'Acct ' || account || case when account % 2 = 0 then ' Group' else ' LLC' end end"
 
 
 def named_accounts(t: Tables, only_domains_of: str = "true"):
     """Accounts under trading names; some have no known website."""
-    name = F.concat(F.lit("Acct "), F.col("account"), F.when(F.col("account") % 2 == 0, " Group").otherwise(" LLC"))
-    return t.accounts.select("account", name.alias("name"), F.when(F.expr(only_domains_of), F.col("website")).alias("website"))
+    return t.accounts.select("account", F.expr(ACCT).alias("name"), F.when(F.expr(only_domains_of), F.col("website")).alias("website"))
 
 
 @query("lens_filter", """
@@ -49,7 +48,7 @@ with a as (select account, case when segment <> 'BUILDING' then {norm_host_sql('
 ad as (select d, min(account) as da from a where d is not null group by 1), an as (select n, min(account) as na from a group by 1),
 s as (select signal_id, {norm_host_sql('entity_url')} as d, {norm_name_sql('entity_name')} as n from signals),
 j as (select s.*, da, na from s left join ad on s.d = ad.d left join an on s.n = an.n),
-near as (select n, min(cand) as cand from (select distinct j.n, an.n as cand from j join an on levenshtein(j.n, an.n) = 1 where da is null and j.na is null) group by 1)
+near as (select n, min(cand) as cand from (select distinct j.n, an.n as cand from j join an on {distance_sql('j.n', 'an.n')} = 1 where da is null and j.na is null) group by 1)
 select signal_id, coalesce(da, j.na, (select na from an where an.n = near.cand)) as account,
   case when da is not null then 'domain' when j.na is not null then 'name' when near.cand is not null then 'near name, review' else 'none' end as basis from j left join near on j.n = near.n""")
 def _(t):
@@ -61,9 +60,9 @@ with l as (select lead_id as id, case when email is not null and not bounced the
 r as (select account as id, case when segment = 'MACHINERY' then {norm_host_sql('website')} end as d, {norm_name_sql("'Acct ' || account || case when account % 2 = 0 then 'x' else '' end || ' Group'")} as n from accounts),
 rd as (select d, min(id) as did, count(*) as dc from r where d is not null group by 1), rn as (select n, min(id) as nid, count(*) as nc from r where n <> '' group by 1),
 j as (select l.*, did, dc, nid, nc from l left join rd on l.d = rd.d left join rn on l.n = rn.n),
-ln as (select n, min(id) as left_id, count(*) as lc from j where did is null and nid is null and length(n) >= 5 group by 1)
+ln as (select n, min(id) as left_id, count(*) as lc from j where did is null and nid is null group by 1)
 select id as left_id, coalesce(did, nid) as right_id, case when did is not null then 'domain' else 'name' end as basis, coalesce(dc, nc) as sharing, 0 as distance from j where did is not null or nid is not null
-union all select left_id, nid, 'near name, review', lc * nc, levenshtein(ln.n, rn.n) from ln join rn on levenshtein(ln.n, rn.n) = 1""")
+union all select left_id, nid, 'near name, review', lc * nc, {distance_sql('ln.n', 'rn.n')} from ln join rn on {distance_sql('ln.n', 'rn.n')} = 1""")
 def _(t):
     left = t.leads.select(F.col("lead_id").alias("id"), F.col("company").alias("name"), F.when(~F.col("bounced"), F.col("email")).alias("domain"))
     name = F.concat(F.lit("Acct "), F.col("account"), F.when(F.col("account") % 2 == 0, "x").otherwise(""), F.lit(" Group"))
@@ -79,11 +78,15 @@ def _(t):
     return market.signal_fit(t.signals, t.opportunities, t.accounts)
 
 
-@query("dedup_signals", r"""
-with k as (select signal_id, event_date, case confidence when 'Confirmed' then 3 when 'Reported' then 2 else 1 end as r,
-  list_sort(list_filter(list_distinct(string_split_regex(lower(text), '[^\p{L}\p{N}]+')), lambda w: w <> '')) as words from signals)
-select arg_min(signal_id, row(-r, event_date, signal_id)) as signal_id, min(event_date)::varchar as event_date, case max(r) when 3 then 'Confirmed' when 2 then 'Reported' else 'Rumour' end as confidence, count(*) as copies
-from k group by words""")
+@query("dedup_signals", rf"""
+with k as (select signal_id, event_date, case confidence when 'Confirmed' then 3 when 'Reported' then 2 else 1 end as r, signal_type,
+  coalesce({norm_host_sql('entity_url')}, {norm_name_sql('entity_name')}) as entity,
+  coalesce(nullif(array_to_string(list_sort(list_filter(list_distinct(string_split_regex(lower(text), '[^\p{{L}}\p{{M}}\p{{N}}]+')), lambda w: w <> '')), ' '), ''), 'signal ' || signal_id) as words from signals),
+said as (select words, min(event_date) as event_date, max(r) as r, count(*) as copies, arg_min(signal_id, row(-r, event_date, signal_id)) as signal_id,
+  arg_min(row(entity, signal_type), row(-r, event_date, signal_id)) as about from k group by 1),
+e as (select *, case when about[1] is not null then about[1] || '|' || about[2] || '|' || event_date else 'words ' || words end as event from said)
+select arg_min(signal_id, row(-r, event_date, signal_id)) as signal_id, min(event_date)::varchar as event_date, case max(r) when 3 then 'Confirmed' when 2 then 'Reported' else 'Rumour' end as confidence, sum(copies)::bigint as copies
+from e group by event""")
 def _(t):
     return market.dedup_signals(t.signals)
 

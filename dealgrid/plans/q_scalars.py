@@ -8,16 +8,25 @@ from dealgrid.functions import columns as fn
 from dealgrid.functions import text as tx
 from dealgrid.plans.registry import query
 
-SUFFIXES = "|".join(fn.COMPANY_NOISE)
 NORM_NAME = (
-    r"trim(regexp_replace(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'), '\b(" + SUFFIXES
-    + r")\b', ' ', 'g'), ' +', ' ', 'g'))"
+    r"nullif(array_to_string(list_filter(string_split_regex(lower({c}), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '' and w not in ("
+    + ", ".join(f"'{w}'" for w in fn.COMPANY_NOISE) + ")), ' '), '')"
 )
 NORM_HOST = (
     r"nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim({c})), "
     r"'^[a-z][a-z0-9+.-]*://', ''), '[/?#].*$', ''), '^.*@', ''), ':[0-9]+$', ''), '^www\.', ''), '')"
 )
-WORDS = r"list_filter(list_distinct(string_split_regex(lower({c}), '[^a-z0-9]+')), lambda w: w <> '')"
+WORDS = r"list_filter(list_distinct(string_split_regex(lower({c}), '[^\p{L}\p{M}\p{N}]+')), lambda w: w <> '')"
+
+
+# DuckDB measures edit distances in bytes: letters of several bytes that the tables hold get one each.
+WIDE = "éèêëçôàâùûîïäöüßñóíáúновыйркмпаиятэл日本"
+NARROW = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() or chr(c).isupper())[: len(WIDE)].replace("'", "''")
+
+
+def distance_sql(a: str, b: str) -> str:
+    """Edit distance in letters of two lower-case names."""
+    return f"levenshtein(translate({a}, '{WIDE}', '{NARROW}'), translate({b}, '{WIDE}', '{NARROW}'))"
 
 
 def norm_name_sql(column: str) -> str:
@@ -156,7 +165,7 @@ def _(t):
 
 
 @query("alias_match", r"""
-select note_id, regexp_matches(lower(text), '(^|[^a-z0-9])(thatin|orantion)($|[^a-z0-9])') as named from deal_notes""")
+select note_id, regexp_matches(lower(text), '(^|[^\p{L}\p{M}\p{N}])(thatin|orantion)($|[^\p{L}\p{M}\p{N}])') as named from deal_notes""")
 def _(t):
     return t.deal_notes.select(
         "note_id", fn.alias_match(F.col("text"), F.array(F.lit("Thatin"), F.lit("ORANTION"))).alias("named")
@@ -197,7 +206,7 @@ def _(t):
 
 
 @query("account_slug", r"""
-select signal_id, event_date::varchar || '-' || regexp_replace(regexp_replace(lower(entity_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as slug
+select signal_id, event_date::varchar || '-' || regexp_replace(regexp_replace(lower(entity_name), '[^\p{L}\p{M}\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g') as slug
 from signals""")
 def _(t):
     return t.signals.select("signal_id", fn.account_slug(F.col("event_date"), F.col("entity_name")).alias("slug"))
@@ -218,19 +227,19 @@ def _(t):
 select meeting_id, turn, role as speaker, case when role = 'assistant' then 'ours' else 'theirs' end as direction, text as quote,
   nullif(regexp_extract(lower(text), '(by|until) ([a-z]+)', 2), '') as due_words,
   nullif(regexp_extract(lower(text), '(by|until) ([a-z]+)', 2), '') is null as needs_review
-from turns where role <> 'system' and regexp_matches(lower(text), '(^|[^a-z0-9])(with the|will|the of)($|[^a-z0-9])')""")
+from turns where role <> 'system' and regexp_matches(lower(text), '(^|[^\p{L}\p{M}\p{N}])(with the|will|the of)($|[^\p{L}\p{M}\p{N}])')""")
 def _(t):
-    return tx.commitment_extract(t.turns, promise=r"(^|[^a-z0-9])(with the|will|the of)($|[^a-z0-9])", due=r"(by|until) ([a-z]+)")
+    return tx.commitment_extract(t.turns, promise=r"(^|[^\p{L}\p{M}\p{N}])(with the|will|the of)($|[^\p{L}\p{M}\p{N}])", due=r"(by|until) ([a-z]+)")
 
 
 @query("signal_phrases", r"""
 select meeting_id, turn, role as speaker, tag, quote from (
-  select meeting_id, turn, role, 'risk' as tag, text as quote from turns where regexp_matches(lower(text), '(^|[^a-z0-9])(er|by)($|[^a-z0-9])')
-  union all select meeting_id, turn, role, 'positive', text from turns where regexp_matches(lower(text), '(^|[^a-z0-9])(this|les)($|[^a-z0-9])')
-  union all select meeting_id, turn, role, 'churn', text from turns where regexp_matches(lower(text), '(^|[^a-z0-9])(from|von)($|[^a-z0-9])')
-  union all select meeting_id, turn, role, 'expansion', text from turns where regexp_matches(lower(text), '(^|[^a-z0-9])(are|und)($|[^a-z0-9])'))""")
+  select meeting_id, turn, role, 'risk' as tag, text as quote from turns where regexp_matches(lower(text), '(^|[^\p{L}\p{M}\p{N}])(er|by)($|[^\p{L}\p{M}\p{N}])')
+  union all select meeting_id, turn, role, 'positive', text from turns where regexp_matches(lower(text), '(^|[^\p{L}\p{M}\p{N}])(this|les)($|[^\p{L}\p{M}\p{N}])')
+  union all select meeting_id, turn, role, 'churn', text from turns where regexp_matches(lower(text), '(^|[^\p{L}\p{M}\p{N}])(from|von)($|[^\p{L}\p{M}\p{N}])')
+  union all select meeting_id, turn, role, 'expansion', text from turns where regexp_matches(lower(text), '(^|[^\p{L}\p{M}\p{N}])(are|und)($|[^\p{L}\p{M}\p{N}])'))""")
 def _(t):
     patterns = {
-        "risk": r"(^|[^a-z0-9])(er|by)($|[^a-z0-9])", "positive": r"(^|[^a-z0-9])(this|les)($|[^a-z0-9])", "churn": r"(^|[^a-z0-9])(from|von)($|[^a-z0-9])", "expansion": r"(^|[^a-z0-9])(are|und)($|[^a-z0-9])",
+        "risk": r"(^|[^\p{L}\p{M}\p{N}])(er|by)($|[^\p{L}\p{M}\p{N}])", "positive": r"(^|[^\p{L}\p{M}\p{N}])(this|les)($|[^\p{L}\p{M}\p{N}])", "churn": r"(^|[^\p{L}\p{M}\p{N}])(from|von)($|[^\p{L}\p{M}\p{N}])", "expansion": r"(^|[^\p{L}\p{M}\p{N}])(are|und)($|[^\p{L}\p{M}\p{N}])",
     }
     return tx.signal_phrases(t.turns, patterns)

@@ -16,13 +16,17 @@ FIELDS = ("owner", "amount", "stage", "close_date")
 def drift_sql(field: str, kind: str) -> str:
     return f"""select opp_id, '{field}' as field, case when l.{field} is not distinct from s.{field} then 'IN-SYNC' when l.{field} is not distinct from b.{field} then 'DRIFT'
   when s.{field} is not distinct from b.{field} then 'AHEAD' else 'CONFLICT' end as sync_class, l.{field}::varchar as local_value, s.{field}::varchar as source_value
-from ids left join opp_local l using (opp_id) left join opp_cur s using (opp_id) left join opp_prev b using (opp_id)"""
+from ids left join local l using (opp_id) left join opp_cur s using (opp_id) left join opp_prev b using (opp_id)
+union all select null, '{field}', case when {field} is null then 'IN-SYNC' else 'AHEAD' end, {field}::varchar, null from opp_loose where opp_id is null"""
 
 
-@query("verify_sync", "with ids as (select opp_id from opp_local union select opp_id from opp_cur union select opp_id from opp_prev)\n"
-       + "\nunion all ".join(drift_sql(f, "") for f in FIELDS))
+@query("verify_sync", """
+with local as (select * from (select *, row_number() over (partition by opp_id order by amount desc) as rn, count(*) over (partition by opp_id) as n from opp_loose where opp_id is not null) where rn = 1),
+ids as (select opp_id from local union select opp_id from opp_cur union select opp_id from opp_prev)
+""" + "\nunion all ".join(drift_sql(f, "") for f in FIELDS) + """
+union all select opp_id, '(record)', 'DUPLICATE', n::varchar, case when opp_id in (select opp_id from opp_cur) then '1' else '0' end from local where n > 1""")
 def _(t):
-    return sync.verify_sync(t.opp_local, t.opp_cur, t.opp_prev, "opp_id", FIELDS)
+    return sync.verify_sync(t.opp_loose, t.opp_cur, t.opp_prev, "opp_id", FIELDS)
 
 
 @query("refresh_merge", """
@@ -35,15 +39,22 @@ def _(t):
     return sync.refresh_merge(local, t.opp_cur, "opp_id", {"owner": "crm", "amount": "crm", "stage": "crm", "close_date": "local", "notes": "local"})
 
 
-@query("upsert_by_key", """
-with local as (select opp_id as crm_key, opp_id + 100 as local_no, amount, stage from opp_prev),
-fresh as (select opp_id as crm_key, amount, stage, row_number() over (order by opp_id) as n from opp_cur where opp_id not in (select opp_id from opp_prev))
-select l.local_no, l.crm_key, coalesce(c.amount, l.amount)::double as amount, coalesce(c.stage, l.stage) as stage from local l left join opp_cur c on l.crm_key = c.opp_id
+CRM_KEY = "'00' || opp_id % 10 || 'b' || opp_id"
+
+
+@query("upsert_by_key", f"""
+with local as (select {CRM_KEY} as crm_key, opp_id + 100 as local_no, amount, stage from opp_prev),
+incoming as (select case when opp_id % 29 = 0 then null else {CRM_KEY} end as crm_key, amount, stage from opp_cur),
+fresh as (select *, row_number() over (order by crm_key nulls first, amount, stage) as n from incoming where crm_key is null or crm_key not in (select crm_key from local))
+select l.local_no, l.crm_key, coalesce(c.amount, l.amount)::double as amount, coalesce(c.stage, l.stage) as stage from local l left join incoming c on l.crm_key = c.crm_key
 union all select (select max(local_no) from local) + n, crm_key, amount::double, stage from fresh""")
 def _(t):
-    local = t.opp_prev.select((F.col("opp_id") + 100).alias("local_no"), F.col("opp_id").alias("crm_key"), "amount", "stage")
-    incoming = t.opp_cur.select(F.col("opp_id").alias("crm_key"), "amount", "stage")
-    return sync.upsert_by_key(local, incoming, "crm_key", "local_no", bucket_size=1000)
+    local = t.opp_prev.select((F.col("opp_id") + 100).alias("local_no"), F.expr(CRM_KEY).alias("crm_key"), "amount", "stage")
+    key = F.when(F.col("opp_id") % 29 != 0, F.expr(CRM_KEY))
+    incoming = t.opp_cur.select(key.alias("crm_key"), "amount", "stage")
+    # Older copies of a third of the rows come along.
+    older = t.opp_cur.filter("opp_id % 3 = 0 and opp_id % 29 <> 0").select(key.alias("crm_key"), (F.col("amount") - 1).cast("decimal(18,2)").alias("amount"), "stage")
+    return sync.upsert_by_key(local, incoming.unionByName(older), "crm_key", "local_no")
 
 
 @query("push_diff", """
@@ -85,12 +96,12 @@ def _(t):
 
 
 @query("write_guard", """
-with b as (select opp_id, 'C' || opp_id as sid, created as m from opportunities),
-a as (select case when opp_id % 101 = 0 then opp_id + 1 else opp_id end as opp_id, 'C' || opp_id as sid, case when opp_id % 77 = 0 then created - 3 else created end as m from opportunities where stage <> 'Closed Lost'),
+with b as (select opp_id, case when opp_id % 19 = 0 then 'local ' || opp_id else 'C' || opp_id end as sid, created as m from opportunities),
+a as (select case when opp_id % 101 = 0 then opp_id + 1 else opp_id end as opp_id, case when opp_id % 19 = 0 then 'local ' || case when opp_id % 101 = 0 then opp_id + 1 else opp_id end else 'C' || opp_id end as sid, case when opp_id % 77 = 0 then created - 3 else created end as m from opportunities where stage <> 'Closed Lost'),
 c as (select count(b.opp_id) as n_rows, count(*) filter (a.opp_id is null) as lost, count(*) filter (a.m < b.m) as reverted, count(*) filter (a.opp_id <> b.opp_id) as renumbered from b full join a using (sid))
 select 'rows lost' as "check", lost as n, lost <= n_rows * 0.1 as ok from c union all select 'edits reverted', reverted, reverted = 0 from c union all select 'ids renumbered', renumbered, renumbered = 0 from c""")
 def _(t):
-    before = t.opportunities.select("opp_id", F.concat(F.lit("C"), F.col("opp_id")).alias("sid"), F.col("created").alias("m"), "stage")
+    before = t.opportunities.select("opp_id", F.when(F.col("opp_id") % 19 != 0, F.concat(F.lit("C"), F.col("opp_id"))).alias("sid"), F.col("created").alias("m"), "stage")
     oid = F.col("opp_id")
     after = before.filter("stage <> 'Closed Lost'").select(
         F.when(oid % 101 == 0, oid + 1).otherwise(oid).alias("opp_id"), "sid",
@@ -101,22 +112,24 @@ def _(t):
 
 @query("latest_record", """
 select opp_id, day::varchar as day, line, part_no, supp_no, stage, close_date::varchar as close_date, amount::double as amount, currency from (
-  select *, row_number() over (partition by opp_id order by day desc, line desc, part_no desc, supp_no desc, close_date desc, amount desc) as rn from opp_history) where rn = 1""")
+  select *, row_number() over (partition by opp_id order by day desc, line desc, part_no desc, supp_no desc, close_date desc, amount desc) as rn
+  from (select * replace (case when part_no % 50 = 0 then null else opp_id end as opp_id) from opp_history)) where rn = 1 or opp_id is null""")
 def _(t):
-    return sync.latest_record(t.opp_history, "opp_id", ["day", "line", "part_no", "supp_no", "close_date", "amount"])
+    feed = t.opp_history.withColumn("opp_id", F.when(F.col("part_no") % 50 != 0, F.col("opp_id")))
+    return sync.latest_record(feed, "opp_id", ["day", "line", "part_no", "supp_no", "close_date", "amount"])
 
 
 @query("schema_merge", """
 with j as (select coalesce(l.registry, n.registry) as registry, coalesce(l.column_name, n.column_name) as column_name, l.column_no as ln, n.column_no as nn, l.column_type as lt, n.column_type as nt,
-    l.enum_values as lv, n.enum_values as nv, l.owner as lo, n.owner as no_, l.verify as lver, n.verify as nver, coalesce(n.owner_corrected, false) as fix
+    l.enum_values as lv, n.enum_values as nv, l.owner as lo, n.owner as no_, l.verify as lver, n.verify as nver, coalesce(n.owner_corrected, false) as fix, coalesce(n.verify_corrected, false) as vfix
   from schema_local l full join schema_new n on l.registry = n.registry and l.column_name = n.column_name),
 x as (select *, case when lt = 'enum' and nt = 'enum' then list_filter(string_split(lv, ';'), lambda v: not list_contains(string_split(nv, ';'), v)) else [] end as extra,
   coalesce(nn is not null and ln is not null and lo <> no_, false) as odiff, coalesce(nn is not null and ln is not null and lver <> nver, false) as vdiff,
   nn is not null and ln is not null and lo is not null and no_ is null as olost from j)
 select registry, column_name, coalesce(nt, lt) as column_type, case when nn is null then lv when len(extra) > 0 then nv || ';' || array_to_string(extra, ';') else nv end as enum_values,
-  case when nn is null or (odiff and not fix) then lo else no_ end as owner, case when nn is null or vdiff then lver else nver end as verify, nn is null as at_end, coalesce(nn, ln) as column_no,
+  case when nn is null or (odiff and not fix) then lo else no_ end as owner, case when nn is null or (vdiff and not vfix) then lver else nver end as verify, nn is null as at_end, coalesce(nn, ln) as column_no,
   array_to_string(list_filter([case when len(extra) > 0 then 'kept extra values' end, case when odiff and not fix then 'kept owner' end, case when odiff and fix then 'corrected owner' end,
-    case when olost then 'owner lost' end, case when vdiff then 'kept verify' end, case when ln is null then 'new column' end, case when nn is null then 'kept user column' end], lambda v: v is not null), ',') as notes
+    case when olost then 'owner lost' end, case when vdiff and not vfix then 'kept verify' end, case when vdiff and vfix then 'corrected verify' end, case when nn is not null and ln is not null and lver is not null and nver is null then 'verify lost' end, case when ln is null then 'new column' end, case when nn is null then 'kept user column' end], lambda v: v is not null), ',') as notes
 from x""")
 def _(t):
     return sync.schema_merge(t.schema_local, t.schema_new)

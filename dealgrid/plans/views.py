@@ -66,6 +66,9 @@ select opp_id, account, owner,
   case when opp_id % 22 = 0 then 'Validate' else stage end as stage, close_date,
   'note ' || opp_id as notes, 'OPP-' || opp_id as local_id
 from opp_prev""",
+    "opp_loose": """
+select case when opp_id % 17 = 0 then null else opp_id end as opp_id, owner, amount, stage, close_date from opp_local
+union all select opp_id, owner, cast(amount + 1 as decimal(18,2)) as amount, stage, close_date from opp_local where opp_id % 23 = 0 and opp_id % 17 > 0""",
     "opp_history": """
 select l_orderkey as opp_id, cast(l_shipdate as date) as day, cast(l_linenumber as bigint) as line, l_partkey as part_no, l_suppkey as supp_no,
   case l_linenumber when 1 then 'Qualify' when 2 then 'Discovery' when 3 then 'Validate' when 4 then 'Proposal'
@@ -181,7 +184,7 @@ union all
 select opp_id, 'ghost' || min(person) || '@acct' || min(account) || '.example.com' as email, min(person) as person
 from activity where opp_id is not null and opp_id % 3 = 0 group by opp_id""",
     "leads": """
-select c.c_custkey as lead_id, c.c_name as name, 'Acct ' || (c.c_custkey % 200) || ' Inc.' as company,
+select c.c_custkey as lead_id, c.c_name as name, case when c.c_custkey % 25 = 0 then null when c.c_custkey % 25 = 1 then 'Group, Inc.' else 'Acct ' || (c.c_custkey % 200) || ' Inc.' end as company,
   case when c.c_custkey % 9 = 0 then null else 'lead' || (c.c_custkey % 700) || '@acct' || (c.c_custkey % 200) || '.example.com' end as email,
   cast(c.c_nationkey as bigint) as owner, case when c.c_custkey % 12 = 0 then null else c.c_custkey % 12 end as source,
   c.c_custkey % 24 as source_detail,
@@ -206,10 +209,10 @@ select cast(campaign_id as bigint) as campaign_id, cast(source_value as bigint)
   as c(campaign_id, source_value, detail, cost, started)""",
     "competitors": """
 select cast(competitor_id as bigint) as competitor_id, name, aliases, tier, cast(researched as date) as researched from (values
-  (1, 'Thatin', 'thatin;that in', 'Primary', '2001-07-10'), (2, 'Ononst', 'ononst;onst', 'Primary', '2001-07-20'),
+  (1, 'Thatin', 'thatin;that in;thth', 'Primary', '2001-07-10'), (2, 'Ononst', 'ononst;onst;the this', 'Primary', '2001-07-20'),
   (3, 'Inoran', 'inoran', 'Secondary', '2001-07-15'), (4, 'Orantion', 'orantion;orantoin', 'Primary', '2001-08-01'),
   (5, 'Hehely', 'hehely', 'Secondary', '2001-07-05'), (6, 'Thtion Ertion', 'thtion;attion', 'Primary', '2001-07-25'),
-  (7, 'Erkeit', 'erkeit;er keit', 'Watch', '2001-06-30')) as c(competitor_id, name, aliases, tier, researched)""",
+  (7, 'Erkeit', 'erkeit;er keit', 'Watch', '2001-06-30'), (8, 'Ouwhea The Of', 'rend and threlyes ofthstthor nd;новый рынок;...', 'Watch', '2001-06-30')) as c(competitor_id, name, aliases, tier, researched)""",
     "deal_notes": "select doc_id as note_id, doc_id * 7 as opp_id, text from {documents}",
     "signals": """
 select doc_id as signal_id, date '2001-07-03' + cast(doc_id % 30 as int) as event_date,
@@ -226,15 +229,18 @@ select doc_id as signal_id, date '2001-07-03' + cast(doc_id % 30 as int) as even
   case when doc_id % 4 = 1 then 'yes' else 'no' end as content_reviewed,
   case when doc_id % 8 = 1 then 'no standing' end as declined_reason,
   'http://www.acct' || (doc_id % 150) || '.example.com/news/' || doc_id as entity_url,
-  'Acct ' || (doc_id % 150) || case when doc_id % 3 = 0 then ' Corporation' when doc_id % 3 = 1 then ', Inc.' else 's' end as entity_name,
+  case when doc_id % 11 = 0 then 'ООО «Компания ' || (doc_id % 7) || '»' when doc_id % 13 = 0 then 'The Group' when doc_id % 17 = 0 then '日本' || (doc_id % 5) when doc_id % 19 = 0 then null
+    else 'Acct ' || (doc_id % 150) || case when doc_id % 3 = 0 then ' Corporation' when doc_id % 3 = 1 then ', Inc.' else 's' end end as entity_name,
   case doc_id % 5 when 0 then 'AUTOMOBILE' when 1 then 'BUILDING' when 2 then 'FURNITURE' when 3 then 'MACHINERY' else 'HOUSEHOLD' end as tag_segment,
-  'size' || (doc_id % 4) as tag_size, 'interest' || (doc_id % 10) as tag_interest, text
+  'size' || (doc_id % 4) as tag_size, 'interest' || (doc_id % 10) as tag_interest,
+  case when doc_id % 10 = 3 then text || ' Это новый рынок, Élan vital.' when doc_id % 50 = 7 then '' when doc_id % 50 = 8 then ' ... !' when doc_id % 50 = 9 then null else text end as text
 from {documents}""",
     "watchlist": """
 select cast(watch_id as bigint) as watch_id, kind, term, lens, evidence_ref from (values
   (1, 'Account', 'thatin', 'deal', null), (2, 'Technology', 'ononst', 'content', 'row 4'), (3, 'Regulation', 'orantion', 'both', 'row 7'),
   (4, 'Technology', 'inoran', null, null), (5, 'Newsletter', 'hehely', 'deal', null), (6, 'Person', 'that in', 'deal', null),
-  (7, 'Technology', 'zzzqqq', 'content', null)) as w(watch_id, kind, term, lens, evidence_ref)""",
+  (7, 'Technology', 'zzzqqq', 'content', null), (8, 'Account', 'ouwhea the of', 'both', 'row 8'), (9, 'Technology', 'and threlyes ofthstthor nd', 'deal', null),
+  (10, 'Technology', 'rend and threlyes ofthstthor nd', 'deal', null), (11, 'Account', 'новый рынок', 'content', 'row 9'), (12, 'Person', 'élan', null, null)) as w(watch_id, kind, term, lens, evidence_ref)""",
     "content_opps": """
 select doc_id as content_id, doc_id as signal_id, date '2001-07-03' + cast(doc_id % 30 as int) as logged,
   case doc_id % 4 when 0 then 'Hours' when 1 then 'Days' when 2 then 'Weeks' else 'Evergreen' end as perishability,
@@ -316,7 +322,7 @@ from {part} where p_size > 8""",
 select p_brand as registry, p_partkey as column_no, 'col_' || p_partkey as column_name,
   case p_partkey % 6 when 0 then 'enum' when 3 then 'enum' when 1 then 'date' else 'string' end as column_type,
   case when p_partkey % 3 = 0 then 'a;b;c' end as enum_values,
-  case when p_partkey % 7 = 0 then null else 'crm' end as owner, 'no' as verify, p_partkey % 10 = 1 as owner_corrected
+  case when p_partkey % 7 = 0 then null else 'crm' end as owner, 'no' as verify, p_partkey % 10 = 1 as owner_corrected, p_partkey % 15 = 5 as verify_corrected
 from {part} where p_size < 42""",
     "manifest_new": "select doc_id as obj, source as section, sha2(text, 256) as hash from {documents} where source <> 'src5'",
     "manifest_cur": """
