@@ -57,16 +57,37 @@ def parse_mixed_bool(text: Column) -> Column:
 
 
 def parse_money(text: Column) -> Column:
-    """Amount without currency signs and thousand marks, as decimal(18,2)."""
-    return F.regexp_replace(text, r"[^0-9.-]", "").try_cast("decimal(18,2)")
+    """Amount without currency signs and thousand marks, as decimal(18,2).
+
+    Brackets and a minus on either side are negative. Of comma and point the later one is the decimal mark; a lone comma
+    before groups of three digits parts thousands, before one or two digits decimals. Repeated points part thousands. Anything else is null.
+    """
+    bare = F.regexp_replace(text, r"[^0-9.,()\u2212-]", "")
+    negative = bare.rlike(r"^\(.*\)$|^[-\u2212]|[-\u2212]$")
+    digits = F.regexp_replace(bare, r"^[-\u2212(]+|[-\u2212)]+$", "")
+    plain = (
+        F.when(digits.rlike(r"^[0-9]{1,3}(,[0-9]{3})+(\.[0-9]*)?$"), F.replace(digits, F.lit(","), F.lit("")))
+        .when(digits.rlike(r"^[0-9]{1,3}(\.[0-9]{3})+,[0-9]*$"), F.replace(F.replace(digits, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
+        .when(digits.rlike(r"^[0-9]{1,3}(\.[0-9]{3}){2,}$"), F.replace(digits, F.lit("."), F.lit("")))
+        .when(digits.rlike(r"^[0-9]+,[0-9]{1,2}$"), F.replace(digits, F.lit(","), F.lit(".")))
+        .when(digits.rlike(r"^[0-9]*\.?[0-9]+$|^[0-9]+\.$"), digits)
+    )
+    amount = plain.try_cast("decimal(18,2)")
+    return F.when(negative, -amount).otherwise(amount).cast("decimal(18,2)")
 
 
 def norm_record_id(value: Column, form: str = "short") -> Column:
-    """Source ids come in a 15- and an 18-character form of the same record."""
+    """Source ids come in a 15- and an 18-character form of the same record; the last three tell which letters are capitals."""
     text = F.trim(value)
     if form == "short":
         return F.when(F.length(text) == 18, F.substring(text, 1, 15)).otherwise(text)
-    return text
+    # Fixed value: the letters that stand for the capitals among five characters, the first counting one.
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ012345"
+    marks = []
+    for start in (1, 6, 11):
+        bits = sum((F.when(F.substring(text, start + i, 1).rlike("[A-Z]"), 1 << i).otherwise(0) for i in range(5)), F.lit(0))
+        marks.append(F.substring(F.lit(letters), bits + 1, F.lit(1)))
+    return F.when(F.length(text) == 15, F.concat(text, *marks)).otherwise(text)
 
 
 def format_local_id(prefix: str, width: int, number: Column) -> Column:

@@ -93,8 +93,8 @@ def stale_battlecards(competitors: DataFrame, signals: DataFrame, voiding: Seque
         F.bool_or(F.col("impact").isin(*voiding)).alias("voids_win_theme"))
 
 
-def card_changes(signals: DataFrame, competitors: DataFrame, k: int = 5) -> DataFrame:
-    """The newest signals since each card was written."""
+def card_changes(signals: DataFrame, competitors: DataFrame, k: int | None = None) -> DataFrame:
+    """The signals since each card was written, newest first; the newest `k` where that is given."""
     since = signals.join(competitors.select("competitor_id", "researched"), "competitor_id").filter(F.col("event_date") > F.col("researched"))
     top = top_per_key(since.select("competitor_id", "signal_id", "event_date", "impact"), ["competitor_id"], [F.col("event_date").desc(), F.col("signal_id")], k)
     return top.select("competitor_id", "rank", "signal_id", "event_date", "impact")

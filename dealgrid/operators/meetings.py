@@ -96,9 +96,9 @@ def unowned_meetings(calendar: DataFrame, roster: DataFrame, absences: DataFrame
 
 def meeting_prep(
     calendar: DataFrame, opps: DataFrame, contacts: DataFrame, signals: DataFrame, commitments: DataFrame, mentions: DataFrame,
-    cards: DataFrame, as_of: str,
+    cards: DataFrame, as_of: str, k: int | None = None,
 ) -> DataFrame:
-    """Each meeting of the day with deal state, people, newest account signals, open promises and overtaken battlecards.
+    """Each meeting of the day with deal state, people, the account signals of the last 30 days, newest first, open promises and overtaken battlecards.
 
     Every side folds to one row per deal or account before it joins.
     """
@@ -108,7 +108,7 @@ def meeting_prep(
     people = contacts.groupBy("opp_id").agg(F.count(F.lit(1)).alias("people"), F.count_if("replied").alias("engaged"))
     recent = signals.filter(F.col("related_account").isNotNull() & F.col("event_date").between(F.date_sub(day, 30), day)).select(
         F.col("related_account").alias("account"), "event_date", "signal_id", "signal_type")
-    news = top_per_key(recent, ["account"], [F.col("event_date").desc(), F.col("signal_id")], 3).groupBy("account").agg(
+    news = top_per_key(recent, ["account"], [F.col("event_date").desc(), F.col("signal_id")], k).groupBy("account").agg(
         F.array_sort(F.collect_list(F.struct("rank", "signal_id", "signal_type"))).alias("_news"))
     owed = commitments.filter((F.col("status") == "Open") & (F.col("due") < day)).groupBy("account").agg(
         F.count_if(F.col("direction") == "ours").alias("we_owe"), F.count_if(F.col("direction") == "theirs").alias("they_owe"))

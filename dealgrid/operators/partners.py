@@ -100,7 +100,7 @@ def with_territory(submissions: DataFrame, partners: DataFrame) -> DataFrame:
     ).distinct()
     named = pairs.select(F.col("_account").alias("_named")).distinct()
     exclusive = (
-        partners.filter(F.col("exclusive_territory").isNotNull()).groupBy(F.col("exclusive_territory").alias("_area"))
+        partners.select("partner_id", F.explode(split_list(F.col("exclusive_territory"))).alias("_area")).groupBy("_area")
         .agg(F.min("partner_id").alias("_xlow"), F.max("partner_id").alias("_xhigh"))
     )
     j = (
@@ -242,12 +242,12 @@ def tier_attribution(opps: DataFrame, regs: DataFrame) -> DataFrame:
 
 
 def route_deal(
-    opps: DataFrame, accounts: DataFrame, partners: DataFrame, regs: DataFrame, as_of: str, role: str = "Reseller", k: int = 3
+    opps: DataFrame, accounts: DataFrame, partners: DataFrame, regs: DataFrame, as_of: str, role: str = "Reseller", k: int | None = None
 ) -> DataFrame:
-    """The best partners for each open deal without one: a partner the account already has first, then by net.
+    """The partners for each open deal without one, best first: a partner the account already has, then by net.
 
-    The candidates of a territory are ranked once per country and segment, and the known partners once
-    per account; a deal then chooses among at most `2 * k`.
+    All are listed unless `k` is given. The candidates of a territory are ranked once per country and segment, and the known
+    partners once per account; with a `k` a deal then chooses among at most `2 * k`.
     """
     able = partners.filter(
         (F.col("enabled_until") >= F.lit(as_of).cast("date")) & list_permits(split_list(F.col("roles_supported")), F.lit(role))

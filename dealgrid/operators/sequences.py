@@ -132,7 +132,8 @@ def asof_by_day(
     return left.join(found.withColumnRenamed("_day", left_day), [*keys, left_day], "left")
 
 
-def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
-    """The first `k` rows of each key. Spark cuts each task's rows to `k` per key before the shuffle."""
+def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | None, rank: str = "rank") -> DataFrame:
+    """The first `k` rows of each key, all of them without a `k`. Spark cuts each task's rows to `k` per key before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
+    ranked = df.withColumn(rank, F.row_number().over(w))
+    return ranked if k is None else ranked.filter(F.col(rank) <= k)

@@ -48,15 +48,19 @@ def task_dedup(new_tasks: DataFrame, open_tasks: DataFrame) -> DataFrame:
 
 
 def task_caps(candidates: DataFrame, caps: Mapping[str, int]) -> DataFrame:
-    """At most the rule's daily cap of tasks, best first.
+    """At most the rule's daily cap of tasks, best first; a rule without a cap keeps all its candidates.
 
-    The literal bound on the rank lets every task cut its rows before the shuffle, however many
+    For capped rules the literal bound on the rank lets every task cut its rows before the shuffle, however many
     candidates one rule has.
     """
-    cap = F.create_map(*[F.lit(x) for pair in caps.items() for x in pair])
     w = Window.partitionBy("rule_id", "day").orderBy(F.col("score").desc(), F.col("record_id"))
-    ranked = candidates.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max(caps.values()))
-    return ranked.filter(F.col("rank") <= F.try_element_at(cap, "rule_id"))
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(w))
+    if not caps:
+        return ranked(candidates)
+    cap = F.create_map(*[F.lit(x) for pair in caps.items() for x in pair])
+    capped = F.coalesce(F.col("rule_id").isin(*caps), F.lit(False))
+    bounded = ranked(candidates.filter(capped)).filter(F.col("rank") <= max(caps.values()))
+    return bounded.filter(F.col("rank") <= F.try_element_at(cap, "rule_id")).unionByName(ranked(candidates.filter(~capped)))
 
 
 def tasks_due(tasks: DataFrame, as_of: str) -> DataFrame:
@@ -192,13 +196,18 @@ def provenance_impact(links: DataFrame, bad_ids: DataFrame) -> DataFrame:
         reached = reached.unionByName(frontier)
 
 
-def roster_from_hierarchy(users: DataFrame, root: int, depth: int) -> DataFrame:
-    """Everyone under a manager down to `depth` levels; leavers drop out but their reports stay."""
-    level = users.filter(F.col("manager") == root).select(F.col("user_id").alias("rep"), "manager", "active", F.lit(1).alias("level"))
-    found = [level]
-    for n in range(2, depth + 1):
+def roster_from_hierarchy(users: DataFrame, root: int, depth: int | None = None) -> DataFrame:
+    """Everyone under a manager, down to `depth` levels where that is given; leavers drop out but their reports stay.
+
+    A level is landed before the next is looked up, and nobody is taken twice, so a circle of managers ends the search.
+    """
+    level = users.filter((F.col("manager") == root) & (F.col("user_id") != root)).select(F.col("user_id").alias("rep"), "manager", "active", F.lit(1).alias("level"))
+    found = [cut_lineage(level, "roster")]
+    while (depth is None or len(found) < depth) and not found[-1].isEmpty():
         above = found[-1].select(F.col("rep").alias("manager"))
-        found.append(users.join(above, "manager").select(F.col("user_id").alias("rep"), "manager", "active", F.lit(n).alias("level")))
+        seen = reduce(DataFrame.unionByName, found).select(F.col("rep").alias("user_id"))
+        below = users.filter(F.col("user_id") != root).join(above, "manager").join(seen, "user_id", "left_anti")
+        found.append(cut_lineage(below.select(F.col("user_id").alias("rep"), "manager", "active", F.lit(len(found) + 1).alias("level")), "roster"))
     return reduce(DataFrame.unionByName, found).filter("active").select("rep", "manager", "level")
 
 

@@ -126,7 +126,7 @@ union all select submission_id, 'expired claim', 'CHECK', expired::varchar from
 with named as (select partner_id, unnest(string_split(named_accounts, ';')) as acct from partners),
 f as (select s.*, p.partner_id is not null as known, exists (select 1 from named n where n.acct = s.customer::varchar and n.partner_id = s.partner_id) as mine,
     exists (select 1 from named n where n.acct = s.customer::varchar) as any_named,
-    exists (select 1 from partners x where x.exclusive_territory = s.country and x.partner_id <> s.partner_id) as excl,
+    exists (select 1 from (select partner_id, trim(unnest(string_split(exclusive_territory, ';'))) as area from partners) x where x.area = s.country and x.partner_id <> s.partner_id) as excl,
     coalesce(not list_contains(string_split(p.countries, ';'), s.country), false) or coalesce(not list_contains(string_split(p.segments_served, ';'), s.segment), false)
       or coalesce(list_contains(string_split(p.excluded_accounts, ';'), s.customer::varchar), false) as outside
   from o_subs s left join partners p on s.partner_id = p.partner_id)

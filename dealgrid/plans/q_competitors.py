@@ -78,7 +78,7 @@ def _(t):
 @query("card_changes", """
 select competitor_id, rank, signal_id, event_date::varchar as event_date, impact from (
   select c.competitor_id, signal_id, event_date, impact, row_number() over (partition by c.competitor_id order by event_date desc, signal_id) as rank
-  from competitors c join signals s on c.competitor_id = s.competitor_id where event_date > researched) where rank <= 5""")
+  from competitors c join signals s on c.competitor_id = s.competitor_id where event_date > researched)""")
 def _(t):
     return cp.card_changes(t.signals, t.competitors)
 

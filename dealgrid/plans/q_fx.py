@@ -83,11 +83,12 @@ def _(t):
     from dealgrid.sources import readers
 
     path = shared_folder(t.spark, "rate-feed")
-    feed = t.rate_feed.groupBy("source", "effective_from").agg(
-        F.map_from_entries(F.collect_list(F.struct("currency", F.col("units_per_base").cast("double")))).alias("rates")
-    )
+    # The market publishes per unit, the crm units per base.
+    market = F.col("source") == "market"
+    shown = F.when(market, F.round(F.lit(1.0) / F.col("units_per_base").cast("double"), 8)).otherwise(F.col("units_per_base").cast("double"))
+    feed = t.rate_feed.groupBy("source", "effective_from").agg(F.map_from_entries(F.collect_list(F.struct("currency", shown))).alias("rates"))
     feed.select(
-        F.lit("USD").alias("base"), F.lit("units-of-currency-per-base").alias("convention"), "rates", "source", "effective_from"
+        F.lit("USD").alias("base"), F.when(market, "base-per-unit").otherwise("units-of-currency-per-base").alias("convention"), "rates", "source", "effective_from"
     ).write.json(path)
     rates = readers.read_fx_rates(t.spark, path)
     return rates.select("currency", "source", "effective_from", F.round(F.col("rate") * 1000000).cast("long").alias("millionths"))

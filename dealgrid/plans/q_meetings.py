@@ -88,7 +88,7 @@ def _(t):
 
 @query("meeting_prep", """
 with n as (select * from (select related_account as account, signal_id, signal_type, row_number() over (partition by related_account order by event_date desc, signal_id) as rn
-  from signals where related_account is not null and event_date between date '2001-07-03' and date '2001-08-02') where rn <= 3)
+  from signals where related_account is not null and event_date between date '2001-07-03' and date '2001-08-02'))
 select c.meeting_id, c.account, l.open_opp as opp_id, o.stage, o.amount::double as amount, o.close_date::varchar as close_date, coalesce(people, 0) as people, coalesce(engaged, 0) as engaged,
   coalesce(we_owe, 0) as we_owe, coalesce(they_owe, 0) as they_owe, coalesce(changes, 0)::bigint as card_changes, coalesce(news, '') as news
 from calendar c left join latest_open l on c.account = l.open_account left join opportunities o on o.opp_id = l.open_opp

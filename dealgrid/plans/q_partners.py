@@ -128,11 +128,11 @@ local as (select *, row_number() over (partition by country, segment order by ma
 known as (select customer, partner_id, margin_pct, row_number() over (partition by customer order by margin_pct, partner_id) as rn
   from (select distinct customer, partner_id from registrations) r join able using (partner_id)),
 d as (select o.opp_id, o.account, o.amount, a.country::varchar as country, a.segment from opportunities o join accounts a on o.account = a.account where is_open and o.partner_id is null),
-offers as (select opp_id, amount, partner_id, margin_pct, 0 as k from d join local l on d.country = l.country and d.segment = l.segment and l.rn <= 3
-  union all select opp_id, amount, partner_id, margin_pct, 1 from d join known n on n.customer = d.account and n.rn <= 3),
+offers as (select opp_id, amount, partner_id, margin_pct, 0 as k from d join local l on d.country = l.country and d.segment = l.segment 
+  union all select opp_id, amount, partner_id, margin_pct, 1 from d join known n on n.customer = d.account),
 e as (select opp_id, partner_id, max(amount) as amount, max(margin_pct) as margin_pct, max(k) as k from offers group by 1, 2),
 r as (select *, row_number() over (partition by opp_id order by k desc, margin_pct, partner_id) as rank from e)
-select opp_id, rank, partner_id, k = 1 as existing_relation, cast(amount * (1 - margin_pct) as decimal(18,2))::double as net_amount from r where rank <= 3""")
+select opp_id, rank, partner_id, k = 1 as existing_relation, cast(amount * (1 - margin_pct) as decimal(18,2))::double as net_amount from r""")
 def _(t):
     return pt.route_deal(t.opportunities, t.accounts, t.partners, t.registrations, AS_OF)
 

@@ -76,22 +76,28 @@ def _(t):
 
 
 @query("parse_money", """
-select o_orderkey as opp_id, case when o_orderkey % 9 <> 8 then cast(o_totalprice as decimal(18,2))::double end as amount
+select o_orderkey as opp_id, case when o_orderkey % 9 <> 8 then cast(o_totalprice as decimal(18,2))::double * case when o_orderkey % 9 in (2, 3) then -1 else 1 end end as amount
 from orders""")
 def _(t):
-    total = F.col("o_totalprice")
-    shown = F.when(F.col("o_orderkey") % 9 == 8, F.lit("n/a")).otherwise(
-        F.concat(F.lit("$ "), F.format_number(total.cast("decimal(18,2)"), 2))
+    us = F.format_number(F.col("o_totalprice").cast("decimal(18,2)"), 2)
+    eu = F.translate(us, ",.", ".,")
+    kind = F.col("o_orderkey") % 9
+    shown = (
+        F.when(kind == 8, F.lit("n/a")).when(kind == 2, F.concat(F.lit("("), us, F.lit(")"))).when(kind == 3, F.concat(F.lit("EUR "), eu, F.lit("-")))
+        .when(kind == 4, F.concat(eu, F.lit(" €"))).otherwise(F.concat(F.lit("$ "), us))
     )
     return t.orders.select(F.col("o_orderkey").alias("opp_id"), fn.parse_money(shown).alias("amount"))
 
 
 @query("norm_record_id", """
-select o_orderkey as opp_id, '006' || lpad(o_orderkey::varchar, 12, '0') as short_id from orders""")
+select o_orderkey as opp_id, '006' || lpad(o_orderkey::varchar, 12, '0') as short_id,
+  '006Ab' || lpad(o_orderkey::varchar, 9, '0') || 'X' || 'IAQ' as long_id from orders""")
 def _(t):
     short = F.concat(F.lit("006"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0"))
     seen = F.when(F.col("o_orderkey") % 2 == 0, F.concat(short, F.lit("QAB"))).otherwise(short)
-    return t.orders.select(F.col("o_orderkey").alias("opp_id"), fn.norm_record_id(seen).alias("short_id"))
+    other = F.concat(F.lit("006Ab"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0"), F.lit("X"))
+    seen_other = F.when(F.col("o_orderkey") % 3 == 0, F.concat(other, F.lit("IAQ"))).otherwise(other)
+    return t.orders.select(F.col("o_orderkey").alias("opp_id"), fn.norm_record_id(seen).alias("short_id"), fn.norm_record_id(seen_other, "long").alias("long_id"))
 
 
 @query("format_local_id", """

@@ -103,26 +103,39 @@ def _(t):
 
 
 @query("read_transcripts", """
-select meeting_id::varchar as meeting_id, turn, case role when 'user' then 'Jane Doe' when 'assistant' then 'Our Rep' else 'Recorder' end as speaker, text from turns""")
+select meeting_id::varchar as meeting_id, turn, case role when 'user' then 'José Álvarez-Núñez' when 'assistant' then 'Speaker 1' else 'Recorder' end as speaker, text from turns""")
 def _(t):
     path = shared_folder(t.spark, "transcripts")
-    speaker = F.when(F.col("role") == "user", "Jane Doe").when(F.col("role") == "assistant", "Our Rep").otherwise("Recorder")
+    speaker = F.when(F.col("role") == "user", "José Álvarez-Núñez").when(F.col("role") == "assistant", "Speaker 1").otherwise("Recorder")
     # One whole transcript per conversation; its turns are bounded by the length of one call.
     line = F.struct("turn", F.concat(speaker, F.lit(": "), F.col("text")).alias("line"))
     whole = t.turns.groupBy("meeting_id").agg(F.array_sort(F.collect_list(line)).alias("_l"))
-    texts = whole.select(F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("value"), F.concat(F.lit("raw/"), "meeting_id", F.lit(".txt")).alias("raw_path"))
-    texts.write.parquet(path)
-    return readers.split_turns(t.spark.read.parquet(path)).select("meeting_id", "turn", "speaker", "text")
+    texts = whole.select(F.col("meeting_id").cast("string").alias("_id"), F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("value"))
+    # One folder, and in it one file, for each conversation: the file name gives way to the folder's.
+    texts.repartition("_id").write.partitionBy("_id").option("lineSep", "\n\u0003").text(path)
+    found = readers.read_transcripts(t.spark, path)
+    return found.select(F.regexp_extract("raw_path", "_id=([^/]+)/", 1).alias("meeting_id"), "turn", "speaker", F.rtrim(F.col("text"), F.lit("\n\u0003")).alias("text"))
+
+
+def dirty_cells(t):
+    created = F.when(F.col("opp_id") % 20 == 1, "soon").when(F.col("opp_id") % 2 == 0, F.date_format("created", "M/d/yyyy")).otherwise(F.col("created").cast("string"))
+    shown = F.concat(F.lit("$"), F.col("amount"))
+    shown = F.when(F.col("opp_id") % 4 == 3, F.concat(F.lit("("), shown, F.lit(")"))).otherwise(shown)
+    dirty = t.opportunities.select("opp_id", created.alias("created"), shown.alias("amount"), "stage")
+    return readers.repair_registry(dirty, {"created": "date", "amount": "money"})
 
 
 @query("repair_registry", """
 select 'created' as "column", count(*) filter (opp_id % 2 = 0) as repaired, count(*) filter (opp_id % 20 = 1) as unreadable from opportunities
 union all select 'amount', count(*), 0 from opportunities""")
 def _(t):
-    created = F.when(F.col("opp_id") % 20 == 1, "soon").when(F.col("opp_id") % 2 == 0, F.date_format("created", "M/d/yyyy")).otherwise(F.col("created").cast("string"))
-    dirty = t.opportunities.select("opp_id", created.alias("created"), F.concat(F.lit("$"), F.col("amount")).alias("amount"), "stage")
-    _, report = readers.repair_registry(dirty, {"created": "date", "amount": "money"})
-    return report
+    return dirty_cells(t)[1]
+
+
+@query("repaired_rows", """
+select opp_id, case when opp_id % 20 <> 1 then created end::varchar as created, case when opp_id % 4 = 3 then -amount else amount end::double as amount, stage from opportunities""")
+def _(t):
+    return dirty_cells(t)[0]
 
 
 @query("seed_registry", "select opp_id, stage from opportunities")
@@ -156,6 +169,12 @@ def _(t):
     return t.spark.read.parquet(path)
 
 
-@query("content_manifest")
+@query("content_manifest", """
+select 'doc=' || doc_id as folder, sha256(text || chr(10)) as sha256, octet_length(encode(text || chr(10))) as bytes from documents where doc_id % 4 = 0 and text is not null
+""")
 def _(t):
-    return readers.content_manifest(t.spark, t.sf_dir, "*.parquet")
+    path = shared_folder(t.spark, "owned (files)+")
+    owned = t.documents.filter("doc_id % 4 = 0 and text is not null").select(F.col("doc_id").alias("doc"), "text")
+    owned.repartition("doc").write.partitionBy("doc").text(path)
+    found = readers.content_manifest(t.spark, path, "*.txt")
+    return found.select(F.regexp_extract("rel", "^([^/]+)/", 1).alias("folder"), "sha256", "bytes")

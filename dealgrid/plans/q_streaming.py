@@ -93,7 +93,7 @@ def _(t):
 @query("stream_task_caps", """
 select rule_id, day::varchar as day, record_id, score from (
   select event_type as rule_id, day, activity_id as record_id, value as score, row_number() over (partition by event_type, day order by value desc, activity_id) as rank from raw_activity)
-where rank <= case rule_id when 'click' then 5 when 'view' then 10 when 'purchase' then 3 when 'signup' then 20 else 1 end""")
+where rank <= case rule_id when 'click' then 5 when 'view' then 10 when 'purchase' then 3 when 'signup' then 20 else 1000000 end""")
 def _(t):
     raised = streamed(t, "events").sql("select event_type as rule_id, day, activity_id as record_id, value as score from raw_activity")
     return jobs.stream_task_caps(raised, CAPS, shared_folder(t.spark, "stream-caps"))

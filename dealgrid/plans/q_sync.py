@@ -13,17 +13,21 @@ from dealgrid.plans.views import AS_OF
 FIELDS = ("owner", "amount", "stage", "close_date")
 
 
-def drift_sql(field: str, kind: str) -> str:
+def drift_sql(field: str, kind: str, local: str = "opp_local") -> str:
     return f"""select opp_id, '{field}' as field, case when l.{field} is not distinct from s.{field} then 'IN-SYNC' when l.{field} is not distinct from b.{field} then 'DRIFT'
   when s.{field} is not distinct from b.{field} then 'AHEAD' else 'CONFLICT' end as sync_class, l.{field}::varchar as local_value, s.{field}::varchar as source_value
-from ids left join local l using (opp_id) left join opp_cur s using (opp_id) left join opp_prev b using (opp_id)
-union all select null, '{field}', case when {field} is null then 'IN-SYNC' else 'AHEAD' end, {field}::varchar, null from opp_loose where opp_id is null"""
+from ids left join {local} l using (opp_id) left join opp_cur s using (opp_id) left join opp_prev b using (opp_id)"""
+
+
+def loose_sql(field: str) -> str:
+    """Rows that no other side knows."""
+    return f"select null, '{field}', case when {field} is null then 'IN-SYNC' else 'AHEAD' end, {field}::varchar, null from opp_loose where opp_id is null"
 
 
 @query("verify_sync", """
 with local as (select * from (select *, row_number() over (partition by opp_id order by amount desc) as rn, count(*) over (partition by opp_id) as n from opp_loose where opp_id is not null) where rn = 1),
 ids as (select opp_id from local union select opp_id from opp_cur union select opp_id from opp_prev)
-""" + "\nunion all ".join(drift_sql(f, "") for f in FIELDS) + """
+""" + "\nunion all ".join([*(drift_sql(f, "", "local") for f in FIELDS), *map(loose_sql, FIELDS)]) + """
 union all select opp_id, '(record)', 'DUPLICATE', n::varchar, case when opp_id in (select opp_id from opp_cur) then '1' else '0' end from local where n > 1""")
 def _(t):
     return sync.verify_sync(t.opp_loose, t.opp_cur, t.opp_prev, "opp_id", FIELDS)

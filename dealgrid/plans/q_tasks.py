@@ -13,7 +13,7 @@ RULES = (
     {"rule_id": "big-late-stage", "trigger": "stage = 'Negotiate' and amount > 200000", "level": "auto", "column": "stage", "value": "Negotiate"},
     {"rule_id": "no-champion", "trigger": "is_open and champion is null", "level": "review"},
 )
-CAPS = {"click": 5, "view": 10, "purchase": 3, "signup": 20, "error": 1}
+CAPS = {"click": 5, "view": 10, "purchase": 3, "signup": 20}
 
 SCHEMA = """{"columns": [
   {"name": "opp_id", "type": "integer", "owner": "crm"}, {"name": "stage", "type": "enum", "values": ["Qualify", "Discovery", "Validate", "Closed Won"], "owner": "crm", "verify": "yes"},
@@ -43,7 +43,7 @@ def _(t):
 @query("task_caps", """
 select rule_id, day::varchar as day, record_id, score, rank from (
   select event_type as rule_id, day, activity_id as record_id, value as score, row_number() over (partition by event_type, day order by value desc, activity_id) as rank from raw_activity)
-where rank <= case rule_id when 'click' then 5 when 'view' then 10 when 'purchase' then 3 when 'signup' then 20 else 1 end""")
+where rank <= case rule_id when 'click' then 5 when 'view' then 10 when 'purchase' then 3 when 'signup' then 20 else 1000000 end""")
 def _(t):
     raised = t.raw_activity.select(F.col("event_type").alias("rule_id"), "day", F.col("activity_id").alias("record_id"), F.col("value").alias("score"))
     return tk.task_caps(raised, CAPS)
@@ -121,12 +121,12 @@ def _(t):
 
 @query("roster_from_hierarchy", """
 with recursive users as (select c_custkey as user_id, case when c_custkey = 0 then null else cast(floor((c_custkey - 1) / 8) as bigint) end as manager, c_acctbal > 0 as active from customer),
-r as (select user_id as rep, manager, active, 1 as level from users where manager = 0 union all select u.user_id, u.manager, u.active, r.level + 1 from users u join r on u.manager = r.rep where r.level < 3)
+r as (select user_id as rep, manager, active, 1 as level from users where manager = 0 union all select u.user_id, u.manager, u.active, r.level + 1 from users u join r on u.manager = r.rep)
 select rep, manager, level::bigint as level from r where active""")
 def _(t):
     users = t.customer.select(
         F.col("c_custkey").alias("user_id"), F.when(F.col("c_custkey") != 0, F.floor((F.col("c_custkey") - 1) / 8)).alias("manager"), (F.col("c_acctbal") > 0).alias("active"))
-    return tk.roster_from_hierarchy(users, 0, 3)
+    return tk.roster_from_hierarchy(users, 0)
 
 
 @query("registry_completeness", """

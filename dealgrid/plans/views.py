@@ -119,7 +119,7 @@ select s_suppkey as partner_id, s_name as name, case when s_suppkey % 2 = 0 then
   case when s_suppkey % 5 = 0 then null else 'BUILDING;MACHINERY;FURNITURE' end as segments_served,
   cast(s_suppkey * 3 as string) || ';' || cast(s_suppkey * 5 as string) as excluded_accounts,
   cast(s_suppkey as string) || ';' || cast(s_suppkey + 500 as string) as named_accounts,
-  case when s_suppkey % 9 = 0 then cast(s_nationkey as string) end as exclusive_territory,
+  case when s_suppkey % 18 = 0 then cast(s_nationkey as string) || '; ' || cast((s_nationkey + 7) % 25 as string) when s_suppkey % 9 = 0 then cast(s_nationkey as string) end as exclusive_territory,
   date '2001-08-02' + cast(s_suppkey % 200 as int) - 60 as enabled_until,
   date '2001-08-02' + cast(s_suppkey % 300 as int) as agreement_end,
   case when s_suppkey % 8 = 0 then null else date '2001-08-02' - cast(s_suppkey * 7 % 400 as int) end as last_qbr

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql import types as T
 from dealgrid.functions import columns as fn
 from dealgrid.operators.fx import load_rates
 
+RATE_CONVENTIONS = ("units-of-currency-per-base", "base-per-unit")
+
 RATE_FEED = T.StructType([
     T.StructField("base", T.StringType()),
     T.StructField("convention", T.StringType()),
@@ -34,11 +37,11 @@ ACTIVITY_BATCH = T.StructType([
 
 
 def read_registry(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A hand-edited table under its declared schema; a broken line keeps its text in `_bad`."""
+    """A hand-edited table under its declared schema; a broken line keeps its text in `_bad`. Quoted cells may hold line breaks."""
     wide = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
     return (
         spark.read.schema(wide).option("header", True).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_bad").option("dateFormat", "yyyy-MM-dd").csv(path)
+        .option("columnNameOfCorruptRecord", "_bad").option("dateFormat", "yyyy-MM-dd").option("multiLine", True).option("escape", '"').csv(path)
     )
 
 
@@ -62,16 +65,18 @@ def _cp1252(c: Column) -> Column:
 
 
 def read_export(
-    spark: SparkSession, path: str, columns: list[str], field_map: Mapping[str, tuple[str, str]], id_column: str
+    spark: SparkSession, path: str, columns: list[str], field_map: Mapping[str, tuple[str, str]], id_column: str,
+    id_pattern: str = r"[A-Za-z0-9]{15}([A-Za-z0-9]{3})?",
 ) -> tuple[DataFrame, DataFrame]:
     """A report export with header labels; rows without a record id (totals footers) are kept apart.
 
-    `columns` is the header in file order; `field_map` gives label -> (local name, kind).
+    `columns` is the header in file order; `field_map` gives label -> (local name, kind); `id_pattern` is what the source's
+    record ids look like. Quoted cells may hold line breaks, so a file is read by one task.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    raw = spark.read.schema(schema).option("header", True).option("encoding", "iso-8859-1").option("enforceSchema", True).csv(path)
+    raw = spark.read.schema(schema).option("header", True).option("encoding", "iso-8859-1").option("enforceSchema", True).option("multiLine", True).option("escape", '"').csv(path)
     raw = raw.select(*[_cp1252(F.col(f"`{c}`")).alias(c) for c in columns])
-    has_id = F.length(F.trim(F.coalesce(F.col(f"`{id_column}`"), F.lit("")))) >= 15
+    has_id = F.trim(F.coalesce(F.col(f"`{id_column}`"), F.lit(""))).rlike(f"^({id_pattern})$")
     mapped = [_typed(F.col(f"`{label}`"), kind).alias(name) for label, (name, kind) in field_map.items()]
     return raw.filter(has_id).select(*mapped), raw.filter(~has_id)
 
@@ -89,12 +94,15 @@ def read_crm_snapshot(spark: SparkSession, path: str, schema: T.StructType) -> D
 
 
 def read_fx_rates(spark: SparkSession, path: str, convention: str = "units-of-currency-per-base") -> DataFrame:
-    """Rate table published as a map per source and date, as multipliers to the base currency."""
-    feed = spark.read.schema(RATE_FEED).json(path)
-    flat = feed.filter(F.col("convention") == convention).select(
-        F.explode("rates").alias("currency", "units_per_base"), "source", "effective_from"
-    )
-    return load_rates(flat, convention)
+    """Rate table published as a map per source and date, as multipliers to the base currency.
+
+    Every row is turned by its own convention, and by `convention` where it names none; a row of an unknown convention has a null rate.
+    """
+    feed = spark.read.schema(RATE_FEED).json(path).withColumn("convention", F.coalesce("convention", F.lit(convention)))
+    flat = feed.select(F.explode("rates").alias("currency", "units_per_base"), "source", "effective_from", "convention")
+    known = [load_rates(flat.filter(F.col("convention") == c), c) for c in RATE_CONVENTIONS]
+    other = flat.filter(~F.col("convention").isin(*RATE_CONVENTIONS)).select("currency", F.lit(None).cast("decimal(18,8)").alias("rate"), "source", "effective_from")
+    return reduce(DataFrame.unionByName, [*known, other])
 
 
 def explode_activity(batches: DataFrame) -> DataFrame:
@@ -113,11 +121,15 @@ def read_activity(spark: SparkSession, path: str) -> DataFrame:
     return explode_activity(spark.read.schema(ACTIVITY_BATCH).json(path))
 
 
+# A speaker: up to eight words of letters and digits of any script, the first of them a letter.
+_SPEAKER = r"\p{L}[\p{L}\p{M}\p{N}.'\u2019()&/-]*(?: [\p{L}\p{M}\p{N}.'\u2019()&/-]+){0,7}"
+
+
 def split_turns(texts: DataFrame) -> DataFrame:
     """Speaker turns of whole transcripts: a line `Name: words` starts a turn."""
-    parts = F.split(F.col("value"), r"\n(?=[A-Za-z][A-Za-z .'-]{0,40}: )")
+    parts = F.split(F.col("value"), rf"\n(?={_SPEAKER}: )")
     turns = texts.select("raw_path", F.posexplode(parts).alias("turn", "_part"))
-    head = r"(?s)^([A-Za-z][A-Za-z .'-]{0,40}): (.*)$"
+    head = rf"(?s)^({_SPEAKER}): (.*)$"
     return turns.select(
         F.regexp_extract("raw_path", r"([^/]+)\.[a-z]+$", 1).alias("meeting_id"), "turn",
         F.nullif(F.regexp_extract("_part", head, 1), F.lit("")).alias("speaker"),
@@ -179,6 +191,9 @@ def content_manifest(spark: SparkSession, path: str, pattern: str = "*", in_memo
         "path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
     large = files.filter(F.col("length") > in_memory).select("path", "length")
     blocks = large.mapInPandas(_hash_blocks, "path string, bytes long, sha256 string")
-    root = path.rstrip("/").split("/")[-1]
-    rel = F.regexp_extract("path", rf"/{root}/(.*)$", 1)
+    # What follows the folder in the full path; the folder's name may hold any characters and may occur above it, too.
+    root = "/" + path.rstrip("/").split("/")[-1] + "/"
+    base = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toUri().toString()
+    rel = F.when(F.startswith("path", F.lit(full + "/")), F.substring("path", len(full) + 2, 1 << 20)).otherwise(F.substring_index("path", root, -1))
     return small.unionByName(blocks).select(rel.alias("rel"), "sha256", "bytes")

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from dealgrid.operators import engagement, sync
@@ -116,8 +117,28 @@ def stream_event_time(stream: DataFrame, event_ts: str, work: str) -> tuple[Data
     spark = stream.sparkSession
     grouped = stream.withWatermark(event_ts, SIGNAL_DELAY).groupBy(F.window(event_ts, "1 day").alias("w"), "signal_type").agg(F.count(F.lit(1)).alias("signals"))
     flat = grouped.select(F.col("w.start").alias("event_day"), "signal_type", "signals")
-    query = run_once(flat, work, "update", batch_sink(f"{work}/out"))
-    dropped = sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+    late = []
+
+    class Late(StreamingQueryListener):
+        """Adds up over every batch; the query itself remembers the last hundred only."""
+
+        def onQueryStarted(self, event):
+            pass
+
+        def onQueryProgress(self, event):
+            late.append((event.progress.runId, event.progress.batchId, sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)))
+
+        def onQueryTerminated(self, event):
+            pass
+
+    listener = Late()
+    spark.streams.addListener(listener)
+    try:
+        query = run_once(flat, work, "update", batch_sink(f"{work}/out"))
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+    finally:
+        spark.streams.removeListener(listener)
+    dropped = sum(n for run, _, n in set(late) if run == query.runId)
     return latest_of(read_parts(spark, f"{work}/out", flat.schema), ["event_day", "signal_type"]), dropped
 
 
@@ -163,7 +184,7 @@ def stream_drift(stream: DataFrame, local: DataFrame, baseline: DataFrame, key:
 
 
 def stream_task_caps(stream: DataFrame, caps: Mapping[str, int], work: str) -> DataFrame:
-    """Raise tasks under a daily cap that holds across batches.
+    """Raise tasks under a daily cap that holds across batches; a rule without a cap raises all of them.
 
     What earlier batches raised is read back from the output, so the cap survives a restart, and a
     rule with very many candidates is cut to its cap inside each task before anything is shuffled.
@@ -171,7 +192,7 @@ def stream_task_caps(stream: DataFrame, caps: Mapping[str, int], work: str) -> D
     spark = stream.sparkSession
     schema = stream.schema
     out = f"{work}/out"
-    cap = F.create_map(*[F.lit(x) for pair in caps.items() for x in pair])
+    cap = F.create_map(*[F.lit(x) for pair in caps.items() for x in pair]) if caps else F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
 
     def raise_tasks(batch: DataFrame, batch_id: int) -> None:
         best = task_caps(batch, caps)
@@ -179,7 +200,7 @@ def stream_task_caps(stream: DataFrame, caps: Mapping[str, int], work: str) -> D
             held = read_parts(batch.sparkSession, out, schema).filter(F.col("batch_id") < batch_id)
             used = held.groupBy("rule_id", "day").agg(F.count(F.lit(1)).alias("_used"))
             best = best.join(used, ["rule_id", "day"], "left").filter(
-                F.col("rank") <= F.try_element_at(cap, "rule_id") - F.coalesce("_used", F.lit(0)))
+                F.coalesce(F.col("rank") <= F.try_element_at(cap, "rule_id") - F.coalesce("_used", F.lit(0)), F.lit(True)))
         batch_sink(out)(best.select(*schema.names), batch_id)
 
     run_once(stream, work, "append", raise_tasks)
