@@ -26,11 +26,17 @@ SIGNAL_PATTERNS = {
 }
 
 
-def phrase_search(turns: DataFrame, phrase: str) -> DataFrame:
-    """What was said on a topic: the quote, who said it, when and in which meeting."""
-    return turns.filter(F.contains(F.lower("text"), F.lit(phrase.lower()))).select(
-        "meeting_id", "turn", F.col("role").alias("speaker"), "day", F.col("text").alias("quote")
-    )
+def phrase_search(turns: DataFrame, phrase: str, meetings: DataFrame | None = None) -> DataFrame:
+    """What was said on a topic: the quote, who said it, when, in which meeting, and where it stands.
+
+    Turns are searched, and the summary and key quote of `meetings`, whose rows name no turn or speaker.
+    """
+    said = turns.select("meeting_id", "turn", F.col("role").alias("speaker"), "day", F.col("text").alias("quote"), F.lit("turn").alias("found_in"))
+    if meetings is not None:
+        cells = F.explode(F.array(*[F.struct(F.col(c).alias("quote"), F.lit(c).alias("found_in")) for c in ("summary", "key_quote")]))
+        noted = meetings.select("meeting_id", F.lit(None).cast(turns.schema["turn"].dataType).alias("turn"), F.lit(None).cast("string").alias("speaker"), "day", cells.alias("_c"))
+        said = said.unionByName(noted.select("meeting_id", "turn", "speaker", "day", "_c.quote", "_c.found_in"))
+    return said.filter(F.contains(F.lower("quote"), F.lit(phrase.lower())))
 
 
 def commitment_extract(turns: DataFrame, promise: str = PROMISE, due: str = DUE) -> DataFrame:

@@ -41,12 +41,15 @@ def attributed(df: DataFrame, groups: DataFrame) -> DataFrame:
     return df.join(g, match).drop("_sv", "_d")
 
 
-def campaign_attribution(campaigns: DataFrame, leads: DataFrame, opps: DataFrame) -> DataFrame:
-    """Leads and deals of each campaign group."""
+def campaign_attribution(campaigns: DataFrame, leads: DataFrame, opps: DataFrame, model: str = "recorded source") -> DataFrame:
+    """Leads and deals of each campaign group, with the attribution model named on every row.
+
+    The model says what the `source` of the records means, such as first touch, last touch or recorded source.
+    """
     groups = campaign_groups(campaigns)
     l = attributed(leads, groups).select(F.lit("lead").alias("kind"), F.col("lead_id").alias("record_id"), "group_id")
     o = attributed(opps, groups).select(F.lit("deal").alias("kind"), F.col("opp_id").alias("record_id"), "group_id")
-    return l.unionByName(o)
+    return l.unionByName(o).withColumn("model", F.lit(model))
 
 
 def campaign_funnel(campaigns: DataFrame, leads: DataFrame, opps: DataFrame) -> DataFrame:

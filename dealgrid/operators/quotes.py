@@ -101,13 +101,24 @@ def quote_versions(quotes: DataFrame) -> DataFrame:
     return seq.select("quote_id", "account", "version", "supersedes", F.when(F.col("_later").isNull(), "live").otherwise("superseded").alias("status"))
 
 
-def quote_vs_opportunity(totals: DataFrame, quotes: DataFrame, opps: DataFrame) -> DataFrame:
-    """Quote net next to the deal amount; a difference only where both are in one currency."""
+def quote_vs_opportunity(
+    totals: DataFrame, quotes: DataFrame, opps: DataFrame, rates: DataFrame, as_of: str, base: str = "USD", source: str = "crm"
+) -> DataFrame:
+    """Quote net next to the deal amount; a difference only where both are in one currency, else the net in the deal's currency.
+
+    The converted figure is in cents at the rates of the day, for reading and never for writing back; it is null without a rate.
+    """
     q = totals.select("quote_id", "net").join(quotes.select("quote_id", "opp_id", F.col("currency").alias("quote_currency")), "quote_id")
     j = q.join(opps.select("opp_id", "amount", F.col("currency").alias("deal_currency")), "opp_id")
     same = F.col("quote_currency") == F.col("deal_currency")
+    spot = rates.filter((F.col("source") == source) & (F.col("effective_from") <= F.lit(as_of).cast("date"))).groupBy("currency").agg(F.max_by("rate", "effective_from").alias("_rate"))
+    for side in ("quote", "deal"):
+        j = j.join(spot.select(F.col("currency").alias(f"{side}_currency"), F.col("_rate").cast("double").alias(f"_{side}_rate")), f"{side}_currency", "left")
+        j = j.withColumn(f"_{side}_rate", F.when(F.col(f"{side}_currency") == base, 1.0).otherwise(F.col(f"_{side}_rate")))
+    cents = F.floor(F.col("net").cast("double") * F.col("_quote_rate") / F.col("_deal_rate") * 100 + 0.5).cast("long")
     return j.select("quote_id", "opp_id", "net", "amount", "quote_currency", "deal_currency", same.alias("same_currency"),
-                    F.when(same, (F.col("net") - F.col("amount")).cast(MONEY)).alias("delta"))
+                    F.when(same, (F.col("net") - F.col("amount")).cast(MONEY)).alias("delta"),
+                    F.when(~same, cents).alias("net_in_deal_currency_cents"))
 
 
 def quote_outcomes(quotes: DataFrame, lines: DataFrame) -> DataFrame:

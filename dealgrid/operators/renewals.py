@@ -84,9 +84,16 @@ def propose_renewal_opps(uncovered: DataFrame) -> DataFrame:
     )
 
 
-def first_renewal_touch(contracts: DataFrame, activity: DataFrame) -> DataFrame:
-    """First sent mail or held meeting with the account after the contract began; unclear stays blank."""
-    counts = (F.col("kind") == "meeting") | (F.col("direction") == "outbound")
+# Wording of a subject that is plainly about the renewal.
+RENEWAL_WORDS = r"renew|extension|next term|contract end|new term"
+
+
+def first_renewal_touch(contracts: DataFrame, activity: DataFrame, about: str = RENEWAL_WORDS) -> DataFrame:
+    """First sent mail or held meeting about the renewal with the account after the contract began.
+
+    The subject has to say so (`about`); a touch that is not plainly about it leaves the date blank.
+    """
+    counts = ((F.col("kind") == "meeting") | (F.col("direction") == "outbound")) & F.lower("subject").rlike(about)
     real = activity.filter(counts).select("account", "day")
     out = asof_by_day(contracts, real, ["account"], "contract_start", "day", F.col("day"), "first_renewal_touch_date", strict=True, forward=True)
     return out.select("renewal_id", "account", "contract_start", "first_renewal_touch_date")

@@ -59,8 +59,8 @@ select coalesce(r.opp_id, a.opp_id) as opp_id, coalesce(r.email, a.email) as ema
   a.replied, case when a.replied is null then 'none' else 'logged direction' end as reply_evidence
 from contact_roles r full join o_replied a on r.opp_id = a.opp_id and r.email = a.email""",
     "o_ghosts": """
-select opp_id from contact_roles where not (opp_id % 9 = 0 and email not like 'ghost%') group by 1
-having count(*) filter (email in (select email from o_replied x where x.opp_id = contact_roles.opp_id)) = 0""",
+select opp_id from contact_roles group by 1
+having count(*) filter (not (opp_id % 9 = 0 and email not like 'ghost%') and email in (select email from o_replied x where x.opp_id = contact_roles.opp_id)) = 0""",
     "o_threading": """
 select o.opp_id, case when people is null then 'no contacts loaded' when coalesce(directed, 0) = 0 then 'unknown' else 'known' end as state,
   concat_ws(',', case when directed > 0 and repliers = 1 and stage not in ('Qualify', 'Discovery') then 'single-threaded' end,

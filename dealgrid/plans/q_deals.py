@@ -141,7 +141,9 @@ def _(t):
 
 
 def ghost_input(roles):
-    return roles.filter(~((F.col("opp_id") % 9 == 0) & ~F.col("email").startswith("ghost")))
+    """Some role holders changed their address."""
+    moved = (F.col("opp_id") % 9 == 0) & ~F.col("email").startswith("ghost")
+    return roles.withColumn("email", F.when(moved, F.concat(F.lit("moved-"), F.col("email"))).otherwise(F.col("email")))
 
 
 @query("threading_flags", """
@@ -183,7 +185,7 @@ def _(t):
 @query("won_without_customer", """
 select opp_id, account from opportunities where stage = 'Closed Won' and account not in (select account from accounts where segment <> 'BUILDING')""")
 def _(t):
-    return deals.won_without_customer(t.opportunities, t.accounts.filter("segment <> 'BUILDING'"))
+    return deals.won_without_customer(t.opportunities, t.accounts.withColumn("account", F.when(F.col("segment") != "BUILDING", F.col("account"))))
 
 
 @query("loss_clusters", """

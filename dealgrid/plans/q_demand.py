@@ -13,8 +13,8 @@ def funnel(t: Tables):
 
 
 @query("campaign_attribution", """
-select 'lead' as kind, lead_id as record_id, group_id from leads join o_groups g on source = source_value and (g.detail is null or g.detail = source_detail)
-union all select 'deal', opp_id, group_id from opportunities join o_groups g on source = source_value and (g.detail is null or g.detail = source_detail)""")
+select 'lead' as kind, lead_id as record_id, group_id, 'recorded source' as model from leads join o_groups g on source = source_value and (g.detail is null or g.detail = source_detail)
+union all select 'deal', opp_id, group_id, 'recorded source' from opportunities join o_groups g on source = source_value and (g.detail is null or g.detail = source_detail)""")
 def _(t):
     return demand.campaign_attribution(t.campaigns, t.leads, t.opportunities)
 

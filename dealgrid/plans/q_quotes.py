@@ -65,9 +65,12 @@ def _(t):
 
 @query("quote_vs_opportunity", """
 select t.quote_id, q.opp_id, net::double as net, amount::double as amount, q.currency as quote_currency, o.currency as deal_currency, q.currency = o.currency as same_currency,
-  case when q.currency = o.currency then (net - amount)::double end as delta from o_quote_totals t join quotes q on t.quote_id = q.quote_id join opportunities o on q.opp_id = o.opp_id""")
+  case when q.currency = o.currency then (net - amount)::double end as delta,
+  case when q.currency <> o.currency then floor(net::double * rq.rate::double / ro.rate::double * 100 + 0.5)::bigint end as net_in_deal_currency_cents
+from o_quote_totals t join quotes q on t.quote_id = q.quote_id join opportunities o on q.opp_id = o.opp_id
+left join (select currency, rate from o_spans where until is null union all select 'USD', 1) rq on rq.currency = q.currency left join (select currency, rate from o_spans where until is null union all select 'USD', 1) ro on ro.currency = o.currency""")
 def _(t):
-    return qt.quote_vs_opportunity(qt.quote_totals(t.quote_lines), t.quotes, t.opportunities)
+    return qt.quote_vs_opportunity(qt.quote_totals(t.quote_lines), t.quotes, t.opportunities, t.fx_rates, AS_OF)
 
 
 @query("quote_outcomes", """
@@ -91,6 +94,6 @@ def _(t):
 
 @query("quotes_lapsed", """
 select sent_date is not null as was_sent, count(*) as quotes, max(date '2001-08-02' - valid_until)::bigint as longest_days from quotes
-where outcome is null and valid_until < date '2001-08-02' and opp_id not in (select related_id from tasks where status = 'Done') group by 1""")
+where outcome is null and valid_until < date '2001-08-02' and opp_id not in (select related_id from tasks) group by 1""")
 def _(t):
-    return qt.quotes_lapsed(t.quotes, t.tasks.filter("status = 'Done'"), AS_OF)
+    return qt.quotes_lapsed(t.quotes, t.tasks, AS_OF)

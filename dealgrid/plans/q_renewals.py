@@ -44,12 +44,14 @@ def _(t):
 
 
 @query("link_contracts", """
-with r as (select * from renewals where champion_still_there),
+with r as (select * replace (case when champion_still_there then original_opp_id end as original_opp_id, case when champion_still_there then contract_end else contract_end + 1 end as contract_end) from renewals),
 w as (select opp_id, account, close_date + 365 as contract_end from opportunities where stage = 'Closed Won' and close_date + 365 > date '2001-08-02')
 select w.opp_id, w.account, w.contract_end::varchar as contract_end, case when d.renewal_id is not null then 'deal' when s.m is not null then 'account and end' else 'new' end as basis, coalesce(d.renewal_id, s.m) as renewal_id
 from w left join r d on d.original_opp_id = w.opp_id left join (select account, contract_end, min(renewal_id) as m from r group by 1, 2) s on s.account = w.account and s.contract_end = w.contract_end""")
 def _(t):
-    return renewals.link_contracts(t.opportunities, t.renewals.filter("champion_still_there"), AS_OF)
+    stayed = F.col("champion_still_there")
+    known = t.renewals.withColumns({"original_opp_id": F.when(stayed, F.col("original_opp_id")), "contract_end": F.when(stayed, F.col("contract_end")).otherwise(F.date_add("contract_end", 1))})
+    return renewals.link_contracts(t.opportunities, known, AS_OF)
 
 
 @query("link_renewal_opp", """
@@ -71,11 +73,11 @@ def _(t):
 
 
 @query("first_renewal_touch", """
-with a as (select distinct account, day from raw_activity where kind = 'meeting' or direction = 'outbound')
+with a as (select distinct account, day from raw_activity where (kind = 'meeting' or direction = 'outbound') and regexp_matches(lower(subject), 'proposal|checking in'))
 select renewal_id, r.account, contract_start::varchar as contract_start, min(a.day)::varchar as first_renewal_touch_date
 from renewals r left join a on a.account = r.account and a.day > r.contract_start group by 1, 2, 3""")
 def _(t):
-    return renewals.first_renewal_touch(t.renewals, t.raw_activity)
+    return renewals.first_renewal_touch(t.renewals, t.raw_activity, about="proposal|checking in")
 
 
 @query("renewal_risk_flags", """

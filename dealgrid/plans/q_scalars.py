@@ -224,9 +224,11 @@ def _(t):
 
 
 @query("phrase_search", """
-select meeting_id, turn, role as speaker, day::varchar as day, text as quote from turns where contains(lower(text), 'the this')""")
+select meeting_id, turn, role as speaker, day::varchar as day, text as quote, 'turn' as found_in from turns where contains(lower(text), 'the th')
+union all select meeting_id, null, null, day::varchar, summary, 'summary' from meetings where contains(lower(summary), 'the th')
+union all select meeting_id, null, null, day::varchar, key_quote, 'key_quote' from meetings where contains(lower(key_quote), 'the th')""")
 def _(t):
-    return tx.phrase_search(t.turns, "the this")
+    return tx.phrase_search(t.turns, "the th", t.meetings)
 
 
 @query("commitment_extract", r"""

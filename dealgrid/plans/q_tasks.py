@@ -34,9 +34,9 @@ def _(t):
 
 
 @query("task_dedup", """
-select 'opportunity' as related_type, opp_id as related_id, case when opp_id in (select related_id from tasks where status <> 'Done') then 'bump' else 'add' end as action from opportunities where close_date > date '2001-01-01'""")
+select 'opportunity' as related_type, opp_id as related_id, case when opp_id in (select related_id from tasks where status <> 'Done') then 'bump' else 'add' end as action from opportunities""")
 def _(t):
-    new = t.opportunities.filter("close_date > date '2001-01-01'").select(F.lit("opportunity").alias("related_type"), F.col("opp_id").alias("related_id"))
+    new = t.opportunities.select(F.lit("opportunity").alias("related_type"), F.col("opp_id").alias("related_id"))
     return tk.task_dedup(new, t.tasks)
 
 
@@ -95,14 +95,14 @@ def _(t):
 
 @query("asset_lookup", """
 with r as (select opp_id as request_id, 'src' || (opp_id % 25) as a, case when opp_id % 4 = 0 then null else case opp_id % 5 when 0 then 'en' when 1 then 'fr' when 2 then 'de' else 'pt' end end as b, 'aud' || (opp_id % 8) as c
-  from opportunities where is_open and created >= date '2001-01-01'),
+  from opportunities where is_open),
 p as (select request_id, asset_id, (a = tag_source)::int + coalesce((b = tag_lang)::int, 0) + (c = tag_audience)::int as overlap from r join content_assets s on (a = tag_source or b = tag_lang or c = tag_audience) where s.status = 'Approved'),
 m as (select request_id, max(overlap) as overlap from p group by 1)
 select r.request_id, min(asset_id) as asset_id, coalesce(max(m.overlap), 0)::bigint as overlap from r left join m on r.request_id = m.request_id left join p on p.request_id = r.request_id and p.overlap = m.overlap group by 1""")
 def _(t):
     oid = F.col("opp_id")
     lang = F.when(oid % 5 == 0, "en").when(oid % 5 == 1, "fr").when(oid % 5 == 2, "de").otherwise("pt")
-    asked = t.opportunities.filter("is_open and created >= date '2001-01-01'").select(
+    asked = t.opportunities.filter("is_open").select(
         oid.alias("request_id"), F.concat(F.lit("src"), oid % 25).alias("tag_source"), F.when(oid % 4 != 0, lang).alias("tag_lang"),
         F.concat(F.lit("aud"), oid % 8).alias("tag_audience"))
     return tk.asset_lookup(asked, t.content_assets, TAGS)

@@ -295,7 +295,7 @@ select cadence, taken_at, commit_total, open_count from (
   from opportunities group by 2) s""",
     "weekly_flags": """
 select kind as flag, account as subject, cast(date_trunc('week', day) as date) as week
-from raw_activity where person < 40 group by 1, 2, 3""",
+from raw_activity group by 1, 2, 3""",
     "change_log": """
 select o_orderkey as entry_id, case when o_orderkey % 11 = 0 then null else cast(o_orderdate as date) end as version,
   case when o_orderkey % 5 = 0 then '  ' else 'changed ' || o_orderpriority end as body
@@ -312,18 +312,18 @@ select activity_id as mail_id, 'news' || account || '@sender' || (account % 40)
   case when account % 3 = 0 then 'Weekly digest' else 'Re: plan' end as subject, account % 3 = 0 as has_unsubscribe
 from raw_activity where event_type <> 'purchase'""",
     "schema_local": """
-select p_brand as registry, p_partkey as column_no, 'col_' || p_partkey as column_name,
+select p_brand as registry, p_partkey as column_no, case when p_size > 8 then 'col_' else 'own_' end || p_partkey as column_name,
   case p_partkey % 3 when 0 then 'enum' when 1 then 'string' else 'date' end as column_type,
   case when p_partkey % 3 = 0 then 'a;b;' || p_type end as enum_values,
   case p_partkey % 4 when 0 then 'crm' when 1 then 'local' when 2 then 'derived' end as owner,
   case when p_partkey % 5 = 0 then 'yes' end as verify
-from {part} where p_size > 8""",
+from {part}""",
     "schema_new": """
-select p_brand as registry, p_partkey as column_no, 'col_' || p_partkey as column_name,
+select p_brand as registry, p_partkey as column_no, case when p_size < 42 then 'col_' else 'new_' end || p_partkey as column_name,
   case p_partkey % 6 when 0 then 'enum' when 3 then 'enum' when 1 then 'date' else 'string' end as column_type,
   case when p_partkey % 3 = 0 then 'a;b;c' end as enum_values,
   case when p_partkey % 7 = 0 then null else 'crm' end as owner, 'no' as verify, p_partkey % 10 = 1 as owner_corrected, p_partkey % 15 = 5 as verify_corrected
-from {part} where p_size < 42""",
+from {part}""",
     "manifest_new": "select doc_id as obj, source as section, sha2(text, 256) as hash from {documents} where source <> 'src5'",
     "manifest_cur": """
 select doc_id as obj, sha2(case when doc_id % 5 = 0 then text || '!' when doc_id % 7 = 0 then text || '?' else text end, 256) as hash
