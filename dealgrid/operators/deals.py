@@ -33,7 +33,7 @@ def day_of(as_of: str) -> Column:
 def history_steps(history: DataFrame) -> DataFrame:
     """Each record of a deal next to the one before and the one after it; unused neighbours are pruned."""
     return ordered_history(
-        history, ["opp_id"], list(HISTORY_ORDER), F.struct("day", "line"),
+        history, ["opp_id"], list(HISTORY_ORDER), F.col("day"),
         prev={"_prev_close": "close_date", "_prev_stage": "stage", "_prev_amount": "amount"},
         following={"_next_day": "day", "_next_stage": "stage"},
     )

@@ -1,8 +1,7 @@
 """Ordered histories and as-of joins that stay balanced when one key holds much of the data.
 
-A plain `lag` over a key puts the whole key into one task. Keys with few rows take that plan. A key
-proven to hold very many is cut into buckets along its order: the window runs inside (key, bucket), and
-a second, small window over one summary row per bucket carries the last values across.
+A plain `lag` over a key puts the whole key into one task. Here every key is cut into buckets along its order: the
+window runs inside (key, bucket), and a second, small window over one summary row per bucket carries the last values across.
 """
 
 from __future__ import annotations
@@ -12,12 +11,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dealgrid.session import bounded_count
-
-HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 100_000
-
-
 # Begins every stand-in for a null key.
 NO_KEY = "\u0001"
 
@@ -39,37 +32,16 @@ def ordered_history(
     prev: Mapping[str, str] | None = None,
     following: Mapping[str, str] | None = None,
     number: str | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add values of the row before, of the row after, and the row number within each key.
 
     `order` must be unique within a key and without nulls, and `bucket` must grow with it (a prefix
-    of the order does). One count per key decides which keys are hot: there can be no more of them
-    than rows divided by `hot_rows`.
+    of the order does); dates are taken by month. Every key is cut into its buckets, and one summary row per
+    bucket carries values across, so a key with very many rows is ordered by many tasks. No job runs before the action.
     """
     prev, following = dict(prev or {}), dict(following or {})
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-    hot = sizes.select(*keys)
-    found = bounded_count(hot, MAX_HOT_KEYS)
-    if found == 0:
-        return _plain_history(df, keys, order, prev, following, number)
-    if found <= MAX_HOT_KEYS:
-        hot = F.broadcast(hot)
-    cold = _plain_history(df.join(hot, list(keys), "left_anti"), keys, order, prev, following, number)
-    cut = _cut_history(df.join(hot, list(keys), "left_semi"), keys, order, bucket, prev, following, number)
-    return cold.unionByName(cut)
-
-
-def _plain_history(df, keys, order, prev, following, number) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    cols = {new: F.lag(col).over(w) for new, col in prev.items()}
-    cols |= {new: F.lead(col).over(w) for new, col in following.items()}
-    if number:
-        cols[number] = F.row_number().over(w).cast("long")
-    return df.withColumns(cols)
-
-
-def _cut_history(df, keys, order, bucket, prev, following, number) -> DataFrame:
+    if df.select(bucket.alias("_b")).schema["_b"].dataType.typeName() == "date":
+        bucket = F.trunc(bucket, "month")
     cut = df.withColumn("_bucket", bucket)
     inner = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     near = {"_at": F.row_number().over(inner)}

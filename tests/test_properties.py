@@ -20,13 +20,19 @@ def history(spark, n=400, keys=5):
     return spark.createDataFrame(rows, "k int, d int, i int, v string")
 
 
-@pytest.mark.parametrize("hot", [0, 50])
-def test_hot_keys_give_the_same_history(spark, hot):
+@pytest.mark.parametrize("dates", [False, True])
+def test_history_against_brute_force(spark, dates):
+    """Over numbers, a bucket each, and over dates of several months; one key holds half of all rows."""
     df = history(spark)
-    args = dict(keys=["k"], order=["d", "i"], bucket=F.col("d"), prev={"p": "v"}, following={"n": "v", "nd": "d"}, number="no")
-    plain = {tuple(r) for r in ordered_history(df, **args).collect()}
-    cut = ordered_history(df, **args, hot_rows=hot)
-    assert {tuple(r) for r in cut.select("k", "d", "i", "v", "p", "n", "nd", "no").collect()} == plain
+    if dates:
+        df = df.withColumn("d", F.date_add(F.lit("2001-01-20").cast("date"), F.col("d") * 3))
+    seq = ordered_history(df, keys=["k"], order=["d", "i"], bucket=F.col("d"), prev={"p": "v"}, following={"n": "v", "nd": "d"}, number="no")
+    rows, want = sorted(map(tuple, df.collect())), set()
+    for j, (k, d, i, v) in enumerate(rows):
+        before = rows[j - 1] if j and rows[j - 1][0] == k else None
+        after = rows[j + 1] if j + 1 < len(rows) and rows[j + 1][0] == k else None
+        want.add((k, d, i, v, before and before[3], after and after[3], after and after[1], 1 + sum(r[0] == k for r in rows[:j])))
+    assert {tuple(r) for r in seq.select("k", "d", "i", "v", "p", "n", "nd", "no").collect()} == want
 
 
 @pytest.mark.parametrize("strict", [False, True])
