@@ -8,7 +8,7 @@ import sys
 import time
 
 from dealgrid.plans import catalog
-from dealgrid.session import local_session
+from dealgrid.session import clear_scratch, local_session
 
 HEADLINE = (
     "fx_convert", "forecast_headline", "owner_breakdown", "goal_attainment", "pacing", "book_movement", "stage_conversion",
@@ -33,6 +33,7 @@ def main() -> None:
         start = time.perf_counter()
         catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        clear_scratch(spark)
         if os.environ.get("BENCH_VERBOSE"):
             print(f"{times[name]:8.2f} {name}", file=sys.stderr, flush=True)
     sf = sf_dir.rstrip("/").rsplit("sf", 1)[-1]

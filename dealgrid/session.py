@@ -40,6 +40,10 @@ def local_session(
     return spark
 
 
+#: Folders that this process has handed out and not cleared.
+_SCRATCH: set[str] = set()
+
+
 @cache
 def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="dealgrid-")
@@ -56,7 +60,23 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         root = _local_folder()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.add(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the scratch folders handed out so far; returns how many there were.
+
+    For the end of a job, when its results are written: frames that were read from scratch can't be read after it.
+    """
+    conf = spark._jsc.hadoopConfiguration()
+    found = 0
+    for path in sorted(_SCRATCH):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found += bool(folder.getFileSystem(conf).delete(folder, True))
+        _SCRATCH.discard(path)
+    return found
 
 
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:

@@ -113,5 +113,17 @@ def test_rates_take_the_bounded_way_only_when_small(spark):
     assert fx.with_rate(df, rates, "d", max_rows=0).first().rate == fx.with_rate(df, rates, "d").first().rate
 
 
+def test_scratch_is_cleared(spark):
+    from pathlib import Path
+
+    from dealgrid.session import clear_scratch, cut_lineage
+
+    clear_scratch(spark)
+    df = cut_lineage(spark.range(10), "gone")
+    folder = Path(df.inputFiles()[0].removeprefix("file://")).parent
+    assert df.count() == 10 and folder.exists()
+    assert clear_scratch(spark) == 1 and not folder.exists() and clear_scratch(spark) == 0
+
+
 def test_shared_folder_follows_the_session(spark):
     assert shared_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
