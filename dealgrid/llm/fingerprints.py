@@ -35,10 +35,13 @@ def _check(key: Column) -> Column:
     return F.xxhash64(key, F.lit(7)).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def _place(hashed: Column, table: Column, cells: Column) -> Column:
-    """A key's cell in a table, from the key's hash."""
-    shift = F.when(table == 0, F.shiftright(hashed, 3)).when(table == 1, F.shiftright(hashed, 22)).otherwise(F.shiftright(hashed, 41))
-    return F.pmod(shift, cells.cast("long"))
+#: Bits of a key's hash at which the place in each table begins.
+_SHIFTS = (3, 22, 41)
+
+
+def _place(hashed: Column, table: int, cells: Column) -> Column:
+    """A key's cell in a table of `cells` cells, a long, from the key's hash."""
+    return F.pmod(F.shiftright(hashed, _SHIFTS[table]), cells)
 
 
 def _items(digests: Column) -> Column:
@@ -54,15 +57,21 @@ def _cell(c: Column, k: Column, h: Column) -> Column:
     return F.struct(c.alias("c"), k.alias("k"), h.alias("h"))
 
 
+def _tables(cells: Column, cell_of) -> Column:
+    """Three tables of `cells` cells, one after the other; `cell_of(table, place)` gives a cell."""
+    places = F.sequence(F.lit(0).cast("long"), cells - 1)
+    table = lambda t: F.transform(places, lambda i: cell_of(t, i))
+    return F.concat(*map(table, range(3)))
+
+
 def sketch(items: Column, cells: Column) -> Column:
-    """Cells of count, key parity and check parity: three tables of `cells` cells, one after the other."""
+    """Cells of count, key parity and check parity."""
 
-    def fill(i: Column) -> Column:
-        table, place = F.floor(i / cells).cast("int"), (i % cells).cast("long")
+    def fill(table: int, place: Column) -> Column:
         own = F.filter(items, lambda d: _place(d["x"], table, cells) == place)
         return F.aggregate(own, _empty_cell(), lambda a, d: _cell(a["c"] + 1, a["k"].bitwiseXOR(d["k"]), a["h"].bitwiseXOR(d["h"])))
 
-    return F.transform(F.sequence(F.lit(0), cells * 3 - 1), fill)
+    return _tables(cells, fill)
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -70,6 +79,16 @@ def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: _cell(x["c"] - y["c"], x["k"].bitwiseXOR(y["k"]), x["h"].bitwiseXOR(y["h"])))
 
 
+def difference_sketch(items: Column, cells: Column) -> Column:
+    """`subtract` of the sketches of two sides, filled in one go: items carry a sign `s`, 1 for the first side and -1 for the second."""
+
+    def fill(table: int, place: Column) -> Column:
+        own = F.filter(items, lambda d: _place(d["x"], table, cells) == place)
+        return F.aggregate(own, _empty_cell(), lambda a, d: _cell(a["c"] + d["s"], a["k"].bitwiseXOR(d["k"]), a["h"].bitwiseXOR(d["h"])))
+
+    return _tables(cells, fill)
+
+
 def peel(difference: Column, cells: Column) -> Column:
     """(ok, found): the digests that a difference of sketches gives up, round by round, and whether it is empty then.
 
@@ -77,13 +96,13 @@ def peel(difference: Column, cells: Column) -> Column:
     """
 
     def taken(state: Column, pure: Column) -> Column:
-        def less(c: Column, i: Column) -> Column:
-            table, place = F.floor(i / cells).cast("int"), (i % cells).cast("long")
+        def less(table: int, place: Column) -> Column:
             here = F.filter(pure, lambda p: _place(p["x"], table, cells) == place)
-            return F.aggregate(here, c, lambda a, p: _cell(a["c"] - p["s"], a["k"].bitwiseXOR(p["k"]), a["h"].bitwiseXOR(p["h"])))
+            cell = F.element_at(state["cells"], (cells * table + place + 1).cast("int"))
+            return F.aggregate(here, cell, lambda a, p: _cell(a["c"] - p["s"], a["k"].bitwiseXOR(p["k"]), a["h"].bitwiseXOR(p["h"])))
 
         found = F.concat(state["found"], F.transform(pure, lambda p: p["k"]))
-        return F.when(F.size(pure) == 0, state).otherwise(F.struct(F.transform(state["cells"], less).alias("cells"), found.alias("found"), F.lit(True).alias("go")))
+        return F.struct(_tables(cells, less).alias("cells"), found.alias("found"), F.lit(True).alias("go"))
 
     def bare(state: Column) -> Column:
         ready = F.filter(state["cells"], lambda c: (F.abs(c["c"]) == 1) & (_check(c["k"]) == c["h"]))
@@ -102,20 +121,20 @@ def peel(difference: Column, cells: Column) -> Column:
     return _bind(rounds, lambda s: F.struct((~F.exists(s["cells"], lambda c: (c["c"] != 0) | (c["k"] != 0) | (c["h"] != 0))).alias("ok"), s["found"].alias("found")))
 
 
-def _recovered(a: Column, b: Column) -> Column:
-    """How many digests two small sides differ in: peeled, with twice the cells after each failure."""
+def _recovered(items: Column) -> Column:
+    """How many digests the two sides of some signed items differ in: peeled, with twice the cells after each failure."""
 
     def attempt(cells: Column) -> Column:
-        return _bind(peel(subtract(sketch(a, cells), sketch(b, cells)), cells), lambda r: F.struct(r["ok"].alias("ok"), F.size(r["found"]).alias("n")))
+        return _bind(peel(difference_sketch(items, cells), cells), lambda r: F.struct(r["ok"].alias("ok"), F.size(r["found"]).alias("n")))
 
     tried = F.aggregate(
         F.sequence(F.lit(0), F.lit(RETRIES)),
         F.struct(F.lit(False).alias("ok"), F.lit(0).alias("n")),
-        lambda r, t: F.when(r["ok"], r).otherwise(attempt((F.lit(CELLS) * F.pow(F.lit(2), t)).cast("int"))),
+        lambda r, t: F.when(r["ok"], r).otherwise(_bind((F.lit(CELLS) * F.pow(F.lit(2), t)).cast("long"), attempt)),
     )
-    keys = lambda side: F.transform(side, lambda d: d["k"])
-    direct = F.size(F.array_except(keys(a), keys(b))) + F.size(F.array_except(keys(b), keys(a)))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(0)).otherwise(_bind(tried, lambda r: F.when(r["ok"], r["n"]).otherwise(direct)))
+    side = lambda sign: F.transform(F.filter(items, lambda d: d["s"] == sign), lambda d: d["k"])
+    direct = F.size(F.array_except(side(1), side(-1))) + F.size(F.array_except(side(-1), side(1)))
+    return F.when(F.size(items) == 0, F.lit(0)).otherwise(_bind(tried, lambda r: F.when(r["ok"], r["n"]).otherwise(direct)))
 
 
 def differing(a: Column, b: Column) -> Column:
@@ -124,20 +143,17 @@ def differing(a: Column, b: Column) -> Column:
     Larger lists are sketched in parts, dealt by the digest in two steps, so the work grows little faster than the lists; each
     part is peeled on its own.
     """
-    side = F.greatest(F.lit(1), F.ceil(F.sqrt((F.size(a) + F.size(b)) / PART_LOAD)).cast("int"))
-
-    def parts(n: Column) -> Column:
-        numbers = F.sequence(F.lit(0), n - 1)
-        first = lambda items, g: F.filter(items, lambda d: F.pmod(d["k"], n.cast("long")) == g)
-        second = lambda items, g: F.filter(items, lambda d: F.pmod(F.shiftright(d["k"], 24), n.cast("long")) == g)
-
-        def row(g: Column) -> Column:
-            both = F.struct(first(a, g).alias("a"), first(b, g).alias("b"))
-            return _bind(both, lambda s: F.transform(numbers, lambda h: F.struct(second(s["a"], h).alias("a"), second(s["b"], h).alias("b"))))
+    signed = lambda items, s: F.transform(items, lambda d: F.struct(d["k"].alias("k"), d["x"].alias("x"), d["h"].alias("h"), F.lit(s).alias("s")))
+    side = F.greatest(F.lit(1), F.ceil(F.sqrt((F.size(a) + F.size(b)) / PART_LOAD))).cast("long")
 
+    def parts(both: Column, n: Column) -> Column:
+        numbers = F.sequence(F.lit(0).cast("long"), n - 1)
+        first = lambda g: F.filter(both, lambda d: F.pmod(d["k"], n) == g)
+        row = lambda g: _bind(first(g), lambda own: F.transform(numbers, lambda h: F.filter(own, lambda d: F.pmod(F.shiftright(d["k"], 24), n) == h)))
         return F.flatten(F.transform(numbers, row))
 
-    return F.aggregate(_bind(side, parts), F.lit(0), lambda total, p: total + _recovered(p["a"], p["b"]))
+    dealt = _bind(side, lambda n: _bind(F.concat(signed(a, 1), signed(b, -1)), lambda both: parts(both, n)))
+    return F.aggregate(dealt, F.lit(0), lambda total, p: total + _recovered(p))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -149,7 +165,7 @@ def likeness(a: Column, b: Column) -> Column:
 def spelled(items: Column) -> Column:
     """The fingerprint: the base sketch's cells as text."""
     cell = lambda c: F.concat(F.hex(c["c"].cast("long")), F.lit("."), F.hex(c["k"]), F.lit("."), F.hex(c["h"]))
-    return F.array_join(F.transform(sketch(items, F.lit(CELLS)), cell), ":")
+    return F.array_join(F.transform(sketch(items, F.lit(CELLS).cast("long")), cell), ":")
 
 
 def _successors(ids: DataFrame) -> DataFrame:

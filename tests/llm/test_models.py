@@ -216,9 +216,11 @@ def test_peeling_recovers_and_fails_honestly(spark):
     """A sketch of few cells recovers few digests; one of many that fails says so, and the retry finds them all."""
     rows = spark.range(60).select(F.col("id"), F.transform(F.sequence(F.lit(1), F.col("id") + 1), lambda x: F.xxhash64(x, F.col("id"))).alias("d"))
     rows = rows.select("id", fingerprints._items(F.col("d")).alias("a"), fingerprints._items(F.slice("d", 1, F.greatest(F.lit(0), (F.col("id") / 2).cast("int")))).alias("b"))
-    four = F.lit(fingerprints.CELLS)
-    peeled = fingerprints.peel(fingerprints.subtract(fingerprints.sketch(F.col("a"), four), fingerprints.sketch(F.col("b"), four)), four)
-    got = rows.select("id", peeled.alias("p"), fingerprints.differing(F.col("a"), F.col("b")).alias("n"), F.expr("transform(a, x -> x.k)").alias("ka"), F.expr("transform(b, x -> x.k)").alias("kb")).collect()
+    four = F.lit(fingerprints.CELLS).cast("long")
+    apart = fingerprints.subtract(fingerprints.sketch(F.col("a"), four), fingerprints.sketch(F.col("b"), four))
+    signed = F.expr("concat(transform(a, d -> struct(d.k as k, d.x as x, d.h as h, 1 as s)), transform(b, d -> struct(d.k as k, d.x as x, d.h as h, -1 as s)))")
+    assert rows.where(apart != fingerprints.difference_sketch(signed, four)).count() == 0
+    got = rows.select("id", fingerprints.peel(apart, four).alias("p"), fingerprints.differing(F.col("a"), F.col("b")).alias("n"), F.expr("transform(a, x -> x.k)").alias("ka"), F.expr("transform(b, x -> x.k)").alias("kb")).collect()
     for r in got:
         wanted = set(r.ka) ^ set(r.kb)
         assert r.n == len(wanted)
