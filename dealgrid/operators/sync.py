@@ -221,6 +221,9 @@ def schema_merge(local: DataFrame, new: DataFrame) -> DataFrame:
     """
     key = ["registry", "column_name"]
     l = local.select(*key, *[F.col(c).alias(f"l_{c}") for c in ("column_no", "column_type", "enum_values", "owner", "verify")])
+    for fix in ("owner_corrected", "verify_corrected"):
+        if fix not in new.columns:
+            new = new.withColumn(fix, F.lit(False))
     n = new.select(*key, *[F.col(c).alias(f"n_{c}") for c in ("column_no", "column_type", "enum_values", "owner", "verify", "owner_corrected", "verify_corrected")])
     both = l.join(n, key, "full")
     in_new, in_local = F.col("n_column_no").isNotNull(), F.col("l_column_no").isNotNull()

@@ -138,7 +138,7 @@ def stream_event_time(stream: DataFrame, event_ts: str, work: str) -> tuple[Data
         spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
     finally:
         spark.streams.removeListener(listener)
-    dropped = sum(n for run, _, n in set(late) if run == query.runId)
+    dropped = sum(n for run, _, n in set(late) if str(run) == str(query.runId))
     return latest_of(read_parts(spark, f"{work}/out", flat.schema), ["event_day", "signal_type"]), dropped
 
 
