@@ -7,6 +7,7 @@ window runs inside (key, bucket), and a second, small window over one summary ro
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,33 +43,36 @@ def ordered_history(
     prev, following = dict(prev or {}), dict(following or {})
     if df.select(bucket.alias("_b")).schema["_b"].dataType.typeName() == "date":
         bucket = F.trunc(bucket, "month")
-    cut = df.withColumn("_bucket", bucket)
-    inner = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    near = {"_at": F.row_number().over(inner)}
+    cut = df.withColumn("_hist_bucket", bucket)
+    inner = Window.partitionBy(*keys, "_hist_bucket").orderBy(*order)
+    near = {"_hist_at": F.row_number().over(inner)}
     near |= {new: F.lag(col).over(inner) for new, col in prev.items()}
     near |= {new: F.lead(col).over(inner) for new, col in following.items()}
 
     order_struct = F.struct(*order)
-    carried = [F.count(F.lit(1)).alias("_n")]
+    carried = [F.count(F.lit(1)).alias("_hist_n")]
     if prev:
-        carried.append(F.max_by(F.struct(*[F.col(c).alias(n) for n, c in prev.items()]), order_struct).alias("_last"))
+        carried.append(F.max_by(F.struct(*[F.col(c).alias(n) for n, c in prev.items()]), order_struct).alias("_hist_last"))
     if following:
-        carried.append(F.min_by(F.struct(*[F.col(c).alias(n) for n, c in following.items()]), order_struct).alias("_first"))
-    marks = cut.groupBy(*keys, "_bucket").agg(*carried)
-    outer = Window.partitionBy(*keys).orderBy("_bucket")
-    ends = {"_before": F.sum("_n").over(outer) - F.col("_n")}
+        carried.append(F.min_by(F.struct(*[F.col(c).alias(n) for n, c in following.items()]), order_struct).alias("_hist_first"))
+    marks = cut.groupBy(*keys, "_hist_bucket").agg(*carried)
+    outer = Window.partitionBy(*keys).orderBy("_hist_bucket")
+    ends = {"_hist_before": F.sum("_hist_n").over(outer) - F.col("_hist_n")}
     if prev:
-        ends["_carry"] = F.lag("_last").over(outer)
+        ends["_hist_carry"] = F.lag("_hist_last").over(outer)
     if following:
-        ends["_next"] = F.lead("_first").over(outer)
-    marks = marks.withColumns(ends).drop("_last", "_first")
-
-    out = cut.withColumns(near).join(marks, [*keys, "_bucket"])
-    far = {new: F.when(F.col("_at") == 1, F.col(f"_carry.{new}")).otherwise(F.col(new)) for new in prev}
-    far |= {new: F.when(F.col("_at") == F.col("_n"), F.col(f"_next.{new}")).otherwise(F.col(new)) for new in following}
+        ends["_hist_next"] = F.lead("_hist_first").over(outer)
+    marks = marks.withColumns(ends).drop("_hist_last", "_hist_first")
+
+    # A null key is a key like others.
+    same = {k: f"_hist_key{i}" for i, k in enumerate([*keys, "_hist_bucket"])}
+    marks = marks.select(*[F.col(k).alias(n) for k, n in same.items()], *[c for c in marks.columns if c not in same])
+    out = cut.withColumns(near).join(marks, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(n)) for k, n in same.items()))).drop(*same.values())
+    far = {new: F.when(F.col("_hist_at") == 1, F.col(f"_hist_carry.{new}")).otherwise(F.col(new)) for new in prev}
+    far |= {new: F.when(F.col("_hist_at") == F.col("_hist_n"), F.col(f"_hist_next.{new}")).otherwise(F.col(new)) for new in following}
     if number:
-        far[number] = F.col("_before") + F.col("_at")
-    return out.withColumns(far).drop("_bucket", "_at", "_before", "_n", "_carry", "_next")
+        far[number] = F.col("_hist_before") + F.col("_hist_at")
+    return out.withColumns(far).drop("_hist_bucket", "_hist_at", "_hist_before", "_hist_n", "_hist_carry", "_hist_next")
 
 
 def asof_by_day(

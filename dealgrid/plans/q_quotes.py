@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from dealgrid.operators import quotes as qt
 from dealgrid.plans.registry import Tables, query
 from dealgrid.plans.views import AS_OF
@@ -94,6 +96,6 @@ def _(t):
 
 @query("quotes_lapsed", """
 select sent_date is not null as was_sent, count(*) as quotes, max(date '2001-08-02' - valid_until)::bigint as longest_days from quotes
-where outcome is null and valid_until < date '2001-08-02' and opp_id not in (select related_id from tasks) group by 1""")
+where outcome is null and valid_until < date '2001-08-02' and opp_id not in (select related_id from tasks where related_id % 3 <> 0) group by 1""")
 def _(t):
-    return qt.quotes_lapsed(t.quotes, t.tasks, AS_OF)
+    return qt.quotes_lapsed(t.quotes, t.tasks.withColumn("related_id", F.when(F.col("task_id") % 3 != 0, F.col("related_id"))), AS_OF)

@@ -17,6 +17,7 @@ from dealgrid.session import shared_folder
 def history(spark, n=400, keys=5):
     rng = random.Random(7)
     rows = [(0 if rng.random() < 0.5 else rng.randrange(keys), rng.randrange(40), i, rng.choice("abc")) for i in range(n)]
+    rows += [(None, d, 1000 + d, "n") for d in range(9)]
     return spark.createDataFrame(rows, "k int, d int, i int, v string")
 
 
@@ -27,7 +28,7 @@ def test_history_against_brute_force(spark, dates):
     if dates:
         df = df.withColumn("d", F.date_add(F.lit("2001-01-20").cast("date"), F.col("d") * 3))
     seq = ordered_history(df, keys=["k"], order=["d", "i"], bucket=F.col("d"), prev={"p": "v"}, following={"n": "v", "nd": "d"}, number="no")
-    rows, want = sorted(map(tuple, df.collect())), set()
+    rows, want = sorted(map(tuple, df.collect()), key=lambda r: (r[0] is None, r[0] or 0, *r[1:])), set()
     for j, (k, d, i, v) in enumerate(rows):
         before = rows[j - 1] if j and rows[j - 1][0] == k else None
         after = rows[j + 1] if j + 1 < len(rows) and rows[j + 1][0] == k else None
