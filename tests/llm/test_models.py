@@ -157,6 +157,17 @@ def test_batches_and_slices_give_the_same_scores(monkeypatch):
     assert np.allclose(whole, model.log10(words)) and np.allclose(whole, [model.log10([w])[0] for w in words])
 
 
+def test_very_frequent_words_keep_their_odds(spark):
+    """Counts beyond the top level are scaled together; cut off one by one, they would be equal."""
+    words = spark.createDataFrame([(bytearray(b"a"), 10**9), (bytearray(b"q"), 2 * 10**10)], "word binary, c long")
+    levels = lm_scoring.train(words, 2)[0].value
+    flat, _, contexts = lm_scoring._laid_out([b"a"])
+    # The two letters part at their fourth bit.
+    slots = lm_scoring._bits_and_slots(flat[:1], contexts[:1])[1][:, 3]
+    odds = lm_scoring.LEVELS[levels[1, slots]] / lm_scoring.LEVELS[levels[0, slots]]
+    assert np.allclose(odds, 20, rtol=0.1)
+
+
 def paragraphs(text):
     return {p for p in re.split(r"\n+|(?<=[aeiou][.!?]) ", text) if p}
 
