@@ -78,6 +78,20 @@ def replicate(
     drawn = drawn.withColumn("_u", uniform(F.lit(str(seed)), F.col("_key")))
     drawn = drawn.withColumn("_copies", F.size(F.filter("_cdf", lambda c: c < F.col("_u")))).where("_copies > 0")
     copies = drawn.withColumn("replica", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return _shuffled(copies, columns, seed)
+
+
+def _shuffled(copies: DataFrame, columns: list[str], seed: int) -> DataFrame:
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_key"), F.col("replica").cast("string")))
     out = copies.withColumn("shuffle_key", key).select(*columns, "replica", "shuffle_key")
     return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+
+
+def numbered(copies: DataFrame, seed: int = 0) -> DataFrame:
+    """The rows with a replica, from 1 on among equal rows, in the order of `replicate`.
+
+    Equal rows fold to a count in each task before they move, so no document's copies are one task's work.
+    """
+    folded = copies.groupBy(*copies.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    rows = folded.withColumns({"_key": _row_key(), "replica": F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))})
+    return _shuffled(rows, copies.columns, seed).drop("shuffle_key")

@@ -15,14 +15,13 @@ from pyspark.sql import functions as F
 from dealgrid.llm import pieces
 from dealgrid.llm.common import list_array, small_batches
 
-#: Chance that a candidate merge is skipped, and the number of segmentations that documents are dealt over.
+#: Chance that a candidate merge is skipped.
 DROPOUT = 0.1
-VARIANTS = 2
 #: Pre-tokens up to this length are merged together in arrays; longer ones each by a heap.
 MAX_WIDTH = 64
-#: Pre-tokens whose pieces a task remembers before it starts afresh; results don't depend on it.
+#: Pre-tokens whose plain pieces and candidates a task remembers before it starts afresh; results don't depend on it.
 MAX_WORDS = 400_000
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 _NONE = np.int64(1) << 40
 
 
@@ -30,8 +29,8 @@ class Merger:
     """Merges adjacent symbols into pieces, the piece of the lowest id first, then the leftmost; skipped candidates never merge.
 
     A symbol is a piece id, or the number of pieces plus a code point for a character without a piece. Whether a
-    candidate, two symbols at a place of a pre-token, is skipped depends on a keyed hash of seed, variant, pre-token,
-    place and both symbols alone, so arrays and heap, and every task, give the same pieces.
+    candidate, two symbols at a place of a pre-token, is skipped depends on a keyed hash of seed, variant, pre-token, the
+    occurrence's mark, place and both symbols alone, so arrays and heap, and every task, give the same pieces.
     """
 
     def __init__(self, model: str, dropout: float, seed: int):
@@ -80,6 +79,14 @@ class Merger:
                 key ^= key >> np.uint64(29)
         return key.view(np.int64)
 
+    @staticmethod
+    def marked(key: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        """What the skips of single occurrences hang on: the pre-token's key and the occurrence's mark."""
+        with np.errstate(over="ignore"):
+            h = key.view(np.uint64) ^ mark.view(np.uint64)
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            return (h ^ (h >> np.uint64(27))).view(np.int64)
+
     def _skipped(self, key: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             h = key.astype(np.uint64) ^ (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -90,15 +97,17 @@ class Merger:
             h *= np.uint64(0x94D049BB133111EB)
         return (h >> np.uint64(32)) < np.uint64(self.limit)
 
-    def _rank(self, key: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The piece two symbols make, or _NONE if there is none or the candidate is skipped."""
+    def _rank(self, key: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray, seen: list | None = None) -> np.ndarray:
+        """The piece two symbols make, or _NONE if there is none or the candidate is skipped; with `seen`, none is skipped and all are noted there."""
         out = np.full(left.shape, _NONE)
         pair = np.where((left < self.size) & (right < self.size), left * self.size + right, -1)
         r = np.nonzero(self.maybe[self._slot(pair)])
         pair = pair[r]
         at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
         hit = self.keys[at] == pair
-        if self.limit:
+        if seen is not None:
+            seen.append((key[r][hit], place[r][hit], left[r][hit], right[r][hit]))
+        elif self.limit:
             hit &= ~self._skipped(key[r], place[r], left[r], right[r])
         out[tuple(x[hit] for x in r)] = self.made[at[hit]]
         return out
@@ -108,11 +117,11 @@ class Merger:
         with np.errstate(over="ignore"):
             return (pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
 
-    def _merged(self, rows: np.ndarray, keys: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    def _merged(self, rows: np.ndarray, keys: np.ndarray, seen: list | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """Pieces of pre-tokens of one length: (row numbers, their symbols) for each number of pieces left."""
         out, number = [], np.arange(len(rows))
         place = np.broadcast_to(np.arange(rows.shape[1]), rows.shape).copy()
-        rank = self._rank(np.repeat(keys[:, None], rows.shape[1] - 1, 1), place[:, :-1], rows[:, :-1], rows[:, 1:]) if rows.shape[1] > 1 else np.empty((len(rows), 0), dtype=np.int64)
+        rank = self._rank(np.repeat(keys[:, None], rows.shape[1] - 1, 1), place[:, :-1], rows[:, :-1], rows[:, 1:], seen) if rows.shape[1] > 1 else np.empty((len(rows), 0), dtype=np.int64)
         while len(number):
             width = rows.shape[1]
             if width == 1:
@@ -138,7 +147,7 @@ class Merger:
             rank = np.take_along_axis(rank, columns + (columns >= best[:, None]), 1)
             for at, ok in ((best - 1, best > 0), (best, best < width - 2)):
                 r, c = each[ok], at[ok]
-                rank[r, c] = self._rank(keys[r], place[r, c], rows[r, c], rows[r, c + 1])
+                rank[r, c] = self._rank(keys[r], place[r, c], rows[r, c], rows[r, c + 1], seen)
         return out
 
     def _by_heap(self, word: str, key: int) -> list[int]:
@@ -182,17 +191,26 @@ class Merger:
                 out.extend(self.vocabulary.byte_ids[b] for b in chr(s - self.size).encode("utf-8", "surrogatepass"))
         return out
 
-    def encode_words(self, words: list[str], variant: int) -> tuple[np.ndarray, np.ndarray]:
-        """Flat piece ids of the pre-tokens, and how many each has."""
+    def encode_words(self, words: list[str], variant: int, marks: np.ndarray | None = None, seen: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Flat piece ids of the pre-tokens, and how many each has.
+
+        `marks` tells occurrences of a pre-token apart. With `seen`, no candidate is skipped, and (number of the pre-token, place, left, right)
+        of all candidates of pre-tokens up to MAX_WIDTH are noted there.
+        """
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         count, groups, single = np.zeros(len(words), np.int64), [], []
         for length in np.unique(lengths).tolist():
             numbers = np.flatnonzero(lengths == length)
+            if not length:
+                continue
+            own = [words[i] for i in numbers.tolist()]
+            keys = self.keys_of(own, variant)
+            if marks is not None:
+                keys = self.marked(keys, marks[numbers])
             if length > MAX_WIDTH:
-                single += [(i, self._spelled(self._by_heap(words[i], int(self.keys_of([words[i]], variant)[0])))) for i in numbers.tolist()]
-            elif length:
-                own = [words[i] for i in numbers.tolist()]
-                for which, symbols in self._merged(self.rows_of(own), self.keys_of(own, variant)):
+                single += [(i, self._spelled(self._by_heap(words[i], k))) for i, k in zip(numbers.tolist(), keys.tolist())]
+            else:
+                for which, symbols in self._merged(self.rows_of(own), numbers if seen is not None else keys, seen):
                     odd = (symbols >= self.size).any(axis=1)
                     single += [(i, self._spelled(s)) for i, s in zip(numbers[which[odd]].tolist(), symbols[odd].tolist())]
                     groups.append((numbers[which[~odd]], symbols[~odd]))
@@ -217,71 +235,112 @@ def _merger(model: str, dropout: float, seed: int) -> Merger:
 
 
 class _Memo:
-    """Piece ids of the pre-tokens seen, flat, with each pre-token's place."""
+    """Plain piece ids of the pre-tokens seen, and the candidates that plain merging meets, flat, with each pre-token's place.
 
-    def __init__(self, merger: Merger, variant: int):
-        self.merger, self.variant = merger, variant
+    An occurrence of which no such candidate is skipped has the plain pieces; all others are merged anew.
+    """
+
+    def __init__(self, merger: Merger):
+        self.merger = merger
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.flat, self.start, self.count = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat piece ids of the texts, and how many each has."""
+        self.keys, self.first, self.tries = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.candidates = np.empty((3, 0), np.int32)
+
+    def _learn(self, fresh: list[str]) -> None:
+        short = [w for w in fresh if len(w) <= MAX_WIDTH]
+        seen: list[tuple[np.ndarray, ...]] = []
+        ids, count = self.merger.encode_words(short, 0, seen=seen)
+        owner, *found = (np.concatenate(x) for x in zip(*seen)) if seen else np.empty((4, 0), np.int64)
+        order = np.argsort(owner, kind="stable")
+        tries = np.bincount(owner, minlength=len(short))
+        keys = np.empty(len(short), np.int64)
+        lengths = np.fromiter(map(len, short), np.int64, len(short))
+        for length in np.unique(lengths).tolist():
+            numbers = np.flatnonzero(lengths == length)
+            keys[numbers] = self.merger.keys_of([short[i] for i in numbers.tolist()], 0)
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(count) - count])
+        self.first = np.concatenate([self.first, self.candidates.shape[1] + np.cumsum(tries) - tries])
+        self.count, self.flat = np.concatenate([self.count, count]), np.concatenate([self.flat, ids])
+        self.tries, self.keys = np.concatenate([self.tries, tries]), np.concatenate([self.keys, keys])
+        self.candidates = np.concatenate([self.candidates, np.stack(found)[:, order].astype(np.int32)], axis=1)
+        self.at.update(zip(short, range(len(self.at), len(self.at) + len(short))))
+
+    def _drawn(self, index: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """The occurrences of which a candidate is skipped."""
+        tries = self.tries[index]
+        owner = np.repeat(np.arange(len(index)), tries)
+        each = np.repeat(self.first[index] - (np.cumsum(tries) - tries), tries) + np.arange(len(owner))
+        place, left, right = self.candidates[:, each]
+        return np.unique(owner[self.merger._skipped(self.merger.marked(self.keys[index], marks)[owner], place, left, right)])
+
+    def encode(self, texts: list[str], documents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat piece ids of the texts, and how many each has; `documents` holds what a text's draws hang on besides the seed."""
         words = [pieces.PRETOKEN.findall(t) for t in texts]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         flat = list(chain.from_iterable(words))
         index = np.fromiter(map(self.at.get, flat, repeat(-1)), np.int64, len(flat))
         unknown = np.flatnonzero(index < 0).tolist()
         if unknown:
-            fresh = sorted({flat[i] for i in unknown})
-            ids, count = self.merger.encode_words(fresh, self.variant)
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(count) - count])
-            self.count, self.flat = np.concatenate([self.count, count]), np.concatenate([self.flat, ids])
-            self.at.update(zip(fresh, range(len(self.at), len(self.at) + len(fresh))))
-            index[unknown] = [self.at[flat[i]] for i in unknown]
-        counts = self.count[index]
+            self._learn(sorted({flat[i] for i in unknown}))
+            index[unknown] = [self.at.get(flat[i], -1) for i in unknown]
+        marks = occurrence_marks(documents, sizes)
+        # Long pre-tokens are not remembered.
+        known = np.flatnonzero(index >= 0)
+        skips = np.concatenate([np.flatnonzero(index < 0), known[self._drawn(index[known], marks[known])] if self.merger.limit else known[:0]])
+        own, count = self.merger.encode_words([flat[i] for i in skips.tolist()], 0, marks[skips])
+        starts, counts = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64)
+        starts[known], counts[known] = self.start[index[known]], self.count[index[known]]
+        starts[skips], counts[skips] = len(self.flat) + np.cumsum(count) - count, count
         ends = np.cumsum(counts)
-        ids = self.flat[np.repeat(self.start[index] - (ends - counts), counts) + np.arange(int(counts.sum()))]
+        ids = np.concatenate([self.flat, own])[np.repeat(starts - (ends - counts), counts) + np.arange(int(counts.sum()))]
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
         if len(self.at) > MAX_WORDS:
             self.clear()
         return ids, np.diff(bounds)
 
 
-def variant_of(key: Column, seed: int, variants: int) -> Column:
-    """Which of the segmentations a document gets, by a hash of the seed and its id; a null id counts as the empty text."""
-    return (F.crc32(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary")) % variants).cast("int")
+def occurrence_marks(documents: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A mark of each pre-token of texts with these numbers of pre-tokens, by the text's document and its place in the text."""
+    place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    with np.errstate(over="ignore"):
+        h = np.repeat(documents, sizes).view(np.uint64) + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+        return (h ^ (h >> np.uint64(31))).view(np.int64)
+
+
+def document_key(doc_id: Column, replica: Column) -> Column:
+    """What a document's draws hang on besides the seed: its id, a null one as the empty text, and the number of the copy."""
+    return F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("")), replica.cast("long"))
 
 
-def encode(
-    docs: DataFrame, model: str | None = None, dropout: float = DROPOUT, seed: int = 0, variants: int = VARIANTS
-) -> DataFrame:
-    """One row per document: doc_id, variant, n_pieces, pieces (ids), from its whole text.
+def encode(docs: DataFrame, model: str | None = None, dropout: float = DROPOUT, seed: int = 0, replica: str | None = None) -> DataFrame:
+    """One row per document: doc_id, replica, n_pieces, pieces (ids), from its whole text.
 
-    Within a variant each pre-token has one segmentation, drawn by skipping candidate merges with chance `dropout`; other seeds
-    and variants cut it differently. Characters without a piece become byte pieces, so every text decodes to itself. Null and empty texts have
-    no piece; rows with the same id and text get the same ids. With `dropout` 0 there is one segmentation, that of plain merging.
+    Each occurrence of a pre-token is cut on its own, by skipping candidate merges with chance `dropout`; the draws hang on seed, doc_id, the
+    number in the column `replica` (0 without one), the pre-token and its place in the text. Characters without a piece become byte pieces, so every
+    text decodes to itself. Null and empty texts have no piece; rows with the same id, replica and text get the same ids. With `dropout` 0 there
+    is one segmentation, that of plain merging.
     """
     path = model or pieces.default_model()
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger = _merger(path, dropout, seed)
-        memos = [_Memo(merger, v) for v in range(variants)]
+        memo = _Memo(merger)
         for batch in small_batches(batches, BATCH_BYTES, "text"):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            variant = batch.column("variant").to_numpy(zero_copy_only=False)
-            for v in np.unique(variant).tolist():
-                rows = np.flatnonzero(variant == v)
-                ids, counts = memos[v].encode([texts[i] for i in rows])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(rows)).cast(pa.int64()), pa.array(np.full(len(rows), v), pa.int32()), pa.array(counts, pa.int64()), list_array(ids, counts, pa.int32())],
-                    ["doc_id", "variant", "n_pieces", "pieces"],
-                )
-
-    keyed = docs.select("doc_id", "text", variant_of(F.col("doc_id"), seed, variants).alias("variant"))
-    return keyed.mapInArrow(coded, "doc_id long, variant int, n_pieces long, pieces array<int>")
+            ids, counts = memo.encode(texts, batch.column("key").to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").cast(pa.int64()), batch.column("replica").cast(pa.int32()), pa.array(counts, pa.int64()), list_array(ids, counts, pa.int32())],
+                ["doc_id", "replica", "n_pieces", "pieces"],
+            )
+
+    number = F.col(replica) if replica else F.lit(0)
+    keyed = docs.select("doc_id", "text", number.cast("int").alias("replica"), document_key(F.col("doc_id"), number).alias("key"))
+    return keyed.mapInArrow(coded, "doc_id long, replica int, n_pieces long, pieces array<int>")
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from dealgrid.llm import mixing, pieces, queries, subword, token_counts, url_filter, warc
 from dealgrid.session import shared_folder
 
-from .conftest import texts
+from .conftest import frame, texts
 
 PAGES = "page_id long, url string, html string, host string, verdict string, node string, record string"
 
@@ -228,6 +228,36 @@ def test_encoding_is_lossless_and_varies(messy, no_docs):
     assert subword.encode(no_docs).count() == 0 and subword.decode(subword.encode(no_docs)).count() == 0
 
 
+def test_each_occurrence_draws_its_own_merges(spark):
+    """Against the heap, occurrence by occurrence; a word of a document, and the copies of one, are cut in many ways."""
+    import numpy as np
+
+    rows = [(k, t, None, None) for k, t in enumerate(["internationalisation " * 300, "the cat sat on the mat " * 40 + "x" * 70 + " 日本語 é", "", "a"])]
+    copies = frame(spark, rows).drop("replica").selectExpr("*", "explode(array(1, 2)) as replica")
+    got = subword.encode(copies, dropout=0.2, seed=3, replica="replica")
+    keys = {(r.doc_id, r.replica): r.k for r in copies.select("doc_id", "replica", subword.document_key(copies.doc_id, copies.replica).alias("k")).collect()}
+    merger = subword._merger(pieces.default_model(), 0.2, 3)
+    cuts, whole = set(), {}
+    for r in got.collect():
+        words, want = pieces.PRETOKEN.findall(rows[r.doc_id][1]), []
+        marks = subword.occurrence_marks(np.array([keys[r.doc_id, r.replica]]), np.array([len(words)]))
+        for w, mark in zip(words, marks):
+            own = merger._spelled(merger._by_heap(w, int(merger.marked(merger.keys_of([w], 0), np.array([mark]))[0])))
+            want += own
+            cuts.add((r.doc_id, r.replica, tuple(own)))
+        assert r.pieces == want
+        whole.setdefault(r.doc_id, set()).add(tuple(r.pieces))
+    assert len([c for c in cuts if c[:2] == (0, 1)]) > 10
+    assert len(whole[0]) == len(whole[1]) == 2
+
+
+def test_copies_are_numbered(spark):
+    docs = frame(spark, [(1, "a", None, "s"), (1, "a", None, "s"), (1, "b", None, "s"), (None, None, None, None), (None, None, None, None)]).drop("replica")
+    got = mixing.numbered(docs, 5)
+    assert got.columns == [*docs.columns, "replica"]
+    assert Counter((r.doc_id, r.text, r.replica) for r in got.collect()) == Counter([(1, "a", 1), (1, "a", 2), (1, "b", 1), (None, None, 1), (None, None, 2)])
+
+
 def test_dropout_rate():
     """About the asked share of candidates is skipped."""
     import numpy as np
