@@ -35,7 +35,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each copy's piece ids: doc_id, replica, n_pieces, pieces; copies are cut apart from each other and keep a seeded order."""
+    """Each copy's piece ids: doc_id, replica, n_pieces, pieces, and a digest of what they decode to; copies are cut apart from each other and keep a seeded order."""
     return subword.encode(mixing.numbered(docs, queries.MIX_SEED), replica="replica")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealgrid.llm import pieces
-from dealgrid.llm.common import list_array, small_batches
+from dealgrid.llm.common import as_bytes, list_array, small_batches
 
 #: Chance that a candidate merge is skipped.
 DROPOUT = 0.1
@@ -318,12 +319,13 @@ def document_key(doc_id: Column, replica: Column) -> Column:
 
 
 def encode(docs: DataFrame, model: str | None = None, dropout: float = DROPOUT, seed: int = 0, replica: str | None = None) -> DataFrame:
-    """One row per document: doc_id, replica, n_pieces, pieces (ids), from its whole text.
+    """One row per document: doc_id, replica, n_pieces, pieces (ids), decoded_sha256, lossless, from its whole text.
 
     Each occurrence of a pre-token is cut on its own, by skipping candidate merges with chance `dropout`; the draws hang on seed, doc_id, the
     number in the column `replica` (0 without one), the pre-token and its place in the text. Characters without a piece become byte pieces, so every
     text decodes to itself. Null and empty texts have no piece; rows with the same id, replica and text get the same ids. With `dropout` 0 there
-    is one segmentation, that of plain merging.
+    is one segmentation, that of plain merging. decoded_sha256 is the digest of the text that the pieces decode to, and lossless tells whether
+    that is the document's.
     """
     path = model or pieces.default_model()
 
@@ -333,14 +335,19 @@ def encode(docs: DataFrame, model: str | None = None, dropout: float = DROPOUT,
         for batch in small_batches(batches, BATCH_BYTES, "text"):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             ids, counts = memo.encode(texts, batch.column("key").to_numpy(zero_copy_only=False))
+            ends = np.cumsum(counts)
+            back = [merger.decode(ids[end - n : end].tolist()) for end, n in zip(ends.tolist(), counts.tolist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), batch.column("replica").cast(pa.int32()), pa.array(counts, pa.int64()), list_array(ids, counts, pa.int32())],
-                ["doc_id", "replica", "n_pieces", "pieces"],
+                [
+                    batch.column("doc_id").cast(pa.int64()), batch.column("replica").cast(pa.int32()), pa.array(counts, pa.int64()), list_array(ids, counts, pa.int32()),
+                    pa.array([hashlib.sha256(b).hexdigest() for b in back]), pa.array([b == t for b, t in zip(back, as_bytes(batch.column("text")))]),
+                ],
+                ["doc_id", "replica", "n_pieces", "pieces", "decoded_sha256", "lossless"],
             )
 
     number = F.col(replica) if replica else F.lit(0)
     keyed = docs.select("doc_id", "text", number.cast("int").alias("replica"), document_key(F.col("doc_id"), number).alias("key"))
-    return keyed.mapInArrow(coded, "doc_id long, replica int, n_pieces long, pieces array<int>")
+    return keyed.mapInArrow(coded, "doc_id long, replica int, n_pieces long, pieces array<int>, decoded_sha256 string, lossless boolean")
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:

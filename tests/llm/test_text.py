@@ -251,6 +251,12 @@ def test_each_occurrence_draws_its_own_merges(spark):
     assert len(whole[0]) == len(whole[1]) == 2
 
 
+def test_pieces_are_decoded_again(messy):
+    got = subword.encode(messy, seed=1).collect()
+    assert Counter((r.doc_id, r.decoded_sha256) for r in got) == Counter((i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t, *_ in texts())
+    assert all(r.lossless for r in got)
+
+
 def test_copies_are_numbered(spark):
     docs = frame(spark, [(1, "a", None, "s"), (1, "a", None, "s"), (1, "b", None, "s"), (None, None, None, None), (None, None, None, None)]).drop("replica")
     got = mixing.numbered(docs, 5)
