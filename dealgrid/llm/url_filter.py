@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import string
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from html.parser import HTMLParser
+from urllib.parse import urljoin
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,10 +17,9 @@ from dealgrid.llm.common import connected_components
 #: Query parameters that name a visit, not a page.
 TRACKING = r"(?i)(^|&)(utm_[a-z]+|ref|gclid|fbclid)=[^&]*"
 
-CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-REFRESH_URL = r"(?is)\burl\s*=\s*['\"]?([^\"'\s>;]+)"
+#: A tag that may hold a link or its base, up to the first > outside quotes, or the first one if a quote stays open; comments are left out.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:base|link|meta)\b(?:[^>"']|"[^"]*"|'[^']*')*>|<(?:base|link|meta)\b[^>]*>""", re.I | re.S)
+_REFRESH = re.compile(r"""\A[\s\d.]*[;,\s]\s*url\s*=\s*(?:"([^"]*)|'([^']*)|(.*))""", re.I | re.S)
 
 
 def host_of(url: Column) -> Column:
@@ -53,21 +56,55 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Col
     return found
 
 
-def _absolute(target: Column, base: Column) -> Column:
-    origin = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
-    return (
-        F.when(target.rlike("(?i)^https?://"), target)
-        .when(target.startswith("//"), F.concat(F.lit("http:"), target))
-        .when(target.startswith("/") & (origin != ""), F.concat(origin, target))
-    )
+class _Links(HTMLParser):
+    """The first base href and the targets of all canonical links and refresh redirects among some tags, entities decoded."""
+
+    def __init__(self):
+        super().__init__()
+        self.base: str | None = None
+        self.targets: list[str] = []
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        # The first of several attributes of a name counts.
+        own = {k: v or "" for k, v in reversed(attrs)}
+        if tag == "base" and "href" in own and self.base is None:
+            self.base = own["href"].strip()
+        elif tag == "link" and "canonical" in own.get("rel", "").lower().split():
+            self.targets.append(own.get("href", "").strip())
+        elif tag == "meta" and own.get("http-equiv", "").strip().lower() == "refresh":
+            found = _REFRESH.match(own.get("content", ""))
+            self.targets.append(next((g for g in found.groups() if g is not None), "").strip() if found else "")
+
+
+def link_targets(url: str, html: str) -> list[str]:
+    """Absolute targets of a page's canonical links and refresh redirects, by RFC 3986 from its base href or its url."""
+    links = _Links()
+    for tag in _TAG.findall(html):
+        if not tag.startswith("<!--"):
+            # Each tag on its own: what stands before it can't hide it.
+            links.feed(tag)
+            links.reset()
+    out = []
+    for target in filter(None, links.targets):
+        try:
+            out.append(urljoin(urljoin(url, links.base or ""), target))
+        except ValueError:
+            # No address, such as a bracket left open in the host.
+            continue
+    return out
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(a, b) node pairs from canonical links and refresh redirects in the pages' html; relative to the site where they start with /."""
-    link = F.regexp_extract(F.regexp_extract("html", CANONICAL, 0), HREF, 1)
-    refresh = F.regexp_extract(F.regexp_extract("html", REFRESH, 0), REFRESH_URL, 1)
-    targets = pages.where(F.col("html").rlike("(?i)canonical|refresh")).select("url", F.explode(F.array(link, refresh)).alias("_to"))
-    targets = targets.where("_to <> ''").select(node_of(F.col("url")).alias("a"), node_of(_absolute(F.col("_to"), F.col("url"))).alias("b"))
+    """(a, b) node pairs from all canonical links and refresh redirects in the pages' html."""
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(u, t) for u, h in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()) for t in link_targets(u, h)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in range(2)], ["url", "to"])
+
+    with_links = pages.where(F.col("url").contains("://") & F.col("html").rlike(r"(?i)<(link|meta)\b")).select("url", "html")
+    targets = with_links.mapInArrow(links, "url string, to string")
+    targets = targets.select(node_of(F.col("url")).alias("a"), node_of(F.col("to")).alias("b"))
     return targets.where("a is not null and b is not null and a <> b")
 
 

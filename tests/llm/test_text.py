@@ -73,6 +73,24 @@ def test_url_rules_and_aliases(spark):
     assert url_filter.judge_urls(pages_of(spark, []), queries.URL_RULES).count() == 0
 
 
+def test_blocks_reach_every_kind_of_link(spark):
+    """Targets relative to the document or a base, entities, and links after the first one."""
+    refresh = '<meta http-equiv=refresh content="{}">'
+    cases = [
+        ("http://a.x.net/fr/", "http://s.org/up/one", link("two?id=1&amp;b=2"), "http://s.org/up/two?id=1&b=2"),
+        ("http://b.x.net/fr/", "http://t.org/a/b/c", link("../x"), "http://t.org/a/x"),
+        ("http://c.x.net/fr/", "http://u.org/p", link("?id=3"), "http://u.org/p?id=3"),
+        ("http://d.x.net/fr/", "http://v.org/p", "<base href='http://w.org/q/'>" + link("r"), "http://w.org/q/r"),
+        ("http://e.x.net/fr/", "http://y.org/p", refresh.format("5") + refresh.format("0; url='z&#46;html'"), "http://y.org/z.html"),
+        ("http://f.x.net/fr/", "http://z.org/p", link("") + link("http://z.org/first") + "<LINK href=/second rel='nofollow Canonical'>", "http://z.org/second"),
+    ]
+    rows = [(10 * k, blocked, link(to)) for k, (blocked, _, _, to) in enumerate(cases)] + [(10 * k + 1, url, html) for k, (_, url, html, _) in enumerate(cases)]
+    rows += [(98, "http://free.org/a", "<!-- " + link("http://a.x.net/fr/") + " -->" + link("http://[x/") + link("mailto:x")), (99, "http://free.org/b", link("a"))]
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(pages_of(spark, rows), queries.URL_RULES).collect()}
+    assert {k: v for k, v in got.items() if k % 10 == 1} == {10 * k + 1: "block" for k in range(len(cases))}
+    assert got[98] == got[99] == "allow"
+
+
 def test_redirect_table(spark):
     pages = pages_of(spark, [(1, "http://a.org/1", ""), (2, "http://b.org/2", "")])
     moved = spark.createDataFrame([("http://a.org/1", "http://c.org/3"), ("http://c.org/3", "http://y.net/fr/"), (None, "http://b.org/2")], "from_url string, to_url string")
