@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +18,12 @@ PART_LOAD = 8
 RETRIES = 8
 #: A line break ends a paragraph, and so does a sentence whose last letter is a vowel, wherever it stands.
 BORDER = r"\n+|(?<=[aeiou][.!?]) "
+#: Every line break, and every sentence end in any script and case, marks and closing brackets or quotes after it included.
+SENTENCES = r"[\n\r\x0B\x0C\u0085\u2028\u2029]+|(?<=[.!?\u2026\u037E\u0589\u061F\u06D4\u0964\u0965\u1362\u104B\u17D4][\p{Pe}\p{Pf}\p{Pi}\"'*]{0,3})[\s\p{Z}]+|(?<=[\u3002\uFF0E\uFF01\uFF1F\uFF61])(?![\p{Pe}\p{Pf}\p{Po}])"
+#: A sentence of more words than this is cut at the words whose hash says so, one in RUN on average, and where RUNS * RUN words hold none.
+LONG_SENTENCE, RUN, RUNS = 24, 8, 4
+#: Characters after which a run without a space is cut.
+LONG_WORD = 64
 #: Sorts a null id behind all others.
 _NO_ID = -(1 << 63)
 
@@ -26,6 +34,28 @@ def paragraph_digests(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p))))
 
 
+def _runs(sentence: Column) -> Column:
+    """A sentence's word runs: a word whose hash is 0 modulo RUN ends one, so an edit moves the borders next to it alone."""
+    words = F.split(F.regexp_replace(sentence, rf"(?s)([^\s\p{{Z}}]{{{LONG_WORD}}})(?=[^\s\p{{Z}}])", "$1 "), r"[\s\p{Z}]+")
+
+    def cut(words: Column) -> Column:
+        n = F.size(words)
+        ends = F.concat(F.filter(F.sequence(F.lit(1), n), lambda i: (i < n) & (F.pmod(F.xxhash64(F.element_at(words, i)), F.lit(RUN)) == 0)), F.array(n))
+        return _bind(ends, lambda e: F.flatten(F.transform(e, lambda end, k: _spans(words, F.when(k == 0, F.lit(0)).otherwise(F.element_at(e, F.greatest(k, F.lit(1)))), end))))
+
+    def _spans(words: Column, start: Column, end: Column) -> Column:
+        return F.transform(F.sequence(start + 1, end, F.lit(RUN * RUNS)), lambda i: F.array_join(F.slice(words, i, F.least(F.lit(RUN * RUNS), end - i + 1)), " "))
+
+    return _bind(words, lambda w: F.when(F.size(w) > LONG_SENTENCE, cut(w)).when(F.exists(w, lambda x: F.length(x) >= LONG_WORD), w).otherwise(F.array(sentence)))
+
+
+def part_digests(text: Column) -> Column:
+    """The distinct 64-bit digests of a text's sentences and of the word runs of long ones, sorted; none for an empty text."""
+    sentences = F.filter(F.split(text, SENTENCES), lambda p: p != "")
+    parts = F.filter(F.flatten(F.transform(sentences, _runs)), lambda p: p != "")
+    return F.array_sort(F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p))))
+
+
 def _bind(value: Column, use) -> Column:
     """`use(value)`, with the value computed once."""
     return F.transform(F.array(value), use)[0]
@@ -180,25 +210,25 @@ def _successors(ids: DataFrame) -> DataFrame:
     return inside.join(follow, "part").select("k", F.coalesce("next", "after", F.lit(top)).alias("next"))
 
 
-def fingerprint_versions(docs: DataFrame) -> DataFrame:
+def fingerprint_versions(docs: DataFrame, digests_of: Callable[[Column], Column] = paragraph_digests) -> DataFrame:
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many, or all, of the next document's, in the order of
     descending doc_id, and after the last the first. A null text is empty; a null doc_id comes after all others. Rows
     that share an id are edited each, all by the same next document, of several that with the smallest beginning. The near
-    columns compare paragraph digests: 1 for equal ones or two empty texts, 0 without a common one. Equal texts have equal fingerprints.
+    columns compare the digests that `digests_of` takes of a text's parts: 1 for equal ones or two empty texts, 0 without a common one. Equal texts have equal fingerprints.
 
     Whole texts move once, keyed by id; then half texts and digests of the next document move to the document they edit.
     """
     texts = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
     lengths = texts.groupBy("k").agg(F.max(F.length("text")).alias("n"))
     wanted = _successors(texts.select("k")).join(lengths, "k").select(F.col("next").alias("k"), F.col("k").alias("to"), F.floor(F.col("n") / 2).cast("int").alias("half"))
-    sent = texts.join(wanted, "k").select("to", F.struct(F.substr("text", F.lit(1), F.col("half")).alias("piece"), paragraph_digests(F.col("text")).alias("digests")).alias("sent"))
+    sent = texts.join(wanted, "k").select("to", F.struct(F.substr("text", F.lit(1), F.col("half")).alias("piece"), digests_of(F.col("text")).alias("digests")).alias("sent"))
     sent = sent.groupBy(F.col("to").alias("k")).agg(F.min("sent").alias("sent"))
     rows = texts.join(sent, "k").withColumn("n_chars", F.length("text"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substr("text", F.lit(1), F.col("n_chars") - half), F.substr("sent.piece", F.lit(1), half)))
-    rows = rows.select("k", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), paragraph_digests(F.col("text")).alias("own"), paragraph_digests(F.col("edited")).alias("changed"), F.col("sent.digests").alias("following"))
+    rows = rows.select("k", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests_of(F.col("text")).alias("own"), digests_of(F.col("edited")).alias("changed"), F.col("sent.digests").alias("following"))
     rows = rows.select("k", "n_chars", "edited_sha256", *(_items(F.col(c)).alias(c) for c in ("own", "changed", "following")))
     own, changed, following = F.col("own"), F.col("changed"), F.col("following")
     return rows.select(

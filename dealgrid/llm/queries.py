@@ -147,7 +147,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_iblt_fingerprints")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.fingerprint_versions(table(spark, sf_dir, "documents"))
+    return fingerprints.fingerprint_versions(table(spark, sf_dir, "documents"), fingerprints.part_digests)
 
 
 @query("op9_merge_dropout")

@@ -210,6 +210,21 @@ def test_fingerprints(spark, messy, no_docs):
     assert fingerprints.fingerprint_versions(no_docs).count() == 0
 
 
+def test_every_text_of_some_length_has_parts(spark):
+    """An edit of the last words leaves something in common, whatever the script, the case and the marks."""
+    kinds = [
+        "THE CAT SAT. THE DOG RAN. THE COW SLEPT. ", "Il est allé. Puis il a mangé. Tout est passé. ", "(She said no!) And left!! \"Why?\" he asked. ",
+        "猫が座った。犬が走った。牛が寝た。", "कुत्ता भागा। बिल्ली बैठी। गाय सोई। ", " ".join(f"word{k}" for k in range(120)) + " ", "same " * 200, "x" * 1000,
+    ]
+    rows = [(2 * k, t + "end of it") for k, t in enumerate(kinds)] + [(2 * k + 1, t + "another end") for k, t in enumerate(kinds)]
+    got = spark.createDataFrame(rows, "id long, t string").select("id", fingerprints.part_digests(F.col("t")).alias("d")).collect()
+    digests = {r.id: set(r.d) for r in got}
+    assert all(0 < like(digests[2 * k], digests[2 * k + 1]) < 1 for k in range(len(kinds)))
+    assert all(len(digests[2 * k]) > 2 for k in range(6))
+    versions = fingerprints.fingerprint_versions(frame(spark, [(2, kinds[0] * 2, None, None), (1, kinds[5], None, None)]), fingerprints.part_digests).collect()
+    assert all(0 < r.near_edited < 1 for r in versions)
+
+
 def test_repeated_ids_have_rows_of_their_own(messy):
     rows = [(i, t) for i, t, *_ in texts()]
     got = fingerprints.fingerprint_versions(messy).collect()
