@@ -178,3 +178,15 @@ def _(t):
     owned.repartition("doc").write.partitionBy("doc").text(path)
     found = readers.content_manifest(t.spark, path, "*.txt")
     return found.select(F.regexp_extract("rel", "^([^/]+)/", 1).alias("folder"), "sha256", "bytes")
+
+
+@query("content_manifest_whole", """
+select 'doc=' || coalesce(doc_id::varchar, '__HIVE_DEFAULT_PARTITION__') as folder, sha256(coalesce(text, '') || chr(10)) as sha256, octet_length(encode(coalesce(text, '') || chr(10))) as bytes from documents
+""")
+def _(t):
+    # Every document, a null text as an empty one.
+    path = shared_folder(t.spark, "all owned (files)+")
+    owned = t.documents.select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    owned.repartition("doc").write.partitionBy("doc").text(path)
+    found = readers.content_manifest(t.spark, path, "*.txt")
+    return found.select(F.regexp_extract("rel", "^([^/]+)/", 1).alias("folder"), "sha256", "bytes")

@@ -267,3 +267,15 @@ def test_rules_that_name_unknown_values_are_reported(spark):
     df = spark.createDataFrame([(1, "Won")], "id int, stage string")
     rules = [{"rule_id": "a", "trigger": "stage = 'X'", "level": "auto", "column": "stage", "value": "X"}, {"rule_id": "b", "trigger": "true", "level": "loud"}]
     assert tasks.faulty_rules(df, rules, {"stage": ["Won"]}) == [("b", "level loud"), ("a", "stage = X")]
+
+
+def test_whole_manifest_has_every_document(spark, tmp_path):
+    import hashlib
+
+    from dealgrid.plans import catalog
+
+    rows = [(k, None if k == 3 else f"text {k}") for k in range(1, 9)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.folder: (r.sha256, r.bytes) for r in catalog.QUERIES["content_manifest_whole"](spark, str(tmp_path)).collect()}
+    want = {f"doc={k}": ((t or "") + "\n").encode() for k, t in rows}
+    assert got == {k: (hashlib.sha256(b).hexdigest(), len(b)) for k, b in want.items()}
