@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealgrid.llm import exact_dedup, fingerprints, lm_scoring, mixing, near_dedup, quality, subword, token_counts, url_filter, warc
+from dealgrid.llm import exact_dedup, fingerprints, lm_scoring, manifest, mixing, near_dedup, quality, subword, token_counts, url_filter, warc
 from dealgrid.llm.common import table
 from dealgrid.session import shared_folder
 
@@ -158,3 +158,52 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_odd_sketch_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=2, threshold=0.8).drop("text_key")
+
+
+_FIELDS_SQL = " || ".join(f"coalesce(octet_length(encode({c}::varchar)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars"))
+_TEXT_SQL = "coalesce(octet_length(encode({0})) || ':' || {0}, '-')"
+_LOWER_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: crc32 bit by bit over the characters of a decimal number.
+_CRC_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: xor(c >> 1, (c & 1) * 3988292384))))"""
+_SIDES_SQL = """
+  select *, coalesce(string_agg(digest, '') over (partition by k, lvl, pos // 16 order by pos rows between unbounded preceding and 1 preceding), '') as l,
+    coalesce(string_agg(digest, '') over (partition by k, lvl, pos // 16 order by pos rows between 1 following and unbounded following), '') as r
+  from {0} where total > 1"""
+
+MANIFEST_SQL = f"""
+with recursive base as (
+  select doc_id, coalesce('=' || source, '') as k, sha256({_FIELDS_SQL} || {_TEXT_SQL.format("text")}) as leaf,
+    case when {_CRC_SQL} % 5 = 0 then sha256({_FIELDS_SQL} || {_TEXT_SQL.format(_LOWER_SQL)}) end as tampered
+  from documents),
+placed as (select *, row_number() over (partition by k order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by k) as total from base),
+nodes as (
+  select k, pos, total, leaf as digest, 0 as lvl from placed
+  union all
+  select k, pos // 16, (total + 15) // 16, sha256(string_agg(digest, '' order by pos)), lvl + 1 from nodes where total > 1 group by k, pos // 16, total, lvl),
+sides as materialized ({_SIDES_SQL.format("nodes")}),
+tops as (select k as source, digest, row_number() over (order by k) - 1 as pos, count(*) over () as total from nodes where total = 1),
+upper_nodes as (
+  select '' as k, pos, total, digest, 0 as lvl from tops
+  union all
+  select k, pos // 16, (total + 15) // 16, sha256(string_agg(digest, '' order by pos)), lvl + 1 from upper_nodes where total > 1 group by k, pos // 16, total, lvl),
+upper_sides as materialized ({_SIDES_SQL.format("upper_nodes")}),
+folded as (
+  select doc_id, k, leaf, pos, total, 0 as lvl, '' as proof, coalesce(tampered, leaf) as x from placed
+  union all
+  select f.doc_id, f.k, f.leaf, f.pos // 16, (f.total + 15) // 16, f.lvl + 1, f.proof || s.l || s.r, sha256(s.l || f.x || s.r)
+  from folded f join sides s on s.k = f.k and s.lvl = f.lvl and s.pos = f.pos where f.total > 1),
+risen as (
+  select f.doc_id, f.leaf, t.digest as subroot, t.pos, t.total, 0 as lvl, f.proof, f.x from folded f join tops t on t.source = f.k where f.total = 1
+  union all
+  select f.doc_id, f.leaf, f.subroot, f.pos // 16, (f.total + 15) // 16, f.lvl + 1, f.proof || s.l || s.r, sha256(s.l || f.x || s.r)
+  from risen f join upper_sides s on s.lvl = f.lvl and s.pos = f.pos where f.total > 1)
+select doc_id, leaf, subroot, (select digest from upper_nodes where total = 1) as root, sha256(proof) as proof_sha256, x as folded_root,
+  x = (select digest from upper_nodes where total = 1) as verified
+from risen where total = 1
+"""
+
+
+@query("op13_bitmap_manifest", MANIFEST_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
