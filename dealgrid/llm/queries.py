@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealgrid.llm import exact_dedup, fingerprints, lm_scoring, manifest, mixing, near_dedup, quality, subword, token_counts, url_filter, warc
+from dealgrid.llm import exact_dedup, fingerprints, hard_negatives, lm_scoring, manifest, mixing, near_dedup, quality, substring_dedup, subword, token_counts, url_filter, warc
 from dealgrid.llm.common import table
 from dealgrid.session import shared_folder
 
@@ -160,6 +160,32 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=2, threshold=0.8).drop("text_key")
 
 
+NEGATIVES_SQL = """
+with v as (
+  select distinct vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as vec
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))),
+numbered as (select *, row_number() over () as rid from v),
+scored as (
+  select a.rid as aid, a.vec_id as anchor_id, r.rid, r.vec_id, r.label = a.label as alike, list_inner_product(a.vec, r.vec)::bigint as score
+  from numbered a join numbered r on a.vec_id % 100 = 0 and r.rid <> a.rid),
+positives as (
+  select aid, anchor_id, rid as pid, vec_id as positive_id, score as positive_score from scored where alike
+  qualify row_number() over (partition by aid order by score desc, vec_id) <= 5)
+select p.anchor_id, p.positive_id, row_number() over w::int as rank, n.vec_id as negative_id, p.positive_score, n.score as negative_score
+from positives p join scored n on n.aid = p.aid and not n.alike and 30 * p.positive_score <= 100 * n.score and 100 * n.score <= 90 * p.positive_score
+window w as (partition by p.aid, p.pid order by n.score desc, n.vec_id)
+qualify row_number() over w <= 10
+"""
+
+
+@query("op11_multi_index_negatives", NEGATIVES_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(rows.withColumn("label", shifted))
+
+
 _FIELDS_SQL = " || ".join(f"coalesce(octet_length(encode({c}::varchar)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars"))
 _TEXT_SQL = "coalesce(octet_length(encode({0})) || ':' || {0}, '-')"
 _LOWER_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -207,3 +233,23 @@ from risen where total = 1
 @query("op13_bitmap_manifest", MANIFEST_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+REPEATS_SQL = r"""
+with d as (
+  select row_number() over () as row_id, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
+words as (select row_id, doc_id, len(w) as n, unnest(w) as word, generate_subscripts(w, 1) as i from d),
+windows as (
+  select *, case when i <= n - 49 then md5(string_agg(word, ' ') over (partition by row_id order by i rows between current row and 49 following)) end as digest
+  from words where n >= 50),
+judged as (select *, digest is not null and min(doc_id) over (partition by digest) < doc_id as repeated from windows),
+covered as (select *, bool_or(repeated) over (partition by row_id order by i rows between 49 preceding and current row) as gone from judged),
+cut as (select row_id, count(*) filter (where gone) as n_removed, coalesce(string_agg(word, ' ' order by i) filter (where not gone), '') as kept from covered group by row_id)
+select doc_id, len(w) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, array_to_string(w, ' '))) as kept_sha256
+from d left join cut using (row_id)
+"""
+
+
+@query("op12_recompression_repeats", REPEATS_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
