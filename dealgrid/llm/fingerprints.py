@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -16,27 +17,31 @@ CELLS = 4
 PART_LOAD = 8
 #: Times the cells of a part double before its digests are compared directly.
 RETRIES = 8
-#: A line break ends a paragraph, and so does a sentence whose last letter is a vowel, wherever it stands.
-BORDER = r"\n+|(?<=[aeiou][.!?]) "
-#: Every line break, and every sentence end in any script and case, marks and closing brackets or quotes after it included.
-SENTENCES = r"[\n\r\x0B\x0C\u0085\u2028\u2029]+|(?<=[.!?\u2026\u037E\u0589\u061F\u06D4\u0964\u0965\u1362\u104B\u17D4][\p{Pe}\p{Pf}\p{Pi}\"'*]{0,3})[\s\p{Z}]+|(?<=[\u3002\uFF0E\uFF01\uFF1F\uFF61])(?![\p{Pe}\p{Pf}\p{Po}])"
+#: Every line break, and every sentence end in any script and case, marks and closing brackets or quotes after it included, ends a part.
+CLOSERS = r"[\p{Pe}\p{Pf}\p{Pi}\"'*]"
+SENTENCES = rf"([.!?]{CLOSERS}{{0,3}})[\s\p{{Z}}]+|[\n\r\x0B\x0C]+"
+#: The rarer marks: with a space after them, without, and line breaks. Texts without any of them aren't searched for them.
+SPACED, UNSPACED, BREAKS = "\u2026\u037e\u0589\u061f\u06d4\u0964\u0965\u1362\u104b\u17d4", "\u3002\uff0e\uff01\uff1f\uff61", "\u0085\u2028\u2029"
+RARE_SENTENCES = rf"([{SPACED}]{CLOSERS}{{0,3}})[\s\p{{Z}}]+|([{UNSPACED}])(?![\p{{Pe}}\p{{Pf}}\p{{Po}}])|[{BREAKS}]+"
+#: Stands at the end of each part before the text is split; where a text holds it, it ends a part too.
+END = "\u0001"
 #: A sentence of more words than this is cut at the words whose hash says so, one in RUN on average, and where RUNS * RUN words hold none.
 LONG_SENTENCE, RUN, RUNS = 24, 8, 4
 #: Characters after which a run without a space is cut.
 LONG_WORD = 64
 #: Sorts a null id behind all others.
 _NO_ID = -(1 << 63)
-
-
-def paragraph_digests(text: Column) -> Column:
-    """The distinct 64-bit digests of a text's paragraphs, sorted; none for an empty text."""
-    parts = F.filter(F.split(text, BORDER), lambda p: p != "")
-    return F.array_sort(F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p))))
+#: Rows without an id share a key; they are dealt out by their text.
+SALTS = 64
+#: Cells of the first difference sketch for each paragraph of both versions; most that fails is tried again in parts.
+SPACE = 4.0
+#: Times that every table is peeled.
+CYCLES = 2
 
 
 def _runs(sentence: Column) -> Column:
     """A sentence's word runs: a word whose hash is 0 modulo RUN ends one, so an edit moves the borders next to it alone."""
-    words = F.split(F.regexp_replace(sentence, rf"(?s)([^\s\p{{Z}}]{{{LONG_WORD}}})(?=[^\s\p{{Z}}])", "$1 "), r"[\s\p{Z}]+")
+    blank = r"[\s\p{Z}]+"
 
     def cut(words: Column) -> Column:
         n = F.size(words)
@@ -46,12 +51,21 @@ def _runs(sentence: Column) -> Column:
     def _spans(words: Column, start: Column, end: Column) -> Column:
         return F.transform(F.sequence(start + 1, end, F.lit(RUN * RUNS)), lambda i: F.array_join(F.slice(words, i, F.least(F.lit(RUN * RUNS), end - i + 1)), " "))
 
-    return _bind(words, lambda w: F.when(F.size(w) > LONG_SENTENCE, cut(w)).when(F.exists(w, lambda x: F.length(x) >= LONG_WORD), w).otherwise(F.array(sentence)))
+    def split(words: Column) -> Column:
+        shorter = F.split(F.regexp_replace(sentence, rf"(?s)([^\s\p{{Z}}]{{{LONG_WORD}}})(?=[^\s\p{{Z}}])", "$1 "), blank)
+        over = F.exists(words, lambda x: F.length(x) >= LONG_WORD)
+        return F.when(over, _bind(shorter, lambda w: F.when(F.size(w) > LONG_SENTENCE, cut(w)).otherwise(w))).when(F.size(words) > LONG_SENTENCE, cut(words)).otherwise(F.array(sentence))
+
+    # Fewer characters hold neither that many words nor a long one.
+    return F.when(F.length(sentence) <= 2 * LONG_SENTENCE, F.array(sentence)).otherwise(_bind(F.split(sentence, blank), split))
 
 
 def part_digests(text: Column) -> Column:
     """The distinct 64-bit digests of a text's sentences and of the word runs of long ones, sorted; none for an empty text."""
-    sentences = F.filter(F.split(text, SENTENCES), lambda p: p != "")
+    common = F.regexp_replace(text, SENTENCES, f"$1{END}")
+    rare = reduce(or_, (F.contains(text, F.lit(c)) for c in SPACED + UNSPACED + BREAKS))
+    marked = F.when(rare, F.regexp_replace(common, RARE_SENTENCES, f"$1$2{END}")).otherwise(common)
+    sentences = F.filter(F.split(marked, END), lambda p: p != "")
     parts = F.filter(F.flatten(F.transform(sentences, _runs)), lambda p: p != "")
     return F.array_sort(F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p))))
 
@@ -186,16 +200,94 @@ def differing(a: Column, b: Column) -> Column:
     return F.aggregate(dealt, F.lit(0), lambda total, p: total + _recovered(p))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Share of common digests in all digests of two lists of items, by what their sketches give up; 1 if both are empty."""
+_ROW = ("k", "salt", "rid", "cells")
+#: Tables 0 to 2 are the sketch of a row's own digests against the edited text's, 3 to 5 that against the next document's; then what either gave up, and the row's doc.
+_FOUND, _DOC = (6, 7), 8
+
+
+def _folded(entries: DataFrame) -> DataFrame:
+    """Entries of one cell made one: counts added, parities by exclusive or; empty cells go."""
+    cells = entries.groupBy(*_ROW, "table", "place", "doc").agg(
+        F.sum("c").cast("int").alias("c"), F.bit_xor("key").alias("key"), F.bit_xor("check").alias("check"), F.sum("found").cast("int").alias("found"))
+    return cells.where((F.col("c") != 0) | (F.col("key") != 0) | (F.col("check") != 0) | (F.col("table") >= _FOUND[0]))
+
+
+def _shift(table: Column) -> Column:
+    return F.when(table == 0, _SHIFTS[0]).when(table == 1, _SHIFTS[1]).otherwise(_SHIFTS[2])
+
+
+def _cell_of(hashed: Column, table: Column) -> Column:
+    """A digest's place in one of the three tables, from its hash."""
+    return F.pmod(F.call_function("shiftright", hashed, _shift(F.pmod(table, F.lit(3)))), F.col("cells").cast("long")).cast("int")
+
+
+def _sketched(rows: DataFrame, doc_type: str) -> DataFrame:
+    """The cells of both difference sketches of each row.
+
+    `rows` holds k, salt, rid, cells and doc (a struct with own, changed and following). Rows lie by k and salt, so nothing is moved; doc goes along as
+    an entry of its own.
+    """
+    no_doc = F.lit(None).cast(doc_type)
+    item = lambda side: lambda d: F.struct(F.lit(side).alias("side"), d.alias("key"), no_doc.alias("doc"))
+    sides = [F.transform(f"doc.{c}", item(i)) for i, c in enumerate(("own", "changed", "following"))]
+    head = F.array(F.struct(F.lit(3).alias("side"), F.lit(0).cast("long").alias("key"), F.col("doc").alias("doc")))
+    tables = [range(6), range(3), range(3, 6), [_DOC]]
+    lists = F.element_at(F.array(*(F.array(*map(F.lit, t)) for t in tables)), F.col("side") + 1)
+    items = rows.select(*_ROW, F.explode(F.concat(head, *sides)).alias("i")).select(*_ROW, "i.*").select("*", F.explode(lists).alias("table"))
+    is_doc = F.col("side") == 3
+    sign = F.when(F.col("side") == 0, 1).when(is_doc, 0).otherwise(-1)
+    place = F.when(is_doc, 0).otherwise(_cell_of(F.xxhash64("key", F.lit(3)), F.col("table")))
+    check = F.when(is_doc, F.lit(0).cast("long")).otherwise(_check(F.col("key")))
+    return _folded(items.select(*_ROW, "table", place.alias("place"), "doc", sign.alias("c"), "key", check.alias("check"), F.lit(0).alias("found")))
+
+
+def _peeled(cells: DataFrame, table: int) -> DataFrame:
+    """The digests that stand alone in a cell of one table of either sketch, taken out of all their cells and counted. A table holds a digest once."""
+    mine = F.pmod("table", F.lit(3)) == table
+    bare = (F.col("table") < _FOUND[0]) & mine & (F.abs("c") == 1) & (_check(F.col("key")) == F.col("check"))
+    steps = F.explode(F.when(F.col("bare"), F.array(*map(F.lit, range(4)))).otherwise(F.array(F.lit(0))))
+    rows = cells.select("*", bare.alias("bare")).select("*", steps.alias("j"))
+    second = F.col("table") >= 3
+    others = [t for t in range(3) if t != table]
+    other = F.when(F.col("j") == 1, others[0]).otherwise(others[1]) + F.when(second, 3).otherwise(0)
+    own, found = F.col("j") == 0, F.col("j") == 3
+    stays = own & ~F.col("bare")
+    moved = lambda c, v: F.when(stays, F.col(c)).when(own | found, F.lit(0)).otherwise(v)
+    zero = F.lit(0).cast("long")
+    entries = rows.select(
+        *_ROW, F.when(own, F.col("table")).when(found, F.when(second, _FOUND[1]).otherwise(_FOUND[0])).otherwise(other).alias("table"), "place", "j",
+        F.when(own, F.col("doc")).alias("doc"), moved("c", -F.col("c")).alias("c"), F.when(own & F.col("bare") | found, zero).otherwise(F.col("key")).alias("key"),
+        F.when(own & F.col("bare") | found, zero).otherwise(F.col("check")).alias("check"), F.when(found, 1).when(own, F.col("found")).otherwise(0).alias("found"),
+    )
+    place = F.when(F.col("j") == 0, F.col("place")).when(F.col("j") == 3, 0).otherwise(_cell_of(F.xxhash64("key", F.lit(3)), F.col("table")))
+    return _folded(entries.withColumn("place", place).drop("j"))
+
+
+def recovered(rows: DataFrame, doc_type: str) -> DataFrame:
+    """k, salt, rid, doc, and for both pairs (edited, next) the digests that peeling gave up (f_) and whether nothing is left of the sketch (ok_)."""
+    cells = _sketched(rows, doc_type)
+    for _ in range(CYCLES):
+        for table in range(3):
+            cells = _peeled(cells, table)
+    table = F.col("table")
+    left = {"edited": table < 3, "next": (table >= 3) & (table < _FOUND[0])}
+    return cells.groupBy("k", "salt", "rid").agg(
+        F.max("doc").alias("doc"), *(F.sum(F.when(table == t, F.col("found")).otherwise(0)).alias(f"f_{p}") for p, t in zip(left, _FOUND)),
+        *((F.max(F.when(cond, 1).otherwise(0)) == 0).alias(f"ok_{p}") for p, cond in left.items())
+    )
+
+
+def likeness(a: Column, b: Column, ok: Column, found: Column) -> Column:
+    """Share of common digests in all digests of two lists; 1 if both are empty. What the first sketch did not give up is tried again in larger ones."""
     sizes = F.size(a) + F.size(b)
-    return F.when(sizes == 0, F.lit(1.0)).otherwise(_bind(differing(a, b), lambda d: (sizes - d) / (sizes + d)))
+    d = F.when(ok, found).otherwise(_bind(F.array(_items(a), _items(b)), lambda x: differing(x[0], x[1])))
+    return F.when(sizes == 0, F.lit(1.0)).otherwise(_bind(d, lambda n: (sizes - n) / (sizes + n)))
 
 
 def spelled(items: Column) -> Column:
     """The fingerprint: the base sketch's cells as text."""
     cell = lambda c: F.concat(F.hex(c["c"].cast("long")), F.lit("."), F.hex(c["k"]), F.lit("."), F.hex(c["h"]))
-    return F.array_join(F.transform(sketch(items, F.lit(CELLS).cast("long")), cell), ":")
+    return _bind(items, lambda own: F.array_join(F.transform(sketch(own, F.lit(CELLS).cast("long")), cell), ":"))
 
 
 def _successors(ids: DataFrame) -> DataFrame:
@@ -210,29 +302,39 @@ def _successors(ids: DataFrame) -> DataFrame:
     return inside.join(follow, "part").select("k", F.coalesce("next", "after", F.lit(top)).alias("next"))
 
 
-def fingerprint_versions(docs: DataFrame, digests_of: Callable[[Column], Column] = paragraph_digests) -> DataFrame:
+def fingerprint_versions(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many, or all, of the next document's, in the order of
     descending doc_id, and after the last the first. A null text is empty; a null doc_id comes after all others. Rows
     that share an id are edited each, all by the same next document, of several that with the smallest beginning. The near
-    columns compare the digests that `digests_of` takes of a text's parts: 1 for equal ones or two empty texts, 0 without a common one. Equal texts have equal fingerprints.
+    columns compare the digests of the texts' parts: 1 for equal ones or two empty texts, 0 without a common one. Equal texts have equal fingerprints.
 
-    Whole texts move once, keyed by id; then half texts and digests of the next document move to the document they edit.
+    Whole texts move once, keyed by id; then half texts and digests of the next document move to the document they edit. Sketches are filled and
+    peeled where the rows then lie: every digest of a row is an entry of one cell in each of three tables, and each round folds the entries of a cell.
     """
     texts = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+    salt = F.when(F.col("k") == _NO_ID, F.pmod(F.xxhash64("text"), F.lit(SALTS))).otherwise(F.lit(0)).cast("long").alias("salt")
+    texts = texts.select("k", salt, "text")
+    salts = F.explode(F.when(F.col("k") == _NO_ID, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))).alias("salt")
     lengths = texts.groupBy("k").agg(F.max(F.length("text")).alias("n"))
     wanted = _successors(texts.select("k")).join(lengths, "k").select(F.col("next").alias("k"), F.col("k").alias("to"), F.floor(F.col("n") / 2).cast("int").alias("half"))
-    sent = texts.join(wanted, "k").select("to", F.struct(F.substr("text", F.lit(1), F.col("half")).alias("piece"), digests_of(F.col("text")).alias("digests")).alias("sent"))
+    sent = texts.join(wanted.select("*", salts), ["k", "salt"]).select("to", F.struct(F.substr("text", F.lit(1), F.col("half")).alias("piece"), part_digests(F.col("text")).alias("digests")).alias("sent"))
     sent = sent.groupBy(F.col("to").alias("k")).agg(F.min("sent").alias("sent"))
-    rows = texts.join(sent, "k").withColumn("n_chars", F.length("text"))
+    rows = texts.join(sent.select("*", salts), ["k", "salt"]).withColumn("n_chars", F.length("text"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substr("text", F.lit(1), F.col("n_chars") - half), F.substr("sent.piece", F.lit(1), half)))
-    rows = rows.select("k", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests_of(F.col("text")).alias("own"), digests_of(F.col("edited")).alias("changed"), F.col("sent.digests").alias("following"))
-    rows = rows.select("k", "n_chars", "edited_sha256", *(_items(F.col(c)).alias(c) for c in ("own", "changed", "following")))
-    own, changed, following = F.col("own"), F.col("changed"), F.col("following")
-    return rows.select(
-        F.when(F.col("k") != _NO_ID, F.col("k")).alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256",
-        spelled(own).alias("fingerprint"), spelled(changed).alias("edited_fingerprint"),
-        likeness(own, changed).alias("near_edited"), likeness(own, following).alias("near_next"),
+    doc = F.struct(
+        F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        part_digests(F.col("text")).alias("own"), part_digests(F.col("edited")).alias("changed"), F.col("sent.digests").alias("following"),
+    )
+    rows = rows.select("k", "salt", F.monotonically_increasing_id().alias("rid"), doc.alias("doc"))
+    most = F.size("doc.own") + F.greatest(F.size("doc.changed"), F.size("doc.following"))
+    rows = rows.withColumn("cells", F.greatest(F.lit(2 * CELLS), F.ceil(most * (SPACE / 3)).cast("int")))
+    found = recovered(rows, rows.schema["doc"].dataType.simpleString())
+    own, changed, following = (F.col(f"doc.{c}") for c in ("own", "changed", "following"))
+    return found.select(
+        F.when(F.col("k") != _NO_ID, F.col("k")).alias("doc_id"), "doc.n_chars", "doc.edited_sha256",
+        spelled(_items(own)).alias("fingerprint"), spelled(_items(changed)).alias("edited_fingerprint"),
+        likeness(own, changed, F.col("ok_edited"), F.col("f_edited")).alias("near_edited"), likeness(own, following, F.col("ok_next"), F.col("f_next")).alias("near_next"),
     )

@@ -22,6 +22,8 @@ DROPOUT = 0.1
 MAX_WIDTH = 64
 #: Pre-tokens whose plain pieces and candidates a task remembers before it starts afresh; results don't depend on it.
 MAX_WORDS = 400_000
+#: Occurrences whose candidates are drawn at once.
+DRAW_WORDS = 1 << 14
 BATCH_BYTES = 2 << 20
 _NONE = np.int64(1) << 40
 
@@ -51,6 +53,9 @@ class Merger:
         self.bytes_of = [p.replace(pieces.MARK, " ").encode() for p in self.vocabulary.pieces]
         for value, i in enumerate(self.vocabulary.byte_ids):
             self.bytes_of[i] = bytes([value])
+        self.all_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.piece_bytes = np.fromiter(map(len, self.bytes_of), np.int64, self.size)
+        self.piece_start = np.cumsum(self.piece_bytes) - self.piece_bytes
 
         # Symbol of each character below the last one that has a piece; a space is the mark, and a literal mark has no piece.
         top = max(ord(p) for p in ids if len(p) == 1) + 1
@@ -88,10 +93,18 @@ class Merger:
             h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
             return (h ^ (h >> np.uint64(27))).view(np.int64)
 
+    @staticmethod
+    def codes_of(place: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """What of a skip hangs on the candidate."""
+        with np.errstate(over="ignore"):
+            return (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ ((left.astype(np.uint64) << np.uint64(32)) + right.astype(np.uint64))
+
     def _skipped(self, key: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return self.skips(key.astype(np.uint64) ^ self.codes_of(place, left, right))
+
+    def skips(self, h: np.ndarray) -> np.ndarray:
+        """Whether candidates are skipped, from their key and code combined; `h` is overwritten."""
         with np.errstate(over="ignore"):
-            h = key.astype(np.uint64) ^ (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            h ^= (left.astype(np.uint64) << np.uint64(32)) + right.astype(np.uint64)
             h ^= h >> np.uint64(30)
             h *= np.uint64(0xBF58476D1CE4E5B9)
             h ^= h >> np.uint64(27)
@@ -229,6 +242,14 @@ class Merger:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
+    def decode_all(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """The texts of flat piece ids, `counts` of them each."""
+        lengths = self.piece_bytes[ids]
+        ends = np.cumsum(lengths)
+        flat = self.all_bytes[np.repeat(self.piece_start[ids] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))].tobytes()
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        return [flat[a:b] for a, b in zip(bounds, bounds[1:])]
+
 
 @lru_cache(maxsize=2)
 def _merger(model: str, dropout: float, seed: int) -> Merger:
@@ -249,7 +270,7 @@ class _Memo:
         self.at: dict[str, int] = {}
         self.flat, self.start, self.count = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
         self.keys, self.first, self.tries = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.candidates = np.empty((3, 0), np.int32)
+        self.candidates = np.empty(0, np.uint64)
 
     def _learn(self, fresh: list[str]) -> None:
         short = [w for w in fresh if len(w) <= MAX_WIDTH]
@@ -264,19 +285,25 @@ class _Memo:
             numbers = np.flatnonzero(lengths == length)
             keys[numbers] = self.merger.keys_of([short[i] for i in numbers.tolist()], 0)
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(count) - count])
-        self.first = np.concatenate([self.first, self.candidates.shape[1] + np.cumsum(tries) - tries])
+        self.first = np.concatenate([self.first, len(self.candidates) + np.cumsum(tries) - tries])
         self.count, self.flat = np.concatenate([self.count, count]), np.concatenate([self.flat, ids])
         self.tries, self.keys = np.concatenate([self.tries, tries]), np.concatenate([self.keys, keys])
-        self.candidates = np.concatenate([self.candidates, np.stack(found)[:, order].astype(np.int32)], axis=1)
+        self.candidates = np.concatenate([self.candidates, self.merger.codes_of(*(x[order] for x in found))])
         self.at.update(zip(short, range(len(self.at), len(self.at) + len(short))))
 
     def _drawn(self, index: np.ndarray, marks: np.ndarray) -> np.ndarray:
-        """The occurrences of which a candidate is skipped."""
-        tries = self.tries[index]
-        owner = np.repeat(np.arange(len(index)), tries)
-        each = np.repeat(self.first[index] - (np.cumsum(tries) - tries), tries) + np.arange(len(owner))
-        place, left, right = self.candidates[:, each]
-        return np.unique(owner[self.merger._skipped(self.merger.marked(self.keys[index], marks)[owner], place, left, right)])
+        """The occurrences of which a candidate is skipped, some at a time so that their candidates stay in the cache."""
+        tried = np.flatnonzero(self.tries[index])
+        out = [tried[:0]]
+        for at in range(0, len(tried), DRAW_WORDS):
+            own = tried[at : at + DRAW_WORDS]
+            which = index[own]
+            tries = self.tries[which]
+            start = np.cumsum(tries) - tries
+            codes = self.candidates[np.repeat(self.first[which] - start, tries) + np.arange(int(tries.sum()))]
+            codes ^= np.repeat(self.merger.marked(self.keys[which], marks[own]).view(np.uint64), tries)
+            out.append(own[np.logical_or.reduceat(self.merger.skips(codes), start)])
+        return np.concatenate(out)
 
     def encode(self, texts: list[str], documents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat piece ids of the texts, and how many each has; `documents` holds what a text's draws hang on besides the seed."""
@@ -335,8 +362,7 @@ def encode(docs: DataFrame, model: str | None = None, dropout: float = DROPOUT,
         for batch in small_batches(batches, BATCH_BYTES, "text"):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             ids, counts = memo.encode(texts, batch.column("key").to_numpy(zero_copy_only=False))
-            ends = np.cumsum(counts)
-            back = [merger.decode(ids[end - n : end].tolist()) for end, n in zip(ends.tolist(), counts.tolist())]
+            back = merger.decode_all(ids, counts)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").cast(pa.int64()), batch.column("replica").cast(pa.int32()), pa.array(counts, pa.int64()), list_array(ids, counts, pa.int32()),

@@ -11,6 +11,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from dealgrid.llm import fingerprints, lm_scoring, quality
@@ -168,8 +170,35 @@ def test_very_frequent_words_keep_their_odds(spark):
     assert np.allclose(odds, 20, rtol=0.1)
 
 
+BLANK = r"[ \t\n\x0b\f\r\p{Z}]+"
+ENDS = r"[.!?\u2026\u037E\u0589\u061F\u06D4\u0964\u0965\u1362\u104B\u17D4]"
+CLOSERS = r"[\p{Pe}\p{Pf}\p{Pi}\"'*]"
+
+
 def paragraphs(text):
-    return {p for p in re.split(r"\n+|(?<=[aeiou][.!?]) ", text) if p}
+    """The parts of a text: sentences of any script, and the word runs of long ones."""
+    marked = regex.sub(rf"({ENDS}{CLOSERS}{{0,3}}){BLANK}|([\u3002\uFF0E\uFF01\uFF1F\uFF61])(?![\p{{Pe}}\p{{Pf}}\p{{Po}}])|[\n\r\x0b\x0c\x85\u2028\u2029]+", lambda m: (m[1] or "") + (m[2] or "") + "\x01", text)
+    out = set()
+    for sentence in filter(None, marked.split("\x01")):
+        words = regex.split(BLANK, sentence)
+        if len(sentence) > 48 and any(len(w) >= 64 for w in words):
+            words = [w[i : i + 64] for w in words for i in range(0, max(len(w), 1), 64)]
+            cut = len(words) > 24
+        else:
+            cut = len(sentence) > 48 and len(words) > 24
+            if not cut:
+                out.add(sentence)
+                continue
+        if not cut:
+            out.update(filter(None, words))
+            continue
+        run = []
+        for i, w in enumerate(words):
+            run.append(w)
+            if xxhash.xxh64_intdigest(w.encode(), 42) % 8 == 0 or i == len(words) - 1:
+                out.update(filter(None, (" ".join(run[k : k + 32]) for k in range(0, len(run), 32))))
+                run = []
+    return out
 
 
 def plain_versions(rows):
@@ -179,12 +208,18 @@ def plain_versions(rows):
         following = ids[(ids.index(i) + 1) % len(ids)]
         half = len(t or "") // 2
         longest = max(len(x or "") for k, x in rows if k == i) // 2
-        pieces = min(((x or "")[:longest], sorted(paragraphs(x or ""))) for k, x in rows if k == following)
+        pieces = min(((x or "")[:longest], sorted(signed(p) for p in paragraphs(x or "")), x or "") for k, x in rows if k == following)
         edited = (t or "")[: len(t or "") - half] + pieces[0][:half]
-        out.append((i, t or "", edited, set(pieces[1])))
+        out.append((i, t or "", edited, paragraphs(pieces[2])))
     return out
 
 
+def signed(part):
+    """The digest of a part, as the sketches hold it."""
+    h = xxhash.xxh64_intdigest(part.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def like(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
@@ -219,9 +254,10 @@ def test_every_text_of_some_length_has_parts(spark):
     rows = [(2 * k, t + "end of it") for k, t in enumerate(kinds)] + [(2 * k + 1, t + "another end") for k, t in enumerate(kinds)]
     got = spark.createDataFrame(rows, "id long, t string").select("id", fingerprints.part_digests(F.col("t")).alias("d")).collect()
     digests = {r.id: set(r.d) for r in got}
+    assert all(digests[i] == {signed(p) for p in paragraphs(t)} for i, t in rows)
     assert all(0 < like(digests[2 * k], digests[2 * k + 1]) < 1 for k in range(len(kinds)))
     assert all(len(digests[2 * k]) > 2 for k in range(6))
-    versions = fingerprints.fingerprint_versions(frame(spark, [(2, kinds[0] * 2, None, None), (1, kinds[5], None, None)]), fingerprints.part_digests).collect()
+    versions = fingerprints.fingerprint_versions(frame(spark, [(2, kinds[0] * 2, None, None), (1, kinds[5], None, None)])).collect()
     assert all(0 < r.near_edited < 1 for r in versions)
 
 
@@ -233,6 +269,30 @@ def test_repeated_ids_have_rows_of_their_own(messy):
     assert Counter((str(r.doc_id), r.edited_sha256) for r in got) == want
 
 
+def test_registered_fingerprints(spark, sf_dir):
+    """The query on a whole table against plain sets of parts."""
+    from dealgrid.llm.common import table
+    from dealgrid.llm.queries import QUERIES
+
+    rows = [(r.doc_id, r.text) for r in table(spark, sf_dir, "documents").collect()]
+    got = {r.doc_id: r for r in QUERIES["op8_iblt_fingerprints"](spark, sf_dir).collect()}
+    assert len(got) == len(rows)
+    for i, t, edited, following in plain_versions(rows):
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert math.isclose(r.near_edited, like(paragraphs(t), paragraphs(edited))) and math.isclose(r.near_next, like(paragraphs(t), following))
+
+
+def test_sketches_too_small_are_tried_again(spark, monkeypatch):
+    """With hardly any cells the first sketches fail, and the result is the same."""
+    rng = random.Random(1)
+    rows = [(k, "\n".join(f"line {rng.randrange(60)}" for _ in range(rng.randrange(60)))) for k in range(30)]
+    whole = {r.doc_id: r for r in fingerprints.fingerprint_versions(frame(spark, [(i, t, None, None) for i, t in rows])).collect()}
+    monkeypatch.setattr(fingerprints, "SPACE", 0.3)
+    for r in fingerprints.fingerprint_versions(frame(spark, [(i, t, None, None) for i, t in rows])).collect():
+        assert tuple(r) == tuple(whole[r.doc_id])
+
+
 def test_one_document_follows_itself(spark):
     r = fingerprints.fingerprint_versions(frame(spark, [(5, "ab\ncd", None, None)])).first()
     assert (r.n_chars, r.edited_sha256, r.near_next) == (5, hashlib.sha256(b"ab\nab").hexdigest(), 1.0)
