@@ -231,12 +231,13 @@ def _cut(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("identity", "text", "starts").mapInArrow(cut, "identity binary, n_removed long, kept_text string")
 
 
-def repeated_passages(docs: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(rows, cuts): per document doc_id, text_key, n_words, identity, copy; per text with removed words identity, n_removed, kept_text.
+def repeated_passages(docs: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, firsts, cuts): per document doc_id, ord, n_words, identity; per text of `size` words or more identity and first_ord; per text with removed words
+    identity, n_removed, kept_text.
 
-    A window is `size` consecutive words. A word goes if it lies in a window whose words also start in a document with a smaller doc_id. `copy`
-    marks a row of `size` words or more whose words are all those of a document with a smaller doc_id: it loses all of them. Its other
-    rows have the cut of their identity, or none. A null doc_id counts as larger than any other; rows of one doc_id take nothing from each other.
+    A window is `size` consecutive words. A word goes if it lies in a window whose words also start in a document with a smaller doc_id. A document that
+    comes after the first of its identity loses all of its words; the others have the cut of their identity, or none. `ord` is the doc_id, a
+    null one larger than any other; rows of one doc_id take nothing from each other.
 
     Names are 64-bit hashes of what they name (word and length of a run, both parts of a pair), so tasks agree on them without moving
     the corpus in every round. A key met in one text only can't belong to a repeat; this is counted over all distinct texts. Windows of shared keys
@@ -262,10 +263,7 @@ def repeated_passages(docs: DataFrame, size: int = WINDOW) -> tuple[DataFrame, D
     taken = windows.join(firsts, ["a", "b"]).where("ord > lowest").groupBy("cid").agg(F.collect_list("pos").alias("starts"))
     cuts = land(_cut(found.join(taken, "cid"), size).dropDuplicates(["identity"]), "cuts")
 
-    lowest = land(texts.select("identity", F.col("ord").alias("first_ord")), "first-rows")
-    rows = rows.select("doc_id", "text_key", "n_words", "identity", "ord").join(lowest, "identity", "left")
-    copy = F.coalesce(F.col("ord") > F.col("first_ord"), F.lit(False)).alias("copy")
-    return rows.select("doc_id", "text_key", "n_words", "identity", copy), cuts
+    return rows, texts.select("identity", F.col("ord").alias("first_ord")), cuts
 
 
 def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -274,8 +272,12 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     Null, empty and blank texts have no words. Rows that agree in doc_id and text have equal results. An empty table gives an empty
     result. Other columns are not read.
     """
-    rows, cuts = repeated_passages(docs, size)
-    out = rows.join(cuts.select("identity", "n_removed", F.sha2("kept_text", 256).alias("kept")), "identity", "left")
-    removed = F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
-    kept = F.when(F.col("copy"), F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept", F.lower(F.hex("identity"))))
+    rows, firsts, cuts = repeated_passages(docs, size)
+    left = cuts.select("identity", "n_removed", F.sha2("kept_text", 256).alias("kept"))
+    # One landed row per text, so that the join with a text of very many copies can be split.
+    texts = land(firsts.join(left, "identity", "left"), "text-results")
+    out = rows.join(texts, "identity", "left")
+    copy = F.coalesce(F.col("ord") > F.col("first_ord"), F.lit(False))
+    removed = F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
+    kept = F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept", F.lower(F.hex("identity"))))
     return out.select("doc_id", "n_words", removed.cast("long").alias("n_removed"), kept.alias("kept_sha256"))

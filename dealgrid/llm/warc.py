@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -13,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealgrid.llm.common import as_bytes, small_batches
+from dealgrid.llm.common import as_bytes, land, small_batches
 
 #: Largest block of a record; a longer one goes on in continuation records.
 SEGMENT_BYTES = 32 << 10
@@ -37,7 +38,7 @@ def chunked(payload: bytes) -> bytes:
 
 
 def unchunked(body: bytes) -> bytes | None:
-    """The payload of a chunked body; None if the framing is broken or ends early."""
+    """The payload of a chunked body, whatever extensions and trailer fields it has; None if the framing is broken or ends early."""
     out, at = [], 0
     while True:
         end = body.find(b"\r\n", at)
@@ -46,10 +47,13 @@ def unchunked(body: bytes) -> bytes | None:
         except ValueError:
             size = -1
         at = end + 2
-        if size < 0 or at + size + 2 > len(body) or body[at + size : at + size + 2] != b"\r\n":
+        if size < 0:
             return None
         if not size:
-            return b"".join(out)
+            # Trailer fields, if any, then an empty line.
+            return b"".join(out) if body[at : at + 2] == b"\r\n" or body.find(END, at) >= 0 else None
+        if body[at + size : at + size + 2] != b"\r\n":
+            return None
         out.append(body[at : at + size])
         at += size + 2
 
@@ -88,7 +92,8 @@ def write_archives(pages: DataFrame, path: str, dedup_from_bytes: int = 0) -> No
     """
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
     rows = rows.withColumn("_sha", F.sha1(F.col("html").cast("binary")))
-    newest = rows.where(F.octet_length("html") >= dedup_from_bytes).groupBy("_sha").agg(F.max("page_id").alias("_newest"))
+    # Landed, so that the join with a payload of very many copies can be split.
+    newest = land(rows.where(F.octet_length("html") >= dedup_from_bytes).groupBy("_sha").agg(F.max("page_id").alias("_newest")), "newest-payloads")
     revisit = F.col("_newest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_newest"))
     told = rows.join(newest, "_sha", "left").select("page_id", "url", "html", F.when(revisit, F.col("_newest")).alias("refers_to"))
 
@@ -106,30 +111,95 @@ def write_archives(pages: DataFrame, path: str, dedup_from_bytes: int = 0) -> No
     written.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
-def _parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of one archive file."""
-    at = 0
-    while at < len(data):
-        end = data.index(END, at)
-        lines = data[at:end].decode().split("\r\n")[1:]
-        headers = dict(line.split(": ", 1) for line in lines)
-        start = end + len(END)
-        at = start + int(headers["Content-Length"]) + len(END)
-        yield headers, data[start : at - len(END)]
+def _members(data: bytes) -> Iterator[tuple[bytes, bool]]:
+    """What each gzip member of a file holds, or the file itself if it isn't compressed, and whether it is whole."""
+    if data[:2] != b"\x1f\x8b":
+        if data:
+            yield data, True
+        return
+    while data:
+        inflater = zlib.decompressobj(31)
+        try:
+            out = inflater.decompress(data) + inflater.flush()
+        except zlib.error:
+            yield b"", False
+            return
+        yield out, inflater.eof
+        # Padding between members is no member.
+        data = inflater.unused_data.lstrip(b"\0")
+
+
+def _fields(head: bytes) -> dict[str, str]:
+    """Header fields by lower-case name; folded lines belong to the field before them, lines without a colon to none."""
+    out: dict[str, str] = {}
+    last = None
+    for line in head.decode("utf-8", "replace").replace("\r\n", "\n").split("\n")[1:]:
+        if line[:1] in (" ", "\t") and last:
+            out[last] += " " + line.strip()
+        elif ":" in line:
+            name, _, value = line.partition(":")
+            last = name.strip().lower()
+            out[last] = value.strip()
+    return out
+
+
+_HEAD_END = re.compile(rb"\r?\n\r?\n")
+_NEXT = re.compile(rb"(?:\r?\n)+(?=WARC/\d)")
+
+
+def _parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes, str]]:
+    """Headers, block and state of each record of an archive file, also of a broken one; after a record without a length it goes on at the next start of one."""
+    for member, whole in _members(data):
+        at = len(member) - len(member.lstrip(b"\r\n"))
+        while at < len(member):
+            end = _HEAD_END.search(member, at)
+            headers = _fields(member[at : end.start()]) if end and member.startswith(b"WARC/", at) else {}
+            size = headers.get("content-length", "")
+            if not size.isdecimal():
+                following = _NEXT.search(member, at)
+                stop = following.end() if following else len(member)
+                yield headers, b"", "no record" if not headers else "length missing"
+                at = stop
+                continue
+            start = end.end()
+            at = start + int(size)
+            yield headers, member[start:at], "ok" if at <= len(member) else "truncated"
+            while member[at : at + 1] in (b"\r", b"\n"):
+                at += 1
+        if not whole:
+            yield {}, b"", "compression broken"
+
+
+_DIGESTS = {"sha1": hashlib.sha1, "sha256": hashlib.sha256, "md5": hashlib.md5}
+
+
+def _fits(stated: str | None, payload: bytes) -> bool:
+    """Whether a payload has the digest that is stated, in base 32 or hex; a digest of another kind is not judged."""
+    kind, _, value = (stated or "").rpartition(":")
+    made = _DIGESTS.get(kind.lower().replace("-", "") or "sha1")
+    if not value or made is None:
+        return True
+    digest = made(payload).digest()
+    return value.upper().rstrip("=") in (base64.b32encode(digest).decode().rstrip("="), digest.hex().upper())
 
 
 def _payload(headers: dict, block: bytes | None) -> tuple[bytes | None, int | None, str]:
-    """Payload, its length and the state of a whole block."""
+    """Payload, its length and the state of a whole block; of other than HTTP records the block is the payload."""
     if block is None:
         return None, None, "segments incomplete"
-    head, _, body = block.partition(END)
-    fields = {k.lower(): v for k, v in (line.split(": ", 1) for line in head.decode("latin-1").split("\r\n")[1:])}
+    http = "application/http" in (headers["content"] or "") and headers["type"] in ("response", "revisit")
+    head, body, fields = b"", block, {}
+    if http:
+        cut = _HEAD_END.search(block)
+        head, body = (block[: cut.start()], block[cut.end() :]) if cut else (block, b"")
+        fields = _fields(head)
     if headers["type"] == "revisit":
-        return None, int(fields["content-length"]), "ok"
-    payload = unchunked(body) if fields.get("transfer-encoding") == "chunked" else body
+        length = fields.get("content-length", "")
+        return None, int(length) if length.isdecimal() else None, "ok"
+    payload = unchunked(body) if "chunked" in fields.get("transfer-encoding", "").lower() else body
     if payload is None:
         return None, None, "framing broken"
-    state = "ok" if headers["digest"] in (None, base32_sha1(payload)) else "digest differs"
+    state = "ok" if _fits(headers["stated"], payload) else "digest differs"
     return payload, len(payload), state
 
 
@@ -143,49 +213,66 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _number(value: str | None) -> int | None:
-    return None if value is None else int(value)
+    try:
+        return None if value is None else int(value)
+    except ValueError:
+        return None
 
 
 def _facts(h: dict[str, str]) -> dict:
-    digest = h.get("WARC-Payload-Digest")
-    return {"page_id": _number(h.get("Page-Id")), "type": h["WARC-Type"], "refers_to": _number(h.get("Refers-To-Page-Id")), "digest": digest and digest.removeprefix("sha1:")}
+    digest = h.get("warc-payload-digest")
+    return {
+        "page_id": _number(h.get("page-id")), "type": h.get("warc-type", "").lower() or None, "refers_to": _number(h.get("refers-to-page-id")),
+        "digest": digest and digest.rpartition(":")[2], "stated": digest, "content": h.get("content-type"),
+    }
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per record of the archives below `path`: page_id, record_type, refers_to, payload_digest, payload_bytes, status, payload.
 
-    A record in one piece is decoded where its file is read. Segments are grouped by their origin, ordered by number, and joined
-    if the numbers have no gap and their lengths add up to the stated total; then the chunked framing is decoded and the digest compared. status
-    says what failed (else ok); a failed record keeps its row without a payload. Revisits have no payload, but its length and digest.
+    Archives are files *.gz, of one gzip member for each record or for all, or *.warc. A record in one piece is decoded where its file is read. Segments
+    are grouped by their origin, ordered by number, and joined if the numbers have no gap and their lengths add up to the stated total; then the
+    chunked framing is decoded and the digest compared. Records of every type have a row, of all but HTTP messages with the block as payload. Header names are
+    read in any case, with or without a space after the colon. status says what failed (else ok): truncated, length missing, no record, compression broken,
+    segments incomplete, framing broken, digest differs. A failed record keeps its row without a payload, and the records after it are read.
+    Revisits have no payload, but its length and digest.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{gz,warc}").load(path).select("content")
 
-    def files_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[tuple[dict[str, str], bytes]]]:
+    def files_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[tuple[dict[str, str], bytes, str]]]:
         for batch in batches:
             for content in batch.column("content"):
-                yield _parsed(zlib.decompress(content.as_py(), 31) if content.as_py() else b"")
+                yield _parsed(content.as_py() or b"")
+
+    def in_segments(h: dict[str, str], state: str) -> bool:
+        return state == "ok" and _number(h.get("warc-segment-number")) is not None and "warc-record-id" in h
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for records in files_of(batches):
-            rows = []
-            for h, block in records:
-                if "WARC-Segment-Number" not in h:
+            rows, held = [], 0
+            for h, block, state in records:
+                if not in_segments(h, state):
                     f = _facts(h)
-                    payload, size, state = _payload(f, block)
+                    payload, size, state = _payload(f, block) if state == "ok" else (None, None, state)
                     rows.append((f["page_id"], f["type"], f["refers_to"], f["digest"], size, state, payload))
+                    held += size or 0
+                    if held > BATCH_BYTES:
+                        yield _batch(rows)
+                        rows, held = [], 0
             yield _batch(rows)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for records in files_of(batches):
             rows = []
-            for h, block in records:
-                if "WARC-Segment-Number" in h:
+            for h, block, state in records:
+                if in_segments(h, state):
                     f = _facts(h)
-                    first = h["WARC-Segment-Number"] == "1"
-                    rows.append((h.get("WARC-Segment-Origin-ID", h["WARC-Record-ID"]), int(h["WARC-Segment-Number"]), _number(h.get("WARC-Segment-Total-Length")), f["page_id"], f["type"] if first else None, f["digest"], block))
-            columns = list(zip(*rows)) or [()] * 7
-            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["origin", "n", "total", "page_id", "type", "digest", "block"])
+                    number = _number(h["warc-segment-number"])
+                    first = number == 1
+                    rows.append((h.get("warc-segment-origin-id", h["warc-record-id"]), number, _number(h.get("warc-segment-total-length")), f["page_id"], f["type"] if first else None, f["stated"], f["content"] if first else None, block))
+            columns = list(zip(*rows)) or [()] * 8
+            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["origin", "n", "total", "page_id", "type", "stated", "content", "block"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,11 +280,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 numbers, block = [p["n"] for p in r["parts"]], b"".join(p["block"] for p in r["parts"])
                 complete = numbers == list(range(1, len(numbers) + 1)) and r["total"] == len(block)
                 payload, size, state = _payload(r, block if complete else None)
-                yield _batch([(r["page_id"], r["type"], None, r["digest"], size, state, payload)])
+                yield _batch([(r["page_id"], r["type"], None, r["stated"] and r["stated"].rpartition(":")[2], size, state, payload)])
 
-    parts = files.mapInArrow(segments, "origin string, n int, total long, page_id long, type string, digest string, block binary")
+    parts = files.mapInArrow(segments, "origin string, n int, total long, page_id long, type string, stated string, content string, block binary")
     origins = parts.groupBy("origin").agg(
         F.array_sort(F.collect_list(F.struct("n", "block"))).alias("parts"),
-        *[F.max(c).alias(c) for c in ("total", "page_id", "type", "digest")],
+        *[F.max(c).alias(c) for c in ("total", "page_id", "type", "stated", "content")],
     )
     return files.mapInArrow(whole, _OUT).unionByName(origins.drop("origin").mapInArrow(joined, _OUT))
