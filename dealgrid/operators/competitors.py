@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,10 +19,31 @@ def spellings(competitors: DataFrame) -> DataFrame:
     return competitors.select(F.col("competitor_id").alias("term_id"), F.explode(names).alias("phrase"))
 
 
-def competitor_mentions(notes: DataFrame, competitors: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
-    """(opp_id, competitor_id) for every competitor a deal's texts name; integration names are left out."""
-    terms = spellings(competitors).filter(~phrase_key(F.col("phrase")).isin(*[e.lower() for e in exclude])) if exclude else spellings(competitors)
-    return term_hits(notes, "opp_id", "text", terms).withColumnRenamed("term_id", "competitor_id")
+def _not_integrations(terms: DataFrame, integrations: Sequence[str]) -> DataFrame:
+    if not integrations:
+        return terms
+    return terms.filter(~F.coalesce(phrase_key(F.col("phrase")).isin(*[e.lower() for e in integrations]), F.lit(False)))
+
+
+def competitor_mentions(
+    notes: DataFrame, competitors: DataFrame, exclude: Sequence[str] = (), stack: DataFrame | None = None, losses: DataFrame | None = None
+) -> DataFrame:
+    """(opp_id, competitor_id, sources) for every competitor a deal names, and where: loss reason, picklist, text.
+
+    Texts and loss reasons are searched for every spelling. `stack` is a picklist of several values, opp_id and value, in which a value must be a spelling
+    as a whole; `exclude` lists the names that are integrations, in any source. A loss reason is opp_id and text.
+    """
+    terms = _not_integrations(spellings(competitors), exclude)
+    found = [term_hits(notes, "opp_id", "text", terms).withColumn("source", F.lit("text"))]
+    if losses is not None:
+        found.append(term_hits(losses, "opp_id", "text", terms).withColumn("source", F.lit("loss reason")))
+    if stack is not None:
+        values = stack.select("opp_id", F.explode(split_list(F.col("value"))).alias("_value"))
+        whole = terms.select("term_id", phrase_key(F.col("phrase")).alias("_key")).distinct()
+        found.append(values.withColumn("_key", phrase_key(F.col("_value"))).join(whole, "_key").select("opp_id", "term_id", F.lit("picklist").alias("source")))
+    hits = reduce(DataFrame.unionByName, found)
+    # At most one entry per source.
+    return hits.groupBy("opp_id", F.col("term_id").alias("competitor_id")).agg(F.array_sort(F.collect_set("source")).alias("sources"))
 
 
 def unknown_names(named: DataFrame, known: DataFrame) -> DataFrame:
@@ -69,19 +91,24 @@ def competitor_displacement(opps: DataFrame, accounts: DataFrame) -> DataFrame:
     return opps.filter("is_open").join(flags, "account", "left").select("opp_id", "account", motion.alias("motion"))
 
 
+def open_impacts(signals: DataFrame, competitors: DataFrame) -> DataFrame:
+    """What signals since each card was written say that is not on it: competitor_id, impact, signals, last_event. Free text, so one row for each wording."""
+    since = signals.join(competitors.select("competitor_id", "researched"), "competitor_id").filter(F.col("event_date") > F.col("researched"))
+    return since.filter(F.col("impact") != "No impact").groupBy("competitor_id", "impact").agg(F.count(F.lit(1)).alias("signals"), F.max("event_date").alias("last_event"))
+
+
 def competitor_activity(signals: DataFrame, competitors: DataFrame, as_of: str) -> DataFrame:
-    """Last signal, signals in 90 days and since the card, the latest one, and impacts not yet on the card."""
+    """Last signal, signals in 90 days and since the card, the latest one, and the number of impacts not yet on the card (see `open_impacts`)."""
     day = F.lit(as_of).cast("date")
     cards = competitors.select("competitor_id", "researched")
     j = signals.filter(F.col("competitor_id").isNotNull()).join(cards, "competitor_id")
     since = F.col("event_date") > F.col("researched")
     sums = j.groupBy("competitor_id").agg(
         F.max("event_date").alias("last_signal_date"), F.count_if(F.datediff(day, F.col("event_date")) <= 90).alias("signals_90d"),
-        F.count_if(since).alias("signals_since_battlecard"), F.max_by("signal_id", F.struct("event_date", "signal_id")).alias("latest_signal"),
-        F.array_sort(F.collect_set(F.when(since & (F.col("impact") != "No impact"), F.col("impact")))).alias("open_impacts"))
-    return competitors.select("competitor_id").join(sums, "competitor_id", "left").select(
-        "competitor_id", "last_signal_date", F.coalesce("signals_90d", F.lit(0)).alias("signals_90d"),
-        F.coalesce("signals_since_battlecard", F.lit(0)).alias("signals_since_battlecard"), "latest_signal", "open_impacts")
+        F.count_if(since).alias("signals_since_battlecard"), F.max_by("signal_id", F.struct("event_date", "signal_id")).alias("latest_signal"))
+    impacts = open_impacts(signals, competitors).groupBy("competitor_id").agg(F.count(F.lit(1)).alias("open_impacts"))
+    j = competitors.select("competitor_id").join(sums, "competitor_id", "left").join(impacts, "competitor_id", "left")
+    return j.select("competitor_id", "last_signal_date", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("signals_90d", "signals_since_battlecard", "open_impacts")], "latest_signal")
 
 
 def stale_battlecards(competitors: DataFrame, signals: DataFrame, voiding: Sequence[str] = ("new capability",)) -> DataFrame:
@@ -94,9 +121,16 @@ def stale_battlecards(competitors: DataFrame, signals: DataFrame, voiding: Seque
 
 
 def card_changes(signals: DataFrame, competitors: DataFrame, k: int | None = None) -> DataFrame:
-    """The signals since each card was written, newest first; the newest `k` where that is given."""
+    """The signals since each card was written, numbered from the newest; the newest `k` where that is given.
+
+    All of them are numbered along their days, so a competitor with very many signals is many tasks' work.
+    """
     since = signals.join(competitors.select("competitor_id", "researched"), "competitor_id").filter(F.col("event_date") > F.col("researched"))
-    top = top_per_key(since.select("competitor_id", "signal_id", "event_date", "impact"), ["competitor_id"], [F.col("event_date").desc(), F.col("signal_id")], k)
+    since = since.select("competitor_id", "signal_id", "event_date", "impact", (-F.unix_date("event_date")).alias("_back"))
+    if k is None:
+        top = ordered_history(since, ["competitor_id"], ["_back", "signal_id"], F.col("_back"), number="rank")
+    else:
+        top = top_per_key(since, ["competitor_id"], [F.col("_back"), F.col("signal_id")], k)
     return top.select("competitor_id", "rank", "signal_id", "event_date", "impact")
 
 

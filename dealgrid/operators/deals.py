@@ -96,20 +96,31 @@ def stage_spans(seq: DataFrame) -> DataFrame:
     )
 
 
+def people_fold(activity: DataFrame) -> DataFrame:
+    """One row per deal and person: whether they replied, the traffic with them, and its last day. All that flags need of the activity."""
+    inbound = F.col("direction") == "inbound"
+    machine = auto_reply_match(F.col("subject"))
+    return activity.filter(F.col("opp_id").isNotNull()).groupBy("opp_id", "email").agg(
+        _replied().alias("replied"), F.max("day").alias("last_day"), F.count_if(F.col("direction") == "outbound").alias("outbound"), F.count_if(inbound).alias("inbound"),
+        F.count_if(inbound & machine).alias("machine_inbound"), F.count("direction").alias("directed"))
+
+
 def last_activity(activity: DataFrame) -> DataFrame:
     return activity.filter(F.col("opp_id").isNotNull()).groupBy("opp_id").agg(F.max("day").alias("last_day"))
 
 
-def flag_stalled(opps: DataFrame, activity: DataFrame, in_stage: DataFrame, medians: DataFrame, as_of: str) -> DataFrame:
+def flag_stalled(opps: DataFrame, last_days: DataFrame, in_stage: DataFrame, medians: DataFrame, as_of: str) -> DataFrame:
     """Open deals with no activity for two weeks, or far past the median of their stage.
 
-    A deal with no activity at all is not judged by activity: it is untracked, not quiet.
+    A deal with no activity at all (no row in `last_days`) is not judged by activity: it is untracked, not quiet. There are as many medians as stages, so deals
+    look theirs up and aren't dealt out by stage.
     """
+    by_stage = medians.filter(F.col("stage").isNotNull()).agg(F.map_from_entries(F.collect_list(F.struct("stage", "median_days"))).alias("m")).scalar()
     out = (
         opps.filter("is_open").select("opp_id", "stage")
-        .join(last_activity(activity), "opp_id", "left")
+        .join(last_days, "opp_id", "left")
         .join(in_stage.select("opp_id", "days_in_stage"), "opp_id", "left")
-        .join(medians.select("stage", "median_days"), "stage", "left")
+        .withColumn("median_days", F.try_element_at(by_stage, F.col("stage")))
     )
     quiet = F.datediff(day_of(as_of), F.col("last_day"))
     long_stay = F.col("days_in_stage") > F.col("median_days") * STAGE_OVERRUN
@@ -171,12 +182,16 @@ def close_plan_gaps(opps: DataFrame, stage_order: Sequence[str]) -> DataFrame:
 
 def reply_evidence(activity: DataFrame) -> DataFrame:
     """Whether each person ever replied: yes, no, or null when no direction was logged for them."""
+    return _with_evidence(activity.filter(F.col("opp_id").isNotNull()).groupBy("opp_id", "email").agg(_replied().alias("replied")))
+
+
+def _replied() -> Column:
     genuine = ~auto_reply_match(F.col("subject"))
-    inbound = F.when(F.col("direction").isNotNull(), F.col("direction").isin("inbound", "both") & genuine)
-    return (
-        activity.filter(F.col("opp_id").isNotNull()).groupBy("opp_id", "email").agg(F.bool_or(inbound).alias("replied"))
-        .withColumn("reply_evidence", F.when(F.col("replied").isNull(), "none").otherwise("logged direction"))
-    )
+    return F.bool_or(F.when(F.col("direction").isNotNull(), F.col("direction").isin("inbound", "both") & genuine))
+
+
+def _with_evidence(people: DataFrame) -> DataFrame:
+    return people.select("opp_id", "email", "replied", F.when(F.col("replied").isNull(), "none").otherwise("logged direction").alias("reply_evidence"))
 
 
 def meeting_evidence(activity: DataFrame, meetings: DataFrame) -> DataFrame:
@@ -206,8 +221,13 @@ def untracked_deals(opps: DataFrame, activity: DataFrame) -> DataFrame:
 
 def contacts_build(roles: DataFrame, activity: DataFrame) -> DataFrame:
     """One row per person per deal, saying which side each came from."""
+    return contacts_of(roles, reply_evidence(activity))
+
+
+def contacts_of(roles: DataFrame, people: DataFrame) -> DataFrame:
+    """`contacts_build` from people already folded to one row per deal and person."""
     listed = roles.select("opp_id", "email", F.lit(True).alias("_role"))
-    seen = reply_evidence(activity).withColumn("_seen", F.lit(True))
+    seen = _with_evidence(people).withColumn("_seen", F.lit(True))
     both = listed.join(seen, ["opp_id", "email"], "full")
     source = F.when(F.col("_role") & F.col("_seen"), "both").when(F.col("_role"), "role-only").otherwise("activity-only")
     return both.select(
@@ -244,21 +264,15 @@ def ghost_roles(roles: DataFrame, activity: DataFrame) -> DataFrame:
     return known.join(alive, "opp_id", "left_anti")
 
 
-def threading_flags(contacts: DataFrame, activity: DataFrame, opps: DataFrame) -> DataFrame:
-    """single-threaded, no-reply-ever and auto-reply-only for each open deal, with the counts behind them.
+def threading_flags(contacts: DataFrame, seen: DataFrame, opps: DataFrame) -> DataFrame:
+    """single-threaded, no-reply-ever and auto-reply-only for each open deal, with the counts behind them, from `people_fold`.
 
     Without any logged direction the state is unknown, never good or bad news.
     """
     people = contacts.groupBy("opp_id").agg(
         F.count(F.lit(1)).alias("people"), F.count_if(F.col("replied")).alias("repliers")
     )
-    machine = auto_reply_match(F.col("subject"))
-    traffic = activity.filter(F.col("opp_id").isNotNull()).groupBy("opp_id").agg(
-        F.count_if(F.col("direction") == "outbound").alias("outbound"),
-        F.count_if(F.col("direction") == "inbound").alias("inbound"),
-        F.count_if((F.col("direction") == "inbound") & machine).alias("machine_inbound"),
-        F.count("direction").alias("directed"),
-    )
+    traffic = seen.groupBy("opp_id").agg(*[F.sum(c).alias(c) for c in ("outbound", "inbound", "machine_inbound", "directed")])
     j = (
         opps.filter("is_open").select("opp_id", "stage").join(people, "opp_id", "left").join(traffic, "opp_id", "left")
     )

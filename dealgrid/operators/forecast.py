@@ -258,16 +258,24 @@ def pipeline_movement(prev: DataFrame, cur: DataFrame, stage_order: Sequence[str
     return both.select("opp_id", kind.alias("movement"), moved.cast(MONEY).alias("amount_moved"))
 
 
-def stage_conversion(history: DataFrame, stage_order: Sequence[str]) -> DataFrame:
-    """By quarter of first sight: deals that reached each stage or one beyond it, the share that went on, and the cohort's win rate."""
+def stage_conversion(history: DataFrame, stage_order: Sequence[str], segments: DataFrame | None = None) -> DataFrame:
+    """By quarter of first sight: deals that reached each stage or one beyond it, the share that went on, and the cohort's win rate.
+
+    With `segments` (opp_id, segment) each cohort is shown as a whole, under the segment `all`, and by segment; deals without one are `unknown`.
+    """
     ranks = F.create_map(*[F.lit(x) for i, s in enumerate(stage_order) for x in (s, i)])
     open_stages = [s for s in stage_order if not s.startswith("Closed")] + ["Closed Won"]
     reach = history.withColumn("_rank", F.when(F.col("stage") != "Closed Lost", F.try_element_at(ranks, "stage")))
     per_deal = reach.groupBy("opp_id").agg(
         F.min("day").alias("first_day"), F.max("_rank").alias("top"), F.bool_or(F.col("stage") == "Closed Won").alias("won"),
         F.bool_or(F.col("stage").startswith("Closed")).alias("decided"))
-    cohort = F.date_trunc("quarter", "first_day").cast("date").alias("cohort")
-    counts = per_deal.groupBy(cohort).agg(
+    placed = per_deal.withColumn("cohort", F.date_trunc("quarter", "first_day").cast("date"))
+    if segments is None:
+        placed = placed.withColumn("segment", F.lit("all"))
+    else:
+        own = placed.join(segments.select("opp_id", "segment"), "opp_id", "left").withColumn("segment", F.coalesce("segment", F.lit("unknown")))
+        placed = own.withColumn("segment", F.explode(F.array(F.lit("all"), F.col("segment"))))
+    counts = placed.groupBy("cohort", "segment").agg(
         *[F.count_if(F.col("top") >= i).alias(f"n{i}") for i in range(len(open_stages))],
         F.count_if("won").alias("won"), F.count_if("decided").alias("decided"),
     )
@@ -276,8 +284,8 @@ def stage_conversion(history: DataFrame, stage_order: Sequence[str]) -> DataFram
                  (F.col(f"n{i + 1}") if i + 1 < len(open_stages) else F.lit(None).cast("long")).alias("went_on"))
         for i, s in enumerate(open_stages)
     ]))
-    return counts.select("cohort", "won", "decided", rows.alias("r")).select(
-        "cohort", "r.stage", "r.reached", F.try_divide(F.col("r.went_on").cast("double"), F.col("r.reached").cast("double")).alias("conversion"),
+    return counts.select("cohort", "segment", "won", "decided", rows.alias("r")).select(
+        "cohort", "segment", "r.stage", "r.reached", F.try_divide(F.col("r.went_on").cast("double"), F.col("r.reached").cast("double")).alias("conversion"),
         "decided", F.try_divide(F.col("won").cast("double"), F.col("decided").cast("double")).alias("win_rate")
     )
 

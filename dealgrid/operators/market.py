@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealgrid.functions.columns import NO_WORD, norm_company, norm_domain
+from dealgrid.operators.clusters import components
 from dealgrid.operators.sequences import NO_KEY, ordered_history, spread_nulls
-from dealgrid.operators.text_match import near_names, term_hits
+from dealgrid.operators.text_match import similar_names, term_hits, word_list
+from dealgrid.session import cut_lineage
 
 # Order of relevance and confidence.
 RELEVANCE = {"High": 1, "Medium": 2, "Low": 3}
@@ -24,6 +28,17 @@ SIGNAL_EFFECTS = (
     ("launch", "stalled", "watch"), ("launch", "committed", "watch"), ("launch", "open", "watch"),
 )
 
+# Kinds of record a signal can be about, first choice first.
+RELATED_TYPES = ("opportunity", "renewal", "customer", "lead")
+
+# What a signal and a deal can have in common.
+FIT_TAGS = ("segment", "size", "interest", "pain")
+
+# Reports of one event: days apart, share of common words, and the bands and samples that bring them together.
+NEAR_DAYS = 3
+NEAR_WORDING = 0.7
+BANDS, BAND_ROWS = 20, 3
+
 RETIRE_DAYS = 183
 HIGH_SHARE_LIMIT = 1 / 3
 
@@ -63,75 +78,120 @@ def relevance_share(signals: DataFrame, limit: float = HIGH_SHARE_LIMIT) -> Data
     return signals.agg(F.count(F.lit(1)).alias("signals"), share.alias("high_share"), (share >= limit).alias("warn"))
 
 
-def signal_account_link(signals: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Account of each signal: by domain, else by equal normalised name, else a near name for review.
+def record_index(deals: DataFrame, renewals: DataFrame, customers: DataFrame, leads: DataFrame) -> DataFrame:
+    """All records a signal can be about, by each of their keys: match_key, related_type, related_id.
+
+    Every side holds id, name and domain. A key is the domain or the normalised name.
+    """
+    sides = zip(RELATED_TYPES, (deals, renewals, customers, leads))
+    stacked = reduce(DataFrame.unionByName, [df.select(F.lit(kind).alias("related_type"), F.col("id").alias("related_id"), "name", "domain") for kind, df in sides])
+    keys = F.array(F.concat(F.lit("domain "), norm_domain(F.col("domain"))), F.concat(F.lit("name "), norm_company(F.col("name"))))
+    return stacked.select(F.explode(F.array_compact(keys)).alias("match_key"), "related_type", "related_id")
+
+
+def _folded_index(index: DataFrame) -> DataFrame:
+    return index.groupBy("match_key", "related_type").agg(F.min("related_id").alias("related_id"), F.count(F.lit(1)).alias("records"))
+
+
+def _named(names: DataFrame) -> DataFrame:
+    """The names among match keys."""
+    return names.filter(F.col("match_key").startswith("name ")).select(F.substring("match_key", 6, 1 << 20).alias("name")).distinct()
+
+
+def signal_account_link(signals: DataFrame, index: DataFrame) -> DataFrame:
+    """What a signal is about, one row per kind of record: signal_id, related_type, priority, match_key, related_id, records, basis, score.
 
-    Accounts fold to one row per domain and per name first, so a common key adds no rows.
+    Within a kind a domain beats an equal name, and that a near one; among near names the closest counts, then the first in order. A near name is a case
+    for review. The records behind a key are those of `index` under match_key; related_id is the lowest and `records` their number, so a company
+    with very many records adds no rows. Signals without a match are left out.
     """
-    acc = accounts.select("account", norm_domain(F.col("website")).alias("_domain"), norm_company(F.col("name")).alias("_name"))
-    by_domain = acc.filter(F.col("_domain").isNotNull()).groupBy("_domain").agg(F.min("account").alias("_da"))
-    by_name = acc.filter(F.col("_name").isNotNull()).groupBy("_name").agg(F.min("account").alias("_na"))
-    s = signals.select("signal_id", norm_domain(F.col("entity_url")).alias("_domain"), norm_company(F.col("entity_name")).alias("_name"))
-    s = s.withColumns({c: spread_nulls(F.col(c), "signal_id") for c in ("_domain", "_name")})
-    j = s.join(by_domain, "_domain", "left").join(by_name, "_name", "left")
-    unmatched = j.filter(F.col("_da").isNull() & F.col("_na").isNull() & ~F.col("_name").startswith(NO_KEY)).select(F.col("_name").alias("name"))
-    near = near_names(unmatched, by_name.select(F.col("_name").alias("name")), 1)
-    best = near.groupBy(F.col("left_name").alias("_name")).agg(F.min("right_name").alias("_near"), F.count(F.lit(1)).alias("_n_near"))
-    j = j.join(best, "_name", "left").withColumn("_near", spread_nulls(F.col("_near"), "signal_id")).join(by_name.select(F.col("_name").alias("_near"), F.col("_na").alias("_nearest")), "_near", "left")
-    basis = F.when(F.col("_da").isNotNull(), "domain").when(F.col("_na").isNotNull(), "name").when(F.col("_nearest").isNotNull(), "near name, review").otherwise("none")
-    return j.select("signal_id", F.coalesce("_da", "_na", "_nearest").alias("account"), basis.alias("basis"))
-
-
-def resolve_account(left: DataFrame, right: DataFrame, distance: int = 1) -> DataFrame:
-    """Same company or not: domain, then normalised name, then near names shown with their distance.
-
-    Both sides hold id, name and domain. Matches are reported once per left row with the lowest
-    right id and the number of right rows that share the key; near misses once per pair of names.
+    folded = _folded_index(index)
+    s = signals.select("signal_id", F.concat(F.lit("domain "), norm_domain(F.col("entity_url"))).alias("_domain"), F.concat(F.lit("name "), norm_company(F.col("entity_name"))).alias("_name"))
+    asked = s.filter(F.col("_name").isNotNull()).select(F.col("_name").alias("match_key")).distinct()
+    near = similar_names(_named(asked), _named(folded))
+    keys = near.select(F.concat(F.lit("name "), "left_name").alias("_name"), F.concat(F.lit("name "), "right_name").alias("match_key"), "distance", "score")
+    # Names fold before they meet the signals: the best near key of each kind.
+    best = keys.join(folded, "match_key").groupBy("_name", "related_type").agg(F.min(F.struct("distance", "match_key", "score", "related_id", "records")).alias("_best"))
+    best = best.select("_name", "related_type", F.lit(3).alias("_rank"), F.col("_best.match_key").alias("match_key"), "_best.related_id", "_best.records", "_best.score")
+    same = folded.filter(F.col("match_key").startswith("name ")).select(
+        F.col("match_key").alias("_name"), "related_type", F.lit(2).alias("_rank"), "match_key", "related_id", "records", F.lit(1.0).alias("score"))
+    by_name = s.select("signal_id", "_name").filter(F.col("_name").isNotNull()).join(same.unionByName(best), "_name").drop("_name")
+    by_domain = s.select("signal_id", F.col("_domain").alias("match_key")).join(folded, "match_key").select(
+        "signal_id", "related_type", F.lit(1).alias("_rank"), "match_key", "related_id", "records", F.lit(1.0).alias("score"))
+    found = by_domain.unionByName(by_name).groupBy("signal_id", "related_type").agg(F.min(F.struct("_rank", "match_key", "related_id", "records", "score")).alias("_f"))
+    priority = F.array_position(F.array(*[F.lit(k) for k in RELATED_TYPES]), F.col("related_type")).cast("int")
+    basis = F.element_at(F.array(*[F.lit(b) for b in ("domain", "name", "near name, review")]), F.col("_f._rank"))
+    return found.select("signal_id", "related_type", priority.alias("priority"), "_f.match_key", "_f.related_id", "_f.records", basis.alias("basis"), "_f.score")
+
+
+def resolve_account(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Same company or not: domain, then normalised name, then near names shown with distance and score.
+
+    Both sides hold id, name and domain. A left row that shares a domain or name is reported once, with the key it shares, the lowest right id under it
+    and the number of right rows there; near misses are for review, once per pair of names, with the lowest id of both and the number of
+    rows on either side. `account_keys` of a side lists the rows behind every key.
     """
-    l = left.select("id", norm_domain(F.col("domain")).alias("_d"), norm_company(F.col("name")).alias("_n"))
-    r = right.select("id", norm_domain(F.col("domain")).alias("_d"), norm_company(F.col("name")).alias("_n"))
-    rd = r.filter(F.col("_d").isNotNull()).groupBy("_d").agg(F.min("id").alias("_did"), F.count(F.lit(1)).alias("_dc"))
-    rn = r.filter(F.col("_n").isNotNull()).groupBy("_n").agg(F.min("id").alias("_nid"), F.count(F.lit(1)).alias("_nc"))
+    l = left.select("id", F.concat(F.lit("domain "), norm_domain(F.col("domain"))).alias("_d"), F.concat(F.lit("name "), norm_company(F.col("name"))).alias("_n"))
+    keys = account_keys(right).groupBy("match_key").agg(F.min("id").alias("_rid"), F.count(F.lit(1)).alias("_rc"))
+    side = lambda c, n: keys.select(F.col("match_key").alias(c), F.col("_rid").alias(f"_{n}id"), F.col("_rc").alias(f"_{n}c"))
     l = l.withColumns({c: spread_nulls(F.col(c), "id") for c in ("_d", "_n")})
-    j = l.join(rd, "_d", "left").join(rn, "_n", "left")
-    sure = j.filter(F.col("_did").isNotNull() | F.col("_nid").isNotNull()).select(
-        F.col("id").alias("left_id"), F.coalesce("_did", "_nid").alias("right_id"),
-        F.when(F.col("_did").isNotNull(), "domain").otherwise("name").alias("basis"),
-        F.coalesce("_dc", "_nc").alias("sharing"), F.lit(0).alias("distance"))
-    loose = j.filter(F.col("_did").isNull() & F.col("_nid").isNull() & ~F.col("_n").startswith(NO_KEY))
-    near = near_names(loose.select(F.col("_n").alias("name")), rn.select(F.col("_n").alias("name")), distance)
+    j = l.join(side("_d", "d"), "_d", "left").join(side("_n", "n"), "_n", "left")
+    on_domain = F.col("_did").isNotNull()
+    sure = j.filter(on_domain | F.col("_nid").isNotNull()).select(
+        F.col("id").alias("left_id"), F.coalesce("_did", "_nid").alias("right_id"), F.when(on_domain, F.col("_d")).otherwise(F.col("_n")).alias("match_key"),
+        F.when(on_domain, "domain").otherwise("name").alias("basis"), F.coalesce("_dc", "_nc").alias("sharing"), F.lit(0).alias("distance"), F.lit(1.0).alias("score"))
+    loose = j.filter(~on_domain & F.col("_nid").isNull() & ~F.col("_n").startswith(NO_KEY))
     # One row per pair of names: the lowest left id stands for all left rows of that name.
-    ln = loose.groupBy("_n").agg(F.min("id").alias("left_id"), F.count(F.lit(1)).alias("_lc"))
-    review = near.join(ln, F.col("left_name") == F.col("_n")).drop("_n").join(rn, F.col("right_name") == F.col("_n")).select(
-        "left_id", F.col("_nid").alias("right_id"), F.lit("near name, review").alias("basis"), (F.col("_lc") * F.col("_nc")).alias("sharing"), "distance")
+    ln = loose.groupBy(F.col("_n").alias("_left")).agg(F.min("id").alias("left_id"), F.count(F.lit(1)).alias("_lc"))
+    near = similar_names(_named(ln.select(F.col("_left").alias("match_key"))), _named(keys)).select(
+        F.concat(F.lit("name "), "left_name").alias("_left"), F.concat(F.lit("name "), "right_name").alias("match_key"), "distance", "score")
+    review = near.join(ln, "_left").join(keys, "match_key").select(
+        "left_id", F.col("_rid").alias("right_id"), "match_key", F.lit("near name, review").alias("basis"), (F.col("_lc") * F.col("_rc")).alias("sharing"), "distance", "score")
     return sure.unionByName(review)
 
 
-def signal_fit(signals: DataFrame, opps: DataFrame, accounts: DataFrame) -> DataFrame:
-    """How many open deals share two or three of a signal's tags, and the largest of them.
+def account_keys(rows: DataFrame) -> DataFrame:
+    """(match_key, id): the domain and the normalised name of every row that has one."""
+    keys = F.array(F.concat(F.lit("domain "), norm_domain(F.col("domain"))), F.concat(F.lit("name "), norm_company(F.col("name"))))
+    return rows.select(F.explode(F.array_compact(keys)).alias("match_key"), "id")
 
-    Deals and signals fold to tag combinations first; combinations meet on each pair of tags, so no
-    list of signal and deal pairs is ever built. The result is per signal and number of tags hit.
+
+def _fit_classes(rows: DataFrame, *keep: str) -> DataFrame:
+    """Each row once per set of its tags: `keep`, mask (a bit per tag, in the order of FIT_TAGS) and fit_class, the set's values."""
+    sets = []
+    for mask in range(1, 1 << len(FIT_TAGS)):
+        names = [c for i, c in enumerate(FIT_TAGS) if mask >> i & 1]
+        # A set with a blank tag is no set.
+        known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in names])
+        sets.append(F.when(known, F.struct(F.lit(mask).alias("mask"), F.concat_ws("|", *[F.concat(F.lit(f"{c}="), F.col(c)) for c in names]).alias("fit_class"))))
+    return rows.select(*keep, F.explode(F.array_compact(F.array(*sets))).alias("s")).select(*keep, "s.mask", "s.fit_class")
+
+
+def fit_deals(deals: DataFrame) -> DataFrame:
+    """(fit_class, opp_id, amount): the deals behind every class of `signal_fit`."""
+    return _fit_classes(deals, "opp_id", "amount").select("fit_class", "opp_id", "amount")
+
+
+def signal_fit(signals: DataFrame, deals: DataFrame) -> DataFrame:
+    """Which deals a signal fits, by the sets of tags they share: signal_id, fit_class, hits, at_least, exactly, largest_deal.
+
+    Both sides hold FIT_TAGS. Tags and their sets form a lattice: a deal belongs to the class of every set of its tags, and so does a signal. For each
+    class that has deals, `at_least` counts those that share these tags, and `exactly` those that share no other one with the signal, by inclusion and exclusion over
+    the sets above. The deals themselves are those of `fit_deals` under fit_class, so no list of signals and deals is built. Both
+    sides fold to combinations of tags first.
     """
-    tags = ("segment", "size", "interest")
-    live = opps.filter("is_open").join(
-        accounts.select("account", "segment", F.col("size_band").alias("size"), "interest"), "account")
-    combos = live.groupBy(*tags).agg(
-        F.count(F.lit(1)).alias("_deals"), F.max(F.struct("amount", "opp_id")).alias("_top"))
-    s = signals.select("signal_id", F.col("tag_segment").alias("segment"), F.col("tag_size").alias("size"), F.col("tag_interest").alias("interest"))
-    wanted = s.select(*tags).distinct()
-    parts = []
-    for a, b in (("segment", "size"), ("segment", "interest"), ("size", "interest")):
-        third = next(t for t in tags if t not in (a, b))
-        other = combos.withColumnRenamed(third, "_third")
-        hit = wanted.join(other, [a, b])
-        # A combination equal in all three tags would be found three times: keep it once.
-        keep = (F.col("_third") != F.col(third)) if (a, b) != ("segment", "size") else F.lit(True)
-        parts.append(hit.filter(keep).select(
-            *tags, F.when(F.col("_third") == F.col(third), 3).otherwise(2).alias("hits"), "_deals", "_top"))
-    found = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    per = found.groupBy(*tags, "hits").agg(F.sum("_deals").alias("open_deals"), F.max("_top").alias("_best"))
-    return s.join(per, list(tags)).select("signal_id", "hits", "open_deals", F.col("_best.opp_id").alias("largest_deal"))
+    combos = deals.groupBy(*FIT_TAGS).agg(F.count(F.lit(1)).alias("_n"), F.max(F.struct("amount", "opp_id")).alias("_top"))
+    classes = _fit_classes(combos, "_n", "_top").groupBy("fit_class").agg(F.sum("_n").alias("_n"), F.max("_top").alias("_top"))
+    wanted = signals.select(*FIT_TAGS).distinct()
+    met = _fit_classes(wanted, *FIT_TAGS).join(classes, "fit_class")
+    by_mask = met.groupBy(*FIT_TAGS).agg(F.collect_list(F.struct("mask", "fit_class", "_n", "_top")).alias("_all"))
+    more = F.bit_count(F.col("f.mask"))
+    above = F.filter("_all", lambda x: x["mask"].bitwiseAND(F.col("f.mask")) == F.col("f.mask"))
+    exact = F.aggregate(above, F.lit(0).cast("long"), lambda n, x: n + F.when((F.bit_count(x["mask"]) - more) % 2 == 0, x["_n"]).otherwise(-x["_n"]))
+    per = by_mask.withColumn("f", F.explode("_all")).select(
+        *FIT_TAGS, F.col("f.fit_class").alias("fit_class"), more.alias("hits"), F.col("f._n").alias("at_least"), exact.alias("exactly"), F.col("f._top.opp_id").alias("largest_deal"))
+    same = reduce(lambda a, b: a & b, [F.col(f"s.{c}").eqNullSafe(F.col(f"p.{c}")) for c in FIT_TAGS])
+    return signals.alias("s").join(per.alias("p"), same).select("s.signal_id", "p.fit_class", "p.hits", "p.at_least", "p.exactly", "p.largest_deal")
 
 
 def fingerprint(text: Column) -> Column:
@@ -140,28 +200,68 @@ def fingerprint(text: Column) -> Column:
     return F.when(words != "", F.sha2(words, 256))
 
 
-def dedup_signals(signals: DataFrame) -> DataFrame:
-    """One row per event over all sources: earliest event date, best confidence, number of copies.
+def _similar_reports(reports: DataFrame) -> DataFrame:
+    """Links (a, b) between reports of one entity and type, at most NEAR_DAYS apart, whose words have a Jaccard similarity of NEAR_WORDING or more.
 
-    Signals with the same words are one event, in whatever order they stand; so are the events of one entity, type and day in other
-    words. A text without words is no copy of another one, and a signal without an entity joins by its words only.
+    Reports share a bucket if a band of their MinHash samples is equal; they lie in the bucket of their own period and of the next, so neighbours meet across its
+    end. All members of a bucket are compared with its first one, and only those unlike it with the other members, so the copies of one report
+    are never paired among themselves. Links are confirmed on all words; one of similarity NEAR_WORDING is met but for a chance of 3 in 10,000.
+    """
+    facts = reports.select("signal_id", "event_date", "_tokens")
+    samples = [F.min(F.xxhash64("_t", F.lit(j))).alias(f"_m{j}") for j in range(BANDS * BAND_ROWS)]
+    signed = reports.select("signal_id", "_about", "event_date", F.explode("_tokens").alias("_t")).groupBy("signal_id", "_about", "event_date").agg(*samples)
+    bands = [F.struct(F.lit(b).alias("b"), *[F.col(f"_m{b * BAND_ROWS + r}").alias(f"r{r}") for r in range(BAND_ROWS)]) for b in range(BANDS)]
+    period = F.floor(F.unix_date("event_date") / NEAR_DAYS)
+    places = signed.select("signal_id", "event_date", "_about", F.explode(F.array(period, period + 1)).alias("_period"), F.array(*bands).alias("_bands"))
+    places = places.select("signal_id", "event_date", "_about", "_period", F.explode("_bands").alias("_band"))
+    members = cut_lineage(places.select("signal_id", F.xxhash64("_about", "_period", "_band").alias("_bucket")), "report-buckets")
+    heads = members.groupBy("_bucket").agg(F.min("signal_id").alias("_head"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    met = members.join(heads, "_bucket")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        a, b = (facts.select(F.col("signal_id").alias(c), F.col("event_date").alias(f"_day_{c}"), F.col("_tokens").alias(f"_tokens_{c}")) for c in "ab")
+        both = pairs.join(a, "a").join(b, "b").filter(F.abs(F.datediff("_day_a", "_day_b")) <= NEAR_DAYS)
+        shared = F.size(F.array_intersect("_tokens_a", "_tokens_b"))
+        return both.filter(100 * shared >= round(100 * NEAR_WORDING) * (F.size("_tokens_a") + F.size("_tokens_b") - shared)).select("a", "b")
+
+    known = cut_lineage(alike(met.filter("signal_id <> _head").select(F.col("_head").alias("a"), F.col("signal_id").alias("b")).distinct()), "report-links")
+    unlike = met.filter("signal_id <> _head and _n > 2").join(known, (F.col("_head") == F.col("a")) & (F.col("signal_id") == F.col("b")), "left_anti")
+    others = members.select("_bucket", F.col("signal_id").alias("b"))
+    rest = unlike.select("_bucket", "_head", F.col("signal_id").alias("a")).join(others, "_bucket").filter("a <> b and b <> _head")
+    return known.unionByName(alike(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+
+
+def event_members(signals: DataFrame) -> DataFrame:
+    """(signal_id, event_id, event_date, _rank): the event each signal reports; event_id is the lowest signal of it.
+
+    Signals with the same words are one event, in whatever order they stand. So are reports of one entity and type, at most NEAR_DAYS apart, in nearly
+    the same words, and what such reports lead to. A text without words is no copy of another one, and a signal without an entity, type or day joins by its
+    words only.
     """
     rank = F.create_map(*[F.lit(x) for pair in CONFIDENCE.items() for x in pair])
-    names = F.create_map(*[F.lit(x) for pair in CONFIDENCE.items() for x in reversed(pair)])
     own = F.concat(F.lit("signal "), F.col("signal_id").cast("string"))
     entity = F.coalesce(norm_domain(F.col("entity_url")), norm_company(F.col("entity_name")))
-    keyed = signals.select(
+    keyed = cut_lineage(signals.select(
         "signal_id", "event_date", F.coalesce(fingerprint(F.col("text")), own).alias("_words"), F.try_element_at(rank, "confidence").alias("_rank"),
-        F.struct(entity.alias("entity"), F.col("signal_type").alias("type")).alias("_about"))
+        F.struct(entity.alias("entity"), F.col("signal_type").alias("type")).alias("_about"), F.array_distinct(word_list(F.col("text"))).alias("_tokens")), "reports")
     best = F.struct(-F.col("_rank"), F.col("event_date"), F.col("signal_id"))
     said = keyed.groupBy("_words").agg(
-        F.min("event_date").alias("event_date"), F.max("_rank").alias("_rank"), F.count(F.lit(1)).alias("copies"),
-        F.min_by("signal_id", best).alias("signal_id"), F.min_by("_about", best).alias("_about"))
-    about = F.when(F.col("_about.entity").isNotNull() & F.col("_about.type").isNotNull() & F.col("event_date").isNotNull(), F.concat_ws("|", "_about.entity", "_about.type", "event_date"))
-    return said.groupBy(F.coalesce(about, F.concat(F.lit("words "), "_words")).alias("_event")).agg(
-        F.min("event_date").alias("event_date"), F.max("_rank").alias("_best"), F.sum("copies").alias("copies"),
+        F.min("signal_id").alias("signal_id"), F.min("event_date").alias("event_date"), F.min_by("_about", best).alias("_about"), F.min_by("_tokens", "signal_id").alias("_tokens"))
+    known = said.filter(F.col("_about.entity").isNotNull() & F.col("_about.type").isNotNull() & F.col("event_date").isNotNull() & (F.size("_tokens") > 0))
+    crowded = known.groupBy("_about").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_about")
+    links = _similar_reports(cut_lineage(known.join(crowded, "_about", "left_semi"), "crowded-reports"))
+    found = components(links, "events").withColumnRenamed("node", "signal_id")
+    events = said.select("_words", "signal_id").join(found, "signal_id", "left").select("_words", F.coalesce("component", "signal_id").alias("event_id"))
+    return keyed.select("signal_id", "event_date", "_rank", "_words").join(events, "_words").drop("_words")
+
+
+def dedup_signals(members: DataFrame) -> DataFrame:
+    """One row per event of `event_members` over all sources: its best-known signal, earliest event date, best confidence, number of copies."""
+    names = F.create_map(*[F.lit(x) for pair in CONFIDENCE.items() for x in reversed(pair)])
+    return members.groupBy("event_id").agg(
+        F.min("event_date").alias("event_date"), F.max("_rank").alias("_best"), F.count(F.lit(1)).alias("copies"),
         F.min_by("signal_id", F.struct(-F.col("_rank"), F.col("event_date"), F.col("signal_id"))).alias("signal_id"),
-    ).select("signal_id", "event_date", F.try_element_at(names, "_best").alias("confidence"), "copies")
+    ).select("event_id", "signal_id", "event_date", F.try_element_at(names, "_best").alias("confidence"), "copies")
 
 
 def signal_effect(signals: DataFrame, opps: DataFrame, stalled: DataFrame) -> DataFrame:

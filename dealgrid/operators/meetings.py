@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dealgrid.functions.columns import norm_domain
-from dealgrid.operators.sequences import asof_by_day, ordered_history, top_per_key
+from dealgrid.operators.sequences import asof_by_day, ordered_history, spread_nulls
 
 # Sentiments from best to worst; Unclear says nothing.
 SENTIMENT_RANK = {"Positive": 3, "Neutral": 2, "Mixed": 1, "Negative": 0}
@@ -28,8 +28,11 @@ def meeting_match(meetings: DataFrame, accounts: DataFrame, opps: DataFrame, ren
         F.count(F.lit(1)).alias("contracts"), F.min("renewal_id").alias("_ren"))
     people = leads.filter(F.col("email").isNotNull()).groupBy(norm_domain(F.col("email")).alias("_d")).agg(
         F.count(F.lit(1)).alias("leads"), F.min("lead_id").alias("_lead"))
-    j = meetings.select("meeting_id", norm_domain(F.col("attendee")).alias("_d"), "about_contract").join(domains, "_d", "left").join(people, "_d", "left")
-    j = j.join(by_account, "_acct", "left").join(terms, "_acct", "left").na.fill(0, ["open_deals", "contracts", "leads"])
+    j = meetings.select("meeting_id", spread_nulls(norm_domain(F.col("attendee")), "meeting_id").alias("_d"), "about_contract").join(domains, "_d", "left").join(people, "_d", "left")
+    # Meetings of unknown accounts are spread, and match nothing.
+    j = j.withColumn("_key", spread_nulls(F.col("_acct"), "meeting_id"))
+    keyed = lambda df: df.withColumn("_key", F.col("_acct").cast("string")).drop("_acct")
+    j = j.join(keyed(by_account), "_key", "left").join(keyed(terms), "_key", "left").na.fill(0, ["open_deals", "contracts", "leads"])
     on_contract = F.col("about_contract") & (F.col("contracts") == 1)
     on_deal = ~on_contract & (F.col("open_deals") == 1)
     bare = F.col("open_deals") + F.col("contracts") == 0
@@ -94,31 +97,50 @@ def unowned_meetings(calendar: DataFrame, roster: DataFrame, absences: DataFrame
     return j.select("meeting_id", "day", "owner", why.alias("why")).filter(F.col("why").isNotNull())
 
 
+def days_meetings(calendar: DataFrame, as_of: str) -> DataFrame:
+    return calendar.filter(F.col("day") == F.lit(as_of).cast("date"))
+
+
+def recent_news(signals: DataFrame, as_of: str, days: int = 30) -> DataFrame:
+    """Signals about an account in the last days: account, event_date, signal_id, signal_type."""
+    day = F.lit(as_of).cast("date")
+    recent = signals.filter(F.col("related_account").isNotNull() & F.col("event_date").between(F.date_sub(day, days), day))
+    return recent.select(F.col("related_account").alias("account"), "event_date", "signal_id", "signal_type")
+
+
+def meeting_news(today: DataFrame, signals: DataFrame, as_of: str) -> DataFrame:
+    """The news behind the counts of `meeting_prep`, once for each account that meets today."""
+    return recent_news(signals, as_of).join(today.select("account").distinct(), "account", "left_semi")
+
+
 def meeting_prep(
-    calendar: DataFrame, opps: DataFrame, contacts: DataFrame, signals: DataFrame, commitments: DataFrame, mentions: DataFrame,
-    cards: DataFrame, as_of: str, k: int | None = None,
+    today: DataFrame, opps: DataFrame, gaps: DataFrame, trend: DataFrame, contacts: DataFrame, before: DataFrame, signals: DataFrame, commitments: DataFrame,
+    mentions: DataFrame, cards: DataFrame, as_of: str,
 ) -> DataFrame:
-    """Each meeting of the day with deal state, people, the account signals of the last 30 days, newest first, open promises and overtaken battlecards.
+    """Each of the day's meetings with what to know before it.
 
-    Every side folds to one row per deal or account before it joins.
+    Deal state, close-plan gaps and engagement trend; people and engaged people on the deal, and whether the attendee is new there; the account's last meeting
+    with outcome and sentiment; open promises of both sides that are late; signals about the account in the last 30 days, their number and the newest (all of them are in
+    `meeting_news`); changes since the battlecards of competitors the deal names. Sides fold to one row per deal or account before they join; all but
+    `before` need hold no more than the day's deals and accounts.
     """
     day = F.lit(as_of).cast("date")
-    today = calendar.filter(F.col("day") == day)
     deal = opps.select("opp_id", "stage", "amount", "close_date")
     people = contacts.groupBy("opp_id").agg(F.count(F.lit(1)).alias("people"), F.count_if("replied").alias("engaged"))
-    recent = signals.filter(F.col("related_account").isNotNull() & F.col("event_date").between(F.date_sub(day, 30), day)).select(
-        F.col("related_account").alias("account"), "event_date", "signal_id", "signal_type")
-    news = top_per_key(recent, ["account"], [F.col("event_date").desc(), F.col("signal_id")], k).groupBy("account").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "signal_id", "signal_type"))).alias("_news"))
+    known = contacts.select("opp_id", F.col("email").alias("attendee"), F.lit(True).alias("_known")).distinct()
+    news = recent_news(signals, as_of).groupBy("account").agg(
+        F.count(F.lit(1)).alias("news"), F.min_by("signal_id", F.struct((-F.unix_date("event_date")).alias("d"), F.col("signal_id"))).alias("latest_news"))
     owed = commitments.filter((F.col("status") == "Open") & (F.col("due") < day)).groupBy("account").agg(
         F.count_if(F.col("direction") == "ours").alias("we_owe"), F.count_if(F.col("direction") == "theirs").alias("they_owe"))
-    stale = mentions.join(cards.select("competitor_id", "signals_since"), "competitor_id").groupBy("opp_id").agg(F.sum("signals_since").alias("_changes"))
-    j = today.join(deal, "opp_id", "left").join(stale, "opp_id", "left").join(people, "opp_id", "left").join(news, "account", "left").join(owed, "account", "left")
+    stale = mentions.join(cards.select("competitor_id", "signals_since"), "competitor_id").groupBy("opp_id").agg(F.sum("signals_since").alias("card_changes"))
+    j = today.join(deal, "opp_id", "left").join(gaps.select("opp_id", "close_plan_gaps"), "opp_id", "left").join(trend.select("opp_id", "trend"), "opp_id", "left")
+    j = j.join(stale, "opp_id", "left").join(people, "opp_id", "left").join(known, ["opp_id", "attendee"], "left")
+    j = j.join(last_meeting(today, before).drop("account", "day"), "meeting_id", "left").join(news, "account", "left").join(owed, "account", "left")
+    count = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return j.select(
-        "meeting_id", "account", "opp_id", "stage", "amount", "close_date", F.coalesce("people", F.lit(0)).alias("people"),
-        F.coalesce("engaged", F.lit(0)).alias("engaged"), F.coalesce("we_owe", F.lit(0)).alias("we_owe"), F.coalesce("they_owe", F.lit(0)).alias("they_owe"),
-        F.coalesce("_changes", F.lit(0)).alias("card_changes"),
-        F.transform(F.coalesce("_news", F.array()), lambda s: F.concat_ws(":", s["signal_id"].cast("string"), s["signal_type"])).alias("news"))
+        "meeting_id", "account", "opp_id", "stage", "amount", "close_date", F.coalesce("close_plan_gaps", F.array().cast("array<string>")).alias("close_plan_gaps"), "trend",
+        count("people"), count("engaged"), (F.col("opp_id").isNotNull() & F.col("_known").isNull()).alias("first_time"),
+        "last_meeting_id", "last_day", "last_outcome", "last_sentiment", count("we_owe"), count("they_owe"), count("card_changes"), count("news"), "latest_news")
 
 
 def sentiment_trajectory(meetings: DataFrame, opps: DataFrame) -> DataFrame:
@@ -126,8 +148,8 @@ def sentiment_trajectory(meetings: DataFrame, opps: DataFrame) -> DataFrame:
     rank = F.create_map(*[F.lit(x) for pair in SENTIMENT_RANK.items() for x in pair])
     read = meetings.filter(F.col("sentiment") != "Unclear").withColumn("_rank", F.try_element_at(rank, "sentiment"))
     keys, order = ["account"], ["day", "meeting_id"]
-    one = ordered_history(read, keys, order, F.col("day"), prev={"before_1": "sentiment", "_r1": "_rank"})
-    two = ordered_history(one, keys, order, F.col("day"), prev={"before_2": "before_1", "_r2": "_r1"})
+    back = {"before_1": ("sentiment", 1), "_r1": ("_rank", 1), "before_2": ("sentiment", 2), "_r2": ("_rank", 2)}
+    two = ordered_history(read, keys, order, F.col("day"), prev=back)
     stage = opps.select("opp_id", "stage")
     slide = (F.col("_rank") < F.col("_r1")) & (F.col("_r1") < F.col("_r2"))
     return two.join(stage, "opp_id", "left").select(

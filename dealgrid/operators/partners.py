@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dealgrid.functions.columns import SAMPLE_FLOOR, flag_list, guarded_rate, list_permits, sample_note, split_list, whole_months_since
 from dealgrid.operators.forecast import MONEY, total
-from dealgrid.operators.sequences import top_per_key
+from dealgrid.operators.sequences import asof_by_day, top_per_key
 
 # Severity of each finding.
 SEVERITY = {
@@ -18,16 +20,18 @@ SEVERITY = {
 }
 # The tiers of a sell-through deal.
 TIERS = ("Distributor", "Reseller")
+LAPSED = "lapsed"
 
 EXPIRING_DAYS = 14
 SELL_THROUGH_FACTOR = 0.7
 
 
-def finding(df: DataFrame, name: Column | str, detail: Column) -> DataFrame:
+def finding(df: DataFrame, name: Column | str, detail: Column, others: Column | None = None) -> DataFrame:
     label = F.lit(name) if isinstance(name, str) else name
     grade = F.create_map(*[F.lit(x) for pair in SEVERITY.items() for x in pair])
+    count = F.lit(None) if others is None else others
     return df.select(
-        "submission_id", label.alias("finding"), F.try_element_at(grade, label).alias("severity"), detail.cast("string").alias("detail")
+        "submission_id", label.alias("finding"), F.try_element_at(grade, label).alias("severity"), detail.cast("string").alias("detail"), count.cast("long").alias("others")
     )
 
 
@@ -43,28 +47,47 @@ def live_claims(regs: DataFrame, as_of: str) -> DataFrame:
     return registration_clock(regs, as_of).filter(F.col("state") != "lapsed")
 
 
-def tier_holders(claims: DataFrame) -> DataFrame:
-    """One row per customer and tier: lowest and highest holder and their number."""
-    one_each = claims.select("customer_key", "role", "partner_id").distinct()
-    return one_each.groupBy(F.col("customer_key").alias("_ck"), F.col("role").alias("_role")).agg(
-        F.min("partner_id").alias("_low"), F.max("partner_id").alias("_high"), F.count(F.lit(1)).alias("_holders")
-    )
+def holder_class(tier: Column) -> Column:
+    """The holders of a tier at a customer, or of lapsed claims there, as one class."""
+    return F.concat_ws("/", F.col("customer_key"), tier)
+
+
+def claim_holders(regs: DataFrame, as_of: str) -> DataFrame:
+    """Everyone behind a class that a finding names: holder_class, partner_id, state, approved, expires."""
+    clock = registration_clock(regs, as_of)
+    tier = F.when(F.col("state") == "lapsed", LAPSED).otherwise(F.col("role"))
+    return clock.select(holder_class(tier).alias("holder_class"), "partner_id", "state", "approved", "expires")
+
+
+def partner_claims(clock: DataFrame) -> DataFrame:
+    """One row per customer and partner with a flag for each live tier and for lapsed claims, from `registration_clock`."""
+    live = F.col("state") != "lapsed"
+    flags = [F.max(F.when(live & (F.col("role") == tier), 1).otherwise(0)).alias(f"_{tier}") for tier in TIERS]
+    return clock.groupBy("customer_key", "partner_id").agg(*flags, F.max(F.when(~live, 1).otherwise(0)).alias(f"_{LAPSED}"))
+
+
+def holder_counts(held: DataFrame) -> list[Column]:
+    return [F.sum(f"_{c}").alias(f"_n_{c}") for c in (*TIERS, LAPSED)]
 
 
-def other_holder() -> Column:
-    mine = F.col("partner_id")
-    return F.when(F.col("_low") != mine, F.col("_low")).when(F.col("_high") != mine, F.col("_high"))
+def _held(submissions: DataFrame, clock: DataFrame) -> DataFrame:
+    """Submissions next to the number of holders of each class at their customer, and which of them the partner is."""
+    held = partner_claims(clock)
+    return submissions.join(held.groupBy("customer_key").agg(*holder_counts(held)), "customer_key").join(held, ["customer_key", "partner_id"], "left")
 
 
-def conflict_same_tier(submissions: DataFrame, claims: DataFrame) -> DataFrame:
-    """Another partner holds a live claim on this tier for this customer.
+def other_holders(kind: str) -> Column:
+    return F.coalesce(F.col(f"_n_{kind}"), F.lit(0)) - F.coalesce(F.col(f"_{kind}"), F.lit(0))
 
-    Claims fold to one row per customer and tier, so a customer with many claims adds no rows.
+
+def conflict_same_tier(submissions: DataFrame, regs: DataFrame, as_of: str) -> DataFrame:
+    """Other partners hold a live claim on this tier for this customer: their class and how many they are.
+
+    Claims fold to one row per customer and partner, and those to counts, so a customer with many claims adds no rows; `claim_holders` names them.
     """
-    hit = submissions.join(
-        tier_holders(claims), (F.col("customer_key") == F.col("_ck")) & (F.col("role") == F.col("_role"))
-    ).filter(other_holder().isNotNull())
-    return finding(hit, "same tier claimed", other_holder())
+    j = _held(submissions, registration_clock(regs, as_of))
+    parts = [finding(j.filter((F.col("role") == t) & (other_holders(t) > 0)), "same tier claimed", holder_class(F.lit(t)), other_holders(t)) for t in TIERS]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def conflict_role(submissions: DataFrame, partners: DataFrame) -> DataFrame:
@@ -127,27 +150,23 @@ def conflict_territory(submissions: DataFrame, partners: DataFrame) -> DataFrame
     return finding(rows, F.col("_finding"), F.concat_ws("/", "country", "segment"))
 
 
-def conflict_teaming(submissions: DataFrame, claims: DataFrame) -> DataFrame:
-    """Notes: a different tier is held by someone else, or this partner already holds this tier."""
-    others = submissions.join(
-        tier_holders(claims), (F.col("customer_key") == F.col("_ck")) & (F.col("role") != F.col("_role"))
-    ).filter(other_holder().isNotNull())
-    own = claims.select("customer_key", "role", "partner_id")
-    again = submissions.join(own, ["customer_key", "role", "partner_id"], "left_semi")
-    return finding(others, "teaming", other_holder()).unionByName(finding(again, "already holds this tier", F.col("role")))
+def conflict_teaming(submissions: DataFrame, regs: DataFrame, as_of: str) -> DataFrame:
+    """Notes: other partners hold a different tier, with their class and number, or this partner already holds this tier."""
+    j = _held(submissions, registration_clock(regs, as_of))
+    parts = [finding(j.filter((F.col("role") != t) & (other_holders(t) > 0)), "teaming", holder_class(F.lit(t)), other_holders(t)) for t in TIERS]
+    parts += [finding(j.filter((F.col("role") == t) & (F.col(f"_{t}") > 0)), "already holds this tier", F.col("role")) for t in TIERS]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def conflict_expired(submissions: DataFrame, regs: DataFrame, as_of: str) -> DataFrame:
-    """A lapsed claim of another partner on this customer."""
-    lapsed = registration_clock(regs, as_of).filter(F.col("state") == "lapsed").groupBy(F.col("customer_key").alias("_ck")).agg(
-        F.min("partner_id").alias("_low"), F.max("partner_id").alias("_high"), F.max("expires").alias("_expired"))
-    hit = submissions.join(lapsed, F.col("customer_key") == F.col("_ck")).filter(other_holder().isNotNull())
-    return finding(hit, "expired claim", F.col("_expired"))
+    """Lapsed claims of other partners on this customer: their class and how many partners they are."""
+    j = _held(submissions, registration_clock(regs, as_of))
+    return finding(j.filter(other_holders(LAPSED) > 0), "expired claim", holder_class(F.lit(LAPSED)), other_holders(LAPSED))
 
 
 def distributor_consistency(submissions: DataFrame, claims: DataFrame) -> DataFrame:
     """On a two-tier submission the named distributor holds, or is free to hold, the distributor tier."""
-    tier = tier_holders(claims.filter(F.col("role") == "Distributor"))
+    tier = claims.filter(F.col("role") == "Distributor").select(F.col("customer_key").alias("_ck")).distinct()
     named = submissions.filter(F.col("distributor").isNotNull() & (F.col("role") != "Distributor"))
     j = named.join(tier, F.col("customer_key") == F.col("_ck"), "left")
     holds = claims.filter(F.col("role") == "Distributor").select("customer_key", F.col("partner_id").alias("distributor"), F.lit(True).alias("_holds")).distinct()
@@ -156,53 +175,41 @@ def distributor_consistency(submissions: DataFrame, claims: DataFrame) -> DataFr
     return j.select("submission_id", "distributor", state.alias("distributor_state"), (state != "held by another").alias("consistent"))
 
 
-def customer_facts(regs: DataFrame, opps: DataFrame, customers: DataFrame, as_of: str) -> DataFrame:
-    """One row per customer: holders of each tier, lapsed claims, own open deals, and whether they buy already.
+def customer_facts(held: DataFrame, opps: DataFrame, customers: DataFrame) -> DataFrame:
+    """One row per customer: number of holders of each class, own open deals, and whether they buy already.
 
-    Claims, deals and customers are stacked and grouped once.
+    `partner_claims`, deals and customers are stacked and grouped once.
     """
-    claims = registration_clock(regs, as_of).select(
-        "customer_key", F.col("partner_id").alias("_p"), "role", "expires", (F.col("state") != "lapsed").alias("_live"))
     direct = opps.filter(F.col("is_open") & F.col("partner_id").isNull()).select("customer_key", F.lit(True).alias("_direct"))
     buys = customers.select("customer_key", F.lit(True).alias("_buys"))
-    stacked = claims.unionByName(direct, allowMissingColumns=True).unionByName(buys, allowMissingColumns=True)
-    lapsed = ~F.col("_live")
-    aggs = [
-        F.min(F.when(lapsed, F.col("_p"))).alias("_low_lapsed"), F.max(F.when(lapsed, F.col("_p"))).alias("_high_lapsed"),
-        F.max(F.when(lapsed, F.col("expires"))).alias("_expired"), F.bool_or("_direct").alias("_direct"), F.bool_or("_buys").alias("_buys"),
-    ]
-    for tier in TIERS:
-        held = F.when(F.col("_live") & (F.col("role") == tier), F.col("_p"))
-        aggs += [F.min(held).alias(f"_low_{tier}"), F.max(held).alias(f"_high_{tier}")]
-    return stacked.groupBy("customer_key").agg(*aggs)
+    stacked = held.drop("partner_id").unionByName(direct, allowMissingColumns=True).unionByName(buys, allowMissingColumns=True)
+    return stacked.groupBy("customer_key").agg(*holder_counts(held), F.bool_or("_direct").alias("_direct"), F.bool_or("_buys").alias("_buys"))
 
 
 def conflict_check(
     submissions: DataFrame, regs: DataFrame, partners: DataFrame, opps: DataFrame, customers: DataFrame, as_of: str
 ) -> DataFrame:
     """All findings of a batch of submissions, in one pass over the batch."""
-    own = live_claims(regs, as_of).select("customer_key", "role", "partner_id", F.lit(True).alias("_own")).distinct()
+    held = partner_claims(registration_clock(regs, as_of))
     j = (
-        with_territory(submissions, partners).join(customer_facts(regs, opps, customers, as_of), "customer_key", "left")
-        .join(own, ["customer_key", "role", "partner_id"], "left")
+        with_territory(submissions, partners).join(customer_facts(held, opps, customers), "customer_key", "left")
+        .join(held, ["customer_key", "partner_id"], "left")
     )
 
-    def other(kind: str) -> Column:
-        low, high, mine = F.col(f"_low_{kind}"), F.col(f"_high_{kind}"), F.col("partner_id")
-        return F.when(low != mine, low).when(high != mine, high)
-
-    def found(cond: Column, name: str, detail: Column) -> Column:
-        return F.when(cond, F.struct(F.lit(name).alias("finding"), F.lit(SEVERITY[name]).alias("severity"), detail.cast("string").alias("detail")))
+    def found(cond: Column, name: str, detail: Column, others: Column | None = None) -> Column:
+        count = F.lit(None) if others is None else others
+        return F.when(cond, F.struct(F.lit(name).alias("finding"), F.lit(SEVERITY[name]).alias("severity"), detail.cast("string").alias("detail"), count.cast("long").alias("others")))
 
     place = F.concat_ws("/", "country", "segment")
     parts = [
         found(~list_permits(F.col("_roles"), F.col("role")) & F.col("_pid").isNotNull(), "role not permitted", F.col("role")),
         found(F.col("_direct"), "direct opportunity", F.col("customer_key")), found(F.col("_buys"), "existing customer", F.col("customer_key")),
-        found(F.col("_own"), "already holds this tier", F.col("role")), found(other("lapsed").isNotNull(), "expired claim", F.col("_expired")),
+        found(other_holders(LAPSED) > 0, "expired claim", holder_class(F.lit(LAPSED)), other_holders(LAPSED)),
     ]
     for tier in TIERS:
-        parts.append(found((F.col("role") == tier) & other(tier).isNotNull(), "same tier claimed", other(tier)))
-        parts.append(found((F.col("role") != tier) & other(tier).isNotNull(), "teaming", other(tier)))
+        parts.append(found((F.col("role") == tier) & (other_holders(tier) > 0), "same tier claimed", holder_class(F.lit(tier)), other_holders(tier)))
+        parts.append(found((F.col("role") != tier) & (other_holders(tier) > 0), "teaming", holder_class(F.lit(tier)), other_holders(tier)))
+        parts.append(found((F.col("role") == tier) & (F.col(f"_{tier}") > 0), "already holds this tier", F.col("role")))
     for name in ("territory mismatch", "exclusive territory", "named account of another"):
         parts.append(found(F.array_contains("_territory", name), name, place))
     return j.select("submission_id", F.explode(F.array_compact(F.array(*parts))).alias("f")).select("submission_id", "f.*")
@@ -231,46 +238,101 @@ def partner_deals(opps: DataFrame, regs: DataFrame, partner: int | None = None)
     return both if partner is None else both.filter(F.col("partner_id") == partner)
 
 
-def tier_attribution(opps: DataFrame, regs: DataFrame) -> DataFrame:
-    """Credit per tier from the registrations of the customer; the deal's own partner only where none exists."""
-    tiers = regs.groupBy(F.col("customer").alias("_customer"), "role").agg(
-        F.min_by("partner_id", F.struct("approved", "partner_id")).alias("_holder"))
-    deals = opps.filter(F.col("partner_id").isNotNull()).select("opp_id", "account", "partner_id")
-    credited = deals.join(tiers, F.col("account") == F.col("_customer"), "left")
-    return credited.select(
-        "opp_id", F.coalesce("role", F.lit("unknown")).alias("tier"), F.coalesce("_holder", "partner_id").alias("credited_partner"))
+def holder_timeline(regs: DataFrame) -> DataFrame:
+    """Who holds a tier at a customer when: customer, role, start, until, holder; spans that don't overlap.
 
+    Of claims live on a day the one approved first holds, then the lowest partner. A claim's span starts when all before it have lapsed. Claims fold to one row
+    per customer, tier, approval and end first, so a window holds no more rows than there are days and terms.
+    """
+    terms = regs.groupBy("customer", "role", "approved", "expires").agg(F.min("partner_id").alias("holder"))
+    before = Window.partitionBy("customer", "role").orderBy("approved", "holder", "expires").rowsBetween(Window.unboundedPreceding, -1)
+    free = F.date_add(F.max("expires").over(before), 1)
+    return terms.withColumn("start", F.greatest("approved", free)).filter(F.col("start") <= F.col("expires")).select(
+        "customer", "role", "start", F.col("expires").alias("until"), "holder")
 
-def route_deal(
-    opps: DataFrame, accounts: DataFrame, partners: DataFrame, regs: DataFrame, as_of: str, role: str = "Reseller", k: int | None = None
-) -> DataFrame:
-    """The partners for each open deal without one, best first: a partner the account already has, then by net.
 
-    All are listed unless `k` is given. The candidates of a territory are ranked once per country and segment, and the known
-    partners once per account; with a `k` a deal then chooses among at most `2 * k`.
+def tier_attribution(opps: DataFrame, regs: DataFrame) -> DataFrame:
+    """Credit per tier: opp_id, tier, credited_partner, basis; one row for each tier someone earns, or the deal's own partner where nobody does.
+
+    For each tier of a deal the registration counts that the deal names, or that names the deal; then the claim that held the tier on the deal's
+    day; then the claim that lapsed last before it, with a note. `regs` holds reg_id, customer, role, partner_id, approved, expires and opportunity_id.
     """
-    able = partners.filter(
-        (F.col("enabled_until") >= F.lit(as_of).cast("date")) & list_permits(split_list(F.col("roles_supported")), F.lit(role))
-    )
+    deals = opps.filter(F.col("partner_id").isNotNull()).select("opp_id", F.col("account").alias("customer"), "partner_id", F.col("created").alias("day"), "deal_registration_id")
+    spots = deals.select("opp_id", "customer", "day", F.explode(F.array(*[F.lit(t) for t in TIERS])).alias("role"))
+    named = deals.filter(F.col("deal_registration_id").isNotNull()).select("opp_id", F.col("deal_registration_id").alias("reg_id")).join(
+        regs.select("reg_id", "role", "approved", "partner_id"), "reg_id").select("opp_id", "role", F.struct(F.lit(0).alias("k"), "approved", "partner_id").alias("_r"))
+    naming = regs.filter(F.col("opportunity_id").isNotNull()).select(
+        F.col("opportunity_id").alias("opp_id"), "role", F.struct(F.lit(1).alias("k"), "approved", "partner_id").alias("_r"))
+    linked = named.unionByName(naming).groupBy("opp_id", "role").agg(F.min("_r").alias("_linked"))
+    keys = ["customer", "role"]
+    j = asof_by_day(spots, holder_timeline(regs), keys, "day", "start", F.struct("start", "until", "holder"), "_live")
+    j = asof_by_day(j, regs.select(*keys, "expires", (-F.col("partner_id")).alias("_p")), keys, "day", "expires", F.struct("expires", "_p"), "_old", strict=True)
+    j = j.join(linked, ["opp_id", "role"], "left")
+    held = F.col("_live.until") >= F.col("day")
+    basis = F.when(F.col("_linked").isNotNull(), "registration").when(held, "live claim").when(F.col("_old").isNotNull(), "lapsed claim, note")
+    who = F.when(F.col("_linked").isNotNull(), F.col("_linked.partner_id")).when(held, F.col("_live.holder")).otherwise(-F.col("_old._p"))
+    earned = j.select("opp_id", F.col("role").alias("tier"), who.alias("credited_partner"), basis.alias("basis")).filter(F.col("basis").isNotNull())
+    nobody = deals.join(earned.select("opp_id"), "opp_id", "left_anti").select(
+        "opp_id", F.lit("unknown").alias("tier"), F.col("partner_id").alias("credited_partner"), F.lit("deal partner").alias("basis"))
+    return earned.unionByName(nobody)
+
+
+_BY_NET = ("margin_pct", "partner_id")
+
+
+def able_partners(partners: DataFrame, as_of: str, role: str = "Reseller") -> DataFrame:
+    """Partners that are enabled on a day and may act in a role."""
+    return partners.filter((F.col("enabled_until") >= F.lit(as_of).cast("date")) & list_permits(split_list(F.col("roles_supported")), F.lit(role)))
+
+
+def route_areas(accounts: DataFrame, able: DataFrame, k: int | None = None) -> DataFrame:
+    """The partners that serve each country and segment with accounts, by net: country, segment, rank, partner_id, margin_pct."""
     area = able.select(
         "partner_id", "margin_pct", F.explode(split_list(F.col("countries"))).alias("country"),
         split_list(F.col("segments_served")).alias("_segments"),
     )
     area = area.withColumn("segment", F.explode(F.coalesce("_segments", F.array(F.lit("any"))))).drop("_segments")
-    place = accounts.select("account", F.col("country").cast("string").alias("country"), "segment")
-    deals = opps.filter(F.col("is_open") & F.col("partner_id").isNull()).select("opp_id", "account", "amount").join(place, "account")
-    spots = place.select("country", "segment").distinct()
+    spots = accounts.select(F.col("country").cast("string").alias("country"), "segment").distinct()
     served = spots.join(area.filter(F.col("segment") != "any"), ["country", "segment"]).unionByName(
         spots.join(area.filter(F.col("segment") == "any").drop("segment"), "country"))
-    by_net = [F.col("margin_pct"), F.col("partner_id")]
-    local = top_per_key(served.select("country", "segment", "partner_id", "margin_pct"), ["country", "segment"], by_net, k).drop("rank")
-    known = regs.select(F.col("customer").alias("account"), "partner_id").distinct().join(able.select("partner_id", "margin_pct"), "partner_id")
-    known = top_per_key(known, ["account"], by_net, k).drop("rank")
-    offers = deals.join(local, ["country", "segment"]).select("opp_id", "amount", "partner_id", "margin_pct", F.lit(0).alias("known"))
-    offers = offers.unionByName(deals.join(known, "account").select("opp_id", "amount", "partner_id", "margin_pct", F.lit(1).alias("known")))
+    return top_per_key(served.select("country", "segment", *reversed(_BY_NET)), ["country", "segment"], [F.col(c) for c in _BY_NET], k)
+
+
+def route_known(regs: DataFrame, able: DataFrame, k: int | None = None) -> DataFrame:
+    """The partners each account already has, by net: account, rank, partner_id, margin_pct."""
+    known = regs.select(F.col("customer").alias("account"), "partner_id").distinct().join(able.select(*_BY_NET), "partner_id")
+    return top_per_key(known.select("account", *reversed(_BY_NET)), ["account"], [F.col(c) for c in _BY_NET], k)
+
+
+def _unrouted(opps: DataFrame, accounts: DataFrame) -> DataFrame:
+    place = accounts.select("account", F.col("country").cast("string").alias("country"), "segment")
+    return opps.filter(F.col("is_open") & F.col("partner_id").isNull()).select("opp_id", "account", "amount").join(place, "account")
+
+
+def route_deal(opps: DataFrame, accounts: DataFrame, areas: DataFrame, known: DataFrame) -> DataFrame:
+    """Each open deal without a partner: where its candidates are listed, how many, and the first choice.
+
+    opp_id, account, country, segment, known_partners, area_partners, partner_id, existing_relation, net_amount. The candidates are those of `route_known` under
+    the account and those of `route_areas` under country and segment, in their order; a partner the account already has comes first.
+    Lists are never copied to the deals, as all deals of an area share one.
+    """
+    first = lambda df, keys, n: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{n}_partners"), F.min(F.struct("rank", *_BY_NET)).alias(f"_{n}"))
+    j = _unrouted(opps, accounts).join(first(areas, ["country", "segment"], "area"), ["country", "segment"], "left").join(first(known, ["account"], "known"), "account", "left")
+    pick = F.coalesce("_known", "_area")
+    net = (F.col("amount") * (F.lit(1) - pick["margin_pct"])).cast(MONEY)
+    count = lambda c: F.coalesce(f"{c}_partners", F.lit(0)).alias(f"{c}_partners")
+    return j.select("opp_id", "account", "country", "segment", count("known"), count("area"), pick["partner_id"].alias("partner_id"), F.col("_known").isNotNull().alias("existing_relation"), net.alias("net_amount"))
+
+
+def route_top(opps: DataFrame, accounts: DataFrame, areas: DataFrame, known: DataFrame, k: int) -> DataFrame:
+    """The first `k` partners for each open deal without one, a partner the account already has first, then by net; a deal chooses among at most 2 * k."""
+    deals = _unrouted(opps, accounts)
+    cut = lambda df: df.filter(F.col("rank") <= k).drop("rank")
+    offers = deals.join(cut(areas), ["country", "segment"]).select("opp_id", "amount", "partner_id", "margin_pct", F.lit(0).alias("known"))
+    offers = offers.unionByName(deals.join(cut(known), "account").select("opp_id", "amount", "partner_id", "margin_pct", F.lit(1).alias("known")))
     each = offers.groupBy("opp_id", "partner_id").agg(
         F.max("amount").alias("amount"), F.max("margin_pct").alias("margin_pct"), F.max("known").alias("known"))
-    best = top_per_key(each, ["opp_id"], [F.col("known").desc(), *by_net], k)
+    best = top_per_key(each, ["opp_id"], [F.col("known").desc(), *[F.col(c) for c in _BY_NET]], k)
     net = (F.col("amount") * (F.lit(1) - F.col("margin_pct"))).cast(MONEY)
     return best.select("opp_id", "rank", "partner_id", (F.col("known") == 1).alias("existing_relation"), net.alias("net_amount"))
 

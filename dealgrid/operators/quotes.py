@@ -112,10 +112,10 @@ def quote_vs_opportunity(
     j = q.join(opps.select("opp_id", "amount", F.col("currency").alias("deal_currency")), "opp_id")
     same = F.col("quote_currency") == F.col("deal_currency")
     spot = rates.filter((F.col("source") == source) & (F.col("effective_from") <= F.lit(as_of).cast("date"))).groupBy("currency").agg(F.max_by("rate", "effective_from").alias("_rate"))
-    for side in ("quote", "deal"):
-        j = j.join(spot.select(F.col("currency").alias(f"{side}_currency"), F.col("_rate").cast("double").alias(f"_{side}_rate")), f"{side}_currency", "left")
-        j = j.withColumn(f"_{side}_rate", F.when(F.col(f"{side}_currency") == base, 1.0).otherwise(F.col(f"_{side}_rate")))
-    cents = F.floor(F.col("net").cast("double") * F.col("_quote_rate") / F.col("_deal_rate") * 100 + 0.5).cast("long")
+    # As many rates as currencies: quotes look theirs up and aren't dealt out by currency.
+    table = spot.filter(F.col("currency").isNotNull()).agg(F.map_from_entries(F.collect_list(F.struct("currency", "_rate")))).scalar()
+    rate = lambda side: F.when(F.col(f"{side}_currency") == base, F.lit(1).cast("decimal(18,8)")).otherwise(F.try_element_at(table, F.col(f"{side}_currency")))
+    cents = F.round(F.col("net") * rate("quote") * 100 / rate("deal"), 0).cast("long")
     return j.select("quote_id", "opp_id", "net", "amount", "quote_currency", "deal_currency", same.alias("same_currency"),
                     F.when(same, (F.col("net") - F.col("amount")).cast(MONEY)).alias("delta"),
                     F.when(~same, cents).alias("net_in_deal_currency_cents"))

@@ -1,7 +1,7 @@
 """Ordered histories and as-of joins that stay balanced when one key holds much of the data.
 
-A plain `lag` over a key puts the whole key into one task. Here every key is cut into buckets along its order: the
-window runs inside (key, bucket), and a second, small window over one summary row per bucket carries the last values across.
+A plain `lag` over a key puts the whole key into one task. Here a key with very many rows is cut into buckets along its order: the
+window runs inside (key, bucket), and the rows at a bucket's borders are handed to its neighbours.
 """
 
 from __future__ import annotations
@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 # Begins every stand-in for a null key.
 NO_KEY = "\u0001"
 
+# A key with more rows is cut along its order; at most so many keys are.
+HOT_ROWS = 1 << 17
+MOST_HOT = 10_000
+
 
 def spread_nulls(key: Column, *by: str) -> Column:
     """A join key whose nulls spread over the partitions by other columns instead of meeting in one.
@@ -30,49 +34,61 @@ def ordered_history(
     keys: Sequence[str],
     order: Sequence[str],
     bucket: Column,
-    prev: Mapping[str, str] | None = None,
+    prev: Mapping[str, str | tuple[str, int]] | None = None,
     following: Mapping[str, str] | None = None,
     number: str | None = None,
 ) -> DataFrame:
-    """Add values of the row before, of the row after, and the row number within each key.
+    """Add values of rows before (`prev`, a column or a column and how many rows back), of the row after, and the row number within each key.
 
     `order` must be unique within a key and without nulls, and `bucket` must grow with it (a prefix
-    of the order does); dates are taken by month. Every key is cut into its buckets, and one summary row per
-    bucket carries values across, so a key with very many rows is ordered by many tasks. No job runs before the action.
+    of the order does); dates are taken by month. Keys of more than HOT_ROWS rows, the MOST_HOT largest of them, are cut into their buckets, all
+    other keys are one window each; what is cut changes the balance and not the result. A bucket of a hot key gets its neighbours' border rows as rows of its own, so
+    one exchange by key and bucket does and nothing is joined back. No job runs before the action.
     """
-    prev, following = dict(prev or {}), dict(following or {})
+    back = {new: (c, 1) if isinstance(c, str) else c for new, c in (prev or {}).items()}
+    following = dict(following or {})
     if df.select(bucket.alias("_b")).schema["_b"].dataType.typeName() == "date":
         bucket = F.trunc(bucket, "month")
-    cut = df.withColumn("_hist_bucket", bucket)
-    inner = Window.partitionBy(*keys, "_hist_bucket").orderBy(*order)
-    near = {"_hist_at": F.row_number().over(inner)}
-    near |= {new: F.lag(col).over(inner) for new, col in prev.items()}
-    near |= {new: F.lead(col).over(inner) for new, col in following.items()}
-
-    order_struct = F.struct(*order)
-    carried = [F.count(F.lit(1)).alias("_hist_n")]
-    if prev:
-        carried.append(F.max_by(F.struct(*[F.col(c).alias(n) for n, c in prev.items()]), order_struct).alias("_hist_last"))
-    if following:
-        carried.append(F.min_by(F.struct(*[F.col(c).alias(n) for n, c in following.items()]), order_struct).alias("_hist_first"))
-    marks = cut.groupBy(*keys, "_hist_bucket").agg(*carried)
-    outer = Window.partitionBy(*keys).orderBy("_hist_bucket")
-    ends = {"_hist_before": F.sum("_hist_n").over(outer) - F.col("_hist_n")}
-    if prev:
-        ends["_hist_carry"] = F.lag("_hist_last").over(outer)
-    if following:
-        ends["_hist_next"] = F.lead("_hist_first").over(outer)
-    marks = marks.withColumns(ends).drop("_hist_last", "_hist_first")
+    # A border row also tells a bucket how many rows lie before it.
+    depth = max([k for _, k in back.values()] + [1] * bool(number), default=0)
 
     # A null key is a key like others.
-    same = {k: f"_hist_key{i}" for i, k in enumerate([*keys, "_hist_bucket"])}
-    marks = marks.select(*[F.col(k).alias(n) for k, n in same.items()], *[c for c in marks.columns if c not in same])
-    out = cut.withColumns(near).join(marks, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(n)) for k, n in same.items()))).drop(*same.values())
-    far = {new: F.when(F.col("_hist_at") == 1, F.col(f"_hist_carry.{new}")).otherwise(F.col(new)) for new in prev}
-    far |= {new: F.when(F.col("_hist_at") == F.col("_hist_n"), F.col(f"_hist_next.{new}")).otherwise(F.col(new)) for new in following}
+    names = {k: f"_hist_key{i}" for i, k in enumerate(keys)}
+    hot = df.groupBy(*[F.col(k).alias(n) for k, n in names.items()]).agg(F.count(F.lit(1)).alias("_hist_n")).filter(F.col("_hist_n") > HOT_ROWS)
+    hot = hot.orderBy(F.col("_hist_n").desc()).limit(MOST_HOT).select(*names.values(), F.lit(True).alias("_hist_hot"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()))
+    # At most MOST_HOT rows.
+    cut = df.join(F.broadcast(hot), same, "left").withColumn("_hist_bucket", F.when(F.col("_hist_hot"), bucket)).drop(*names.values(), "_hist_hot")
+
+    needed = list(dict.fromkeys([*order, *(c for c, _ in back.values()), *following.values()]))
+    parts = [*keys, "_hist_bucket"]
+    rows = cut.filter(F.col("_hist_bucket").isNotNull())
+    last = Window.partitionBy(*parts).orderBy(*[F.col(c).desc() for c in order])
+    near_end = rows.select(*parts, F.struct(*needed).alias("_hist_row"), F.row_number().over(last).alias("_hist_at"))
+    marks = near_end.groupBy(*parts).agg(
+        F.count(F.lit(1)).alias("_hist_n"), F.min("_hist_row").alias("_hist_first"),
+        F.array_sort(F.collect_list(F.when(F.col("_hist_at") <= depth, F.col("_hist_row")))).alias("_hist_last"),
+    )
+    outer = Window.partitionBy(*keys).orderBy("_hist_bucket")
+    none = F.slice("_hist_last", 1, 0)
+    before = F.flatten(F.array(*[F.coalesce(F.lag("_hist_last", k).over(outer), none) for k in range(depth, 0, -1)])) if depth else none
+    marks = marks.withColumns({"_hist_past": before, "_hist_next": F.lead("_hist_first").over(outer), "_hist_offset": F.sum("_hist_n").over(outer) - F.col("_hist_n")})
+    past = F.slice("_hist_past", -F.least(F.size("_hist_past"), F.lit(max(depth, 1))), F.lit(max(depth, 1)))
+    past = F.when(F.size("_hist_past") > 0, past).otherwise(F.col("_hist_past"))
+    after = F.array_compact(F.array("_hist_next")) if following else none
+    ghost = lambda side: lambda r: F.struct(r.alias("r"), F.lit(side).alias("side"))
+    ghosts = marks.select(*parts, "_hist_offset", F.explode(F.concat(F.transform(past, ghost(-1)), F.transform(after, ghost(1)))).alias("_hist_g"))
+    ghosts = ghosts.select(*parts, "_hist_offset", F.col("_hist_g.side").alias("_hist_side"), *[F.col("_hist_g.r")[c].alias(c) for c in needed if c not in keys])
+    both = cut.withColumn("_hist_side", F.lit(0)).unionByName(ghosts, allowMissingColumns=True)
+
+    inner = Window.partitionBy(*parts).orderBy(*order)
+    near = {new: F.lag(c, k).over(inner) for new, (c, k) in back.items()}
+    near |= {new: F.lead(c).over(inner) for new, c in following.items()}
     if number:
-        far[number] = F.col("_hist_before") + F.col("_hist_at")
-    return out.withColumns(far).drop("_hist_bucket", "_hist_at", "_hist_before", "_hist_n", "_hist_carry", "_hist_next")
+        whole = Window.partitionBy(*parts)
+        ahead = F.count_if(F.col("_hist_side") < 0).over(whole)
+        near[number] = F.row_number().over(inner) - ahead + F.coalesce(F.max("_hist_offset").over(whole), F.lit(0))
+    return both.withColumns(near).filter(F.col("_hist_side") == 0).select(*df.columns, *near)
 
 
 def asof_by_day(

@@ -29,15 +29,24 @@ def line_up(key: Sequence[str], sides: Mapping[str, DataFrame], cols: Mapping[st
 
 
 def refresh_merge(local: DataFrame, source: DataFrame, key: str, ownership: Mapping[str, str]) -> DataFrame:
-    """Source-owned columns take the source value, all others survive; rows new in the source are added."""
-    l, s = local.alias("l"), source.alias("s")
+    """Source-owned columns take the source value, all others survive; rows new in the source are added.
+
+    Of source rows that share a key the largest counts, so no local row is doubled; source rows without a key are new rows.
+    """
+    cols = [c for c in source.columns if c != key]
+    if cols:
+        folded = source.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*cols)).alias("_v")).select(key, "_v.*")
+        source = folded.unionByName(source.filter(F.col(key).isNull()).select(key, *cols))
+    else:
+        source = source.filter(F.col(key).isNotNull()).distinct().unionByName(source.filter(F.col(key).isNull()))
+    l, s = local.alias("l"), source.withColumn("_returned", F.lit(True)).alias("s")
     both = l.join(s, F.col(f"l.{key}") == F.col(f"s.{key}"), "full")
     out = [F.coalesce(F.col(f"l.{key}"), F.col(f"s.{key}")).alias(key)]
     for col in [c for c in local.columns if c != key]:
         mine = F.col(f"l.{col}")
         if ownership.get(col) == "crm" and col in source.columns:
             # A record the source no longer returns keeps what it had.
-            mine = F.when(F.col(f"s.{key}").isNotNull(), F.col(f"s.{col}")).otherwise(mine)
+            mine = F.when(F.col("s._returned"), F.col(f"s.{col}")).otherwise(mine)
         out.append(mine.alias(col))
     return both.select(*out)
 
@@ -258,6 +267,24 @@ def schema_merge(local: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+# Settings whose local value stays when the new definition has another.
+OWN_SETTINGS = ("archive", "path", "id_prefix", "id_width")
+
+
+def settings_merge(local: DataFrame, new: DataFrame) -> DataFrame:
+    """Merge the settings of a registry that are not columns: registry, setting, value and a note where the user's choice stays.
+
+    Both sides hold registry, setting and value. A setting the user added stays; of those in both the new value wins, but for OWN_SETTINGS.
+    """
+    key = ["registry", "setting"]
+    l = local.select(*key, F.col("value").alias("l_value"), F.lit(True).alias("_l"))
+    n = new.select(*key, F.col("value").alias("n_value"), F.lit(True).alias("_n"))
+    added = F.col("_n").isNull()
+    kept = F.col("_l") & F.col("_n") & ~F.col("l_value").eqNullSafe(F.col("n_value")) & F.col("setting").isin(*OWN_SETTINGS)
+    note = F.when(added, "kept your setting").when(kept, "kept your value").when(F.col("_l").isNull(), "new setting")
+    return l.join(n, key, "full").select(*key, F.when(added | kept, F.col("l_value")).otherwise(F.col("n_value")).alias("value"), note.alias("note"))
+
+
 def migrate_registry(df: DataFrame, schema: Mapping[str, str]) -> DataFrame:
     """Declared columns first, in order and typed, then the user's own; missing ones arrive empty."""
     declared = [

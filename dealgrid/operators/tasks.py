@@ -15,6 +15,13 @@ from dealgrid.operators.sequences import asof_by_day
 from dealgrid.session import cut_lineage
 
 
+# How much a rule may do by itself.
+LEVELS = ("manual", "review", "auto")
+OPERATORS = ("=", "<>", "<", "<=", ">", ">=", "is empty", "is filled")
+# Conditions that a registry of rules may hold.
+MAX_RULES = 10_000
+
+
 def evidence_class() -> Column:
     return (
         F.when((F.col("kind") == "email") & (F.col("direction") == "outbound"), "email-sent")
@@ -48,19 +55,19 @@ def task_dedup(new_tasks: DataFrame, open_tasks: DataFrame) -> DataFrame:
 
 
 def task_caps(candidates: DataFrame, caps: Mapping[str, int]) -> DataFrame:
-    """At most the rule's daily cap of tasks, best first; a rule without a cap keeps all its candidates.
+    """At most the rule's daily cap of tasks, best first; a rule without a cap keeps all its candidates, without a rank.
 
     For capped rules the literal bound on the rank lets every task cut its rows before the shuffle, however many
-    candidates one rule has.
+    candidates one rule has; candidates of other rules aren't moved at all.
     """
     w = Window.partitionBy("rule_id", "day").orderBy(F.col("score").desc(), F.col("record_id"))
-    ranked = lambda df: df.withColumn("rank", F.row_number().over(w))
+    free = lambda df: df.withColumn("rank", F.lit(None).cast("int"))
     if not caps:
-        return ranked(candidates)
+        return free(candidates)
     cap = F.create_map(*[F.lit(x) for pair in caps.items() for x in pair])
     capped = F.coalesce(F.col("rule_id").isin(*caps), F.lit(False))
-    bounded = ranked(candidates.filter(capped)).filter(F.col("rank") <= max(caps.values()))
-    return bounded.filter(F.col("rank") <= F.try_element_at(cap, "rule_id")).unionByName(ranked(candidates.filter(~capped)))
+    bounded = candidates.filter(capped).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max(caps.values()))
+    return bounded.filter(F.col("rank") <= F.try_element_at(cap, "rule_id")).unionByName(free(candidates.filter(~capped)))
 
 
 def tasks_due(tasks: DataFrame, as_of: str) -> DataFrame:
@@ -111,23 +118,63 @@ def persistent_findings(flags: DataFrame, as_of_week: str, min_weeks: int = 2) -
     return runs.filter(held).select("flag", "subject", "since", "weeks")
 
 
-def rule_engine(df: DataFrame, rules: Sequence[Mapping[str, str]], record_id: str) -> DataFrame:
-    """Rows a rule triggers on: every trigger is a boolean expression, evaluated in one pass."""
+def rule_faults(rules: DataFrame, fields: DataFrame, picklists: DataFrame) -> DataFrame:
+    """What is wrong with each rule: rule_id, fault, detail. A rule without a row here can run.
+
+    `rules` holds rule_id, field, op, value, level, daily_cap and active; a rule of several conditions has several rows. `fields` holds the names of the table's
+    columns, `picklists` the values (field, value) that listed ones can have: a rule on another value never fires.
+    """
+    known = rules.join(fields.select("field", F.lit(True).alias("_field")).distinct(), "field", "left")
+    listed = picklists.select("field", F.lit(True).alias("_listed")).distinct()
+    values = picklists.select("field", "value", F.lit(True).alias("_value")).distinct()
+    j = known.join(listed, "field", "left").join(values, ["field", "value"], "left")
+    of = lambda cond, fault, detail: F.when(cond, F.struct(F.lit(fault).alias("fault"), detail.cast("string").alias("detail")))
+    listed_op = F.col("op").isin("=", "<>")
+    faults = [
+        of(F.col("_field").isNull(), "unknown field", F.col("field")),
+        of(F.col("_listed") & listed_op & F.col("_value").isNull(), "unknown value", F.concat_ws(" ", "field", "op", "value")),
+        of(~F.coalesce(F.col("level").isin(*LEVELS), F.lit(False)), "unknown level", F.coalesce("level", F.lit("none"))),
+        of(~F.coalesce(F.col("op").isin(*OPERATORS), F.lit(False)), "unknown comparison", F.coalesce("op", F.lit("none"))),
+        of((F.col("level") == "auto") & F.col("daily_cap").isNull(), "no daily cap", F.col("rule_id")),
+        of(F.col("daily_cap") < 1, "cap below one", F.col("daily_cap")),
+    ]
+    return j.select("rule_id", F.explode(F.array_compact(F.array(*faults))).alias("f")).select("rule_id", "f.*").distinct()
+
+
+def rule_engine(df: DataFrame, rules: DataFrame, faults: DataFrame, record_id: str, day: Column, score: Column) -> DataFrame:
+    """The tasks that active rules without a fault raise: rule_id, day, record_id, level, score and rank, at most the rule's daily cap, best first.
+
+    The rules are rows of a table (see `rule_faults`): a rule is met if all its conditions are, and conditions are compiled to one expression, so the
+    records are read once, and only in the columns that rules name. A value is read as its column's type and never as code. Rules without a cap raise
+    all they find, without a rank.
+    """
+    sound = rules.filter(F.coalesce("active", F.lit(True))).join(faults.select("rule_id"), "rule_id", "left_anti")
+    # A registry of rules is a short list that people keep; beyond MAX_RULES conditions it isn't one.
+    listed = sound.limit(MAX_RULES + 1).collect()
+    if len(listed) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} conditions")
+    met = {}
+    for r in listed:
+        met.setdefault((r["rule_id"], r["level"], r["daily_cap"]), []).append(_condition(df, r))
+    if not met:
+        return df.limit(0).select(*[F.lit(None).cast(t).alias(c) for c, t in (("rule_id", "string"), ("day", "date"), ("record_id", df.schema[record_id].dataType), ("level", "string"), ("score", "double"), ("rank", "int"))])
     hits = F.array_compact(F.array(*[
-        F.when(F.expr(r["trigger"]), F.struct(F.lit(r["rule_id"]).alias("rule_id"), F.lit(r["level"]).alias("level"))) for r in rules
+        F.when(reduce(lambda a, b: a & b, conditions), F.struct(F.lit(rule).alias("rule_id"), F.lit(level).alias("level"))) for (rule, level, _), conditions in met.items()
     ]))
-    return df.select(F.col(record_id).alias("record_id"), F.explode(hits).alias("h")).select("record_id", "h.rule_id", "h.level")
-
-
-def faulty_rules(df: DataFrame, rules: Sequence[Mapping[str, str]], picklists: Mapping[str, Sequence[str]]) -> list[tuple[str, str]]:
-    """Rules that name a value the org's list does not hold, or an unknown automation level."""
-    levels = ("auto", "review", "off")
-    faults = [(r["rule_id"], f"level {r['level']}") for r in rules if r["level"] not in levels]
-    for r in rules:
-        column, value = r.get("column"), r.get("value")
-        if column and (column not in df.columns or (column in picklists and value not in picklists[column])):
-            faults.append((r["rule_id"], f"{column} = {value}"))
-    return faults
+    raised = df.select(F.col(record_id).alias("record_id"), day.alias("day"), score.cast("double").alias("score"), F.explode(hits).alias("h")).select("h.rule_id", "day", "record_id", "h.level", "score")
+    return task_caps(raised, {rule: cap for rule, _, cap in met if cap is not None})
+
+
+def _condition(df: DataFrame, rule) -> Column:
+    """One condition of a rule on its column: text columns compare as text, all others as values of their own type."""
+    cell, op = F.col(f"`{rule['field']}`"), rule["op"]
+    if op == "is empty":
+        return cell.isNull()
+    if op == "is filled":
+        return cell.isNotNull()
+    value = F.lit(rule["value"]).try_cast(df.schema[rule["field"]].dataType)
+    met = {"=": cell == value, "<>": cell != value, "<": cell < value, "<=": cell <= value, ">": cell > value, ">=": cell >= value}[op]
+    return F.coalesce(met, F.lit(False))
 
 
 def schema_rules(df: DataFrame, schema_json: str) -> DataFrame:

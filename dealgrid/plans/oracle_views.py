@@ -105,23 +105,22 @@ left join o_spans s on r.currency = s.currency and r.rate_day >= s.effective_fro
 select *, approved + protection_days as expires, 'acct' || customer || '.example.com' as customer_key, partner_id || '-' || customer || '-' || role as reg_id from registrations""",
     "o_live": "select * from o_regs where expires >= date '2001-08-02'",
     "o_subs": "select *, 'acct' || customer || '.example.com' as customer_key from submissions",
+    "o_held": """
+select customer_key, role as kind, partner_id from o_live union select customer_key, 'lapsed', partner_id from o_regs where expires < date '2001-08-02'""",
+    "o_others": """
+select s.submission_id, s.role, h.kind, s.customer_key || '/' || h.kind as detail, count(distinct h.partner_id) filter (h.partner_id <> s.partner_id) as others
+from o_subs s join o_held h on s.customer_key = h.customer_key group by 1, 2, 3, 4""",
     "o_findings": """
-select submission_id, 'same tier claimed' as finding, 'BLOCK' as severity, (case when low <> s.partner_id then low else high end)::varchar as detail
-from o_subs s join (select customer_key, role, min(partner_id) as low, max(partner_id) as high from o_live group by 1, 2) h
-  on s.customer_key = h.customer_key and s.role = h.role where low <> s.partner_id or high <> s.partner_id
-union all select submission_id, 'role not permitted', 'BLOCK', role from o_subs s join partners p on s.partner_id = p.partner_id
+select submission_id, 'same tier claimed' as finding, 'BLOCK' as severity, detail, others from o_others where kind = role and others > 0
+union all select submission_id, 'role not permitted', 'BLOCK', role, null from o_subs s join partners p on s.partner_id = p.partner_id
   where roles_supported is not null and not list_contains(list_transform(string_split(roles_supported, ';'), lambda x: trim(x)), role)
-union all select submission_id, 'direct opportunity', 'BLOCK', customer_key from o_subs where customer in (select account from opportunities where is_open and partner_id is null)
-union all select submission_id, 'existing customer', 'CHECK', customer_key from o_subs where customer in (select account from opportunities where stage = 'Closed Won')
-union all select * from o_territory
-union all select submission_id, 'teaming', 'note', (case when low <> s.partner_id then low else high end)::varchar
-from o_subs s join (select customer_key, role, min(partner_id) as low, max(partner_id) as high from o_live group by 1, 2) h
-  on s.customer_key = h.customer_key and s.role <> h.role where low <> s.partner_id or high <> s.partner_id
-union all select submission_id, 'already holds this tier', 'note', s.role from o_subs s where exists (
+union all select submission_id, 'direct opportunity', 'BLOCK', customer_key, null from o_subs where customer in (select account from opportunities where is_open and partner_id is null)
+union all select submission_id, 'existing customer', 'CHECK', customer_key, null from o_subs where customer in (select account from opportunities where stage = 'Closed Won')
+union all select *, null from o_territory
+union all select submission_id, 'teaming', 'note', detail, others from o_others where kind <> role and kind <> 'lapsed' and others > 0
+union all select submission_id, 'already holds this tier', 'note', s.role, null from o_subs s where exists (
   select 1 from o_live l where l.customer_key = s.customer_key and l.role = s.role and l.partner_id = s.partner_id)
-union all select submission_id, 'expired claim', 'CHECK', expired::varchar from o_subs s join (
-  select customer_key, min(partner_id) as low, max(partner_id) as high, max(expires) as expired from o_regs where expires < date '2001-08-02' group by 1) h
-  on s.customer_key = h.customer_key where low <> s.partner_id or high <> s.partner_id""",
+union all select submission_id, 'expired claim', 'CHECK', detail, others from o_others where kind = 'lapsed' and others > 0""",
     "o_territory": """
 with named as (select partner_id, unnest(string_split(named_accounts, ';')) as acct from partners),
 f as (select s.*, p.partner_id is not null as known, exists (select 1 from named n where n.acct = s.customer::varchar and n.partner_id = s.partner_id) as mine,

@@ -13,13 +13,20 @@ from dealgrid.plans.views import AS_OF
 
 
 def mentions(t: Tables):
-    return cp.competitor_mentions(t.deal_notes, t.competitors)
+    return cp.competitor_mentions(t.deal_notes, t.competitors).drop("sources")
 
 
-@query("competitor_mentions", """
-select distinct opp_id, term_id as competitor_id from o_notes join o_spellings on contains(padded, ' ' || phrase || ' ') where phrase not in ('erkeit')""")
+@query("competitor_mentions", r"""
+with terms as (select * from o_spellings where phrase not in ('erkeit')),
+key as (select opp_id, trim(regexp_replace(lower(v), '[^\p{L}\p{M}\p{N}]+', ' ', 'g')) as value from (select opp_id, unnest(string_split(tech_stack, ';')) as v from deal_stack)),
+hits as (select distinct opp_id, term_id, 'text' as source from o_notes join terms on contains(padded, ' ' || phrase || ' ')
+  union select opp_id, term_id, 'picklist' from key join terms on value = phrase
+  union select opp_id, term_id, 'loss reason' from (select opp_id, ' ' || regexp_replace(lower(loss_note), '[^\p{L}\p{M}\p{N}]+', ' ', 'g') || ' ' as padded from deal_stack) join terms on contains(padded, ' ' || phrase || ' '))
+select opp_id, term_id as competitor_id, string_agg(source, ',' order by source) as sources from hits group by 1, 2""")
 def _(t):
-    return cp.competitor_mentions(t.deal_notes, t.competitors, exclude=["Erkeit"])
+    stack = t.deal_stack
+    return cp.competitor_mentions(
+        t.deal_notes, t.competitors, exclude=["Erkeit"], stack=stack.select("opp_id", F.col("tech_stack").alias("value")), losses=stack.select("opp_id", F.col("loss_note").alias("text")))
 
 
 @query("unknown_names", """
@@ -62,12 +69,19 @@ def _(t):
 
 @query("competitor_activity", """
 select c.competitor_id, max(event_date)::varchar as last_signal_date, count(signal_id) filter (date '2001-08-02' - event_date <= 90) as signals_90d, count(signal_id) filter (event_date > researched) as signals_since_battlecard,
-  (max(row(event_date, signal_id)))[2] as latest_signal, coalesce(string_agg(distinct case when event_date > researched and impact <> 'No impact' then impact end, ',' order by case when event_date > researched and impact <> 'No impact' then impact end), '') as open_impacts
+  (max(row(event_date, signal_id)))[2] as latest_signal, count(distinct impact) filter (event_date > researched and impact <> 'No impact') as open_impacts
 from competitors c left join signals s on c.competitor_id = s.competitor_id group by 1""")
 def _(t):
     return cp.competitor_activity(t.signals, t.competitors, AS_OF)
 
 
+@query("open_impacts", """
+select c.competitor_id, impact, count(*) as signals, max(event_date)::varchar as last_event from competitors c join signals s on c.competitor_id = s.competitor_id
+where event_date > researched and impact <> 'No impact' group by 1, 2""")
+def _(t):
+    return cp.open_impacts(t.signals, t.competitors)
+
+
 @query("stale_battlecards", """
 select c.competitor_id, count(*) as signals_since, min(event_date)::varchar as first_event, max(event_date)::varchar as last_event, bool_or(impact = 'new capability') as voids_win_theme
 from competitors c join signals s on c.competitor_id = s.competitor_id where tier = 'Primary' and event_date > researched group by 1""")

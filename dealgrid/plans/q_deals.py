@@ -49,12 +49,10 @@ def _(t):
     return stalled(t)
 
 
-def stalled(t: Tables, facts=None, activity=None):
+def stalled(t: Tables):
     seq = steps(t)
     return deals.flag_stalled(
-        t.opportunities, t.activity if activity is None else activity,
-        deals.days_in_stage(seq, AS_OF) if facts is None else facts, deals.stage_medians(deals.stage_spans(seq)), AS_OF,
-    )
+        t.opportunities, deals.last_activity(t.activity), deals.days_in_stage(seq, AS_OF), deals.stage_medians(deals.stage_spans(seq)), AS_OF)
 
 
 @query("stage_stall", """
@@ -149,18 +147,19 @@ def ghost_input(roles):
 @query("threading_flags", """
 select opp_id, state, flags, people, repliers, outbound, inbound from o_threading""")
 def _(t):
-    activity = t.landed("activity")
-    return deals.threading_flags(deals.contacts_build(t.contact_roles, activity), activity, t.opportunities)
+    people = cut_lineage(deals.people_fold(t.activity), "people")
+    return deals.threading_flags(deals.contacts_of(t.contact_roles, people), people, t.opportunities)
 
 
 def risks(t: Tables):
-    facts = cut_lineage(deals.history_facts(steps(t), AS_OF), "deal-facts")
-    activity, roles = t.landed("activity"), t.landed("contact_roles")
-    contacts = deals.contacts_build(roles, activity)
+    """The history is put in order once, and the activity folded once; both serve several flags."""
+    seq = cut_lineage(steps(t), "history-steps")
+    people, roles = cut_lineage(deals.people_fold(t.activity), "people"), t.landed("contact_roles")
+    facts = deals.history_facts(seq, AS_OF)
+    last_days = people.groupBy("opp_id").agg(F.max("last_day").alias("last_day"))
+    stalls = deals.flag_stalled(t.opportunities, last_days, facts, deals.stage_medians(deals.stage_spans(seq)), AS_OF)
     return deals.risk_flags(
-        t.opportunities, facts, stalled(t, facts, activity), deals.threading_flags(contacts, activity, t.opportunities),
-        deals.ghost_roles(ghost_input(roles), activity), AS_OF,
-    )
+        t.opportunities, facts, stalls, deals.threading_flags(deals.contacts_of(roles, people), people, t.opportunities), deals.ghost_roles(ghost_input(roles), people), AS_OF)
 
 
 @query("risk_flags", "select opp_id, stage, risk_flags, severity from o_risks")

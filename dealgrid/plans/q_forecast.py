@@ -174,11 +174,12 @@ def _(t):
 with d as (select opp_id, min(day) as first_day, max(case when stage <> 'Closed Lost' then {stage_rank_sql('stage')} end) as top,
   bool_or(stage = 'Closed Won') as won, bool_or(stage like 'Closed%') as decided from opp_history group by 1),
 k as (select s, i from (values ('Qualify', 0), ('Discovery', 1), ('Validate', 2), ('Proposal', 3), ('Negotiate', 4), ('Closed Won', 5)) as k(s, i)),
-c as (select date_trunc('quarter', first_day)::date as cohort, s, i, count(*) filter (top >= i) as reached, count(*) filter (top >= i + 1) as went_on, count(*) filter (won) as won, count(*) filter (decided) as decided from d, k group by 1, 2, 3)
-select cohort::varchar as cohort, s as stage, reached, case when i < 5 and reached > 0 then went_on::double / reached::double end as conversion,
+g as (select d.*, unnest(['all', coalesce(segment, 'unknown')]) as segment from d left join opportunities using (opp_id) left join accounts using (account)),
+c as (select date_trunc('quarter', first_day)::date as cohort, segment, s, i, count(*) filter (top >= i) as reached, count(*) filter (top >= i + 1) as went_on, count(*) filter (won) as won, count(*) filter (decided) as decided from g, k group by 1, 2, 3, 4)
+select cohort::varchar as cohort, segment, s as stage, reached, case when i < 5 and reached > 0 then went_on::double / reached::double end as conversion,
   decided, case when decided > 0 then won::double / decided::double end as win_rate from c""")
 def _(t):
-    return forecast.stage_conversion(t.opp_history, STAGES)
+    return forecast.stage_conversion(t.opp_history, STAGES, t.opportunities.select("opp_id", "account").join(t.accounts.select("account", "segment"), "account"))
 
 
 @query("cadence_activity", """

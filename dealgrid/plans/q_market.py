@@ -43,52 +43,145 @@ def _(t):
     return market.relevance_share(t.signals)
 
 
+def related_records(t: Tables):
+    """Deals, running contracts, customers and leads under the names and domains they are known by."""
+    named = named_accounts(t, "segment <> 'BUILDING'").withColumnRenamed("website", "domain")
+    won = t.opportunities.filter("stage = 'Closed Won'").select("account")
+    of = lambda df, key: df.join(named, "account").select(F.col(key).alias("id"), "name", "domain")
+    leads = t.leads.select(F.col("lead_id").alias("id"), F.col("company").alias("name"), F.when(~F.col("bounced"), F.col("email")).alias("domain"))
+    return market.record_index(
+        of(t.opportunities.filter("is_open"), "opp_id"), of(t.renewals.filter("status = 'Active'"), "renewal_id"),
+        named.join(won, "account", "left_semi").select(F.col("account").alias("id"), "name", "domain"), leads)
+
+
+RELATED = f"""
+named as (select account, {ACCT} as name, case when segment <> 'BUILDING' then website end as dom from accounts),
+recs as (select 'opportunity' as related_type, 1 as priority, opp_id as id, name, dom from opportunities join named using (account) where is_open
+  union all select 'renewal', 2, renewal_id, name, dom from renewals join named using (account) where status = 'Active'
+  union all select 'customer', 3, account, name, dom from named where account in (select account from opportunities where stage = 'Closed Won')
+  union all select 'lead', 4, lead_id, company, case when not bounced then email end from leads),
+idx as (select related_type, priority, id, 'domain ' || {norm_host_sql('dom')} as match_key from recs where {norm_host_sql('dom')} is not null
+  union all select related_type, priority, id, 'name ' || {norm_name_sql('name')} from recs where {norm_name_sql('name')} is not null)"""
+
+
+def near_sql(left: str, right: str) -> str:
+    """near(l, r, d, score): names of two sets (column nm) that are alike, with the rarest word of each by how often the right side has it."""
+    words = "select nm, unnest(list_distinct(string_split(nm, ' '))) as w from"
+    longer = "greatest(length(l.nm), length(r.nm))"
+    return f"""
+freq as (select w, count(*) as c from ({words} {right}) group by 1),
+rare_l as (select nm, arg_min(w, row(coalesce(c, 0), w)) as w from ({words} {left}) left join freq using (w) group by 1),
+rare_r as (select nm, arg_min(w, row(c, w)) as w from ({words} {right}) join freq using (w) group by 1),
+near as (select l.nm as l, r.nm as r, {distance_sql('l.nm', 'r.nm')} as d, 1::double - {distance_sql('l.nm', 'r.nm')}::double / {longer} as score from rare_l l join rare_r r on l.nm <> r.nm and abs(length(l.nm) - length(r.nm)) <= 10
+  where {distance_sql('l.nm', 'r.nm')} = 1 or ((list_contains(string_split(r.nm, ' '), l.w) or list_contains(string_split(l.nm, ' '), r.w)) and {distance_sql('l.nm', 'r.nm')} <= floor({longer} * 0.25)))"""
+
+
 @query("signal_account_link", f"""
-with a as (select account, case when segment <> 'BUILDING' then {norm_host_sql('website')} end as d, {norm_name_sql(ACCT)} as n from accounts),
-ad as (select d, min(account) as da from a where d is not null group by 1), an as (select n, min(account) as na from a group by 1),
-s as (select signal_id, {norm_host_sql('entity_url')} as d, {norm_name_sql('entity_name')} as n from signals),
-j as (select s.*, da, na from s left join ad on s.d = ad.d left join an on s.n = an.n),
-near as (select n, min(cand) as cand from (select distinct j.n, an.n as cand from j join an on {distance_sql('j.n', 'an.n')} = 1 where da is null and j.na is null) group by 1)
-select signal_id, coalesce(da, j.na, (select na from an where an.n = near.cand)) as account,
-  case when da is not null then 'domain' when j.na is not null then 'name' when near.cand is not null then 'near name, review' else 'none' end as basis from j left join near on j.n = near.n""")
+with {RELATED},
+fold as (select match_key, related_type, priority, min(id) as id, count(*) as n from idx group by all),
+s as (select signal_id, 'domain ' || {norm_host_sql('entity_url')} as dk, {norm_name_sql('entity_name')} as nm from signals),
+ln as (select distinct nm from s where nm is not null), rn as (select distinct substr(match_key, 6) as nm from fold where match_key like 'name %'),
+{near_sql('ln', 'rn')},
+hits as (select signal_id, related_type, priority, match_key, id, n, 1 as k, 0 as d, 1::double as score from s join fold on match_key = dk
+  union all select signal_id, related_type, priority, match_key, id, n, 2, 0, 1 from s join fold on match_key = 'name ' || nm
+  union all select signal_id, related_type, priority, match_key, id, n, 3, d, score from s join near on nm = l join fold on match_key = 'name ' || r)
+select signal_id, related_type, priority::bigint as priority, match_key, id as related_id, n as records, case k when 1 then 'domain' when 2 then 'name' else 'near name, review' end as basis, score
+from hits qualify row_number() over (partition by signal_id, related_type order by k, d, match_key) = 1""")
 def _(t):
-    return market.signal_account_link(t.signals, named_accounts(t, "segment <> 'BUILDING'"))
+    return market.signal_account_link(t.signals, related_records(t))
 
 
-@query("resolve_account", f"""
-with l as (select lead_id as id, case when email is not null and not bounced then {norm_host_sql('email')} end as d, {norm_name_sql('company')} as n from leads),
-r as (select account as id, case when segment = 'MACHINERY' then {norm_host_sql('website')} end as d, {norm_name_sql("'Acct ' || account || case when account % 2 = 0 then 'x' else '' end || ' Group'")} as n from accounts),
-rd as (select d, min(id) as did, count(*) as dc from r where d is not null group by 1), rn as (select n, min(id) as nid, count(*) as nc from r where n <> '' group by 1),
-j as (select l.*, did, dc, nid, nc from l left join rd on l.d = rd.d left join rn on l.n = rn.n),
-ln as (select n, min(id) as left_id, count(*) as lc from j where did is null and nid is null group by 1)
-select id as left_id, coalesce(did, nid) as right_id, case when did is not null then 'domain' else 'name' end as basis, coalesce(dc, nc) as sharing, 0 as distance from j where did is not null or nid is not null
-union all select left_id, nid, 'near name, review', lc * nc, {distance_sql('ln.n', 'rn.n')} from ln join rn on {distance_sql('ln.n', 'rn.n')} = 1""")
+@query("signal_link_records", f"with {RELATED} select match_key, related_type, id as related_id from idx")
 def _(t):
+    return related_records(t)
+
+
+def _two_sides(t: Tables):
     left = t.leads.select(F.col("lead_id").alias("id"), F.col("company").alias("name"), F.when(~F.col("bounced"), F.col("email")).alias("domain"))
     name = F.concat(F.lit("Acct "), F.col("account"), F.when(F.col("account") % 2 == 0, "x").otherwise(""), F.lit(" Group"))
     right = t.accounts.select(F.col("account").alias("id"), name.alias("name"), F.when(F.col("segment") == "MACHINERY", F.col("website")).alias("domain"))
-    return market.resolve_account(left, right)
+    return left, right
+
+
+RIGHT_KEYS = f"""
+r as (select account as id, case when segment = 'MACHINERY' then {norm_host_sql('website')} end as d, {norm_name_sql("'Acct ' || account || case when account % 2 = 0 then 'x' else '' end || ' Group'")} as n from accounts),
+rk as (select 'domain ' || d as match_key, id from r where d is not null union all select 'name ' || n, id from r where n is not null)"""
+
+
+@query("resolve_account", f"""
+with l as (select lead_id as id, case when email is not null and not bounced then {norm_host_sql('email')} end as d, {norm_name_sql('company')} as n from leads),
+{RIGHT_KEYS},
+f as (select match_key, min(id) as id, count(*) as c from rk group by 1),
+j as (select l.*, fd.id as did, fd.c as dc, fn.id as nid, fn.c as nc from l left join f fd on fd.match_key = 'domain ' || l.d left join f fn on fn.match_key = 'name ' || l.n),
+ln as (select n as nm, min(id) as left_id, count(*) as lc from j where did is null and nid is null and n is not null group by 1),
+rn as (select distinct substr(match_key, 6) as nm from f where match_key like 'name %'),
+{near_sql('ln', 'rn')}
+select id as left_id, coalesce(did, nid) as right_id, case when did is not null then 'domain ' || d else 'name ' || n end as match_key, case when did is not null then 'domain' else 'name' end as basis,
+  coalesce(dc, nc) as sharing, 0 as distance, 1::double as score from j where did is not null or nid is not null
+union all select left_id, f.id, match_key, 'near name, review', lc * f.c, near.d, score from near join ln on ln.nm = l join f on match_key = 'name ' || r""")
+def _(t):
+    return market.resolve_account(*_two_sides(t))
+
 
+@query("resolve_account_keys", f"with {RIGHT_KEYS} select match_key, id from rk")
+def _(t):
+    return market.account_keys(_two_sides(t)[1])
+
+
+def fit_input(t: Tables):
+    deals = t.opportunities.filter("is_open").join(t.deal_pains, "opp_id").join(
+        t.accounts.select("account", "segment", F.col("size_band").alias("size"), "interest"), "account").select("opp_id", "amount", *market.FIT_TAGS)
+    return t.signals.select("signal_id", *[F.col(f"tag_{c}").alias(c) for c in market.FIT_TAGS]), deals
+
+
+FIT_DEALS = """
+fd as (select opp_id, amount, segment, size_band as size, interest, pain from opportunities join deal_pains using (opp_id) join accounts using (account) where is_open),
+masks as (select unnest(range(1, 16)) as m)"""
+FIT_CLASS = "concat_ws('|', case when m & 1 > 0 then 'segment=' || {0}segment end, case when m & 2 > 0 then 'size=' || {0}size end, case when m & 4 > 0 then 'interest=' || {0}interest end, case when m & 8 > 0 then 'pain=' || {0}pain end)"
+FIT_KNOWN = "(m & 1 = 0 or {0}segment is not null) and (m & 2 = 0 or {0}size is not null) and (m & 4 = 0 or {0}interest is not null) and (m & 8 = 0 or {0}pain is not null)"
+
+
+@query("signal_fit", f"""
+with {FIT_DEALS},
+s as (select signal_id, tag_segment as segment, tag_size as size, tag_interest as interest, tag_pain as pain from signals),
+combos as (select segment, size, interest, pain, count(*) as n, max(row(amount, opp_id)) as top from fd group by all),
+pairs as (select signal_id, s.segment, s.size, s.interest, s.pain, coalesce((c.segment = s.segment)::int, 0) + 2 * coalesce((c.size = s.size)::int, 0) + 4 * coalesce((c.interest = s.interest)::int, 0) + 8 * coalesce((c.pain = s.pain)::int, 0) as common, n, top
+  from s join combos c on true),
+folded as (select signal_id, segment, size, interest, pain, common, sum(n) as n, max(top) as top from pairs where common > 0 group by all)
+select signal_id, {FIT_CLASS.format('')} as fit_class, bit_count(m::int)::bigint as hits, sum(n)::bigint as at_least, coalesce(sum(n) filter (common = m), 0)::bigint as exactly, max(top)[2] as largest_deal
+from folded join masks on common & m = m group by signal_id, segment, size, interest, pain, m""")
+def _(t):
+    return market.signal_fit(*fit_input(t))
 
-@query("signal_fit", """
-with p as (select signal_id, o.opp_id, amount, (tag_segment = segment)::int + (tag_size = size_band)::int + (tag_interest = interest)::int as hits
-  from signals join opportunities o on true join accounts a on o.account = a.account where is_open)
-select signal_id, hits::bigint as hits, count(*) as open_deals, (max(row(amount, opp_id)))[2] as largest_deal from p where hits >= 2 group by 1, 2""")
+
+@query("signal_fit_deals", f"with {FIT_DEALS} select {FIT_CLASS.format('')} as fit_class, opp_id, amount::double as amount from fd join masks on {FIT_KNOWN.format('')}")
+def _(t):
+    return market.fit_deals(fit_input(t)[1])
+
+
+EVENTS = rf"""
+k as (select signal_id, event_date, case confidence when 'Confirmed' then 3 when 'Reported' then 2 else 1 end as r, signal_type, coalesce({norm_host_sql('entity_url')}, {norm_name_sql('entity_name')}) as entity,
+  list_sort(list_filter(list_distinct(string_split_regex(lower(text), '[^\p{{L}}\p{{M}}\p{{N}}]+')), lambda w: w <> '')) as ws from signal_reports),
+w as (select *, case when len(ws) > 0 then array_to_string(ws, ' ') else 'signal ' || signal_id end as words from k),
+said as (select words, min(signal_id) as sid, min(event_date) as day, arg_min(row(entity, signal_type), row(-r, event_date, signal_id)) as about, any_value(ws) as ws from w group by 1),
+links as (select a.sid as x, b.sid as y from said a join said b on a.about = b.about and a.sid <> b.sid and abs(a.day - b.day) <= 3
+  where len(a.ws) > 0 and len(b.ws) > 0 and a.about[1] is not null and 100 * len(list_intersect(a.ws, b.ws)) >= 70 * (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws)))),
+reach as (select sid as node, sid as other from said union select node, y from reach join links on other = x),
+named as (select node, min(other) as event_id from reach group by 1),
+members as (select signal_id, event_id, event_date, r from w join said using (words) join named on sid = node)"""
+
+
+@query("dedup_signals", f"""
+with recursive {EVENTS}
+select event_id, arg_min(signal_id, row(-r, event_date, signal_id)) as signal_id, min(event_date)::varchar as event_date, case max(r) when 3 then 'Confirmed' when 2 then 'Reported' else 'Rumour' end as confidence, count(*) as copies
+from members group by 1""")
 def _(t):
-    return market.signal_fit(t.signals, t.opportunities, t.accounts)
-
-
-@query("dedup_signals", rf"""
-with k as (select signal_id, event_date, case confidence when 'Confirmed' then 3 when 'Reported' then 2 else 1 end as r, signal_type,
-  coalesce({norm_host_sql('entity_url')}, {norm_name_sql('entity_name')}) as entity,
-  coalesce(nullif(array_to_string(list_sort(list_filter(list_distinct(string_split_regex(lower(text), '[^\p{{L}}\p{{M}}\p{{N}}]+')), lambda w: w <> '')), ' '), ''), 'signal ' || signal_id) as words from signals),
-said as (select words, min(event_date) as event_date, max(r) as r, count(*) as copies, arg_min(signal_id, row(-r, event_date, signal_id)) as signal_id,
-  arg_min(row(entity, signal_type), row(-r, event_date, signal_id)) as about from k group by 1),
-e as (select *, case when about[1] is not null then about[1] || '|' || about[2] || '|' || event_date else 'words ' || words end as event from said)
-select arg_min(signal_id, row(-r, event_date, signal_id)) as signal_id, min(event_date)::varchar as event_date, case max(r) when 3 then 'Confirmed' when 2 then 'Reported' else 'Rumour' end as confidence, sum(copies)::bigint as copies
-from e group by event""")
+    return market.dedup_signals(market.event_members(t.signal_reports))
+
+
+@query("event_members", f"with recursive {EVENTS} select signal_id, event_id from members")
 def _(t):
-    return market.dedup_signals(t.signals)
+    return market.event_members(t.signal_reports).select("signal_id", "event_id")
 
 
 @query("signal_effect", """

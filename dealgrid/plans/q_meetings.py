@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dealgrid.operators import competitors as cp, deals, meetings as mt
+from dealgrid.operators import competitors as cp, deals, engagement, meetings as mt
+from dealgrid.plans.common import STAGES
 from dealgrid.plans.q_deals import meetings_with_deal
+from dealgrid.plans.q_forecast import stage_rank_sql
 from dealgrid.plans.q_scalars import norm_host_sql
 from dealgrid.plans.registry import Tables, query
 from dealgrid.plans.views import AS_OF
+from dealgrid.session import cut_lineage
 
 
 def calendar(t: Tables):
@@ -86,20 +89,37 @@ def _(t):
     return mt.unowned_meetings(t.calendar, t.team, out)
 
 
-@query("meeting_prep", """
-with n as (select * from (select related_account as account, signal_id, signal_type, row_number() over (partition by related_account order by event_date desc, signal_id) as rn
-  from signals where related_account is not null and event_date between date '2001-07-03' and date '2001-08-02'))
-select c.meeting_id, c.account, l.open_opp as opp_id, o.stage, o.amount::double as amount, o.close_date::varchar as close_date, coalesce(people, 0) as people, coalesce(engaged, 0) as engaged,
-  coalesce(we_owe, 0) as we_owe, coalesce(they_owe, 0) as they_owe, coalesce(changes, 0)::bigint as card_changes, coalesce(news, '') as news
-from calendar c left join latest_open l on c.account = l.open_account left join opportunities o on o.opp_id = l.open_opp
-left join (select opp_id, count(*) as people, count(*) filter (replied) as engaged from o_contacts group by 1) p on p.opp_id = l.open_opp
+@query("meeting_prep", f"""
+with c as (select c.*, l.open_opp as opp_id from calendar c left join latest_open l on c.account = l.open_account where c.day = date '2001-08-02'),
+n as (select related_account as account, count(*) as news, arg_min(signal_id, row(-(event_date - date '1970-01-01'), signal_id)) as latest_news
+  from signals where related_account is not null and event_date between date '2001-07-03' and date '2001-08-02' group by 1),
+b as (select c.meeting_id, m.meeting_id as mid, m.day, m.outcome, m.sentiment from c left join meetings m on c.account = m.account and m.day < c.day qualify row_number() over (partition by c.meeting_id order by m.day desc, m.meeting_id desc) = 1)
+select c.meeting_id, c.account, c.opp_id, o.stage, o.amount::double as amount, o.close_date::varchar as close_date,
+  concat_ws(',', case when champion is null and {stage_rank_sql('stage')} >= 1 then 'champion' end, case when economic_buyer is null and {stage_rank_sql('stage')} >= 2 then 'economic buyer' end,
+    case when paper_process is null and {stage_rank_sql('stage')} >= 3 then 'paper process' end) as close_plan_gaps, trend,
+  coalesce(people, 0) as people, coalesce(engaged, 0) as engaged, c.opp_id is not null and not exists (select 1 from o_contacts x where x.opp_id = c.opp_id and x.email = c.attendee) as first_time,
+  b.mid as last_meeting_id, b.day::varchar as last_day, b.outcome as last_outcome, b.sentiment as last_sentiment,
+  coalesce(we_owe, 0) as we_owe, coalesce(they_owe, 0) as they_owe, coalesce(changes, 0)::bigint as card_changes, coalesce(news, 0) as news, latest_news
+from c left join opportunities o on o.opp_id = c.opp_id left join o_trend_label t on t.opp_id = c.opp_id left join b on b.meeting_id = c.meeting_id
+left join (select opp_id, count(*) as people, count(*) filter (replied) as engaged from o_contacts group by 1) p on p.opp_id = c.opp_id
 left join (select account, count(*) filter (direction = 'ours') as we_owe, count(*) filter (direction = 'theirs') as they_owe from commitments where status = 'Open' and due < date '2001-08-02' group by 1) w on w.account = c.account
-left join (select account, string_agg(signal_id || ':' || signal_type, ',' order by rn) as news from n group by 1) s on s.account = c.account
-left join (select opp_id, sum(n) as changes from o_mentions join (select competitor_id, count(*) as n from competitors join signals using (competitor_id) where tier = 'Primary' and event_date > researched group by 1) using (competitor_id) group by 1) b on b.opp_id = l.open_opp
-where c.day = date '2001-08-02'""")
+left join n on n.account = c.account
+left join (select opp_id, sum(n) as changes from o_mentions join (select competitor_id, count(*) as n from competitors join signals using (competitor_id) where tier = 'Primary' and event_date > researched group by 1) using (competitor_id) group by 1) b2 on b2.opp_id = c.opp_id""")
 def _(t):
-    return mt.meeting_prep(calendar(t), t.opportunities, deals.contacts_build(t.contact_roles, t.activity), t.signals, t.commitments,
-                           cp.competitor_mentions(t.deal_notes, t.competitors), cp.stale_battlecards(t.competitors, t.signals), AS_OF)
+    today = cut_lineage(mt.days_meetings(calendar(t), AS_OF), "todays-meetings")
+    of_day = lambda df: df.join(today.select("opp_id").distinct(), "opp_id", "left_semi")
+    opps, activity = of_day(t.opportunities), cut_lineage(of_day(t.activity), "todays-activity")
+    people = deals.reply_evidence(activity)
+    return mt.meeting_prep(
+        today, opps, deals.close_plan_gaps(opps, STAGES), engagement.engagement_trend(activity, AS_OF), deals.contacts_of(of_day(t.contact_roles), people), t.meetings, t.signals, t.commitments,
+        cp.competitor_mentions(of_day(t.deal_notes), t.competitors), cp.stale_battlecards(t.competitors, t.signals), AS_OF)
+
+
+@query("meeting_news", """
+select related_account as account, event_date::varchar as event_date, signal_id, signal_type from signals where event_date between date '2001-07-03' and date '2001-08-02'
+  and related_account in (select account from calendar where day = date '2001-08-02')""")
+def _(t):
+    return mt.meeting_news(mt.days_meetings(t.calendar, AS_OF), t.signals, AS_OF)
 
 
 @query("sentiment_trajectory", """

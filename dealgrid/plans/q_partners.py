@@ -11,7 +11,7 @@ from dealgrid.plans.registry import Tables, query
 from dealgrid.plans.views import AS_OF
 
 MONTHS = """(datediff('month', {d}, date '2001-08-02') - case when day({d}) > 2 then 1 else 0 end)::bigint"""
-FINDING = "select submission_id, finding, severity, detail from o_findings where finding = '{}'"
+FINDING = "select submission_id, finding, severity, detail, others from o_findings where finding = '{}'"
 
 
 def by_domain(df, account: str = "account"):
@@ -47,7 +47,7 @@ def _(t):
 
 @query("conflict_same_tier", FINDING.format("same tier claimed"))
 def _(t):
-    return pt.conflict_same_tier(submissions(t), claims(t))
+    return pt.conflict_same_tier(submissions(t), registrations(t), AS_OF)
 
 
 @query("conflict_role", FINDING.format("role not permitted"))
@@ -65,14 +65,14 @@ def _(t):
     return pt.conflict_customer(submissions(t), customers(t))
 
 
-@query("conflict_territory", "select submission_id, finding, severity, detail from o_territory")
+@query("conflict_territory", "select submission_id, finding, severity, detail, null::bigint as others from o_territory")
 def _(t):
     return pt.conflict_territory(submissions(t), t.partners)
 
 
-@query("conflict_teaming", "select submission_id, finding, severity, detail from o_findings where finding in ('teaming', 'already holds this tier')")
+@query("conflict_teaming", "select submission_id, finding, severity, detail, others from o_findings where finding in ('teaming', 'already holds this tier')")
 def _(t):
-    return pt.conflict_teaming(submissions(t), claims(t))
+    return pt.conflict_teaming(submissions(t), registrations(t), AS_OF)
 
 
 @query("conflict_expired", FINDING.format("expired claim"))
@@ -87,11 +87,18 @@ def _(t):
     return pt.conflict_verdict(submissions(t), findings(t))
 
 
-@query("conflict_findings", "select submission_id, finding, severity, detail from o_findings")
+@query("conflict_findings", "select submission_id, finding, severity, detail, others from o_findings")
 def _(t):
     return findings(t)
 
 
+@query("claim_holders", """
+select customer_key || '/' || case when expires < date '2001-08-02' then 'lapsed' else role end as holder_class, partner_id,
+  case when expires < date '2001-08-02' then 'lapsed' when expires - date '2001-08-02' <= 14 then 'expiring' else 'live' end as state, approved::varchar as approved, expires::varchar as expires from o_regs""")
+def _(t):
+    return pt.claim_holders(registrations(t), AS_OF)
+
+
 @query("distributor_consistency", """
 with h as (select distinct customer_key, partner_id from o_live where role = 'Distributor')
 select submission_id, distributor, case when exists (select 1 from h where h.customer_key = s.customer_key and h.partner_id = s.distributor) then 'holds the tier'
@@ -107,34 +114,73 @@ with o as (select *, case when opp_id % 2 = 1 and partner_id is not null then pa
 select 'deal' as kind, partner_id, account, opp_id::varchar as ref, amount::double as amount from o where partner_id is not null
 union all select 'registration', partner_id, customer, reg_id, null from o_regs where opportunity_id is null and reg_id not in (select deal_registration_id from o where deal_registration_id is not null)""")
 def _(t):
+    return pt.partner_deals(deals_with_registration(t), registrations(t))
+
+
+def deals_with_registration(t: Tables):
+    """Some deals name a registration, some of them one that isn't there."""
     reg = F.concat_ws("-", F.col("partner_id"), F.col("account"), F.lit("Reseller"))
-    opps = t.opportunities.withColumn("deal_registration_id", F.when((F.col("opp_id") % 2 == 1) & F.col("partner_id").isNotNull(), reg))
-    return pt.partner_deals(opps, registrations(t))
+    return t.opportunities.withColumn("deal_registration_id", F.when((F.col("opp_id") % 2 == 1) & F.col("partner_id").isNotNull(), reg))
 
 
 @query("tier_attribution", """
-with h as (select customer, role, partner_id as holder, row_number() over (partition by customer, role order by approved, partner_id) as rn from registrations)
-select opp_id, coalesce(role, 'unknown') as tier, coalesce(holder, partner_id) as credited_partner from opportunities o left join h on o.account = h.customer and h.rn = 1 where partner_id is not null""")
+with d as (select opp_id, account, partner_id, created, case when opp_id % 2 = 1 then partner_id || '-' || account || '-Reseller' end as reg from opportunities where partner_id is not null),
+c as (select opp_id, role, r.partner_id, 0 as k, approved, expires from d join o_regs r on d.reg = r.reg_id
+  union all select opp_id, role, r.partner_id, 1, approved, expires from d join o_regs r on r.opportunity_id = d.opp_id
+  union all select opp_id, role, r.partner_id, case when created > expires then 3 else 2 end, approved, expires from d join o_regs r on d.account = r.customer and r.approved <= d.created),
+best as (select * from c qualify row_number() over (partition by opp_id, role order by k, case when k = 3 then null else approved end, case when k = 3 then expires end desc, partner_id) = 1)
+select opp_id, role as tier, partner_id as credited_partner, case when k < 2 then 'registration' when k = 2 then 'live claim' else 'lapsed claim, note' end as basis from best
+union all select opp_id, 'unknown', partner_id, 'deal partner' from d where opp_id not in (select opp_id from best)""")
 def _(t):
-    return pt.tier_attribution(t.opportunities, t.registrations)
+    return pt.tier_attribution(deals_with_registration(t), registrations(t).withColumn("expires", F.date_add("approved", F.col("protection_days"))))
 
 
-@query("route_deal", """
-with able as (select * from partners where enabled_until >= date '2001-08-02' and (roles_supported is null or roles_supported like '%Reseller%')),
+ROUTES = """
+able as (select * from partners where enabled_until >= date '2001-08-02' and (roles_supported is null or roles_supported like '%Reseller%')),
 area as (select partner_id, margin_pct, unnest(string_split(countries, ';')) as country, segments_served from able),
 spots as (select distinct country::varchar as country, segment from accounts),
 served as (select s.country, s.segment, a.partner_id, a.margin_pct from spots s join area a on s.country = a.country and (a.segments_served is null or list_contains(string_split(a.segments_served, ';'), s.segment))),
-local as (select *, row_number() over (partition by country, segment order by margin_pct, partner_id) as rn from served),
-known as (select customer, partner_id, margin_pct, row_number() over (partition by customer order by margin_pct, partner_id) as rn
+local as (select *, row_number() over (partition by country, segment order by margin_pct, partner_id) as rank from served),
+known as (select customer as account, partner_id, margin_pct, row_number() over (partition by customer order by margin_pct, partner_id) as rank
   from (select distinct customer, partner_id from registrations) r join able using (partner_id)),
-d as (select o.opp_id, o.account, o.amount, a.country::varchar as country, a.segment from opportunities o join accounts a on o.account = a.account where is_open and o.partner_id is null),
-offers as (select opp_id, amount, partner_id, margin_pct, 0 as k from d join local l on d.country = l.country and d.segment = l.segment 
-  union all select opp_id, amount, partner_id, margin_pct, 1 from d join known n on n.customer = d.account),
+d as (select o.opp_id, o.account, o.amount, a.country::varchar as country, a.segment from opportunities o join accounts a on o.account = a.account where is_open and o.partner_id is null)"""
+
+
+def routes(t: Tables):
+    able = pt.able_partners(t.partners, AS_OF)
+    return pt.route_areas(t.accounts, able), pt.route_known(t.registrations, able)
+
+
+@query("route_areas", f"with {ROUTES} select country, segment, rank, partner_id, margin_pct::double as margin_pct from local")
+def _(t):
+    return routes(t)[0]
+
+
+@query("route_known", f"with {ROUTES} select account, rank, partner_id, margin_pct::double as margin_pct from known")
+def _(t):
+    return routes(t)[1]
+
+
+@query("route_deal", f"""
+with {ROUTES},
+ln as (select country, segment, count(*) as n from local group by 1, 2), kn as (select account, count(*) as n from known group by 1)
+select opp_id, d.account, d.country, d.segment, coalesce(kn.n, 0) as known_partners, coalesce(ln.n, 0) as area_partners, coalesce(k.partner_id, l.partner_id) as partner_id, k.partner_id is not null as existing_relation,
+  cast(amount * (1 - coalesce(k.margin_pct, l.margin_pct)) as decimal(18,2))::double as net_amount
+from d left join ln on d.country = ln.country and d.segment = ln.segment left join kn on d.account = kn.account
+left join local l on d.country = l.country and d.segment = l.segment and l.rank = 1 left join known k on d.account = k.account and k.rank = 1""")
+def _(t):
+    return pt.route_deal(t.opportunities, t.accounts, *routes(t))
+
+
+@query("route_top", f"""
+with {ROUTES},
+offers as (select opp_id, amount, partner_id, margin_pct, 0 as k from d join local l on d.country = l.country and d.segment = l.segment
+  union all select opp_id, amount, partner_id, margin_pct, 1 from d join known n on n.account = d.account),
 e as (select opp_id, partner_id, max(amount) as amount, max(margin_pct) as margin_pct, max(k) as k from offers group by 1, 2),
 r as (select *, row_number() over (partition by opp_id order by k desc, margin_pct, partner_id) as rank from e)
-select opp_id, rank, partner_id, k = 1 as existing_relation, cast(amount * (1 - margin_pct) as decimal(18,2))::double as net_amount from r""")
+select opp_id, rank, partner_id, k = 1 as existing_relation, cast(amount * (1 - margin_pct) as decimal(18,2))::double as net_amount from r where rank <= 3""")
 def _(t):
-    return pt.route_deal(t.opportunities, t.accounts, t.partners, t.registrations, AS_OF)
+    return pt.route_top(t.opportunities, t.accounts, *routes(t), 3)
 
 
 @query("partner_performance", f"""

@@ -231,23 +231,23 @@ def _(t):
     return tx.phrase_search(t.turns, "the th", t.meetings)
 
 
-@query("commitment_extract", r"""
-select meeting_id, turn, role as speaker, case when role = 'assistant' then 'ours' else 'theirs' end as direction, text as quote,
-  nullif(regexp_extract(lower(text), '(by|until) ([a-z]+)', 2), '') as due_words,
-  nullif(regexp_extract(lower(text), '(by|until) ([a-z]+)', 2), '') is null as needs_review
-from turns where role <> 'system' and regexp_matches(lower(text), '(^|[^\p{L}\p{M}\p{N}])(with the|will|the of)($|[^\p{L}\p{M}\p{N}])')""")
-def _(t):
-    return tx.commitment_extract(t.turns, promise=r"(^|[^\p{L}\p{M}\p{N}])(with the|will|the of)($|[^\p{L}\p{M}\p{N}])", due=r"(by|until) ([a-z]+)")
-
-
-@query("signal_phrases", r"""
-select meeting_id, turn, role as speaker, tag, quote from (
-  select meeting_id, turn, role, 'risk' as tag, text as quote from turns where regexp_matches(lower(text), '(^|[^\p{L}\p{M}\p{N}])(er|by)($|[^\p{L}\p{M}\p{N}])')
-  union all select meeting_id, turn, role, 'positive', text from turns where regexp_matches(lower(text), '(^|[^\p{L}\p{M}\p{N}])(this|les)($|[^\p{L}\p{M}\p{N}])')
-  union all select meeting_id, turn, role, 'churn', text from turns where regexp_matches(lower(text), '(^|[^\p{L}\p{M}\p{N}])(from|von)($|[^\p{L}\p{M}\p{N}])')
-  union all select meeting_id, turn, role, 'expansion', text from turns where regexp_matches(lower(text), '(^|[^\p{L}\p{M}\p{N}])(are|und)($|[^\p{L}\p{M}\p{N}])'))""")
-def _(t):
-    patterns = {
-        "risk": r"(^|[^\p{L}\p{M}\p{N}])(er|by)($|[^\p{L}\p{M}\p{N}])", "positive": r"(^|[^\p{L}\p{M}\p{N}])(this|les)($|[^\p{L}\p{M}\p{N}])", "churn": r"(^|[^\p{L}\p{M}\p{N}])(from|von)($|[^\p{L}\p{M}\p{N}])", "expansion": r"(^|[^\p{L}\p{M}\p{N}])(are|und)($|[^\p{L}\p{M}\p{N}])",
-    }
-    return tx.signal_phrases(t.turns, patterns)
+EDGE = r"[^\p{L}\p{M}\p{N}]"
+
+
+@query("commitment_extract", rf"""
+select meeting_id, turn, role as speaker, case when role = 'assistant' then 'ours' else 'theirs' end as direction, text as quote, due_words, due_words is null as needs_review
+from (select *, nullif(regexp_extract(lower(text), '(by|until) (monday|tuesday|wednesday|thursday|friday|tomorrow|next week|end of [a-z]+)', 2), '') as due_words from spoken)
+where role <> 'system' and regexp_matches(lower(text), '(^|{EDGE})(i will|i''ll|we will|we''ll|i can get|we can send|let me send)($|{EDGE})')""")
+def _(t):
+    return tx.commitment_extract(t.spoken)
+
+
+def _tag_sql(tag: str, wording: str) -> str:
+    return f"select meeting_id, turn, role as speaker, '{tag}' as tag, text as quote from spoken where regexp_matches(lower(text), '(^|{EDGE})({wording})($|{EDGE})')"
+
+
+@query("signal_phrases", " union all ".join((
+    _tag_sql("risk", "no budget|on hold|blocking|blocker|not a priority|legal concern"), _tag_sql("positive", "exactly what we|my vp|love this|looking forward"),
+    _tag_sql("churn", "consolidating|consolidation|unused seats|budget review|cancel"), _tag_sql("expansion", "more seats|another team|roll out|additional licences"))))
+def _(t):
+    return tx.signal_phrases(t.spoken)

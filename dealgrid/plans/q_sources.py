@@ -169,20 +169,13 @@ def _(t):
     return t.spark.read.parquet(path)
 
 
-@query("content_manifest", """
-select 'doc=' || doc_id as folder, sha256(text || chr(10)) as sha256, octet_length(encode(text || chr(10))) as bytes from documents where doc_id % 4 = 0 and text is not null
-""")
-def _(t):
-    path = shared_folder(t.spark, "owned (files)+")
-    owned = t.documents.filter("doc_id % 4 = 0 and text is not null").select(F.col("doc_id").alias("doc"), "text")
-    owned.repartition("doc").write.partitionBy("doc").text(path)
-    found = readers.content_manifest(t.spark, path, "*.txt")
-    return found.select(F.regexp_extract("rel", "^([^/]+)/", 1).alias("folder"), "sha256", "bytes")
+WHOLE = """
+select 'doc=' || coalesce(doc_id::varchar, '__HIVE_DEFAULT_PARTITION__') as folder, sha256(coalesce(text, '') || chr(10)) as sha256, octet_length(encode(coalesce(text, '') || chr(10))) as bytes from documents
+"""
 
 
-@query("content_manifest_whole", """
-select 'doc=' || coalesce(doc_id::varchar, '__HIVE_DEFAULT_PARTITION__') as folder, sha256(coalesce(text, '') || chr(10)) as sha256, octet_length(encode(coalesce(text, '') || chr(10))) as bytes from documents
-""")
+@query("content_manifest", WHOLE)
+@query("content_manifest_whole", WHOLE)
 def _(t):
     # Every document, a null text as an empty one.
     path = shared_folder(t.spark, "all owned (files)+")

@@ -139,6 +139,15 @@ def _(t):
     return sync.schema_merge(t.schema_local, t.schema_new)
 
 
+@query("settings_merge", """
+select coalesce(l.registry, n.registry) as registry, coalesce(l.setting, n.setting) as setting,
+  case when n.registry is null or (l.registry is not null and l.value <> n.value and l.setting in ('archive', 'path', 'id_prefix', 'id_width')) then l.value else n.value end as value,
+  case when n.registry is null then 'kept your setting' when l.registry is null then 'new setting' when l.value <> n.value and l.setting in ('archive', 'path', 'id_prefix', 'id_width') then 'kept your value' end as note
+from settings_local l full join settings_new n on l.registry = n.registry and l.setting = n.setting""")
+def _(t):
+    return sync.settings_merge(t.settings_local, t.settings_new)
+
+
 @query("migrate_registry", """
 select opp_id, account, amount::double as amount, null::varchar as renewal_region, null::double as discount_pct, stage from opp_prev""")
 def _(t):

@@ -8,11 +8,6 @@ from dealgrid.operators import engagement, leads, tasks as tk
 from dealgrid.plans.registry import Tables, query
 from dealgrid.plans.views import AS_OF
 
-RULES = (
-    {"rule_id": "late-next-step", "trigger": "is_open and next_step_date < date '2001-08-02'", "level": "review"},
-    {"rule_id": "big-late-stage", "trigger": "stage = 'Negotiate' and amount > 200000", "level": "auto", "column": "stage", "value": "Negotiate"},
-    {"rule_id": "no-champion", "trigger": "is_open and champion is null", "level": "review"},
-)
 CAPS = {"click": 5, "view": 10, "purchase": 3, "signup": 20}
 
 SCHEMA = """{"columns": [
@@ -41,7 +36,7 @@ def _(t):
 
 
 @query("task_caps", """
-select rule_id, day::varchar as day, record_id, score, rank from (
+select rule_id, day::varchar as day, record_id, score, case when rule_id in ('click', 'view', 'purchase', 'signup') then rank end as rank from (
   select event_type as rule_id, day, activity_id as record_id, value as score, row_number() over (partition by event_type, day order by value desc, activity_id) as rank from raw_activity)
 where rank <= case rule_id when 'click' then 5 when 'view' then 10 when 'purchase' then 3 when 'signup' then 20 else 1000000 end""")
 def _(t):
@@ -78,12 +73,40 @@ def _(t):
     return tk.persistent_findings(t.weekly_flags, "2001-07-30")
 
 
+def rule_input(t: Tables):
+    deals = t.opportunities
+    fields = t.spark.createDataFrame([(c,) for c in deals.columns], "field string")
+    picklists = deals.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("stage", "forecast_label")])).alias("p")).select("p.*").distinct()
+    return deals, t.task_rules, tk.rule_faults(t.task_rules, fields, picklists)
+
+
+RULE_FAULTS = """
+lists as (select distinct 'stage' as col, stage as value from opportunities union select distinct 'forecast_label', forecast_label from opportunities),
+faults as (
+  select rule_id, 'unknown field' as fault, field as detail from task_rules where field not in ('stage', 'next_step_date', 'amount', 'is_open', 'champion', 'owner', 'forecast_label')
+  union select rule_id, 'unknown value', field || ' ' || op || ' ' || value from task_rules r where field in (select col from lists) and op in ('=', '<>') and not exists (select 1 from lists l where l.col = r.field and l.value = r.value)
+  union select rule_id, 'unknown level', coalesce(level, 'none') from task_rules where level is null or level not in ('manual', 'review', 'auto')
+  union select rule_id, 'unknown comparison', coalesce(op, 'none') from task_rules where op is null or op not in ('=', '<>', '<', '<=', '>', '>=', 'is empty', 'is filled')
+  union select rule_id, 'no daily cap', rule_id from task_rules where level = 'auto' and daily_cap is null
+  union select rule_id, 'cap below one', daily_cap::varchar from task_rules where daily_cap < 1)"""
+
+
+@query("rule_faults", f"with {RULE_FAULTS} select rule_id, fault, detail from faults")
+def _(t):
+    return rule_input(t)[2]
+
+
 @query("rule_engine", """
-select opp_id as record_id, 'late-next-step' as rule_id, 'review' as level from opportunities where is_open and next_step_date < date '2001-08-02'
-union all select opp_id, 'big-late-stage', 'auto' from opportunities where stage = 'Negotiate' and amount > 200000
-union all select opp_id, 'no-champion', 'review' from opportunities where is_open and champion is null""")
+with hits as (
+  select 'late-next-step' as rule_id, opp_id, 'review' as level, amount, null as cap from opportunities where is_open and next_step_date < date '2001-08-02'
+  union all select 'big-late-stage', opp_id, 'auto', amount, 20 from opportunities where stage = 'Negotiate' and amount > 200000
+  union all select 'no-champion', opp_id, 'manual', amount, 50 from opportunities where is_open and champion is null)
+select rule_id, day::varchar as day, record_id, level, score::double as score, rank from (
+  select rule_id, opp_id as record_id, level, amount as score, created as day, cap, case when cap is not null then row_number() over (partition by rule_id, created order by amount::double desc, opp_id) end as rank
+  from hits join (select opp_id, created from opportunities) using (opp_id)) where cap is null or rank <= cap""")
 def _(t):
-    return tk.rule_engine(t.opportunities, RULES, "opp_id")
+    deals, rules, faults = rule_input(t)
+    return tk.rule_engine(deals, rules, faults, "opp_id", F.col("created"), F.col("amount"))
 
 
 @query("schema_rules", """

@@ -232,9 +232,23 @@ select doc_id as signal_id, date '2001-07-03' + cast(doc_id % 30 as int) as even
   case when doc_id % 11 = 0 then 'ООО «Компания ' || (doc_id % 7) || '»' when doc_id % 13 = 0 then 'The Group' when doc_id % 17 = 0 then '日本' || (doc_id % 5) when doc_id % 19 = 0 then null
     else 'Acct ' || (doc_id % 150) || case when doc_id % 3 = 0 then ' Corporation' when doc_id % 3 = 1 then ', Inc.' else 's' end end as entity_name,
   case doc_id % 5 when 0 then 'AUTOMOBILE' when 1 then 'BUILDING' when 2 then 'FURNITURE' when 3 then 'MACHINERY' else 'HOUSEHOLD' end as tag_segment,
-  'size' || (doc_id % 4) as tag_size, 'interest' || (doc_id % 10) as tag_interest,
+  'size' || (doc_id % 4) as tag_size, 'interest' || (doc_id % 10) as tag_interest, case when doc_id % 7 > 0 then 'pain' || (doc_id % 12) end as tag_pain,
   case when doc_id % 10 = 3 then text || ' Это новый рынок, Élan vital.' when doc_id % 50 = 7 then '' when doc_id % 50 = 8 then ' ... !' when doc_id % 50 = 9 then null else text end as text
 from {documents}""",
+    "signal_reports": """
+select signal_id, event_date, signal_type, confidence, entity_url, entity_name, text from signals
+union all
+select signal_id + 10000000 as signal_id, event_date + 1 as event_date, signal_type, 'Reported' as confidence, entity_url, entity_name, text || ' Reported again by another source.' as text
+from signals where signal_id % 5 = 2
+union all
+select signal_id + 20000000 as signal_id, event_date, signal_type, 'Rumour' as confidence, entity_url, entity_name, reverse(text) as text from signals where signal_id % 25 = 3
+union all
+select signal_id + 30000000 as signal_id, event_date + 20 as event_date, signal_type, 'Rumour' as confidence, entity_url, entity_name, text || ' Once more.' as text from signals where signal_id % 40 = 6""",
+    "deal_pains": "select o_orderkey as opp_id, case when o_orderkey % 5 > 0 then 'pain' || (o_custkey % 12) end as pain from {orders}",
+    "deal_stack": """
+select o_orderkey as opp_id, case o_orderkey % 13 when 0 then 'Thatin; Jira' when 1 then 'ONST;Slack' when 2 then 'Erkeit' when 3 then 'Jira' when 4 then ' er keit ; Hehely ;' end as tech_stack,
+  case when o_orderkey % 29 = 0 then 'Lost to Inoran on price' when o_orderkey % 29 = 1 then 'thth, they said' when o_orderkey % 29 = 2 then 'No budget' end as loss_note
+from {orders}""",
     "watchlist": """
 select cast(watch_id as bigint) as watch_id, kind, term, lens, evidence_ref from (values
   (1, 'Account', 'thatin', 'deal', null), (2, 'Technology', 'ononst', 'content', 'row 4'), (3, 'Regulation', 'orantion', 'both', 'row 7'),
@@ -255,6 +269,10 @@ select cast(standing_id as bigint) as standing_id, confirmed from (values (1, tr
     "turns": """
 select conv_id as meeting_id, turn, role, text, date '2001-07-03' + cast(conv_id % 30 as int) as day, conv_id % 150 as account
 from {conversations}""",
+    "spoken": """
+select meeting_id, turn, role, case (meeting_id + turn) % 11 when 0 then 'I will send it by Friday. ' when 1 then 'Good, we''ll look into that. ' when 2 then 'There is no budget this year. ' when 3 then 'Looking forward to it, my VP too. '
+    when 4 then 'We are consolidating, and may cancel. ' when 5 then 'Another team needs more seats until next week. ' when 6 then 'Let me send the paper until end of march! ' when 7 then 'He said iwill and nobudget. ' else '' end || text as text, day, account
+from turns""",
     "meetings": """
 select meeting_id, min(day) as day, min(account) as account, count(*) as n_turns,
   max(case when turn = 0 then text end) as summary, max(case when turn = 1 then text end) as key_quote,
@@ -278,6 +296,14 @@ select opp_id as task_id, 'opportunity' as related_type, opp_id as related_id, o
   case opp_id % 3 when 0 then 'email-sent' when 1 then 'calendar-event' else 'crm-field' end as verify_by,
   account as target_account, 'p' || (opp_id % 100) || '@acct' || account || '.example.com' as verify_target
 from opportunities where is_open""",
+    "task_rules": """
+select rule_id, field, op, value, level, cast(daily_cap as int) as daily_cap, active from (values
+  ('late-next-step', 'is_open', '=', 'true', 'review', null, true), ('late-next-step', 'next_step_date', '<', '2001-08-02', 'review', null, true),
+  ('big-late-stage', 'stage', '=', 'Negotiate', 'auto', 20, true), ('big-late-stage', 'amount', '>', '200000', 'auto', 20, true),
+  ('no-champion', 'is_open', '=', 'true', 'manual', 50, true), ('no-champion', 'champion', 'is empty', null, 'manual', 50, true),
+  ('old-status', 'stage', '=', 'Prospecting', 'review', null, true), ('loud', 'amount', '>', '5', 'always', null, true),
+  ('uncapped', 'amount', '>', '5', 'auto', null, true), ('lost-column', 'mood', '=', 'good', 'review', null, true), ('asleep', 'is_open', '=', 'true', 'review', null, false),
+  ('odd', 'amount', 'around', '5', 'review', 0, true)) as r(rule_id, field, op, value, level, daily_cap, active)""",
     "content_assets": """
 select doc_id as asset_id, case when doc_id = 0 then null else cast(floor((doc_id - 1) / 4) as bigint) end as parent_id,
   case when doc_id % 10 = 3 then cast(floor(doc_id / 10) as bigint) end as signal_used,
@@ -324,6 +350,8 @@ select p_brand as registry, p_partkey as column_no, case when p_size < 42 then '
   case when p_partkey % 3 = 0 then 'a;b;c' end as enum_values,
   case when p_partkey % 7 = 0 then null else 'crm' end as owner, 'no' as verify, p_partkey % 10 = 1 as owner_corrected, p_partkey % 15 = 5 as verify_corrected
 from {part}""",
+    "settings_local": "select p_brand as registry, case p_size % 8 when 0 then 'archive' when 1 then 'path' when 2 then 'id_prefix' when 3 then 'id_width' when 4 then 'note' when 5 then 'version' when 6 then 'retention' else 'label' end as setting, min(p_type) as value from {part} where p_size % 5 <> 0 group by 1, 2",
+    "settings_new": "select p_brand as registry, case p_size % 8 when 0 then 'archive' when 1 then 'path' when 2 then 'id_prefix' when 3 then 'id_width' when 4 then 'note' when 5 then 'version' when 6 then 'retention' else 'label' end as setting, min(case when p_size % 3 = 0 then p_type else 'shipped' end) as value from {part} where p_size % 8 <> 4 and p_size % 7 <> 0 group by 1, 2",
     "manifest_new": "select doc_id as obj, source as section, sha2(text, 256) as hash from {documents} where source <> 'src5'",
     "manifest_cur": """
 select doc_id as obj, sha2(case when doc_id % 5 = 0 then text || '!' when doc_id % 7 = 0 then text || '?' else text end, 256) as hash

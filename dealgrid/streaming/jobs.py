@@ -9,6 +9,7 @@ failure leaves the same result.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,14 +17,37 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from dealgrid.operators import engagement, sync
 from dealgrid.operators.demand import TTL_DAYS
-from dealgrid.operators.tasks import task_caps
 
 ACTIVITY_DELAY = "2 days"
 SIGNAL_DELAY = "14 days"
 LONGEST_TTL_DAYS = max(TTL_DAYS.values())
+DAY_MS = 86_400_000
+# Parts that a level of a change log holds before they are merged.
+LEVEL_PARTS = 8
+ROCKS_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextmanager
+def rocks_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state on disk and save its changes, not the whole, after each batch."""
+    before = {k: spark.conf.get(k, None) for k in ROCKS_STATE}
+    for k, v in ROCKS_STATE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def file_stream(spark: SparkSession, folder: str, schema: T.StructType, pattern: str, fmt: str = "parquet", files_per_batch: int = 1000) -> DataFrame:
@@ -61,20 +85,70 @@ def latest_of(parts: DataFrame, key: list[str]) -> DataFrame:
     return parts.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch_id").alias("_v")).select(*key, "_v.*")
 
 
+def _parts(spark: SparkSession, log: str) -> list[tuple[int, int, int, str]]:
+    """Finished parts of a change log as (level, first batch, last batch, path)."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(log)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for status in fs.listStatus(folder) if fs.exists(folder) else []:
+        name = status.getPath().getName()
+        if name.startswith("L") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+            level, first, last = (int(x) for x in name[1:].split("-"))
+            found.append((level, first, last, f"{log}/{name}"))
+    return sorted(found)
+
+
+def _drop_part(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def read_changes(spark: SparkSession, log: str, schema: T.StructType, key: str, order: list[str]) -> DataFrame:
+    """The newest change of each record over all parts of a log."""
+    wide = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+    paths = [path for *_, path in _parts(spark, log)]
+    parts = spark.read.schema(wide).parquet(*paths) if paths else spark.createDataFrame([], wide)
+    return sync.latest_record(parts, key, [*order, "batch_id"]).drop("batch_id")
+
+
+def tier_log(spark: SparkSession, log: str, schema: T.StructType, key: str, order: list[str]) -> None:
+    """Merge a level's oldest parts into one of the next level whenever it holds LEVEL_PARTS of them.
+
+    A merged part keeps the newest change of each record. It is written before its sources go, and reading both gives the same, so a
+    job that dies in between loses nothing. A record is rewritten once for each level, and a read meets fewer than LEVEL_PARTS parts a level.
+    """
+    wide = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+    level = 0
+    while any(part[0] >= level for part in _parts(spark, log)):
+        own = [part for part in _parts(spark, log) if part[0] == level]
+        for at in range(0, len(own) - LEVEL_PARTS + 1, LEVEL_PARTS):
+            group = own[at : at + LEVEL_PARTS]
+            merged = sync.latest_record(spark.read.schema(wide).parquet(*[path for *_, path in group]), key, [*order, "batch_id"])
+            merged.select(*wide.names).write.mode("overwrite").parquet(f"{log}/L{level + 1}-{group[0][1]}-{group[-1][2]}")
+            for *_, path in group:
+                _drop_part(spark, path)
+        level += 1
+
+
 def stream_refresh(stream: DataFrame, target: DataFrame, key: str, order: list[str], ownership: Mapping[str, str], work: str) -> DataFrame:
     """Land each pull of changed records as a part of a change log and read the registry through it.
 
-    A batch costs what it brings and never rewrites the registry. The newest change of each record is
-    merged field by field when the registry is read; `compact_registry` folds the log in.
+    A batch costs what it brings and never rewrites the registry; the log is kept in levels (`tier_log`), so a read merges few parts however many batches
+    there were. The newest change of each record is merged field by field when the registry is read; `compact_registry` folds the log in.
     """
+    log = f"{work}/changes"
+    landed = T.StructType([stream.schema[key], *[f for f in stream.schema.fields if f.name != key]])
+
     def land(batch: DataFrame, batch_id: int) -> None:
-        batch_sink(f"{work}/changes")(sync.latest_record(batch, key, order), batch_id)
+        session = batch.sparkSession
+        newest = sync.latest_record(batch, key, order).select(*landed.names)
+        # A batch that is run again after a failure may lie in a merged part already.
+        if not any(first <= batch_id <= last for level, first, last, _ in _parts(session, log) if level):
+            newest.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{log}/L0-{batch_id}-{batch_id}")
+        tier_log(session, log, landed, key, order)
 
     run_once(stream, work, "append", land)
-    landed = T.StructType([stream.schema[key], *[f for f in stream.schema.fields if f.name != key]])
-    changes = read_parts(target.sparkSession, f"{work}/changes", landed).drop("part")
-    newest = sync.latest_record(changes, key, [*order, "batch_id"]).drop("batch_id")
-    return sync.refresh_merge(target, newest, key, ownership)
+    return sync.refresh_merge(target, read_changes(target.sparkSession, log, landed, key, order), key, ownership)
 
 
 def compact_registry(merged: DataFrame, path: str) -> DataFrame:
@@ -143,21 +217,17 @@ def stream_event_time(stream: DataFrame, event_ts: str, work: str) -> tuple[Data
 
 
 def stream_unseen(stream: DataFrame, reviewed: DataFrame, key: str, work: str) -> DataFrame:
-    """Rows not yet reviewed, each once; what an earlier batch handed out does not come back."""
-    spark = stream.sparkSession
-    schema = stream.schema
-    out = f"{work}/out"
-
-    def sift(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        fresh = batch.dropDuplicates([key]).join(reviewed.select(key), key, "left_anti")
-        if batch_id > 0:
-            seen = read_parts(session, out, schema).filter(F.col("batch_id") < batch_id).select(key)
-            fresh = fresh.join(seen, key, "left_anti")
-        batch_sink(out)(fresh.select(*schema.names), batch_id)
+    """Rows not yet reviewed, each once; what an earlier batch handed out does not come back.
 
-    run_once(stream, work, "append", sift)
-    return read_parts(spark, out, schema).drop("batch_id", "part")
+    The keys handed out are keyed state, dealt out by key and kept on disk by RocksDB. A batch looks up its own keys there and saves what it adds, so it
+    costs the same however many batches went before. Rows without a key are handed out as they come.
+    """
+    spark = stream.sparkSession
+    fresh = stream.join(reviewed.select(key).filter(F.col(key).isNotNull()).distinct(), key, "left_anti").select(*stream.schema.names)
+    once = fresh.filter(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(fresh.filter(F.col(key).isNull()))
+    with rocks_state(spark):
+        run_once(once, work, "append", batch_sink(f"{work}/out"))
+    return read_parts(spark, f"{work}/out", stream.schema).drop("batch_id", "part")
 
 
 def stream_inbox(spark: SparkSession, folder: str, work: str) -> DataFrame:
@@ -183,34 +253,69 @@ def stream_drift(stream: DataFrame, local: DataFrame, baseline: DataFrame, key:
     return read_parts(stream.sparkSession, f"{work}/out", rows.schema).drop("batch_id", "part")
 
 
+class DailyCap(StatefulProcessor):
+    """How many tasks each rule has raised on a day; the best of a batch fill what the cap leaves. The count goes when the day is past."""
+
+    def __init__(self, caps: Mapping[str, int]):
+        self.caps = dict(caps)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.used = handle.getValueState("used", "n int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        rule, day = key
+        used = self.used.get()[0] if self.used.exists() else 0
+        # Each task has cut its candidates to the cap, so these are few.
+        best = best_first(pd.concat(list(rows))).head(max(self.caps[rule] - used, 0))
+        if not self.used.exists():
+            self.handle.registerTimer(int(pd.Timestamp(day).value // 1_000_000) + DAY_MS)
+        self.used.update((used + len(best),))
+        yield best
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.used.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def best_first(candidates: pd.DataFrame) -> pd.DataFrame:
+    return candidates.sort_values(["score", "record_id"], ascending=[False, True], kind="stable")
+
+
+def _cut_to_cap(caps: Mapping[str, int]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = None
+        for batch in batches:
+            both = best_first(batch if kept is None else pd.concat([kept, batch]))
+            kept = both[both.groupby(["rule_id", "day"]).cumcount() < both["rule_id"].map(caps)]
+        if kept is not None:
+            yield kept
+
+    return cut
+
+
 def stream_task_caps(stream: DataFrame, caps: Mapping[str, int], work: str) -> DataFrame:
     """Raise tasks under a daily cap that holds across batches; a rule without a cap raises all of them.
 
-    What earlier batches raised is read back from the output, so the cap survives a restart, and a
-    rule with very many candidates is cut to its cap inside each task before anything is shuffled.
+    A task cuts its candidates to the cap before anything moves, so a rule with very many costs one task no more than the cap; what is left of a rule and day meets the
+    number raised so far, in keyed state on disk. The state lives until event time is past the day, and candidates that come later than that are left
+    out. Candidates without a rule or day count as uncapped. `stream` holds rule_id, day, record_id and score.
     """
     spark = stream.sparkSession
     schema = stream.schema
-    out = f"{work}/out"
-    cap = F.create_map(*[F.lit(x) for pair in caps.items() for x in pair]) if caps else F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
-
-    def raise_tasks(batch: DataFrame, batch_id: int) -> None:
-        best = task_caps(batch, caps)
-        if batch_id > 0:
-            held = read_parts(batch.sparkSession, out, schema).filter(F.col("batch_id") < batch_id)
-            used = held.groupBy("rule_id", "day").agg(F.count(F.lit(1)).alias("_used"))
-            best = best.join(used, ["rule_id", "day"], "left").filter(
-                F.coalesce(F.col("rank") <= F.try_element_at(cap, "rule_id") - F.coalesce("_used", F.lit(0)), F.lit(True)))
-        batch_sink(out)(best.select(*schema.names), batch_id)
-
-    run_once(stream, work, "append", raise_tasks)
-    return read_parts(spark, out, schema).drop("batch_id", "part")
+    capped = F.coalesce(F.col("rule_id").isin(*caps) & F.col("day").isNotNull(), F.lit(False)) if caps else F.lit(False)
+    few = stream.filter(capped).mapInPandas(_cut_to_cap(caps), schema).withColumn("_ts", F.col("day").cast("timestamp")).withWatermark("_ts", ACTIVITY_DELAY)
+    raised = few.groupBy("rule_id", "day").transformWithStateInPandas(DailyCap(caps), schema, "append", "eventTime")
+    out = raised.unionByName(stream.filter(~capped))
+    with rocks_state(spark):
+        run_once(out, work, "append", batch_sink(f"{work}/out"))
+    return read_parts(spark, f"{work}/out", schema).drop("batch_id", "part")
 
 
 EXPIRY_OUT = "item_id long, outcome string"
-
-
-DAY_MS = 86_400_000
 NONE = -1
 
 
@@ -227,12 +332,12 @@ def _expire(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
             yield pd.DataFrame({"item_id": [int(key[0])], "outcome": ["Expired"]})
         return
     for pdf in batches:
-        for kind, ts, ttl in zip(pdf["kind"], pdf["ts"], pdf["ttl_days"]):
-            ms = int(pd.Timestamp(ts).value // 1_000_000)
-            if kind == "logged":
-                deadline = ms + int(ttl) * DAY_MS
-            elif kind == "used":
-                used = ms if used == NONE else min(used, ms)
+        ms = pdf["ts"].astype("datetime64[ms]").astype("int64")
+        logged, uses = pdf["kind"] == "logged", ms[pdf["kind"] == "used"]
+        if logged.any():
+            deadline = int((ms + pdf["ttl_days"] * DAY_MS)[logged].iloc[-1])
+        if len(uses):
+            used = int(uses.min()) if used == NONE else min(used, int(uses.min()))
     now = state.getCurrentWatermarkMs()
     outcome = None
     if deadline != NONE and used != NONE and used <= deadline:

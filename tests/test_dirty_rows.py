@@ -37,9 +37,10 @@ def test_company_names(spark):
 
 def test_blank_names_link_nothing(spark):
     signals = spark.createDataFrame([(1, None, "The Group"), (2, None, None), (3, None, "日本")], "signal_id int, entity_url string, entity_name string")
-    accounts = spark.createDataFrame([(7, "Holdings Inc", None), (8, "日本 Ltd", None)], "account int, name string, website string")
-    got = {r.signal_id: (r.account, r.basis) for r in market.signal_account_link(signals, accounts).collect()}
-    assert got == {1: (None, "none"), 2: (None, "none"), 3: (8, "name")}
+    accounts = spark.createDataFrame([(7, "Holdings Inc", None), (8, "日本 Ltd", None)], "id int, name string, domain string")
+    none = accounts.limit(0)
+    got = {r.signal_id: (r.related_type, r.related_id, r.basis) for r in market.signal_account_link(signals, market.record_index(none, none, accounts, none)).collect()}
+    assert got == {3: ("customer", 8, "name")}
 
 
 SIDE = "id long, a string"
@@ -107,8 +108,8 @@ def test_signals_without_words_stay_apart(spark):
     day = date(2001, 7, 1)
     rows = [(1, None, "a"), (2, "", "b"), (3, " ... ", "c"), (4, "!!", "d"), (5, "Breach at Acme", "acme"), (6, "acme: BREACH at", "other"), (7, "Quite other words", "acme")]
     signals = spark.createDataFrame([(i, day, "Reported", "breach", None, n, t) for i, t, n in rows], "signal_id int, event_date date, confidence string, signal_type string, entity_url string, entity_name string, text string")
-    got = {r.signal_id: r.copies for r in market.dedup_signals(signals).collect()}
-    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 3}
+    got = {r.signal_id: r.copies for r in market.dedup_signals(market.event_members(signals)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 2, 7: 1}
 
 
 def test_money(spark):

@@ -47,6 +47,36 @@ def test_task_caps_hold_over_batches_and_restarts(spark, tmp_path):
     assert sorted((r.rule_id, r.record_id) for r in again.collect()) == [("a", 0), ("a", 1), ("a", 5), ("a", 19), ("b", 1), ("b", 2)]
 
 
+def test_task_caps_by_day(spark, tmp_path):
+    """Uncapped and nameless rules pass, a day's count ends with the day, and what comes later than that is left out."""
+    cols = "rule_id string, day date, record_id long, score double"
+    folder, work = str(tmp_path / "in"), str(tmp_path / "w")
+    day = lambda n: dt.date(2026, 7, n)
+    drop(spark, [("a", day(1), i, 1.0) for i in range(500)] + [("free", day(1), i, 1.0) for i in range(7)] + [(None, day(1), 1, 1.0), ("a", None, 2, 1.0)], cols, folder)
+    drop(spark, [("a", day(9), 1, 1.0)], cols, folder)
+    drop(spark, [("a", day(9), 2, 1.0), ("a", day(9), 3, 5.0)], cols, folder)
+    drop(spark, [("a", day(1), 999, 9.0), ("a", day(9), 4, 9.0)], cols, folder)
+    got = jobs.stream_task_caps(stream(spark, folder, cols), {"a": 2}, work).collect()
+    assert sorted((r.day.day, r.record_id) for r in got if r.rule_id == "a" and r.day) == [(1, 0), (1, 1), (9, 1), (9, 3)]
+    assert sum(r.rule_id == "free" for r in got) == 7 and sum(r.rule_id is None or r.day is None for r in got) == 2
+
+
+def test_change_log_stays_short(spark, tmp_path):
+    """However many batches there are, few parts are read, and the newest change wins in every order of levels."""
+    cols = "id long, stage string, modified date"
+    folder, work = str(tmp_path / "in"), str(tmp_path / "w")
+    target = spark.createDataFrame([(k, "old") for k in range(5)], "id long, stage string")
+    want, n = {k: "old" for k in range(5)}, 0
+    for k in range(3 * jobs.LEVEL_PARTS + 2):
+        rows = [(k % 7, f"s{k}", dt.date(2026, 1, 1) + dt.timedelta(k)), (6, "late", dt.date(2025, 1, 1))]
+        drop(spark, rows, cols, folder)
+        want[k % 7] = f"s{k}"
+    out = jobs.stream_refresh(stream(spark, folder, cols), target, "id", ["modified"], {"stage": "crm"}, work)
+    assert {r.id: r.stage for r in out.collect()} == want
+    parts = jobs._parts(spark, f"{work}/changes")
+    assert [p[0] for p in parts] == [0, 0, 1, 1, 1]
+
+
 def test_windows_keep_the_last_update(spark, tmp_path):
     cols = "ts timestamp, kind string"
     folder = str(tmp_path / "in")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dealgrid.functions import columns as fn
-from dealgrid.operators import deals, demand, engagement, forecast, fx, leads, market, meetings, partners, quotes, renewals, sync, tasks
+from dealgrid.operators import competitors, deals, demand, engagement, forecast, fx, leads, market, meetings, partners, quotes, renewals, sync, tasks
 from dealgrid.sources import readers, sinks
 
 DAY = dt.date(2026, 8, 1)
@@ -85,15 +85,38 @@ def test_tier_price_estimate_and_floor(spark):
 
 
 def test_same_tier_is_the_only_conflict(spark):
-    claims = spark.createDataFrame(
-        [("c1", "Distributor", 1), ("c1", "Reseller", 2), ("c2", "Distributor", 1), ("c2", "Reseller", 1), ("c3", "Reseller", 2)],
-        "customer_key string, role string, partner_id long")
+    day = dt.date(2026, 7, 1)
+    held = [("c1", "Distributor", 1), ("c1", "Reseller", 2), ("c2", "Distributor", 1), ("c2", "Reseller", 1), ("c3", "Reseller", 2), ("c3", "Reseller", 4), ("c3", "Reseller", 5)]
+    regs = spark.createDataFrame([(*h, day, 90) for h in held] + [("c3", "Distributor", p, dt.date(2025, 1, 1), 30) for p in (3, 6, 7)],
+                                 "customer_key string, role string, partner_id long, approved date, protection_days int")
     subs = spark.createDataFrame(
-        [(1, 2, "c1", "Reseller"), (2, 1, "c2", "Reseller"), (3, 3, "c3", "Reseller"), (4, 3, "c3", "Distributor")],
+        [(1, 2, "c1", "Reseller"), (2, 1, "c2", "Reseller"), (3, 3, "c3", "Reseller"), (4, 3, "c3", "Distributor"), (5, 5, "c3", "Reseller")],
         "submission_id int, partner_id long, customer_key string, role string")
-    assert [(r.submission_id, r.severity, r.detail) for r in partners.conflict_same_tier(subs, claims).collect()] == [(3, "BLOCK", "2")]
-    notes = {(r.submission_id, r.finding) for r in partners.conflict_teaming(subs, claims).collect()}
-    assert notes == {(1, "teaming"), (1, "already holds this tier"), (2, "already holds this tier"), (4, "teaming")}
+    as_of = "2026-08-01"
+    same = sorted((r.submission_id, r.severity, r.detail, r.others) for r in partners.conflict_same_tier(subs, regs, as_of).collect())
+    assert same == [(3, "BLOCK", "c3/Reseller", 3), (5, "BLOCK", "c3/Reseller", 2)]
+    behind = partners.claim_holders(regs, as_of)
+    assert {r.partner_id for r in behind.filter("holder_class = 'c3/Reseller'").collect()} == {2, 4, 5}
+    assert {r.partner_id for r in behind.filter("holder_class = 'c3/lapsed'").collect()} == {3, 6, 7}
+    notes = {(r.submission_id, r.finding, r.others) for r in partners.conflict_teaming(subs, regs, as_of).collect()}
+    assert notes == {(1, "teaming", 1), (1, "already holds this tier", None), (2, "already holds this tier", None), (4, "teaming", 3), (5, "already holds this tier", None)}
+    assert {(r.submission_id, r.detail, r.others) for r in partners.conflict_expired(subs, regs, as_of).collect()} == {(3, "c3/lapsed", 2), (4, "c3/lapsed", 2), (5, "c3/lapsed", 3)}
+
+
+def test_credit_goes_by_registration_then_live_then_lapsed(spark):
+    d = lambda m, n=1: dt.date(2026, m, n)
+    regs = spark.createDataFrame(
+        [("r1", 1, "Reseller", 11, d(1), d(3), None), ("r2", 1, "Reseller", 12, d(2), d(6), None), ("r3", 1, "Reseller", 10, d(2, 5), d(4), None),
+         ("r4", 1, "Distributor", 20, d(1), d(2), None), ("r5", 2, "Distributor", 21, d(5), d(9), 6), ("r6", 9, "Reseller", 30, d(1), d(2), None)],
+        "reg_id string, customer long, role string, partner_id long, approved date, expires date, opportunity_id long")
+    opps = spark.createDataFrame(
+        [(1, 1, 12, d(2, 10), None), (2, 1, 12, d(3, 2), None), (3, 1, 12, d(8), None), (4, 1, 12, d(2, 10), "r6"), (5, 7, 12, d(2), "gone"), (6, 2, 12, d(1), None), (7, 1, None, d(2), None)],
+        "opp_id long, account long, partner_id long, created date, deal_registration_id string")
+    got = {(r.opp_id, r.tier): (r.credited_partner, r.basis) for r in partners.tier_attribution(opps, regs).collect()}
+    assert got == {
+        (1, "Reseller"): (11, "live claim"), (1, "Distributor"): (20, "lapsed claim, note"), (2, "Reseller"): (12, "live claim"), (2, "Distributor"): (20, "lapsed claim, note"),
+        (3, "Reseller"): (12, "lapsed claim, note"), (3, "Distributor"): (20, "lapsed claim, note"), (4, "Reseller"): (30, "registration"), (4, "Distributor"): (20, "lapsed claim, note"),
+        (5, "unknown"): (12, "deal partner"), (6, "Distributor"): (21, "registration")}
 
 
 def test_registration_linked_on_one_side_counts_as_converted(spark):
@@ -153,7 +176,7 @@ def test_unknown_direction_is_not_silence(spark):
     assert replied == {1: None, 2: False, 3: True, 4: False}
     opps = spark.createDataFrame([(i, "Proposal", True) for i in range(1, 6)], "opp_id long, stage string, is_open boolean")
     roles = spark.createDataFrame([], "opp_id long, email string")
-    t = {r.opp_id: (r.state, r.flags) for r in deals.threading_flags(deals.contacts_build(roles, a), a, opps).collect()}
+    t = {r.opp_id: (r.state, r.flags) for r in deals.threading_flags(deals.contacts_build(roles, a), deals.people_fold(a), opps).collect()}
     assert t == {1: ("unknown", []), 2: ("known", ["no-reply-ever"]), 3: ("known", ["single-threaded"]),
                  4: ("known", ["auto-reply-only"]), 5: ("no contacts loaded", [])}
 
@@ -263,10 +286,52 @@ def test_manifest_hashes_large_files_in_blocks(spark, tmp_path):
     assert got == {"a/x.bin": (hashlib.sha256(b"abc" * 1000).hexdigest(), 3000), "y.bin": (hashlib.sha256(b"z").hexdigest(), 1)}
 
 
-def test_rules_that_name_unknown_values_are_reported(spark):
-    df = spark.createDataFrame([(1, "Won")], "id int, stage string")
-    rules = [{"rule_id": "a", "trigger": "stage = 'X'", "level": "auto", "column": "stage", "value": "X"}, {"rule_id": "b", "trigger": "true", "level": "loud"}]
-    assert tasks.faulty_rules(df, rules, {"stage": ["Won"]}) == [("b", "level loud"), ("a", "stage = X")]
+def test_rules_are_rows(spark):
+    df = spark.createDataFrame([(i, "Won" if i % 2 else "Open", i * 10.0, dt.date(2026, 7, 1), None if i == 3 else "x") for i in range(6)], "id int, stage string, amount double, day date, champion string")
+    rules = spark.createDataFrame(
+        [("a", "stage", "=", "X", "auto", 1, True), ("b", "amount", ">", "5", "loud", None, True), ("c", "mood", "=", "x", "review", None, True), ("d", "amount", "like", "5", "review", 0, True),
+         ("e", "stage", "=", "Won", "auto", None, True), ("f", "stage", "=", "Won", "review", 2, True), ("f", "amount", ">=", "10", "review", 2, True), ("g", "champion", "is empty", None, "manual", None, True),
+         ("h", "stage", "<>", "Won", "review", None, False), ("i", "amount", "<", "many", "review", None, True)],
+        "rule_id string, field string, op string, value string, level string, daily_cap int, active boolean")
+    fields = spark.createDataFrame([(c,) for c in df.columns], "field string")
+    lists = spark.createDataFrame([("stage", "Won"), ("stage", "Open")], "field string, value string")
+    faults = tasks.rule_faults(rules, fields, lists)
+    assert sorted((r.rule_id, r.fault) for r in faults.collect()) == [
+        ("a", "unknown value"), ("b", "unknown level"), ("c", "unknown field"), ("d", "cap below one"), ("d", "unknown comparison"), ("e", "no daily cap")]
+    got = tasks.rule_engine(df, rules, faults, "id", F.col("day"), F.col("amount"))
+    assert sorted((r.rule_id, r.record_id, r.level, r["rank"]) for r in got.collect()) == [("f", 3, "review", 2), ("f", 5, "review", 1), ("g", 3, "manual", None)]
+    assert tasks.rule_engine(df, rules.filter("false"), faults, "id", F.col("day"), F.col("amount")).count() == 0
+
+
+def test_a_source_that_repeats_a_key_doubles_no_row(spark):
+    local = spark.createDataFrame([(1, "a", "mine"), (2, "b", "mine")], "id int, stage string, note string")
+    source = spark.createDataFrame([(1, "x"), (1, "y"), (3, "z"), (None, "n"), (None, "n")], "id int, stage string")
+    got = sorted(map(str, map(tuple, sync.refresh_merge(local, source, "id", {"stage": "crm"}).collect())))
+    assert got == sorted(map(str, [(1, "y", "mine"), (2, "b", "mine"), (3, "z", None), (None, "n", None), (None, "n", None)]))
+
+
+def test_mentions_say_where(spark):
+    comp = spark.createDataFrame([(1, "Acme Cloud", "acme;a.c."), (2, "Beta", None), (3, "Jira", None)], "competitor_id int, name string, aliases string")
+    notes = spark.createDataFrame([(1, "They like ACME, not Jira"), (2, "nothing"), (3, None)], "opp_id int, text string")
+    stack = spark.createDataFrame([(1, "Jira; Beta"), (2, "Betamax"), (3, "a c")], "opp_id int, value string")
+    losses = spark.createDataFrame([(2, "Lost to beta on price"), (1, None)], "opp_id int, text string")
+    got = {(r.opp_id, r.competitor_id): r.sources for r in competitors.competitor_mentions(notes, comp, exclude=["JIRA"], stack=stack, losses=losses).collect()}
+    assert got == {(1, 1): ["text"], (1, 2): ["picklist"], (2, 2): ["loss reason"], (3, 1): ["picklist"]}
+
+
+def test_route_lists_are_shared(spark):
+    day = dt.date(2027, 1, 1)
+    able = spark.createDataFrame([(1, D("0.10"), "5", None, day, None), (2, D("0.20"), "5;6", "A", day, "Reseller"), (3, D("0.05"), "6", "B", day, "Distributor")],
+                                 "partner_id long, margin_pct decimal(5,2), countries string, segments_served string, enabled_until date, roles_supported string")
+    able = partners.able_partners(able, "2026-08-01")
+    accounts = spark.createDataFrame([(1, 5, "A"), (2, 6, "A"), (3, 6, "B")], "account long, country int, segment string")
+    regs = spark.createDataFrame([(1, 2), (3, 3)], "customer long, partner_id long")
+    opps = spark.createDataFrame([(i, i, D("100"), True, None) for i in (1, 2, 3)], "opp_id long, account long, amount decimal(18,2), is_open boolean, partner_id long")
+    areas, known = partners.route_areas(accounts, able), partners.route_known(regs, able)
+    got = {r.opp_id: (r.known_partners, r.area_partners, r.partner_id, r.existing_relation, r.net_amount) for r in partners.route_deal(opps, accounts, areas, known).collect()}
+    assert got == {1: (1, 2, 2, True, D("80.00")), 2: (0, 1, 2, False, D("80.00")), 3: (0, 0, None, False, None)}
+    assert [(r["rank"], r.partner_id) for r in areas.filter("country = '5'").orderBy("rank").collect()] == [(1, 1), (2, 2)]
+    assert [(r.opp_id, r["rank"], r.partner_id) for r in partners.route_top(opps, accounts, areas, known, 1).orderBy("opp_id").collect()] == [(1, 1, 2), (2, 1, 2)]
 
 
 def test_whole_manifest_has_every_document(spark, tmp_path):
