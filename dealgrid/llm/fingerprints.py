@@ -317,12 +317,12 @@ def fingerprint_versions(docs: DataFrame) -> DataFrame:
     """
     texts = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
     salt = F.when(F.col("k") == _NO_ID, F.pmod(F.xxhash64("text"), F.lit(SALTS))).otherwise(F.lit(0)).cast("long").alias("salt")
-    texts = texts.select("k", salt, "text")
+    lengths = texts.select("k", F.length("text").alias("n")).groupBy("k").agg(F.max("n").alias("n"))
+    follow = _successors(texts.select("k"))
     tasks = max(1, -(-docs.count() // TASK_ROWS))
-    texts = texts.repartition(tasks, "k", "salt")
+    texts = texts.select("k", salt, "text").repartition(tasks, "k", "salt")
     salts = F.explode(F.when(F.col("k") == _NO_ID, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))).alias("salt")
-    lengths = texts.groupBy("k").agg(F.max(F.length("text")).alias("n"))
-    wanted = _successors(texts.select("k")).join(lengths, "k").select(F.col("next").alias("k"), F.col("k").alias("to"), F.floor(F.col("n") / 2).cast("int").alias("half"))
+    wanted = follow.join(lengths, "k").select(F.col("next").alias("k"), F.col("k").alias("to"), F.floor(F.col("n") / 2).cast("int").alias("half"))
     sent = texts.join(wanted.select("*", salts), ["k", "salt"]).select("to", F.struct(F.substr("text", F.lit(1), F.col("half")).alias("piece"), part_digests(F.col("text")).alias("digests")).alias("sent"))
     sent = sent.withColumnRenamed("to", "k").select("*", salts).repartition(tasks, "k", "salt").groupBy("k", "salt").agg(F.min("sent").alias("sent"))
     rows = texts.join(sent, ["k", "salt"]).withColumn("n_chars", F.length("text"))

@@ -170,7 +170,8 @@ def _links_in_groups(members: DataFrame, percent: int) -> DataFrame:
     """
     shares = members.groupBy("head", "component").agg(F.count("*").alias("m"))
     mixed = shares.groupBy("head").agg(F.max(F.struct("m", "component")).alias("main"), F.sum("m").alias("all"), F.count("*").alias("k")).where("k > 1")
-    mixed = mixed.select("head", F.col("main.component").alias("main"), F.ceil((F.col("all") - F.col("main.m")) / CUT).cast("int").alias("cuts_a"), F.ceil(F.col("all") / CUT).cast("int").alias("cuts_b"))
+    # Landed, so that both sides of the join are exchanges of its own and a head of very many members can be split.
+    mixed = land(mixed.select("head", F.col("main.component").alias("main"), F.ceil((F.col("all") - F.col("main.m")) / CUT).cast("int").alias("cuts_a"), F.ceil(F.col("all") / CUT).cast("int").alias("cuts_b")), "mixed-heads")
     own = members.join(mixed, "head")
     cut = lambda n: F.pmod(F.xxhash64("nid"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
