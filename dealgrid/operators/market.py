@@ -208,15 +208,22 @@ def _similar_reports(reports: DataFrame) -> DataFrame:
     are never paired among themselves. Links are confirmed on all words; one of similarity NEAR_WORDING is met but for a chance of 3 in 10,000.
     """
     facts = reports.select("signal_id", "event_date", "_tokens")
-    samples = [F.min(F.xxhash64("_t", F.lit(j))).alias(f"_m{j}") for j in range(BANDS * BAND_ROWS)]
-    signed = reports.select("signal_id", "_about", "event_date", F.explode("_tokens").alias("_t")).groupBy("signal_id", "_about", "event_date").agg(*samples)
+    # Each sample is the smallest hash after flipping the bits of its own mask: another order of the words for each.
+    flip = lambda j: ((j + 1) * 0x9E3779B97F4A7C15 % (1 << 64)) - (1 << 63)
+    samples = [F.min(F.col("_x").bitwiseXOR(F.lit(flip(j)))).alias(f"_m{j}") for j in range(BANDS * BAND_ROWS)]
+    own = ["signal_id", "_about", "event_date", "_n"]
+    sized = reports.withColumn("_n", F.size("_tokens"))
+    hashed = sized.select(*own, F.explode("_tokens").alias("_t")).select(*own, F.xxhash64("_t").alias("_x"))
+    signed = hashed.groupBy(*own).agg(*samples)
     bands = [F.struct(F.lit(b).alias("b"), *[F.col(f"_m{b * BAND_ROWS + r}").alias(f"r{r}") for r in range(BAND_ROWS)]) for b in range(BANDS)]
     period = F.floor(F.unix_date("event_date") / NEAR_DAYS)
-    places = signed.select("signal_id", "event_date", "_about", F.explode(F.array(period, period + 1)).alias("_period"), F.array(*bands).alias("_bands"))
-    places = places.select("signal_id", "event_date", "_about", "_period", F.explode("_bands").alias("_band"))
-    members = cut_lineage(places.select("signal_id", F.xxhash64("_about", "_period", "_band").alias("_bucket")), "report-buckets")
-    heads = members.groupBy("_bucket").agg(F.min("signal_id").alias("_head"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    met = members.join(heads, "_bucket")
+    places = signed.select("signal_id", "_about", "_n", F.explode(F.array(period, period + 1)).alias("_period"), F.array(*bands).alias("_bands"))
+    places = places.select("signal_id", "_about", "_n", "_period", F.explode("_bands").alias("_band"))
+    members = cut_lineage(places.select("signal_id", "_n", F.xxhash64("_about", "_period", "_band").alias("_bucket")), "report-buckets")
+    heads = members.groupBy("_bucket").agg(F.min(F.struct("signal_id", "_n")).alias("_h"), F.count(F.lit(1)).alias("_members")).filter("_members > 1")
+    met = members.join(heads, "_bucket").select("_bucket", "signal_id", "_n", F.col("_h.signal_id").alias("_head"), F.col("_h._n").alias("_n_b"), "_members")
+    # Word sets of too different sizes can't be that similar.
+    sizes = 100 * F.least("_n", "_n_b") >= round(100 * NEAR_WORDING) * F.greatest("_n", "_n_b")
 
     def alike(pairs: DataFrame) -> DataFrame:
         a, b = (facts.select(F.col("signal_id").alias(c), F.col("event_date").alias(f"_day_{c}"), F.col("_tokens").alias(f"_tokens_{c}")) for c in "ab")
@@ -224,10 +231,10 @@ def _similar_reports(reports: DataFrame) -> DataFrame:
         shared = F.size(F.array_intersect("_tokens_a", "_tokens_b"))
         return both.filter(100 * shared >= round(100 * NEAR_WORDING) * (F.size("_tokens_a") + F.size("_tokens_b") - shared)).select("a", "b")
 
-    known = cut_lineage(alike(met.filter("signal_id <> _head").select(F.col("_head").alias("a"), F.col("signal_id").alias("b")).distinct()), "report-links")
-    unlike = met.filter("signal_id <> _head and _n > 2").join(known, (F.col("_head") == F.col("a")) & (F.col("signal_id") == F.col("b")), "left_anti")
-    others = members.select("_bucket", F.col("signal_id").alias("b"))
-    rest = unlike.select("_bucket", "_head", F.col("signal_id").alias("a")).join(others, "_bucket").filter("a <> b and b <> _head")
+    known = cut_lineage(alike(met.filter((F.col("signal_id") != F.col("_head")) & sizes).select(F.col("_head").alias("a"), F.col("signal_id").alias("b")).distinct()), "report-links")
+    unlike = met.filter("signal_id <> _head and _members > 2").join(known, (F.col("_head") == F.col("a")) & (F.col("signal_id") == F.col("b")), "left_anti")
+    others = members.select("_bucket", F.col("signal_id").alias("b"), F.col("_n").alias("_n_b"))
+    rest = unlike.select("_bucket", "_head", F.col("signal_id").alias("a"), "_n").join(others, "_bucket").filter(F.expr("a <> b and b <> _head") & sizes)
     return known.unionByName(alike(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
 
 

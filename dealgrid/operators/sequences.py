@@ -17,7 +17,7 @@ NO_KEY = "\u0001"
 
 # A key with more rows is cut along its order; at most so many keys are.
 HOT_ROWS = 1 << 17
-MOST_HOT = 10_000
+MOST_HOT = 1_000
 
 
 def spread_nulls(key: Column, *by: str) -> Column:
@@ -42,7 +42,7 @@ def ordered_history(
 
     `order` must be unique within a key and without nulls, and `bucket` must grow with it (a prefix
     of the order does); dates are taken by month. Keys of more than HOT_ROWS rows, the MOST_HOT largest of them, are cut into their buckets, all
-    other keys are one window each; what is cut changes the balance and not the result. A bucket of a hot key gets its neighbours' border rows as rows of its own, so
+    other keys are one window each; what is cut changes the balance and not the result. A null key is a key like others. A bucket of a hot key gets its neighbours' border rows as rows of its own, so
     one exchange by key and bucket does and nothing is joined back. No job runs before the action.
     """
     back = {new: (c, 1) if isinstance(c, str) else c for new, c in (prev or {}).items()}
@@ -52,13 +52,10 @@ def ordered_history(
     # A border row also tells a bucket how many rows lie before it.
     depth = max([k for _, k in back.values()] + [1] * bool(number), default=0)
 
-    # A null key is a key like others.
-    names = {k: f"_hist_key{i}" for i, k in enumerate(keys)}
-    hot = df.groupBy(*[F.col(k).alias(n) for k, n in names.items()]).agg(F.count(F.lit(1)).alias("_hist_n")).filter(F.col("_hist_n") > HOT_ROWS)
-    hot = hot.orderBy(F.col("_hist_n").desc()).limit(MOST_HOT).select(*names.values(), F.lit(True).alias("_hist_hot"))
-    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()))
-    # At most MOST_HOT rows.
-    cut = df.join(F.broadcast(hot), same, "left").withColumn("_hist_bucket", F.when(F.col("_hist_hot"), bucket)).drop(*names.values(), "_hist_hot")
+    # Frequent keys from one sketch over the keys' hashes; a key that only shares a hot key's hash is cut too, which does no harm.
+    often = df.select(F.xxhash64(*keys).alias("_hist_key")).agg(F.expr(f"approx_top_k(_hist_key, {MOST_HOT}, {10 * MOST_HOT})").alias("_hist_top"))
+    hot = often.select(F.transform(F.filter("_hist_top", lambda x: x["count"] > HOT_ROWS), lambda x: x["item"]).alias("_hist_hot")).scalar()
+    cut = df.withColumn("_hist_bucket", F.when(F.array_contains(hot, F.xxhash64(*keys)), bucket))
 
     needed = list(dict.fromkeys([*order, *(c for c, _ in back.values()), *following.values()]))
     parts = [*keys, "_hist_bucket"]
