@@ -194,10 +194,9 @@ def signal_fit(signals: DataFrame, deals: DataFrame) -> DataFrame:
     return signals.alias("s").join(per.alias("p"), same).select("s.signal_id", "p.fit_class", "p.hits", "p.at_least", "p.exactly", "p.largest_deal")
 
 
-def fingerprint(text: Column) -> Column:
+def fingerprint(words: Column) -> Column:
     """Hash of the sorted distinct words of a whole text: equal for copies that differ in case, marks or order; null without words."""
-    words = F.concat_ws(" ", F.array_sort(F.array_distinct(F.filter(F.split(F.lower(text), NO_WORD), lambda w: w != ""))))
-    return F.when(words != "", F.sha2(words, 256))
+    return F.when(F.size(words) > 0, F.sha2(F.array_join(F.array_sort(words), " "), 256))
 
 
 def _similar_reports(reports: DataFrame) -> DataFrame:
@@ -248,9 +247,10 @@ def event_members(signals: DataFrame) -> DataFrame:
     rank = F.create_map(*[F.lit(x) for pair in CONFIDENCE.items() for x in pair])
     own = F.concat(F.lit("signal "), F.col("signal_id").cast("string"))
     entity = F.coalesce(norm_domain(F.col("entity_url")), norm_company(F.col("entity_name")))
-    keyed = cut_lineage(signals.select(
-        "signal_id", "event_date", F.coalesce(fingerprint(F.col("text")), own).alias("_words"), F.try_element_at(rank, "confidence").alias("_rank"),
-        F.struct(entity.alias("entity"), F.col("signal_type").alias("type")).alias("_about"), F.array_distinct(word_list(F.col("text"))).alias("_tokens")), "reports")
+    read = signals.select("*", F.array_distinct(word_list(F.col("text"))).alias("_tokens"))
+    keyed = cut_lineage(read.select(
+        "signal_id", "event_date", F.coalesce(fingerprint(F.col("_tokens")), own).alias("_words"), F.try_element_at(rank, "confidence").alias("_rank"),
+        F.struct(entity.alias("entity"), F.col("signal_type").alias("type")).alias("_about"), "_tokens"), "reports")
     best = F.struct(-F.col("_rank"), F.col("event_date"), F.col("signal_id"))
     said = keyed.groupBy("_words").agg(
         F.min("signal_id").alias("signal_id"), F.min("event_date").alias("event_date"), F.min_by("_about", best).alias("_about"), F.min_by("_tokens", "signal_id").alias("_tokens"))
