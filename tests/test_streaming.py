@@ -163,3 +163,19 @@ def test_streamed_score_equals_the_batch_score(spark, tmp_path):
     out = jobs.stream_engagement(stream(spark, folder, cols), "ts", str(tmp_path / "w"))
     batch = engagement.engagement_score(spark.createDataFrame(rows, cols), "2026-07-15").first().score
     assert out.filter(F.col("window_end") == F.lit("2026-07-15").cast("timestamp")).first().score == batch
+
+
+def test_a_streamed_table_is_a_file_or_a_folder(spark, tmp_path):
+    """The same rows come from a table in one file and from one in several."""
+    from dealgrid.plans.registry import QUERIES
+    import dealgrid.plans.catalog  # noqa: F401
+
+    rows = [(i, f"text {i}", "en", "src1", 6) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    one, many = tmp_path / "one", tmp_path / "many"
+    one.mkdir()
+    docs.toPandas().to_parquet(one / "documents.parquet")
+    docs.repartition(3).write.parquet(str(many / "documents.parquet"))
+    for name in ("stream_event_time", "stream_unseen", "stream_expiry"):
+        got = [sorted(map(tuple, QUERIES[name](spark, str(folder)).collect())) for folder in (one, many)]
+        assert got[0] and got[0] == got[1], name
