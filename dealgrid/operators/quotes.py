@@ -115,7 +115,12 @@ def quote_vs_opportunity(
     # As many rates as currencies: quotes look theirs up and aren't dealt out by currency.
     table = spot.filter(F.col("currency").isNotNull()).agg(F.map_from_entries(F.collect_list(F.struct("currency", "_rate")))).scalar()
     rate = lambda side: F.when(F.col(f"{side}_currency") == base, F.lit(1).cast("decimal(18,8)")).otherwise(F.try_element_at(table, F.col(f"{side}_currency")))
-    cents = F.round(F.col("net") * rate("quote") * 100 / rate("deal"), 0).cast("long")
+    # Whole numbers throughout: a quotient that is cut to some digits first can be rounded up twice.
+    whole = lambda c, digits: (c * 10**digits).cast("decimal(18,0)")
+    top, under = whole(F.col("net"), 2) * whole(rate("quote"), 8), whole(rate("deal"), 8)
+    half = F.when(top < 0, -under).otherwise(under)
+    j = j.withColumns({"_top": (2 * top + half).cast("decimal(38,0)"), "_under": F.nullif((2 * under).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))})
+    cents = F.expr("_top div _under")
     return j.select("quote_id", "opp_id", "net", "amount", "quote_currency", "deal_currency", same.alias("same_currency"),
                     F.when(same, (F.col("net") - F.col("amount")).cast(MONEY)).alias("delta"),
                     F.when(~same, cents).alias("net_in_deal_currency_cents"))

@@ -344,3 +344,17 @@ def test_whole_manifest_has_every_document(spark, tmp_path):
     got = {r.folder: (r.sha256, r.bytes) for r in catalog.QUERIES["content_manifest_whole"](spark, str(tmp_path)).collect()}
     want = {f"doc={k}": ((t or "") + "\n").encode() for k, t in rows}
     assert got == {k: (hashlib.sha256(b).hexdigest(), len(b)) for k, b in want.items()}
+
+
+def test_converted_quotes_round_once(spark):
+    """A quotient a little under half a cent is rounded down, one at half a cent up."""
+    from dealgrid.operators import quotes as qt
+
+    nets = {1: 1922941, 2: 25_000_000, 3: -1922941}
+    totals = spark.createDataFrame([(k, D(v) / 100) for k, v in nets.items()], "quote_id long, net decimal(18,2)")
+    quotes = spark.createDataFrame([(k, k, "EUR") for k in nets], "quote_id long, opp_id long, currency string")
+    opps = spark.createDataFrame([(k, D("1"), "USD") for k in nets], "opp_id long, amount decimal(18,2), currency string")
+    rates = spark.createDataFrame([("EUR", D("1.07526882"), "crm", dt.date(2000, 6, 1))], "currency string, rate decimal(18,8), source string, effective_from date")
+    got = {r.quote_id: r.net_in_deal_currency_cents for r in qt.quote_vs_opportunity(totals, quotes, opps, rates, "2001-08-02").collect()}
+    down = 1922941 * 107526882 // 10**8
+    assert got == {1: down, 2: (25_000_000 * 107526882 * 2 + 10**8) // (2 * 10**8), 3: -down}
