@@ -358,3 +358,15 @@ def test_converted_quotes_round_once(spark):
     got = {r.quote_id: r.net_in_deal_currency_cents for r in qt.quote_vs_opportunity(totals, quotes, opps, rates, "2001-08-02").collect()}
     down = 1922941 * 107526882 // 10**8
     assert got == {1: down, 2: (25_000_000 * 107526882 * 2 + 10**8) // (2 * 10**8), 3: -down}
+
+
+def test_every_candidate_of_a_deal_is_listed(spark):
+    """Known partners first, then by net, to the last one of the area."""
+    areas = spark.createDataFrame([("5", "A", k, D("0.01") * k, 10 + k) for k in range(1, 6)], "country string, segment string, rank int, margin_pct decimal(5,2), partner_id long")
+    known = spark.createDataFrame([(1, 1, D("0.03"), 13), (1, 2, D("0.50"), 99), (8, 1, D("0.50"), 98)], "account long, rank int, margin_pct decimal(5,2), partner_id long")
+    accounts = spark.createDataFrame([(1, 5, "A"), (2, 5, "A")], "account long, country int, segment string")
+    opps = spark.createDataFrame([(7, 1, D("100"), True, None), (8, 1, D("50"), True, None), (9, 2, D("100"), True, None), (10, 2, D("1"), False, None)], "opp_id long, account long, amount decimal(18,2), is_open boolean, partner_id long")
+    rows = partners.route_candidates(opps, accounts, areas, known).orderBy("opp_id", "rank").collect()
+    assert [(r["rank"], r.partner_id) for r in rows if r.opp_id == 7] == [(1, 13), (2, 99), (3, 11), (4, 12), (5, 14), (6, 15)]
+    assert [(r.partner_id, r.net_amount) for r in rows if r.opp_id == 8][:2] == [(13, D("48.50")), (99, D("25.00"))]
+    assert [r.partner_id for r in rows if r.opp_id == 9] == [11, 12, 13, 14, 15] and {r.opp_id for r in rows} == {7, 8, 9}
