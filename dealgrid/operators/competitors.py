@@ -98,7 +98,7 @@ def open_impacts(signals: DataFrame, competitors: DataFrame) -> DataFrame:
 
 
 def competitor_activity(signals: DataFrame, competitors: DataFrame, as_of: str) -> DataFrame:
-    """Last signal, signals in 90 days and since the card, the latest one, and the number of impacts not yet on the card (see `open_impacts`)."""
+    """Last signal, signals in 90 days and since the card, the latest one, and the impacts not yet on the card, each wording once (`open_impacts` counts them)."""
     day = F.lit(as_of).cast("date")
     cards = competitors.select("competitor_id", "researched")
     j = signals.filter(F.col("competitor_id").isNotNull()).join(cards, "competitor_id")
@@ -106,9 +106,10 @@ def competitor_activity(signals: DataFrame, competitors: DataFrame, as_of: str)
     sums = j.groupBy("competitor_id").agg(
         F.max("event_date").alias("last_signal_date"), F.count_if(F.datediff(day, F.col("event_date")) <= 90).alias("signals_90d"),
         F.count_if(since).alias("signals_since_battlecard"), F.max_by("signal_id", F.struct("event_date", "signal_id")).alias("latest_signal"))
-    impacts = open_impacts(signals, competitors).groupBy("competitor_id").agg(F.count(F.lit(1)).alias("open_impacts"))
+    # Wordings are folded to one row each before a competitor's are listed.
+    impacts = open_impacts(signals, competitors).groupBy("competitor_id").agg(F.array_sort(F.collect_list("impact")).alias("open_impacts"))
     j = competitors.select("competitor_id").join(sums, "competitor_id", "left").join(impacts, "competitor_id", "left")
-    return j.select("competitor_id", "last_signal_date", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("signals_90d", "signals_since_battlecard", "open_impacts")], "latest_signal")
+    return j.select("competitor_id", "last_signal_date", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("signals_90d", "signals_since_battlecard")], "latest_signal", "open_impacts")
 
 
 def stale_battlecards(competitors: DataFrame, signals: DataFrame, voiding: Sequence[str] = ("new capability",)) -> DataFrame:

@@ -370,3 +370,13 @@ def test_every_candidate_of_a_deal_is_listed(spark):
     assert [(r["rank"], r.partner_id) for r in rows if r.opp_id == 7] == [(1, 13), (2, 99), (3, 11), (4, 12), (5, 14), (6, 15)]
     assert [(r.partner_id, r.net_amount) for r in rows if r.opp_id == 8][:2] == [(13, D("48.50")), (99, D("25.00"))]
     assert [r.partner_id for r in rows if r.opp_id == 9] == [11, 12, 13, 14, 15] and {r.opp_id for r in rows} == {7, 8, 9}
+
+
+def test_open_impacts_are_listed(spark):
+    from dealgrid.operators import competitors
+
+    day = dt.date(2001, 7, 20)
+    signals = spark.createDataFrame([(1, 1, day, "b"), (2, 1, day, "a"), (3, 1, day, "b"), (4, 1, day, "No impact"), (5, 1, dt.date(2001, 7, 1), "old")], "signal_id long, competitor_id long, event_date date, impact string")
+    cards = spark.createDataFrame([(1, dt.date(2001, 7, 10)), (2, dt.date(2001, 7, 10))], "competitor_id long, researched date")
+    got = {r.competitor_id: (r.signals_since_battlecard, r.open_impacts) for r in competitors.competitor_activity(signals, cards, "2001-08-02").collect()}
+    assert got == {1: (4, ["a", "b"]), 2: (0, None)}
