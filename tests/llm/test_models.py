@@ -69,6 +69,27 @@ def test_quality_of_odd_rows(spark, messy, no_docs):
     assert quality.score_quality(no_docs, none).count() == 0 and quality.fit(no_docs, labels, F.lit(True)).pairs == 0
 
 
+def test_quality_learns_from_every_label(spark, monkeypatch):
+    """However many labelled documents there are, each is in a pair, the rarer class in every group, and the threshold is a quantile of them all."""
+    rng = np.random.default_rng(3)
+    rows = [(k, " ".join(rng.choice(["spam", "!!", "BUY", "now", "word", "plain"], 20) if k % 50 == 0 else rng.choice(["calm", "even", "plain", "word"], 20)), None, None) for k in range(1, 3001)]
+    docs, labels = frame(spark, rows), spark.createDataFrame([(k, int(k % 50 != 0), 0) for k, *_ in rows], "doc_id long, quality int, toxic int")
+    seen = []
+    pack = quality._grouped
+    monkeypatch.setattr(quality, "_grouped", lambda rows, counts: seen.append((rows, counts, pack(rows, counts))) or seen[-1][-1])
+    ranker = quality.fit(docs, labels, F.lit(True))
+    packed = seen[0][2].collect()
+    size = 8 * len(quality.FEATURES)
+    assert seen[0][1] == {0: 60, 1: 2940} and len(packed) == 6 and sum(len(r.good) for r in packed) == 2940 * size
+    assert all(len(r.bad) >= 10 * size for r in packed) and sum(len(r.bad) for r in packed) >= 60 * 3 * size
+    assert ranker.pairs >= 4 * 2940 and ranker == quality.fit(docs, labels, F.lit(True))
+    got = {r.doc_id: r.predicted for r in quality.score_quality(docs, ranker).collect()}
+    assert all(got[k] == int(k % 50 != 0) for k, *_ in rows)
+    values = spark.range(50_000).select(F.floor(F.col("id") / 7).cast("double").alias("v"))
+    monkeypatch.setattr(quality, "FEW", 5)
+    assert [quality._nth(values, n) for n in (1, 7, 8, 25_000, 50_000)] == [0.0, 0.0, 1.0, 3571.0, 7142.0]
+
+
 def words_of(text):
     lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     return [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", lowered)] + [b""]
