@@ -9,7 +9,7 @@ from dealgrid.operators import forecast, sync
 from dealgrid.plans.common import converted
 from dealgrid.plans.q_sync import FIELDS, drift_sql
 from dealgrid.plans.registry import query
-from dealgrid.session import shared_folder
+from dealgrid.session import BY_TASKS, shared_folder
 from dealgrid.sources import readers, sinks
 
 REGISTRY = T.StructType([
@@ -112,7 +112,7 @@ def _(t):
     whole = t.turns.groupBy("meeting_id").agg(F.array_sort(F.collect_list(line)).alias("_l"))
     texts = whole.select(F.col("meeting_id").cast("string").alias("_id"), F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("value"))
     # One folder, and in it one file, for each conversation: the file name gives way to the folder's.
-    texts.repartition("_id").write.partitionBy("_id").option("lineSep", "\n\u0003").text(path)
+    texts.repartition("_id").write.partitionBy("_id").options(**BY_TASKS).option("lineSep", "\n\u0003").text(path)
     found = readers.read_transcripts(t.spark, path)
     return found.select(F.regexp_extract("raw_path", "_id=([^/]+)/", 1).alias("meeting_id"), "turn", "speaker", F.rtrim(F.col("text"), F.lit("\n\u0003")).alias("text"))
 
@@ -180,6 +180,6 @@ def _(t):
     # Every document, a null text as an empty one.
     path = shared_folder(t.spark, "all owned (files)+")
     owned = t.documents.select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    owned.repartition("doc").write.partitionBy("doc").text(path)
+    owned.repartition("doc").write.partitionBy("doc").options(**BY_TASKS).text(path)
     found = readers.content_manifest(t.spark, path, "*.txt")
     return found.select(F.regexp_extract("rel", "^([^/]+)/", 1).alias("folder"), "sha256", "bytes")

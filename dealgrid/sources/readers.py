@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from dealgrid.functions import columns as fn
 from dealgrid.operators.fx import load_rates
+from dealgrid.session import cut_lineage, small_files
 
 RATE_CONVENTIONS = ("units-of-currency-per-base", "base-per-unit")
 
@@ -139,8 +140,10 @@ def split_turns(texts: DataFrame) -> DataFrame:
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    texts = spark.read.text(path, wholetext=True).withColumn("raw_path", F.input_file_name())
-    return split_turns(texts)
+    """The turns of all transcripts below a folder, a file each; read once, many files to a task."""
+    texts = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).withColumn("raw_path", F.input_file_name())
+    with small_files(spark):
+        return cut_lineage(split_turns(texts), "transcript-turns")
 
 
 def repair_registry(df: DataFrame, kinds: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:
@@ -184,16 +187,17 @@ def content_manifest(spark: SparkSession, path: str, pattern: str = "*", in_memo
     """Path, size and content hash of every owned file below a folder.
 
     Small files are hashed from the row that holds them; the content of larger ones never enters a
-    row, they are read in blocks where the task runs.
+    row, they are read in blocks where the task runs. The large ones are picked by the sizes in the listing, so a small file is opened once, and many in a task.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
     small = files.filter(F.col("length") <= in_memory).select(
         "path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    large = files.filter(F.col("length") > in_memory).select("path", "length")
+    large = files.filter(F.col("_metadata.file_size") > in_memory).select("path", "length")
     blocks = large.mapInPandas(_hash_blocks, "path string, bytes long, sha256 string")
     # What follows the folder in the full path; the folder's name may hold any characters and may occur above it, too.
     root = "/" + path.rstrip("/").split("/")[-1] + "/"
     base = spark._jvm.org.apache.hadoop.fs.Path(path)
     full = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toUri().toString()
     rel = F.when(F.startswith("path", F.lit(full + "/")), F.substring("path", len(full) + 2, 1 << 20)).otherwise(F.substring_index("path", root, -1))
-    return small.unionByName(blocks).select(rel.alias("rel"), "sha256", "bytes")
+    with small_files(spark):
+        return cut_lineage(small.unionByName(blocks).select(rel.alias("rel"), "sha256", "bytes"), "manifest")

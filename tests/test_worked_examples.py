@@ -396,3 +396,18 @@ def test_uncapped_candidates_are_ranked(spark, monkeypatch):
         assert [r.record_id for r in sorted((r for r in got if r.rule_id == "free"), key=lambda r: r["rank"])] == want
         assert [r["rank"] for r in sorted((r for r in got if r.rule_id == "free"), key=lambda r: r["rank"])] == list(range(1, 403))
         assert sorted((r.record_id, r["rank"]) for r in got if r.rule_id is None) == [(1, 2), (2, 1)]
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    """Hundreds of small files are no reason for dozens of tasks, and the setting for that goes when they are read."""
+    import hashlib
+
+    for k in range(400):
+        (tmp_path / f"f{k}.txt").write_text(f"A: {k}")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    manifest = readers.content_manifest(spark, str(tmp_path), "*.txt")
+    turns = readers.read_transcripts(spark, str(tmp_path))
+    assert manifest.rdd.getNumPartitions() <= 10 and turns.rdd.getNumPartitions() <= 10
+    assert {r.rel: r.sha256 for r in manifest.collect()} == {f"f{k}.txt": hashlib.sha256(f"A: {k}".encode()).hexdigest() for k in range(400)}
+    assert {(r.meeting_id, r.speaker, r.text) for r in turns.collect()} == {(f"f{k}", "A", str(k)) for k in range(400)}
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
