@@ -411,3 +411,14 @@ def test_small_files_share_tasks(spark, tmp_path):
     assert {r.rel: r.sha256 for r in manifest.collect()} == {f"f{k}.txt": hashlib.sha256(f"A: {k}".encode()).hexdigest() for k in range(400)}
     assert {(r.meeting_id, r.speaker, r.text) for r in turns.collect()} == {(f"f{k}", "A", str(k)) for k in range(400)}
     assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+
+
+def test_claims_are_joined_once(spark):
+    """Every kind of finding comes from one pass over the submissions and their claims."""
+    day = dt.date(2001, 8, 1)
+    regs = spark.createDataFrame([("c1", 1, "Reseller", day, 90), ("c1", 2, "Distributor", day, 90)], "customer_key string, partner_id long, role string, approved date, protection_days int")
+    subs = spark.createDataFrame([(1, "c1", 1, "Reseller"), (2, "c1", 3, "Reseller")], "submission_id long, customer_key string, partner_id long, role string")
+    for fn, want in ((partners.conflict_teaming, {(1, "teaming"), (1, "already holds this tier"), (2, "teaming")}), (partners.conflict_same_tier, {(2, "same tier claimed")})):
+        out = fn(subs, regs, "2001-08-02")
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+        assert {(r.submission_id, r.finding) for r in out.collect()} == want and out.count() == len(want)
