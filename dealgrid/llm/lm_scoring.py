@@ -37,12 +37,20 @@ RIDGE, START_WEIGHT, PRIOR = 20.0, 0.3, 0.4
 URN = 2000.0
 #: Languages of the training documents that are classes of their own, the most frequent first; the rest is one more class.
 MAX_LANGUAGES = 8
-#: Tokens of the common model that a class's own counts are weighed against.
-CLASS_PRIOR = 20_000.0
+#: Counts of a word in a class from which on its degree is the next; a degree and whether other classes have the word are a gate of the word mixer.
+COUNT_EDGES = np.array([1, 2, 3, 5, 9, 17, 65, 513])
+WORD_GATES = 2 * (len(COUNT_EDGES) + 1)
+#: Weights that the word mixer starts from, for the bits' chance, the class's count and the other classes' count, and its Newton steps.
+WORD_START, WORD_STEPS = np.array([0.3, 0.7, 0.0]), 3
 #: Counts are kept in a byte each: as they are up to 32, then in steps of 7 percent.
 LEVELS = np.concatenate([np.arange(33.0), 32 * 1.07 ** np.arange(1, 224)])
 _BOUNDS = (LEVELS[1:] + LEVELS[:-1]) / 2
 _LOGS = np.log(LEVELS + PRIOR)
+#: Stretched chance and degree of evidence of a slot, by its levels of zeros (low byte) and ones; below that for a slot without one zero, and without one one.
+_ZEROS, _ONES = LEVELS[np.arange(1 << 16) & 255], LEVELS[np.arange(1 << 16) >> 8]
+_LESS = (np.stack([np.maximum(_ZEROS - 1, 0), _ZEROS]).ravel(), np.stack([_ONES, np.maximum(_ONES - 1, 0)]).ravel())
+_STRETCH, _DEGREE = np.log((_ONES + PRIOR) / (_ZEROS + PRIOR)), np.searchsorted(EVIDENCE, _ZEROS + _ONES, side="right").astype(np.uint8)
+_STRETCH_LESS, _DEGREE_LESS = np.log((_LESS[1] + PRIOR) / (_LESS[0] + PRIOR)), np.searchsorted(EVIDENCE, _LESS[0] + _LESS[1], side="right").astype(np.uint8)
 #: Word end and text end; neither is part of a word.
 SPACE, END = 0x20, 0x0A
 _POWERS = np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15 | 1, dtype=np.uint64), dtype=np.uint64)
@@ -85,9 +93,14 @@ def _bits_and_slots(flat: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray,
     node = ((1 << shift) | (flat[:, None].astype(np.int64) >> (8 - shift))).astype(np.uint64)
     slots = np.empty((len(TABLE_BITS), flat.size * 8), dtype=np.int64)
     with np.errstate(over="ignore"):
+        node *= np.uint64(0xD6E8FEB86659FD93)
         for k, width in enumerate(TABLE_BITS):
-            mixed = _mixed(contexts[:, k][:, None] + node * np.uint64(0xD6E8FEB86659FD93))
-            slots[k] = (mixed >> np.uint64(64 - width)).astype(np.int64).ravel() + OFFSETS[k]
+            mixed = contexts[:, k][:, None] + node
+            mixed ^= mixed >> np.uint64(31)
+            mixed *= np.uint64(0xBF58476D1CE4E5B9)
+            mixed ^= mixed >> np.uint64(29)
+            mixed >>= np.uint64(64 - width)
+            np.add(mixed.view(np.int64).ravel(), OFFSETS[k], out=slots[k])
     return bits.ravel(), slots
 
 
@@ -109,6 +122,11 @@ def _gate(evidence: np.ndarray) -> np.ndarray:
     return np.searchsorted(EVIDENCE, evidence, side="right") * 8 + np.arange(len(evidence)) % 8
 
 
+def _codes(levels: np.ndarray) -> np.ndarray:
+    """Both levels of each slot as one number, zeros in the low byte."""
+    return np.ascontiguousarray(levels.T).view("<u2")[:, 0]
+
+
 def _squash(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -20, 20)))
 
@@ -127,15 +145,90 @@ def adapted(chance: np.ndarray, times: np.ndarray) -> np.ndarray:
     depend on the order.
     """
     prior = URN * chance
-    again = times > 1
-    more = _log_gamma(prior[:, again] + times[again]) - _log_gamma(prior[:, again] + 1)
+    again, often = (times > 1) & (times <= 8), times > 8
+    own, some = prior[:, again], times[again]
+    rising = own + 1
+    for j in range(2, some.max(initial=0)):
+        rising *= np.where(some > j, own + j, 1.0)
+    more = np.log(rising).sum(axis=1)
+    if often.any():
+        more += (_log_gamma(prior[:, often] + times[often]) - _log_gamma(prior[:, often] + 1)).sum(axis=1)
     spent = np.subtract(*_log_gamma(np.array([URN + times.sum(), URN])))
-    return np.log10(prior).sum(axis=1) + (more.sum(axis=1) - spent) / np.log(10)
+    return np.log10(prior).sum(axis=1) + (more - spent) / np.log(10)
+
+
+def word_gates(own: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Gate of words that occur so often in a class and in the other classes; gate 0 is that of words nobody has."""
+    return 2 * np.searchsorted(COUNT_EDGES, own, side="right") + (others > 0)
+
+
+def word_inputs(log10: np.ndarray, own: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """What the word mixer weighs, in logs: the bits' chance of a word, its count in the class and that in the other classes."""
+    return np.stack([np.broadcast_to(log10 * np.log(10), own.shape), np.log(np.maximum(own, 1)), np.log(np.maximum(others, 1))], axis=-1)
 
 
-def class_chances(common: np.ndarray, counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
-    """Chances of words in each class, from the common model's chances and the class's own counts (a row a class)."""
-    return (counts + CLASS_PRIOR * common) / (totals[:, None] + CLASS_PRIOR)
+@dataclass
+class WordMixer:
+    """Chances of words in each class, mixed in the log domain by the weights of their gate.
+
+    A class spends the share of each gate (`offsets`, in logs, less the log of the sum over the gate's words) on that gate's words. Words nobody has are
+    gate 0 and share what the bit mixer leaves to them, so the chances of a class add up to one.
+    """
+
+    weights: np.ndarray
+    offsets: np.ndarray
+
+    def chances(self, log10: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Chances of words (a row a class) from the bit mixer's log10 chances and the words' counts in each class."""
+        others = counts.sum(axis=0) - counts
+        gate = word_gates(counts, others)
+        x = np.einsum("cwi,cwi->cw", word_inputs(log10, counts, others), self.weights[gate])
+        return np.exp(x + np.take_along_axis(self.offsets, gate, axis=1))
+
+
+def word_sums(log10: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Sums over known words for each class and gate: (classes, gates, 17).
+
+    In order: the words' unnormalised chances, those times the inputs (3) and their products (9); then the occurrences, each in the gate that the word has
+    without it, and those times the inputs it has without it (3).
+    """
+    others = counts.sum(axis=0) - counts
+    classes = np.arange(len(counts))[:, None] * WORD_GATES
+
+    def added(gate: np.ndarray, values: np.ndarray, which: np.ndarray) -> np.ndarray:
+        return np.bincount((classes + gate)[which], values[which], classes.size * WORD_GATES).reshape(-1, WORD_GATES)
+
+    gate, inputs, known = word_gates(counts, others), word_inputs(log10, counts, others), np.broadcast_to(counts.sum(axis=0) > 0, counts.shape)
+    e = np.exp(np.einsum("cwi,cwi->cw", inputs, weights[gate]))
+    sums = [added(gate, v, known) for v in (e, *(e * inputs[..., i] for i in range(3)), *(e * inputs[..., i] * inputs[..., j] for i in range(3) for j in range(3)))]
+    left = np.maximum(counts - 1, 0)
+    gate, inputs, seen = word_gates(left, others), word_inputs(log10, left, others), counts > 0
+    sums += [added(gate, v, seen) for v in (counts.astype(np.float64), *(counts * inputs[..., i] for i in range(3)))]
+    return np.stack(sums, axis=-1)
+
+
+def newton_step(weights: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Weights of the word mixer after a step towards the likeliest ones, from `word_sums` under the weights given; gate 0 stays."""
+    out = weights.copy()
+    total = np.where(sums[..., 0] > 0, sums[..., 0], 1.0)
+    mean = sums[..., 1:4] / total[..., None]
+    spread = sums[..., 4:13].reshape(*total.shape, 3, 3) / total[..., None, None] - mean[..., :, None] * mean[..., None, :]
+    mass = np.where(sums[..., 0] > 0, sums[..., 13], 0.0)
+    slope = (np.where(sums[..., :1] > 0, sums[..., 14:17], 0.0) - mass[..., None] * mean).sum(axis=0)
+    curvature = (mass[..., None, None] * spread).sum(axis=0) + RIDGE * np.eye(3)
+    step = np.linalg.solve(curvature, (slope - RIDGE * (weights - WORD_START))[..., None])[..., 0]
+    out[1:] += (step / np.maximum(1.0, np.linalg.norm(step, axis=-1, keepdims=True)))[1:]
+    return out
+
+
+def word_mixer(weights: np.ndarray, sums: np.ndarray, unknown: float) -> WordMixer:
+    """The mixer with these weights: shares of the gates are those of the occurrences, each counted without itself; `unknown` is the bits' chance of all words nobody has."""
+    total = sums[..., 0].copy()
+    total[:, 0] = unknown
+    there = total > 0
+    share = np.where(there, sums[..., 13] + 0.5, 0.0)
+    share /= share.sum(axis=1, keepdims=True)
+    return WordMixer(weights, np.log(np.where(there, share, 1.0) / np.where(there, total, 1.0)))
 
 
 def mixed_classes(log10: np.ndarray, shares: np.ndarray) -> float:
@@ -154,17 +247,19 @@ class Model:
 
     def log10(self, words: list[bytes]) -> np.ndarray:
         """log10 of each word's probability, its end included; the empty word is the end of a text."""
-        out = np.zeros(len(words))
+        out, codes, weights, curve = np.zeros(len(words)), _codes(self.levels), np.ascontiguousarray(self.weights.T), self.curve.ravel()
         for part in _groups(words, 4096):
             for bits, slots, owner in _slices(words[part]):
-                gate = _gate(LEVELS[self.levels[0, slots[-1]]] + LEVELS[self.levels[1, slots[-1]]])
-                x = self.weights[gate, -1]
-                for k in range(len(TABLE_BITS)):
-                    x = x + self.weights[gate, k] * (_LOGS[self.levels[1, slots[k]]] - _LOGS[self.levels[0, slots[k]]])
+                found = [codes[own] for own in slots]
+                gate = _DEGREE[found[-1]].astype(np.int64) * 8 + np.arange(len(bits)) % 8
+                x = weights[-1][gate]
+                for own, code in zip(weights, found):
+                    x += own[gate] * _STRETCH[code]
                 at = (np.clip(x, -8, 8) + 8) * 2
                 low = np.minimum(at.astype(np.int64), CURVE - 2)
-                rest = at - low
-                refined = self.curve[gate, low] * (1 - rest) + self.curve[gate, low + 1] * rest
+                at -= low
+                low += gate * CURVE
+                refined = curve[low] * (1 - at) + curve[low + 1] * at
                 p = np.clip((_squash(x) + refined) / 2, 1e-6, 1 - 1e-6)
                 out[part] += np.bincount(owner, np.log10(np.where(bits == 1, p, 1 - p)), len(out[part]))
         return out
@@ -302,7 +397,7 @@ def _learned(words: DataFrame, tables) -> DataFrame:
     """
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zeros, ones = tables.value
+        codes = _codes(tables.value)
         weights = np.full((GATES, INPUTS), START_WEIGHT)
         weights[:, -1] = 0.0
         curvature, mass = np.tile(RIDGE * np.eye(INPUTS), (GATES, 1, 1)), np.zeros(GATES)
@@ -313,24 +408,27 @@ def _learned(words: DataFrame, tables) -> DataFrame:
                     weight = c[part][owner].astype(np.float64)
                     x = np.empty((len(bits), INPUTS))
                     x[:, -1] = 0.3
+                    less = bits.astype(np.int64) << 16
                     for k in range(len(TABLE_BITS)):
-                        n0, n1 = LEVELS[zeros[slots[k]]] - (bits == 0), LEVELS[ones[slots[k]]] - (bits == 1)
-                        x[:, k] = np.log((np.maximum(n1, 0) + PRIOR) / (np.maximum(n0, 0) + PRIOR))
-                    gate = _gate(np.maximum(n0, 0) + np.maximum(n1, 0))
-                    z = np.sum(weights[gate] * x, axis=1)
+                        code = codes[slots[k]] + less
+                        x[:, k] = _STRETCH_LESS[code]
+                    gate = _DEGREE_LESS[code] * np.uint8(8) + (np.arange(len(bits)) % 8).astype(np.uint8)
+                    z = np.einsum("ij,ij->i", weights[gate], x)
                     p = _squash(z)
                     at = np.rint((np.clip(z, -8, 8) + 8) * 2).astype(np.int64)
-                    hits += np.bincount(gate * CURVE + at, weight * bits, GATES * CURVE).reshape(GATES, CURVE)
-                    seen += np.bincount(gate * CURVE + at, weight, GATES * CURVE).reshape(GATES, CURVE)
+                    at += gate.astype(np.int64) * CURVE
+                    hits += np.bincount(at, weight * bits, GATES * CURVE).reshape(GATES, CURVE)
+                    seen += np.bincount(at, weight, GATES * CURVE).reshape(GATES, CURVE)
                     mass += np.bincount(gate, weight, GATES)
                     # An online Newton step: the curvature of all bits so far scales the slope of these.
                     order = np.argsort(gate, kind="stable")
                     ends = np.cumsum(np.bincount(gate, minlength=GATES))
-                    for g, own_bits in enumerate(np.split(order, ends[:-1])):
-                        if len(own_bits):
-                            inputs, q = x[own_bits], p[own_bits]
-                            curvature[g] += (inputs * (weight[own_bits] * q * (1 - q))[:, None]).T @ inputs
-                            weights[g] += np.linalg.solve(curvature[g], (weight[own_bits] * (bits[own_bits] - q)) @ inputs)
+                    inputs, slope, bend = x[order], (weight * (bits - p))[order], (weight * p * (1 - p))[order]
+                    for g, (start, end) in enumerate(zip(ends - np.bincount(gate, minlength=GATES), ends)):
+                        if end > start:
+                            own_inputs = inputs[start:end]
+                            curvature[g] += (own_inputs * bend[start:end, None]).T @ own_inputs
+                            weights[g] += np.linalg.solve(curvature[g], slope[start:end] @ own_inputs)
         gate, i = np.divmod(np.arange(GATES * INPUTS), INPUTS)
         yield batch(0, gate, i, (weights * mass[:, None]).ravel(), np.repeat(mass, INPUTS))
         gate, i = np.divmod(np.arange(GATES * CURVE), CURVE)
@@ -372,6 +470,35 @@ def train(words: DataFrame, n_words: int) -> tuple[Broadcast, np.ndarray, np.nda
     return tables, weights, curve
 
 
+def _learned_words(words: DataFrame, classes: int) -> WordMixer:
+    """The word mixer, from the known words' counts in each class and the bit mixer's log10 chances (a row a bucket). Each occurrence is predicted from the counts without itself.
+
+    Only sums by class and gate come to the driver.
+    """
+    weights = np.tile(WORD_START, (WORD_GATES, 1))
+    weights[0] = 1.0, 0.0, 0.0
+
+    def sums_under(weights: np.ndarray) -> tuple[np.ndarray, float]:
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums, known = np.zeros((classes, WORD_GATES, 17)), 0.0
+            for batch in batches:
+                for counts, log10 in zip(batch.column("counts").to_pylist(), batch.column("log10").to_pylist()):
+                    counts, log10 = np.frombuffer(counts, np.int64).reshape(classes, -1), np.frombuffer(log10, np.float32).astype(np.float64)
+                    sums += word_sums(log10, counts, weights)
+                    known += (10.0**log10).sum()
+            flat = np.append(sums.ravel(), known)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], ["i", "value"])
+
+        flat = np.zeros(classes * WORD_GATES * 17 + 1)
+        for r in words.mapInArrow(add, "i int, value double").groupBy("i").agg(F.sum("value").alias("value")).collect():
+            flat[r["i"]] = r["value"]
+        return flat[:-1].reshape(classes, WORD_GATES, 17), max(1 - flat[-1], 1e-6)
+
+    for _ in range(WORD_STEPS):
+        weights = newton_step(weights, sums_under(weights)[0])
+    return word_mixer(weights, *sums_under(weights))
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
@@ -379,8 +506,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
     crc32(doc_id as text) modulo 10 is 0 are held out, all others are learned from; a null id counts as the empty text. base_score sums
     log10((c + 0.1) / (N + 0.1 (V + 1))) over the tokens. score is the model's log10 probability of the tokens, spelled in bytes with a
     space after each word: every bit is predicted from hashed contexts of one to four bytes and the word so far, mixed by the weights of
-    its gate and refined by the gate's curve. That chance is weighed with the word's counts in each language of the training documents and
-    adapted to the words of its text before it; as a text's language is not given, the languages are summed over by their shares.
+    its gate and refined by the gate's curve. That chance and the word's counts in each language of the training documents are the inputs of a second
+    mixer, over words, with learned weights by gate. Its chances are adapted to the words of the text before; as a text's language is not given, the
+    languages are summed over by their shares.
     bits_per_byte is the score by the bytes spelled. Without training documents every bit has
     probability one half. Repeated rows are scored each.
 
@@ -416,26 +544,34 @@ def score_documents(docs: DataFrame) -> DataFrame:
     v, n = known.count(), int(class_totals.sum())
     tables, weights, curve = train(known, v)
 
+    live = np.flatnonzero(shares)
+    shares = shares[live]
+
     def answers(table: pa.Table) -> pa.Table:
         words, counts, places = _totals(table, classes)
-        log10 = Model(tables.value, weights, curve).log10(words)
+        log10, counts = Model(tables.value, weights, curve).log10(words).astype(np.float32), counts[live]
+        # The bucket's own words, which the word mixer learns from, are the last row.
+        places = [*places, np.flatnonzero(counts.any(axis=0))]
+        chunks, numbers = ([*table.column(c).to_pylist(), None] for c in ("chunk", "numbers"))
         return pa.table(
-            [table.column("chunk"), table.column("numbers"), pa.array([counts[:, p].tobytes() for p in places], pa.binary()), pa.array([log10[p].astype(np.float32).tobytes() for p in places], pa.binary())],
+            [pa.array(chunks, pa.int64()), pa.array(numbers, pa.binary()), pa.array([counts[:, p].tobytes() for p in places], pa.binary()), pa.array([log10[p].tobytes() for p in places], pa.binary())],
             names=["of_chunk", "numbers", "counts", "log10"],
         )
 
-    found = lists.groupBy("bucket").applyInArrow(answers, "of_chunk long, numbers binary, counts binary, log10 binary")
+    answered = land(lists.groupBy("bucket").applyInArrow(answers, "of_chunk long, numbers binary, counts binary, log10 binary"), "answers")
+    found = answered.where("of_chunk is not null")
+    mixer = _learned_words(answered.where("of_chunk is null").select("counts", "log10"), len(live))
     texts = coded.where("kind = 0").select("chunk", "doc_id", "held_out", "n_bytes", "n_tokens", "bag")
     floor = n + 0.1 * (v + 1)
 
     def summed(left: pa.Table, right: pa.Table) -> pa.Table:
         numbers = np.concatenate([np.frombuffer(b, np.uint32) for b in right.column("numbers").to_pylist()] or [np.empty(0, np.uint32)])
-        own, common = np.zeros((classes, len(numbers)), np.int64), np.zeros(len(numbers))
+        own, common = np.zeros((len(live), len(numbers)), np.int64), np.zeros(len(numbers))
         if len(numbers):
-            own[:, numbers] = np.concatenate([np.frombuffer(b, np.int64).reshape(classes, -1) for b in right.column("counts").to_pylist()], axis=1)
-            common[numbers] = 10.0 ** np.concatenate([np.frombuffer(b, np.float32) for b in right.column("log10").to_pylist()]).astype(np.float64)
+            own[:, numbers] = np.concatenate([np.frombuffer(b, np.int64).reshape(len(live), -1) for b in right.column("counts").to_pylist()], axis=1)
+            common[numbers] = np.concatenate([np.frombuffer(b, np.float32) for b in right.column("log10").to_pylist()])
         c = own.sum(axis=0)
-        base, chance = np.log10((c + 0.1) / floor), class_chances(common, own, class_totals)
+        base, chance = np.log10((c + 0.1) / floor), mixer.chances(common, own)
         out = []
         for bag in left.column("bag").to_pylist():
             ids, times = unpack_bag(bag)

@@ -171,6 +171,42 @@ def test_adapting_is_reading_word_by_word():
         assert abs(total - got) < 1e-6
 
 
+def test_word_mixer_learns_and_its_chances_add_up():
+    """In each class the chances of known words and the share of all others sum to one; steps make occurrences likelier, each predicted without itself."""
+    rng = np.random.default_rng(5)
+    true = rng.dirichlet(np.full(3000, 0.2))
+    counts = np.stack([rng.multinomial(n, true) for n in (4000, 60_000)])
+    log10 = np.log10(0.8 * (true + 1e-5) / (true + 1e-5).sum())
+    known = counts.any(axis=0)
+    unknown = 1 - (10.0 ** log10[known]).sum()
+    weights = np.tile(lm_scoring.WORD_START, (lm_scoring.WORD_GATES, 1))
+    weights[0] = 1, 0, 0
+    gains = []
+    for _ in range(4):
+        sums = lm_scoring.word_sums(log10, counts, weights)
+        mixer = lm_scoring.word_mixer(weights, sums, unknown)
+        chances = mixer.chances(log10, counts)
+        share = mixer.chances(np.array([np.log10(unknown)]), np.zeros((2, 1), np.int64))[:, 0]
+        assert np.allclose(chances[:, known].sum(axis=1) + share, 1)
+        gains.append(float((true * np.log(chances)).sum()))
+        weights = lm_scoring.newton_step(weights, sums)
+    assert gains[-1] > gains[0]
+
+
+def test_bit_chances_weigh_however_large_the_corpus_is():
+    """The words' learned weights don't fade as counts grow: with a hundred times the counts, the bits' chance still parts words of one count."""
+    rng = np.random.default_rng(6)
+    true = rng.dirichlet(np.full(2000, 0.3))
+    log10 = np.log10(true + 1e-6)
+    parted = []
+    for scale in (1, 100):
+        counts = np.full((1, 2000), 20 * scale)
+        weights = np.tile(lm_scoring.WORD_START, (lm_scoring.WORD_GATES, 1))
+        chances = lm_scoring.word_mixer(weights, lm_scoring.word_sums(log10, counts, weights), 0.1).chances(log10, counts)[0]
+        parted.append(chances.max() / chances.min())
+    assert parted[0] > 1.5 and np.isclose(*parted)
+
+
 def test_batches_and_slices_give_the_same_scores(monkeypatch):
     rng = np.random.default_rng(2)
     model = lm_scoring.Model(rng.integers(0, 90, (2, lm_scoring.SLOTS), dtype=np.uint8), rng.random((lm_scoring.GATES, lm_scoring.INPUTS)), np.sort(rng.random((lm_scoring.GATES, lm_scoring.CURVE)), axis=1))
