@@ -189,6 +189,25 @@ def test_events_move_their_texts_few_times(spark):
     assert total < 8 * sum(len(r[-1]) for r in rows), total / sum(len(r[-1]) for r in rows)
 
 
+def test_shuffles_follow_the_tables(spark, monkeypatch):
+    """Shuffles start from partitions in proportion to the tables a query reads, and from the session's number for small ones."""
+    from pathlib import Path
+
+    from dealgrid.plans import registry
+
+    sf_dir, wanted = "/root/testdata/sf0.001", lambda: spark.conf.get(registry.INITIAL_PARTITIONS, None)
+    registry.Tables(spark, sf_dir).orders
+    assert wanted() is None
+    size = sum((Path(sf_dir) / f"{t}.parquet").stat().st_size for t in ("orders", "lineitem"))
+    monkeypatch.setattr(registry, "PARTITION_BYTES", size // 40)
+    tables = registry.Tables(spark, sf_dir)
+    assert tables.orders.count() and tables.lineitem.count() and tables.orders.count()
+    assert 40 <= int(wanted()) <= 41
+    assert "hashpartitioning(o_custkey" in (plan := tables.orders.groupBy("o_custkey").count()._jdf.queryExecution().executedPlan().toString()) and f", {wanted()})" in plan
+    registry.Tables(spark, sf_dir)
+    assert wanted() is None
+
+
 def test_signals_meet_all_kinds_of_records(spark):
     side = lambda rows: spark.createDataFrame(rows, "id int, name string, domain string")
     deals = side([(i, "Acme Robotics Ltd", "acme.com") for i in range(10, 15)] + [(20, "Zenith Partners", None)])
