@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain, repeat
@@ -20,11 +21,15 @@ from dealgrid.llm.common import as_bytes, list_array, small_batches
 DROPOUT = 0.1
 #: Pre-tokens up to this length are merged together in arrays; longer ones each by a heap.
 MAX_WIDTH = 64
-#: Pre-tokens whose plain pieces and candidates a task remembers before it starts afresh; results don't depend on it.
+#: Pre-tokens that a task remembers before it starts afresh; results don't depend on it.
 MAX_WORDS = 400_000
 #: Occurrences whose candidates are drawn at once.
 DRAW_WORDS = 1 << 14
 BATCH_BYTES = 2 << 20
+#: Bits of a symbol in a pair of two, and slots that pairs of symbols with a piece are dealt into.
+SYMBOL_BITS = 21
+SLOT_BITS = 20
+SLOTS = 1 << SLOT_BITS
 _NONE = np.int64(1) << 40
 
 
@@ -43,13 +48,17 @@ class Merger:
         self.limit = int(dropout * (1 << 32))
         self.seed = seed
         found = sorted(
-            (ids[p[:cut]] * self.size + ids[p[cut:]], i) for p, i in ids.items() for cut in range(1, len(p)) if p[:cut] in ids and p[cut:] in ids
+            (ids[p[:cut]] << SYMBOL_BITS | ids[p[cut:]], i) for p, i in ids.items() for cut in range(1, len(p)) if p[:cut] in ids and p[cut:] in ids
         )
-        self.keys = np.array([k for k, _ in found], dtype=np.int64)
-        self.made = np.array([m for _, m in found], dtype=np.int64)
+        # Ordered by slot: a pair is looked for from its slot's first key on, in as many places as the fullest slot has keys.
+        keys, made = np.array([k for k, _ in found], dtype=np.int64), np.array([m for _, m in found], dtype=np.int64)
+        slot = self._slot(keys)
+        order = np.argsort(slot, kind="stable")
+        filled = np.bincount(slot.astype(np.int64), minlength=SLOTS)
+        self.probes = int(filled.max())
+        self.keys, self.made = np.concatenate([keys[order], np.full(self.probes, -2)]), np.concatenate([made[order], np.full(self.probes, _NONE)])
+        self.slot_start = np.where(filled > 0, np.cumsum(filled) - filled, -1).astype(np.int32)
         self.table = dict(found)
-        self.maybe = np.zeros(1 << 20, dtype=bool)
-        self.maybe[self._slot(self.keys)] = True
         self.bytes_of = [p.replace(pieces.MARK, " ").encode() for p in self.vocabulary.pieces]
         for value, i in enumerate(self.vocabulary.byte_ids):
             self.bytes_of[i] = bytes([value])
@@ -114,11 +123,15 @@ class Merger:
     def _rank(self, key: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray, seen: list | None = None) -> np.ndarray:
         """The piece two symbols make, or _NONE if there is none or the candidate is skipped; with `seen`, none is skipped and all are noted there."""
         out = np.full(left.shape, _NONE)
-        pair = np.where((left < self.size) & (right < self.size), left * self.size + right, -1)
-        r = np.nonzero(self.maybe[self._slot(pair)])
-        pair = pair[r]
-        at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+        pair = left << SYMBOL_BITS | right
+        at = self.slot_start[self._slot(pair)]
+        r = np.nonzero(at >= 0)
+        pair, at = pair[r], at[r]
         hit = self.keys[at] == pair
+        for _ in range(self.probes - 1):
+            miss = np.flatnonzero(~hit)
+            at[miss] += 1
+            hit[miss] = self.keys[at[miss]] == pair[miss]
         if seen is not None:
             seen.append((key[r][hit], place[r][hit], left[r][hit], right[r][hit]))
         elif self.limit:
@@ -129,7 +142,7 @@ class Merger:
     @staticmethod
     def _slot(pair: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return (pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
+            return (pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
 
     def _merged(self, rows: np.ndarray, keys: np.ndarray, seen: list | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """Pieces of pre-tokens of one length: (row numbers, their symbols) for each number of pieces left."""
@@ -174,7 +187,7 @@ class Merger:
         def offer(i: int) -> None:
             j = after[i]
             if i >= 0 and j < n and symbol[i] < self.size and symbol[j] < self.size:
-                made = self.table.get(symbol[i] * self.size + symbol[j])
+                made = self.table.get(symbol[i] << SYMBOL_BITS | symbol[j])
                 if made is not None:
                     a = np.array
                     if not self.limit or not self._skipped(a([key]), a([i]), a([symbol[i]]), a([symbol[j]]))[0]:
@@ -257,9 +270,9 @@ def _merger(model: str, dropout: float, seed: int) -> Merger:
 
 
 class _Memo:
-    """Plain piece ids of the pre-tokens seen, and the candidates that plain merging meets, flat, with each pre-token's place.
+    """Plain piece ids of the pre-tokens seen twice, and the candidates that plain merging meets, flat, with each pre-token's place.
 
-    An occurrence of which no such candidate is skipped has the plain pieces; all others are merged anew.
+    An occurrence of which no such candidate is skipped has the plain pieces; all others are merged anew, as are those of pre-tokens seen once.
     """
 
     def __init__(self, merger: Merger):
@@ -268,12 +281,12 @@ class _Memo:
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
+        self.once: set[str] = set()
         self.flat, self.start, self.count = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
         self.keys, self.first, self.tries = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
         self.candidates = np.empty(0, np.uint64)
 
-    def _learn(self, fresh: list[str]) -> None:
-        short = [w for w in fresh if len(w) <= MAX_WIDTH]
+    def _learn(self, short: list[str]) -> None:
         seen: list[tuple[np.ndarray, ...]] = []
         ids, count = self.merger.encode_words(short, 0, seen=seen)
         owner, *found = (np.concatenate(x) for x in zip(*seen)) if seen else np.empty((4, 0), np.int64)
@@ -313,10 +326,15 @@ class _Memo:
         index = np.fromiter(map(self.at.get, flat, repeat(-1)), np.int64, len(flat))
         unknown = np.flatnonzero(index < 0).tolist()
         if unknown:
-            self._learn(sorted({flat[i] for i in unknown}))
-            index[unknown] = [self.at.get(flat[i], -1) for i in unknown]
+            met = Counter([flat[i] for i in unknown])
+            again = sorted(w for w, n in met.items() if (n > 1 or w in self.once) and len(w) <= MAX_WIDTH)
+            self.once.update(w for w, n in met.items() if n == 1 and len(w) <= MAX_WIDTH)
+            self.once.difference_update(again)
+            if again:
+                self._learn(again)
+                index[unknown] = [self.at.get(flat[i], -1) for i in unknown]
         marks = occurrence_marks(documents, sizes)
-        # Long pre-tokens are not remembered.
+        # Long pre-tokens and those seen once are not remembered.
         known = np.flatnonzero(index >= 0)
         skips = np.concatenate([np.flatnonzero(index < 0), known[self._drawn(index[known], marks[known])] if self.merger.limit else known[:0]])
         own, count = self.merger.encode_words([flat[i] for i in skips.tolist()], 0, marks[skips])
@@ -326,7 +344,7 @@ class _Memo:
         ends = np.cumsum(counts)
         ids = np.concatenate([self.flat, own])[np.repeat(starts - (ends - counts), counts) + np.arange(int(counts.sum()))]
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
-        if len(self.at) > MAX_WORDS:
+        if len(self.at) + len(self.once) > MAX_WORDS:
             self.clear()
         return ids, np.diff(bounds)
 

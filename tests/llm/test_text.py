@@ -275,6 +275,35 @@ def test_pieces_are_decoded_again(messy):
     assert all(r.lossless for r in got)
 
 
+def test_words_are_remembered_when_they_come_again():
+    import numpy as np
+
+    merger, documents = subword._merger(pieces.default_model(), 0.2, 7), np.array([5, 9])
+    texts = ["the quick brown fox jumps over a lazy dog and the quick cat", "Überraschung im Wald: the quick cat " + "x" * 70]
+    memo, cold = subword._Memo(merger), subword._Memo(merger)
+    cold.encode([" and so on"], documents[:1])
+    assert not cold.at and cold.once == {" and", " so", " on"}
+    for turn in range(3):
+        ids, counts = memo.encode(texts, documents)
+        assert (" quick" in memo.at, " brown" in memo.at) == (True, turn > 0)
+        words = [pieces.PRETOKEN.findall(t) for t in texts]
+        sizes = np.array([len(w) for w in words])
+        plain, n = merger.encode_words([w for x in words for w in x], 0, subword.occurrence_marks(documents, sizes))
+        assert ids.tolist() == plain.tolist() and counts.sum() == n.sum()
+
+
+def test_every_pair_is_found_in_its_slot():
+    import numpy as np
+
+    merger = subword._merger(pieces.default_model(), 0.0, 0)
+    pairs = np.array(list(merger.table), dtype=np.int64)
+    left, right = pairs >> subword.SYMBOL_BITS, pairs & ((1 << subword.SYMBOL_BITS) - 1)
+    assert merger._rank(pairs, pairs, left, right).tolist() == list(merger.table.values())
+    strangers = [(a, b) for a, b in zip(left.tolist(), np.roll(right, 1).tolist()) if a << subword.SYMBOL_BITS | b not in merger.table]
+    a, b = (np.array(x) for x in zip(*strangers))
+    assert (merger._rank(a, a, a, b) == subword._NONE).all()
+
+
 def test_copies_are_numbered(spark):
     docs = frame(spark, [(1, "a", None, "s"), (1, "a", None, "s"), (1, "b", None, "s"), (None, None, None, None), (None, None, None, None)]).drop("replica")
     got = mixing.numbered(docs, 5)
