@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,11 +35,11 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [v or b"" for v in column.cast(pa.binary()).to_pylist()]
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], max_bytes: int, column: str) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds about `max_bytes` of `column`, and one row at least."""
+def small_batches(batches: Iterator[pa.RecordBatch], max_bytes: int, *columns: str) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each holds about `max_bytes` of `columns` together, and one row at least."""
     for batch in batches:
-        values = batch.column(column)
-        sizes = np.array([len(v) for v in as_bytes(values)], dtype=np.int64)
+        lengths = (pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False) for c in columns)
+        sizes = np.sum([x.astype(np.int64) for x in lengths], axis=0)
         slot = (np.cumsum(sizes) - sizes) // max_bytes
         edges = [0, *(np.flatnonzero(np.diff(slot)) + 1).tolist(), len(sizes)]
         for start, end in zip(edges, edges[1:]):

@@ -126,6 +126,25 @@ def _alike(threshold: float) -> Column:
     return (100 * low >= round(100 * threshold) * high) & (_differing() <= max_differing_bits(threshold))
 
 
+def compared_texts(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """(a, b, linked, apart) of pairs of whole texts; few bytes of texts are taken at once, as a bucket's members may all be long."""
+    last: dict[bytes, np.ndarray] = {}
+    for batch in small_batches(batches, BATCH_BYTES, "text_a", "text_b"):
+        linked, apart = [], []
+        for left, right in zip(as_bytes(batch.column("text_a")), as_bytes(batch.column("text_b"))):
+            sets = []
+            for text in (left, right):
+                if text not in last:
+                    if len(last) > 16:
+                        last.clear()
+                    last[text] = shingles(text, size)
+                sets.append(last[text])
+            only = np.setxor1d(*sets, assume_unique=True)
+            linked.append(linked_by(len(sets[0]), len(sets[1]), len(only), percent))
+            apart.append(only.tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(apart, pa.binary())], ["a", "b", "linked", "apart"])
+
+
 def _compared(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, threshold: float) -> DataFrame:
     """Per pair (a, b) of nodes: whether their full shingle sets are as similar as the threshold, and the hashes in only one of them."""
     percent = round(100 * threshold)
@@ -137,21 +156,7 @@ def _compared(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, th
     both = both.join(texts.select(F.col("nid").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: dict[bytes, np.ndarray] = {}
-        for batch in batches:
-            linked, apart = [], []
-            for left, right in zip(as_bytes(batch.column("text_a")), as_bytes(batch.column("text_b"))):
-                sets = []
-                for text in (left, right):
-                    if text not in last:
-                        if len(last) > 16:
-                            last.clear()
-                        last[text] = shingles(text, size)
-                    sets.append(last[text])
-                only = np.setxor1d(*sets, assume_unique=True)
-                linked.append(linked_by(len(sets[0]), len(sets[1]), len(only), percent))
-                apart.append(only.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(apart, pa.binary())], ["a", "b", "linked", "apart"])
+        return compared_texts(batches, size, percent)
 
     return both.mapInArrow(compared, "a long, b long, linked boolean, apart binary")
 

@@ -115,6 +115,21 @@ def test_near_duplicates_cut_buckets(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(plain_near(rows, 2))
 
 
+def test_long_texts_are_compared_few_at_a_time():
+    import numpy as np
+    import pyarrow as pa
+
+    text = " ".join(f"word{i}" for i in range(50_000))
+    other = text.replace("word25000 ", "another ")
+    pairs = pa.RecordBatch.from_pydict({"a": list(range(30)), "b": list(range(30, 60)), "text_a": [text] * 30, "text_b": [other, text, None] * 10})
+    out = list(near_dedup.compared_texts(iter([pairs]), 2, 80))
+    assert max(b.nbytes for b in out) < near_dedup.BATCH_BYTES and len(out) > 3 and sum(b.num_rows for b in out) == 30
+    got = pa.Table.from_batches(out)
+    assert got.column("a").to_pylist() == list(range(30)) and got.column("linked").to_pylist() == [True, True, False] * 10
+    assert [len(x) // 8 for x in got.column("apart").to_pylist()[:3]] == [4, 0, len(near_dedup.shingles(text.encode(), 2))]
+    assert np.frombuffer(got.column("apart")[2].as_py(), np.uint64).tolist() == near_dedup.shingles(text.encode(), 2).tolist()
+
+
 def test_near_stage(spark, messy, no_docs):
     kept = near_dedup.drop_near_duplicates(messy, 2)
     assert kept.columns == messy.columns
