@@ -180,6 +180,6 @@ def _(t):
     # Every document, a null text as an empty one.
     path = shared_folder(t.spark, "all owned (files)+")
     owned = t.documents.select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    owned.repartition("doc").write.partitionBy("doc").options(**BY_TASKS).text(path)
+    sinks.write_files(owned, "doc", "text", path)
     found = readers.content_manifest(t.spark, path, "*.txt")
-    return found.select(F.regexp_extract("rel", "^([^/]+)/", 1).alias("folder"), "sha256", "bytes")
+    return found.select(F.regexp_extract("rel", r"(?:^|/)(doc=[^/]+?)(?:\.txt|/[^/]+)$", 1).alias("folder"), "sha256", "bytes")

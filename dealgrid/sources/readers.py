@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from dealgrid.functions import columns as fn
 from dealgrid.operators.fx import load_rates
-from dealgrid.session import cut_lineage, small_files
+from dealgrid.session import cut_lineage, small_files, task_folder
 
 RATE_CONVENTIONS = ("units-of-currency-per-base", "base-per-unit")
 
@@ -183,12 +183,85 @@ def _hash_blocks(batches):
         yield pd.DataFrame({"path": pdf["path"], "bytes": pdf["length"], "sha256": digests})
 
 
+#: Folders that a task lists; files and bytes that a task hashes, about.
+FOLDERS_PER_TASK, FILES_PER_TASK, BYTES_PER_TASK = 1000, 4000, 128 << 20
+
+
+def _lister(uri: str):
+    """What lies in each folder `rel` below `uri`: rel, and bytes, which a folder hasn't. What Spark's readers take for hidden or empty is left out."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(uri)
+        kinds, root = (fs.FileType.File, fs.FileType.Directory), root.rstrip("/") + "/"
+        hidden = lambda n: n.startswith(".") or n.startswith("_") and "=" not in n or n.endswith("._COPYING_")
+        kept = lambda x: x.type == kinds[1] and x.base_name.startswith(("_metadata", "_common_metadata"))
+        shown = lambda x: x.type in kinds and x.size != 0 and (kept(x) or not hidden(x.base_name))
+        out = lambda rows: pa.RecordBatch.from_arrays([pa.array([x.path[len(root):] for x in rows], pa.string()), pa.array([x.size for x in rows], pa.int64())], ["rel", "bytes"])
+        rows = []
+        for batch in batches:
+            for rel in batch.column(0).to_pylist():
+                rows += filter(shown, system.get_file_info(fs.FileSelector(root + rel)))
+                while len(rows) >= 10_000:
+                    yield out(rows[:10_000])
+                    del rows[:10_000]
+        yield out(rows)
+
+    return run
+
+
+def _hasher(uri: str):
+    """sha-256 and size of each file `rel` below `uri`, read in blocks."""
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(uri)
+        root = root.rstrip("/") + "/"
+        for batch in batches:
+            names, digests, sizes = batch.column(0).to_pylist(), [], []
+            for rel in names:
+                digest, size = hashlib.sha256(), 0
+                with system.open_input_stream(root + rel) as stream:
+                    while block := stream.read(1 << 20):
+                        digest.update(block)
+                        size += len(block)
+                digests.append(digest.hexdigest())
+                sizes.append(size)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(digests, pa.string()), pa.array(sizes, pa.int64())], ["rel", "sha256", "bytes"])
+
+    return run
+
+
+def _hashed_in_tasks(spark: SparkSession, uri: str, pattern: str) -> DataFrame:
+    """The files below a folder, listed level by level and hashed in blocks, all of it in tasks; the driver gets counts."""
+    level, folders, files, size, found = spark.range(1).select(F.lit("").alias("rel")), 1, 0, 0, []
+    while folders:
+        listed = level.repartition(-(-folders // FOLDERS_PER_TASK), "rel").mapInArrow(_lister(uri), "rel string, bytes long")
+        found.append(cut_lineage(listed, "listing"))
+        level = found[-1].filter(F.col("bytes").isNull()).select("rel")
+        folders, n, more = found[-1].agg(F.count_if(F.col("bytes").isNull()), F.count("bytes"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+        files, size = files + n, size + more
+    glob = spark._jvm.org.apache.hadoop.fs.GlobPattern(pattern).compiled().pattern()
+    owned = reduce(DataFrame.unionAll, found).filter(F.col("bytes").isNotNull() & F.substring_index("rel", "/", -1).rlike(rf"(?s)\A(?:{glob})\z"))
+    tasks = 1 + files // FILES_PER_TASK + size // BYTES_PER_TASK
+    return owned.select("rel").repartition(tasks, "rel").mapInArrow(_hasher(uri), "rel string, sha256 string, bytes long")
+
+
 def content_manifest(spark: SparkSession, path: str, pattern: str = "*", in_memory: int = 64 << 20) -> DataFrame:
     """Path, size and content hash of every owned file below a folder.
 
-    Small files are hashed from the row that holds them; the content of larger ones never enters a
-    row, they are read in blocks where the task runs. The large ones are picked by the sizes in the listing, so a small file is opened once, and many in a task.
+    Folders and files that tasks can open are listed and read there, files in blocks: neither the driver nor a plan holds their names. Elsewhere Spark's reader lists them;
+    small files are then hashed from the row that holds them, and the content of larger ones never enters a row. The large ones are picked by the sizes in the listing, so a
+    small file is opened once, and many in a task.
     """
+    if (uri := task_folder(spark, path)) is not None:
+        return cut_lineage(_hashed_in_tasks(spark, uri, pattern), "manifest")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
     small = files.filter(F.col("length") <= in_memory).select(
         "path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from decimal import Decimal as D
 
 import pytest
@@ -422,3 +423,38 @@ def test_claims_are_joined_once(spark):
         out = fn(subs, regs, "2001-08-02")
         assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
         assert {(r.submission_id, r.finding) for r in out.collect()} == want and out.count() == len(want)
+
+
+def test_manifest_leaves_listing_and_file_writing_to_tasks(spark, tmp_path):
+    """Spark's writer makes a checksum file and a process for each file, its reader a task for each folder and a name on the driver for each file."""
+    import hashlib
+
+    rows = [(k, f"text {k}\nß") for k in range(1500)] + [(7, "again"), (None, None), (None, "x")]
+    top = tmp_path / "a b%20+"
+    sinks.write_files(spark.createDataFrame(rows, "doc long, text string"), "doc", "text", str(top))
+    files = [p for p in top.rglob("*") if p.is_file()]
+    assert len(files) == 1501 and not any(p.suffix == ".crc" or p.name.startswith(".") for p in files)
+    assert max(sum(1 for _ in p.iterdir()) for p in top.rglob("*") if p.is_dir()) <= 1000
+    lines = {f"doc={k}": f"{t}\n".encode() for k, t in rows[:1500]} | {"doc=7": "again\ntext 7\nß\n".encode(), "doc=__HIVE_DEFAULT_PARTITION__": b"\nx\n"}
+    for hidden in (".x.txt", "_x.txt", "empty.txt", "_dir/x.txt"):
+        (top / hidden).parent.mkdir(exist_ok=True)
+        (top / hidden).write_text("" if hidden == "empty.txt" else "x")
+    (top / "deep" / "a=1" / top.name).mkdir(parents=True)
+    (top / "deep" / "a=1" / top.name / "y.txt").write_text("y")
+    got = {r.rel: (r.sha256, r.bytes) for r in readers.content_manifest(spark, str(top), "*.t?t").collect()}
+    assert got.pop(f"deep/a=1/{top.name}/y.txt") == (hashlib.sha256(b"y").hexdigest(), 1)
+    assert {k.split("/")[-1].removesuffix(".txt"): v for k, v in got.items()} == {k: (hashlib.sha256(v).hexdigest(), len(v)) for k, v in lines.items()}
+
+
+def test_manifest_of_a_store_that_only_spark_reads(spark, tmp_path):
+    """Such files are listed, read and written by Spark, with the same result."""
+    from dealgrid.session import task_folder
+
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.kept.link./in", f"file://{tmp_path}")
+    assert task_folder(spark, "viewfs://kept/in/a") is None and task_folder(spark, str(tmp_path / "none")) is None
+    df = spark.createDataFrame([(1, "x"), (2, None), (None, "z")], "doc long, text string")
+    manifests = []
+    for path in ("viewfs://kept/in/a", str(tmp_path / "b")):
+        sinks.write_files(df.fillna("", ["text"]), "doc", "text", path)
+        manifests.append(sorted((re.search("doc=[0-9A-Z_]+", r.rel)[0], r.sha256, r.bytes) for r in readers.content_manifest(spark, path, "*.txt").collect()))
+    assert manifests[0] == manifests[1] and len(manifests[0]) == 3
