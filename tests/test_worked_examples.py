@@ -458,3 +458,29 @@ def test_manifest_of_a_store_that_only_spark_reads(spark, tmp_path):
         sinks.write_files(df.fillna("", ["text"]), "doc", "text", path)
         manifests.append(sorted((re.search("doc=[0-9A-Z_]+", r.rel)[0], r.sha256, r.bytes) for r in readers.content_manifest(spark, path, "*.txt").collect()))
     assert manifests[0] == manifests[1] and len(manifests[0]) == 3
+
+
+def test_route_candidates_rank_no_list_for_an_account(spark, monkeypatch):
+    """Every deal gets every partner of its account and area, of the account first, each once; only the lists of areas and what accounts have are ranked."""
+    offered = [(p, D(p % 4) / 10, p % 3) for p in range(40)] + [(5, D("0.90"), 1)]  # one partner comes with two margins
+    areas = spark.createDataFrame([(f"c{c}", "A", i, m, p) for i, (p, m, c) in enumerate(offered)] + [(None, "A", 1, D("0.10"), 99)], "country string, segment string, rank int, margin_pct decimal(5,2), partner_id long")
+    has = [(a, p, D(p % 4) / 10) for a in range(0, 30, 2) for p in (a, a + 1, a + 2, 77)] + [(0, 77, D("0.20")), (500, 1, D("0.10"))]
+    known = spark.createDataFrame([(a, 1, p, m) for a, p, m in has], "account long, rank int, partner_id long, margin_pct decimal(5,2)")
+    # An account in two places, one in none, one without an area.
+    where = [(a, f"c{a % 3}", "A") for a in range(30)] + [(4, "c0", "A"), (30, None, "A"), (31, "c9", "A"), (8, None, None)]
+    opps = [(i, i % 33, D(100 + i), i % 5 > 0, 1 if i % 7 == 0 else None) for i in range(120)] + [(3, 3, D("50"), True, None), (200, None, D("1"), True, None)]
+    accounts = spark.createDataFrame(where, "account long, country string, segment string")
+    want = []
+    for i, a, amount, is_open, partner in opps:
+        places = [(c, s) for x, c, s in where if x == a] if is_open and partner is None else []
+        margins, mine = {}, {p for x, p, _ in has if x == a}
+        for p, m in [(p, m) for p, m, c in offered for place in places if place == (f"c{c}", "A")] + [(p, m) for x, p, m in has if x == a]:
+            margins[p] = max(m, margins.get(p, m))
+        listed = sorted(margins, key=lambda p: (p not in mine, margins[p], p))
+        want += [(i, k, p, p in mine, (amount * (1 - margins[p])).quantize(D("0.01"))) for _ in places for k, p in enumerate(listed, 1)]
+    ranked, rank = [], partners.top_per_key
+    monkeypatch.setattr(partners, "top_per_key", lambda df, *a: (ranked.append(df.count()), rank(df, *a))[1])
+    monkeypatch.setattr(partners, "ROUTE_BLOCK", 3, raising=False)
+    got = partners.route_candidates(spark.createDataFrame(opps, "opp_id long, account long, amount decimal(18,2), is_open boolean, partner_id long"), accounts, areas, known)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 1000
+    assert max(ranked) < 100
